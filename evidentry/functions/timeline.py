@@ -178,9 +178,9 @@ def find_heat(df: DataFrame, keys: Sequence[str], time: str,
            .filter(F.col("_n") > rows_per_chunk))
     parts = F.ceil(F.col("_n") / F.lit(float(rows_per_chunk))) * CELLS_PER_CHUNK
     width = F.greatest(F.lit(1), F.ceil((F.col("_t1") - F.col("_t0") + 1) / parts.cast("double")))
-    grid = durable(hot.select(*keys, "_t0", width.cast("long").alias("_width")))
-    if grid.isEmpty():
+    if hot.isEmpty():
         return None
+    grid = durable(hot.select(*keys, "_t0", width.cast("long").alias("_width")))
     counts = (_with_cell(df.join(F.broadcast(grid), list(keys)), time)
               .groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n")))
     upto = Window.partitionBy(*keys).orderBy("_cell")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.expr import micros, optional_class
 from ..functions.timeline import Timeline, over_timeline
 from ..vocab import MICROS, MODEL_VERSION
-from .detect import Detector, default_detectors, evidence_array, select_detectors
+from .detect import (Detector, add_signals, default_detectors, drop_signals, evidence_array,
+                     select_detectors)
 from .rollout import (CostContext, RolloutPlan, adapt_directive, add_rollout, cost_reasons,
                       cost_tier, directive_for, is_risky, suspicious_confidence)
 from .score import PolicyBundle, apply_policy, pack_scores, scores_from_signals
@@ -50,8 +51,9 @@ def score_requests(df: DataFrame, config: DecisionConfig = DecisionConfig()) ->
 def add_scores(df: DataFrame, config: DecisionConfig) -> DataFrame:
     """Evidence, scores and policy for rows with session features and `_us`."""
     chosen = select_detectors(config.detectors or default_detectors(), config.enabled_detectors)
+    df = add_signals(df, chosen)
     df = df.withColumns({"evidence": evidence_array(chosen), **scores_from_signals(chosen)})
-    return pack_scores(apply_policy(df, config.policy))
+    return pack_scores(apply_policy(drop_signals(df), config.policy))
 
 
 def apply_shadow_mode(df: DataFrame, mode: str = "shadow") -> DataFrame:

@@ -157,23 +157,44 @@ def signals_of(detectors: Iterable[Detector]) -> list[tuple[str, Signal]]:
     return [(d.id, s) for d in detectors for s in d.signals]
 
 
+def add_signals(df: DataFrame, detectors: Iterable[Detector]) -> DataFrame:
+    """One boolean column `_fires_<i>` per signal, so each condition runs once."""
+    return df.withColumns({f"_fires_{i}": s.fires for i, (_, s) in enumerate(signals_of(detectors))})
+
+
+def drop_signals(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith("_fires_")])
+
+
 def evidence_array(detectors: Iterable[Detector]) -> Column:
-    """Ordered array of the evidence that fires."""
-    return present(*[
-        F.when(s.fires, F.struct(
-            F.lit(s.code).alias("code"), F.lit(det).alias("detector"),
-            F.lit(s.dimension).alias("dimension"), F.lit(s.direction).alias("direction"),
-            s.strength_column.cast("double").alias("strength"),
-            F.lit(s.confidence).alias("confidence"),
-            F.lit(EVIDENCE_TTL_SECONDS).alias("ttl_seconds")))
-        for det, s in signals_of(detectors)])
+    """Ordered array of the evidence that fires; needs `add_signals`.
+
+    The constants of all signals are one literal array. Only the positions that fire
+    are computed per row.
+    """
+    signals = signals_of(detectors)
+    constants = F.array(*[F.struct(
+        F.lit(s.code).alias("code"), F.lit(det).alias("detector"),
+        F.lit(s.dimension).alias("dimension"), F.lit(s.direction).alias("direction"),
+        F.lit(s.confidence).alias("confidence")) for det, s in signals])
+    strengths = F.array(*[s.strength_column.cast("double") for _, s in signals])
+    fired = present(*[F.when(F.col(f"_fires_{i}"), F.lit(i + 1)) for i in range(len(signals))])
+
+    def item(i: Column) -> Column:
+        c = F.element_at(constants, i)
+        return F.struct(
+            c.code.alias("code"), c.detector.alias("detector"), c.dimension.alias("dimension"),
+            c.direction.alias("direction"), F.element_at(strengths, i).alias("strength"),
+            c.confidence.alias("confidence"), F.lit(EVIDENCE_TTL_SECONDS).alias("ttl_seconds"))
+
+    return F.transform(fired, item)
 
 
 def detect(df: DataFrame, detectors: Iterable[Detector] | None = None,
            enabled: Iterable[str] | None = None) -> DataFrame:
     """Add the `evidence` array; `df` carries session features and `_us`."""
     chosen = select_detectors(detectors or default_detectors(), enabled)
-    return df.withColumn("evidence", evidence_array(chosen))
+    return drop_signals(add_signals(df, chosen).withColumn("evidence", evidence_array(chosen)))
 
 
 def valid_evidence(evidence: Column | str = "evidence") -> Column:

@@ -24,15 +24,16 @@ def _finish(automation: Column, intent: Column, continuity: Column) -> dict[str,
 
 
 def scores_from_signals(detectors: Iterable[Detector]) -> dict[str, Column]:
-    """Scores as plain sums of CASE terms, which stay in generated code.
+    """Scores as plain sums of CASE terms, which stay in generated code; needs
+    `add_signals`.
 
     They are flat columns on purpose: fields of a struct would be inlined, and so
     evaluated again, at every place of use.
     """
     totals = {"automation": F.lit(0.0), "intent": F.lit(0.0), "continuity": F.lit(0.0)}
-    for _, s in signals_of(detectors):
+    for i, (_, s) in enumerate(signals_of(detectors)):
         weight = clamp01(s.strength_column.cast("double")) * min(max(s.confidence, 0.0), 1.0) * 2.0
-        term = F.when(s.fires, weight * float(s.direction)).otherwise(F.lit(0.0))
+        term = F.when(F.col(f"_fires_{i}"), weight * float(s.direction)).otherwise(F.lit(0.0))
         totals[s.dimension] = totals[s.dimension] + term
     return _finish(totals["automation"], totals["intent"], totals["continuity"])
 

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import micros
+from ..operators import contracts as A
 from ..operators import decide as D
 from ..operators import detect as X
+from ..operators import pseudonym as B
 from ..operators import score as P
 from ..operators import session as S
 from . import derived as T
@@ -113,3 +115,110 @@ def c17_first_mismatch(spark, sf):
     return D.first_mismatch(D.replay(T.requests(spark, sf))).select(
         micros("observed_at").alias("observed_us"), "line_no", "expected_action", "action",
         "expected_computed_action", "computed_action")
+
+
+# --- A: contracts --------------------------------------------------------------------
+
+def _reasons(valid: DataFrame, bad: DataFrame, *keys: str) -> DataFrame:
+    both = (valid.select(F.lit("valid").alias("reason"), *keys)
+            .unionByName(bad.select("reason", *keys)))
+    return both.groupBy("reason", *keys).agg(n().alias("n"))
+
+
+def _marked(df: DataFrame, reason: F.Column, *keys: str) -> DataFrame:
+    """Counts per reason in one pass, without splitting the rows."""
+    return (df.select(*keys, F.coalesce(reason, F.lit("valid")).alias("reason"))
+            .groupBy("reason", *keys).agg(n().alias("n")))
+
+
+@query
+def a2_validate_evidence(spark, sf):
+    return _marked(T.rough_local_events(spark, sf), A.evidence_reason())
+
+
+@query
+def a2_evidence_quarantine(spark, sf):
+    return A.validate_evidence(T.rough_local_events(spark, sf))[1].select("line_no", "reason")
+
+
+@query
+def a3_check_chronology(spark, sf):
+    return A.check_chronology(T.local_events_raw(spark, sf), "observed_at", "line_no")
+
+
+def _log_times(spark, sf):
+    d = T.logged(spark, sf)
+    return (d.select("recorded_at", F.lit("decision").alias("kind"))
+            .unionByName(T.outcomes(d).select("recorded_at", F.lit("outcome").alias("kind"))))
+
+
+@query
+def a6_source_summary(spark, sf):
+    return A.source_summary(_log_times(spark, sf))
+
+
+@query
+def a7_scan_budget(spark, sf):
+    return A.enforce_budget(A.scan_budget(A.source_summary(_log_times(spark, sf)),
+                                          max_records=1_000_000))
+
+
+@query
+def a8_validate_decision_request(spark, sf):
+    return _marked(T.rough_requests(spark, sf), A.request_reason())
+
+
+@query
+def a9_decode_log_records(spark, sf):
+    return _marked(T.log_records(_decided(spark, sf)), A.log_reason(), "kind")
+
+
+@query
+def a10_validate_outcomes(spark, sf):
+    out = T.outcomes(T.logged(spark, sf)).withColumn(
+        "provenance", F.when(F.minute("recorded_at") % 7 == 0, F.lit("user_feedback"))
+        .otherwise(F.col("provenance")))
+    return _reasons(*A.validate_outcomes(out), "outcome")
+
+
+@query
+def a11_normalise_log_row(spark, sf):
+    e = F.col("line_no")
+    rough = T.logged(spark, sf).withColumns({
+        "endpoint_class": F.when(e % 31 == 0, F.lit("basement")).otherwise(F.col("endpoint_class")),
+        "decision_id": F.when(e % 37 == 0, F.lit("not stable!")).otherwise(F.col("decision_id")),
+        "reason_codes": F.when(e % 41 == 0, F.array_append("reason_codes", F.lit("not stable!")))
+        .otherwise(F.col("reason_codes"))})
+    return A.normalise_log_row(rough).select(
+        "line_no", F.col("copy"), "endpoint_class", "decision_id",
+        F.concat_ws(",", "reason_codes").alias("reason_codes"), micros("recorded_at").alias("recorded_us"))
+
+
+@query
+def a12_session_key(spark, sf):
+    return T.requests(spark, sf).select("session_id").distinct().withColumn(
+        "session_key", B.session_key("session_id", T.LOG_KEY))
+
+
+@query
+def a14_apply_retention(spark, sf):
+    d = T.logged(spark, sf)
+    latest = d.agg(F.max("recorded_at").alias("_now"))
+    kept = A.apply_retention(d.crossJoin(F.broadcast(latest)), F.col("_now"), keep_days=1)
+    return kept.select("decision_id", "copy", micros("recorded_at").alias("recorded_us"))
+
+
+@query
+def a16_latest_valid_report(spark, sf):
+    attempts = T.requests(spark, sf).select(
+        "session_id", F.col("observed_at").alias("attempted_at"),
+        (F.col("line_no") % 4 != 0).alias("valid"), F.col("line_no").alias("report"))
+    return A.latest_valid_report(attempts, "session_id")
+
+
+# --- B: pseudonyms -------------------------------------------------------------------
+
+@query
+def b2_pseudonymise(spark, sf):
+    out = B.pseudonymise(T.local_events_raw(spark, sf), b"k" * 32, "dataset-a", "pilot-a")
+    return B.assert_no_direct_refs(out).select("line_no", "subject_id", "session_id")

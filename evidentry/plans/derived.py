@@ -228,6 +228,13 @@ def outcomes(decisions: DataFrame) -> DataFrame:
     return rows(e % 3 == 0, 0).unionByName(rows(e % 15 == 0, 1))
 
 
+def logged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decision log of the whole `events` table, scored in shadow mode."""
+    from ..operators.decide import decide
+
+    return logged_decisions(decide(requests(spark, sf_dir)))
+
+
 def logged_decisions(decisions: DataFrame) -> DataFrame:
     """Decision-log rows from scored shadow decisions, with duplicated ids."""
     e = F.col("line_no")
@@ -240,8 +247,7 @@ def logged_decisions(decisions: DataFrame) -> DataFrame:
         F.concat(F.lit("d-"), e.cast("string")).alias("decision_id"),
         F.date_trunc("second", "observed_at").alias("recorded_at"),
         F.col("session_id").alias("session_key"),
-        F.col("request_action") if "request_action" in decisions.columns
-        else F.lit("other").alias("request_action"),
+        F.lit("other").alias("request_action"),
         "endpoint_class",
         pick(V.COHORTS, user % 6).alias("evaluation_cohort"),
         F.when(canary, F.col("computed_action")).otherwise(F.col("action")).alias("action"),
@@ -252,3 +258,45 @@ def logged_decisions(decisions: DataFrame) -> DataFrame:
         "model_version",
         F.when(e % 3 == 0, F.lit(None)).otherwise(e % 3 - 1).cast("int").alias("assurance_level"),
         ((e % 3 == 2) & (e % 5 == 0)).alias("assurance_withheld"))
+
+
+LOG_KEY = b"log-key-for-derived-tables"
+
+
+def log_records(decided: DataFrame) -> DataFrame:
+    """Tagged-union log records of four generations, with contract violations."""
+    from ..operators.contracts import LOG_VERSIONS
+    from ..operators.pseudonym import session_key
+
+    logged = logged_decisions(decided)
+    e = F.col("line_no")
+    version = pick(LOG_VERSIONS, e % 4)
+    key = session_key("session_key", LOG_KEY)
+    decision = F.struct(
+        "decision_id", "request_action", "endpoint_class",
+        F.when((e % 4 == 0) & (e % 89 != 0), F.lit(None)).otherwise(F.col("evaluation_cohort"))
+        .alias("evaluation_cohort"),
+        "action", "computed_action", "mode",
+        F.when(e % 71 == 0, F.lit(None)).otherwise(F.col("rollout_id")).alias("rollout_id"),
+        F.col("scores").withField("automation_risk", F.when(e % 61 == 0, 1.5)
+                                  .otherwise(F.col("scores.automation_risk"))).alias("scores"),
+        F.when(e % 67 == 0, F.array_append("reason_codes", F.lit("bad code")))
+        .otherwise(F.col("reason_codes")).alias("reason_codes"),
+        "policy_version", "model_version",
+        F.when((e % 4 == 3) | (e % 83 == 0), F.col("assurance_level")).alias("assurance_level"),
+        (F.col("assurance_withheld") & (e % 4 == 3) | (e % 79 == 0)).alias("assurance_withheld"))
+    out = outcomes(logged)
+    none = lambda df, c: F.lit(None).cast(df.select(c).schema[0].dataType)
+    d = logged.select(
+        "ingest_order", version.alias("schema_version"), F.lit("decision").alias("kind"),
+        "recorded_at", F.when(e % 73 == 0, F.lit("short")).otherwise(key).alias("session_key"),
+        F.when(e % 59 != 0, decision).alias("decision"))
+    o = out.select(
+        F.lit(-1).cast("long").alias("ingest_order"), F.lit(LOG_VERSIONS[3]).alias("schema_version"),
+        F.lit("outcome").alias("kind"), "recorded_at", session_key(F.lit("any-session"), LOG_KEY)
+        .alias("session_key"),
+        F.struct("decision_id", "endpoint_class", "outcome",
+                 F.when(F.minute("recorded_at") % 7 == 0, F.lit("user_feedback"))
+                 .otherwise(F.col("provenance")).alias("provenance"), "confidence").alias("outcome"))
+    return d.withColumn("outcome", none(o, "outcome")).unionByName(
+        o.withColumn("decision", none(d, "decision")))

@@ -263,3 +263,171 @@ SELECT us AS observed_us, e AS line_no, want_action AS expected_action, action,
   want_computed AS expected_computed_action, computed AS computed_action
 FROM v_shadow WHERE NOT (coalesce(want_action = action, true) AND coalesce(want_computed = computed, true))
 ORDER BY us, e LIMIT 1"""
+
+# --- decision log --------------------------------------------------------------------
+VIEWS["v_dec"] = f"""
+SELECT e, c AS copy, e*2 + c AS ord, 'd-' || CAST(e AS VARCHAR) AS did,
+  us // 1000000 * 1000000 AS rec, sid, ep, {pick(V.COHORTS, 'u % 6')} AS cohort,
+  CASE WHEN u % 4 = 0 THEN computed ELSE action END AS action, computed,
+  CASE WHEN u % 4 = 0 THEN 'canary' ELSE 'shadow' END AS mode,
+  CASE WHEN u % 8 = 0 THEN 'canary-a' WHEN u % 4 = 0 THEN 'canary-b' END AS rollout,
+  auto, intent, cont, reasons,
+  CASE WHEN e % 20 = 0 THEN 'default-v4' ELSE '{V.POLICY_VERSION}' END AS policy,
+  '{V.MODEL_VERSION}' AS model,
+  CASE WHEN e % 3 = 0 THEN NULL ELSE e % 3 - 1 END AS level, (e % 3 = 2 AND e % 5 = 0) AS withheld
+FROM v_shadow, LATERAL (SELECT unnest(CASE WHEN e % 97 = 0 THEN [0, 1] ELSE [0] END) AS c)"""
+
+_first = {o: next(t for t in V.OUTCOME_TRIPLES if t[0] == o) for o in V.OUTCOMES}
+
+
+def _outcomes(cond: str, shift: int) -> str:
+    k = f"((e//3) + {shift}) % 9"
+    return f"""SELECT e,
+  CASE WHEN e % 99 = 0 THEN NULL WHEN e % 60 = 0 THEN 'x-' || e::VARCHAR ELSE 'd-' || e::VARCHAR END AS did,
+  rec + 600000000 AS rec, CASE WHEN e % 45 = 0 THEN {pick(V.ENDPOINT_CLASSES, '(e+1) % 9')} ELSE ep END AS ep,
+  {pick(V.OUTCOMES, k)} AS outcome, {pick([_first[o][1] for o in V.OUTCOMES], k)} AS prov,
+  {pick([_first[o][2] for o in V.OUTCOMES], k)} AS conf
+FROM v_dec WHERE copy = 0 AND {cond}"""
+
+
+VIEWS["v_out"] = _outcomes("e % 3 = 0", 0) + " UNION ALL " + _outcomes("e % 15 = 0", 1)
+
+
+def hmac_static(key: bytes, message: str) -> str:
+    from ..functions.expr import key_pads
+    inner, outer = key_pads(key)
+    return (f"unhex(sha256(unhex('{outer.hex()}') || unhex(sha256(unhex('{inner.hex()}') || {message}))))")
+
+
+def b64url(blob: str) -> str:
+    return f"replace(replace(replace(base64({blob}), '+', '-'), '/', '_'), '=', '')"
+
+
+def prefixed(text: str) -> str:
+    return f"(unhex(printf('%016x', octet_length(encode({text})))) || encode({text}))"
+
+
+def reason(*checks: tuple[str, str]) -> str:
+    return "CASE " + " ".join(f"WHEN NOT coalesce({c}, false) THEN '{r}'" for c, r in checks) + " END"
+
+
+# --- A: contracts ---------------------------------------------------------------------
+LOG_V = ("evidentry.log.v1", "evidentry.log.v2", "evidentry.log.v3", "evidentry.log.v4")
+
+VIEWS["v_local"] = f"""
+SELECT e, g, v, i, 1704067200000000 + g*7200000000 + off AS us,
+  'seq-' || g::VARCHAR || '-' || CASE WHEN v = 1 AND i >= 40 THEN 'b' ELSE 'a' END AS subj,
+  CASE WHEN g % 3 <> 0 THEN 's-seq-' || g::VARCHAR || '-' || CASE WHEN v = 1 AND i >= 40 THEN 'b' ELSE 'a' END END AS sess,
+  {pick(V.LOCAL_SOURCES, 'e % 6')} AS source, {pick(V.LOCAL_ENDPOINTS, '(e//3) % 7')} AS ep,
+  {pick(V.LOCAL_ACTIONS, 'e % 4')} AS act, {pick(V.STATUS_CLASSES, 'e % 5')} AS status,
+  CASE WHEN e % 43 = 0 THEN 'missing' WHEN e % 31 = 0 THEN 'partial' ELSE 'complete' END AS coll,
+  CASE WHEN e % 37 = 0 THEN (e//37) % 4 ELSE 0 END AS lv_auto,
+  CASE WHEN e % 41 = 0 THEN (e//41) % 4 ELSE 0 END AS lv_intent,
+  CASE WHEN e % 29 = 0 THEN (e//29) % 4 ELSE 0 END AS lv_cont,
+  CASE WHEN e % 47 = 0 THEN (e//47) % 4 ELSE 0 END AS lv_decoy,
+  CASE WHEN e % 23 = 0 THEN (e//23) % 6 ELSE 0 END AS ch,
+  CASE WHEN e % 53 = 0 THEN 1 WHEN e % 59 = 0 THEN 2 WHEN e % 61 = 0 THEN 3 ELSE 0 END AS lab
+FROM (SELECT *, CASE WHEN v = 0 THEN i*500000 WHEN v = 1 AND i < 40 THEN i*1000000
+        WHEN v = 1 THEN (i-40)*20000000 WHEN v = 2 THEN i*301000000 WHEN v = 3 THEN i*30000000
+        ELSE i*100000000 END AS off
+      FROM (SELECT event_id AS e, event_id // 100 AS g, event_id % 100 AS i, (event_id // 100) % 5 AS v FROM events))"""
+
+VIEWS["v_local_bad"] = """
+SELECT *, CASE WHEN e % 101 = 0 THEN 'schema_version' WHEN e % 107 = 0 OR e % 109 = 0 THEN 'reference'
+   WHEN e % 113 = 0 THEN 'closed_enum'
+   WHEN e % 127 = 0 AND lab = 0 THEN 'label_pairing'
+   WHEN e % 103 = 0 THEN 'observed_at' END AS why FROM v_local"""
+QUERIES["a2_validate_evidence"] = """
+SELECT coalesce(why, 'valid') AS reason, CAST(count(*) AS BIGINT) AS n FROM v_local_bad GROUP BY 1"""
+QUERIES["a2_evidence_quarantine"] = "SELECT e AS line_no, why AS reason FROM v_local_bad WHERE why IS NOT NULL"
+QUERIES["a3_check_chronology"] = """
+SELECT e AS line_no, us AS observed_us, prev AS previous_us
+FROM (SELECT e, us, lag(us) OVER (ORDER BY e) AS prev FROM v_local) WHERE us < prev"""
+QUERIES["a6_source_summary"] = """
+SELECT CAST(count(*) AS BIGINT) AS records, min(rec) AS first_us, max(rec) AS last_us,
+  CAST(count(*) FILTER (WHERE k = 'd') AS BIGINT) AS decisions,
+  CAST(count(*) FILTER (WHERE k = 'o') AS BIGINT) AS outcomes,
+  CAST(0 AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS files
+FROM (SELECT rec, 'd' AS k FROM v_dec UNION ALL SELECT rec, 'o' FROM v_out)"""
+QUERIES["a7_scan_budget"] = """
+SELECT 'records' AS "limit", CAST(count(*) AS BIGINT) AS observed, CAST(1000000 AS BIGINT) AS allowed,
+  count(*) <= 1000000 AS ok FROM (SELECT e FROM v_dec UNION ALL SELECT e FROM v_out)"""
+
+VIEWS["v_rough"] = """
+SELECT e, """ + reason(
+    ("e % 43 <> 0 AND e % 47 <> 0", "session_or_action"), ("e % 71 <> 0", "endpoint_or_sequence"),
+    ("e % 53 <> 0 AND e % 59 <> 0", "count_bounds"), ("e % 61 <> 0", "risk_bounds"),
+    ("e % 73 <> 0", "cohort"), ("NOT (bot AND e % 26 = 0)", "crawler_identity"),
+    ("e % 67 <> 0", "transport"), ("NOT (fpc <> 'unknown' AND e % 34 = 0)", "edge_intelligence"),
+) + " AS why FROM v_req"
+QUERIES["a8_validate_decision_request"] = """
+SELECT coalesce(why, 'valid') AS reason, CAST(count(*) AS BIGINT) AS n FROM v_rough GROUP BY 1"""
+
+VIEWS["v_log"] = f"""
+SELECT *, {reason(
+    ("e % 73 <> 0", "session_key"), ("e % 59 <> 0", "shape"),
+    ("(CASE WHEN e % 4 = 0 THEN e % 89 <> 0 ELSE true END) = (e % 4 <> 0 OR e % 89 <> 0)"
+     " AND (e % 4 <> 0 OR e % 89 <> 0) AND (e % 4 >= 2 OR (action <> 'delay' AND computed <> 'delay'))"
+     " AND e % 61 <> 0", "decision"),
+    ("lvl IS NULL OR e % 4 = 3", "assurance_level"),
+    ("NOT wh OR lvl IS NOT NULL", "assurance_withheld"),
+    ("mode <> 'canary' OR e % 71 <> 0", "canary_rollout"),
+    ("e % 67 <> 0", "reason_code"))} AS why
+FROM (SELECT *, CASE WHEN e % 4 = 3 OR e % 83 = 0 THEN level END AS lvl,
+             (withheld AND e % 4 = 3) OR e % 79 = 0 AS wh FROM v_dec)"""
+VIEWS["v_logout"] = f"""
+SELECT *, CASE WHEN did IS NULL OR (outcome, p2, conf) NOT IN (
+    {', '.join(str(t) for t in V.OUTCOME_TRIPLES)}) THEN 'outcome' END AS why
+FROM (SELECT *, CASE WHEN (rec // 60000000) % 60 % 7 = 0 THEN 'user_feedback' ELSE prov END AS p2 FROM v_out)"""
+QUERIES["a9_decode_log_records"] = """
+SELECT kind, reason, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT 'decision' AS kind, coalesce(why, 'valid') AS reason FROM v_log
+  UNION ALL SELECT 'outcome', coalesce(why, 'valid') FROM v_logout) GROUP BY 1, 2"""
+QUERIES["a10_validate_outcomes"] = f"""
+SELECT CASE WHEN did IS NULL THEN 'id_or_endpoint'
+  WHEN (outcome, p2, conf) NOT IN ({', '.join(str(t) for t in V.OUTCOME_TRIPLES)}) THEN 'triple'
+  ELSE 'valid' END AS reason, outcome, CAST(count(*) AS BIGINT) AS n FROM v_logout GROUP BY 1, 2"""
+QUERIES["a11_normalise_log_row"] = """
+SELECT e AS line_no, copy, CASE WHEN e % 31 = 0 THEN 'other' ELSE ep END AS endpoint_class,
+  CASE WHEN e % 37 = 0 THEN 'unknown' ELSE did END AS decision_id,
+  array_to_string(reasons, ',') AS reason_codes, rec AS recorded_us FROM v_dec"""
+QUERIES["a12_session_key"] = f"""
+SELECT DISTINCT sid AS session_id, {b64url(hmac_static(b'log-key-for-derived-tables', 'encode(sid)') + '[1:16]')} AS session_key
+FROM v_req"""
+QUERIES["a14_apply_retention"] = """
+SELECT did AS decision_id, copy, rec AS recorded_us FROM v_dec WHERE rec >= (SELECT max(rec) FROM v_dec) - 86400000000"""
+QUERIES["a16_latest_valid_report"] = """
+SELECT sid AS session_id, arg_max(e, struct_pack(us, e)) FILTER (WHERE e % 4 <> 0) AS report,
+  max(us) FILTER (WHERE e % 4 <> 0) AS report_us, max(us) AS attempted_us,
+  CASE WHEN max(us) FILTER (WHERE e % 4 <> 0) IS NULL THEN 'unavailable'
+       WHEN arg_max(e % 4 <> 0, struct_pack(us, ok := e % 4 <> 0)) THEN 'ready' ELSE 'invalid_update' END AS state
+FROM v_req GROUP BY 1"""
+
+# --- B: pseudonyms ----------------------------------------------------------------------
+
+
+def _pseudonyms() -> None:
+    from ..operators.pseudonym import DAY_LABEL, domain_key
+    domain = domain_key(b"k" * 32, "dataset-a", "pilot-a")
+    day_key = hmac_static(domain, f"{prefixed(repr(DAY_LABEL))} || {prefixed('day')}")
+
+    def pad(byte: int) -> str:
+        return (f"CAST(xor(CAST(k || unhex('{'00' * 32}') AS BIT), CAST(unhex('{f'{byte:02x}' * 64}') AS BIT)) AS BLOB)")
+
+    VIEWS["v_days"] = f"""
+SELECT day, {pad(0x36)} AS ip, {pad(0x5c)} AS op FROM (
+  SELECT day, {day_key} AS k FROM (
+    SELECT DISTINCT strftime(make_timestamp(us), '%Y-%m-%d') AS day FROM v_local))"""
+
+    def pseudonym(kind: str, *refs: str) -> str:
+        msg = " || ".join([prefixed(f"'{kind}'"), *[prefixed(r) for r in refs]])
+        return b64url(f"unhex(sha256(op || unhex(sha256(ip || {msg}))))")
+
+    VIEWS["v_pseudo"] = f"""
+SELECT v_local.*, {pseudonym('subject', 'subj')} AS subject_id,
+  CASE WHEN sess IS NOT NULL THEN {pseudonym('session', 'subj', 'sess')} END AS session_id
+FROM v_local JOIN v_days ON strftime(make_timestamp(us), '%Y-%m-%d') = day"""
+    QUERIES["b2_pseudonymise"] = "SELECT e AS line_no, subject_id, session_id FROM v_pseudo"
+
+
+_pseudonyms()
