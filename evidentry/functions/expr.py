@@ -159,6 +159,11 @@ def first_reason(*checks: tuple[Column, str]) -> Column:
     return expr
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with `value` evaluated once per row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 # --- bytes -----------------------------------------------------------------------
 
 def base64url(c: Column) -> Column:

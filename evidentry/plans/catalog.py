@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import micros
+from ..operators import challenge as H
 from ..operators import contracts as A
 from ..operators import decide as D
 from ..operators import detect as X
+from ..operators import identity as I
 from ..operators import pseudonym as B
+from ..operators import rollout as R
 from ..operators import score as P
 from ..operators import session as S
 from . import derived as T
@@ -222,3 +225,170 @@ def a16_latest_valid_report(spark, sf):
 def b2_pseudonymise(spark, sf):
     out = B.pseudonymise(T.local_events_raw(spark, sf), b"k" * 32, "dataset-a", "pilot-a")
     return B.assert_no_direct_refs(out).select("line_no", "subject_id", "session_id")
+
+
+# --- C: history, batches, decoys -------------------------------------------------------
+
+def _enforced(spark, sf):
+    return D.decide(T.requests(spark, sf), D.DecisionConfig(plan=T.rollout_plan(), cohort_key=T.LOG_KEY))
+
+
+@query
+def c3_enforcement_history(spark, sf):
+    return _enforced(spark, sf).select(
+        "line_no", F.col("recent_enforcements").cast("long").alias("recent_enforcements"),
+        F.col("premature_retries").cast("long").alias("premature_retries"))
+
+
+@query
+def c4_ingest_event_batches(spark, sf):
+    return S.ingest_event_batches(T.event_batches(spark, sf)).select(
+        "line_no", F.col("accepted_events").cast("long").alias("accepted_events"),
+        F.col("total_accepted_events").cast("long").alias("total_accepted_events"), "batch_sequence")
+
+
+@query
+def c5_verified_event_count(spark, sf):
+    receipts = S.ingest_event_batches(T.event_batches(spark, sf)).filter("line_no % 3 = 0")
+    return S.verified_event_count(T.requests(spark, sf), receipts)
+
+
+@query
+def c6_redeem_decoys(spark, sf):
+    return S.redeem_decoys(T.decoy_issued(spark, sf), T.decoy_hits(spark, sf)).select(
+        "capability", micros("hit_at").alias("hit_us"), "hit_line_no", "interaction")
+
+
+@query
+def c7_attach_decoy_hits(spark, sf):
+    redeemed = S.redeem_decoys(T.decoy_issued(spark, sf), T.decoy_hits(spark, sf))
+    return S.attach_decoy_hits(T.requests(spark, sf), redeemed).withColumn(
+        "verified_decoy_hits", F.col("verified_decoy_hits").cast("long"))
+
+
+@query
+def c9_detect_subset(spark, sf):
+    config = D.DecisionConfig(enabled_detectors=("decoy_interaction_v2", "protocol_consistency_v2"))
+    return (D.score_requests(T.requests(spark, sf), config)
+            .groupBy("computed_action", "policy_reason").agg(n().alias("n")))
+
+
+@query
+def c10_validate_evidence_rows(spark, sf):
+    e = F.col("line_no")
+    bad = F.transform("evidence", lambda x: x.withField(
+        "strength", F.when(e % 31 == 0, 1.25).otherwise(x.strength)).withField(
+        "code", F.when(e % 37 == 0, F.lit("lower")).otherwise(x.code)))
+    df = _scored(spark, sf).select(e, bad.alias("evidence"))
+    return X.validate_evidence_rows(df).select("line_no", "evidence_valid")
+
+
+@query
+def c18_event_shadow_decisions(spark, sf):
+    receipts = S.ingest_event_batches(T.event_batches(spark, sf))
+    return D.event_shadow_decisions(receipts, "read", "public_content").select(
+        "line_no", "action", "computed_action", F.concat_ws(",", "reason_codes").alias("reason_codes"))
+
+
+@query
+def c19_derive_assurance(spark, sf):
+    df = _scored(spark, sf).withColumn("liveness_verified", F.col("line_no") % 3 == 0)
+    return I.derive_assurance(df).select(
+        "line_no", F.col("assurance_level").cast("long").alias("assurance_level"),
+        F.concat_ws(",", "assurance_sources").alias("sources"),
+        F.concat_ws(",", "assurance_reasons").alias("reasons"), "assurance_withheld")
+
+
+@query
+def c20_agent_provenance(spark, sf):
+    return (I.agent_provenance(T.requests(spark, sf))
+            .groupBy("provenance", "purpose", F.concat_ws(",", "provenance_reasons").alias("reasons"))
+            .agg(n().alias("n")))
+
+
+@query
+def c21_verify_crawlers(spark, sf):
+    return I.verify_crawlers(T.user_agents(spark, sf), T.crawler_registry()).select(
+        "line_no", "verified_bot", "crawler_class", "crawler_verification")
+
+
+@query
+def c22_normalise_transport(spark, sf):
+    return I.normalise_transport(T.user_agents(spark, sf), T.TRUSTED_PROXIES).select(
+        "line_no", "transport_protocol", "transport_security", "client_address_source")
+
+
+@query
+def c23_merge_signals(spark, sf):
+    df = I.merge_signals(T.edge_signals(spark, sf))
+    return df.select("line_no", "signal_conflict", *[
+        F.col(f"observations.{c}").alias(c) for c in I.MERGED],
+        F.col("observations.external_risk_score").alias("external_risk_score"),
+        F.col("observations.policy_alert").alias("policy_alert"))
+
+
+@query
+def c24_audit_single_use(spark, sf):
+    df = T.proofs(spark, sf)
+    signed = F.col("signature") == I.signature("payload", T.LOG_KEY)
+    return I.audit_single_use(df, F.col("well_formed"), signed).select("line_no", "use")
+
+
+@query
+def c25_monotone_revisions(spark, sf):
+    return I.monotone_revisions(T.revisions(spark, sf), "document").select(
+        "document", "line_no", "update", "installed_revision")
+
+
+@query
+def c26_issuer_trust(spark, sf):
+    return I.issuer_trust(*T.trust_tables(spark, sf)).select(
+        "line_no", "trusted", F.col("maximum_assurance_level").cast("long").alias("maximum_assurance_level"),
+        "uniqueness_scope")
+
+
+@query
+def c27_challenge_lifecycle(spark, sf):
+    return H.challenge_lifecycle(*T.challenges(spark, sf)).select("challenge_id", "outcome")
+
+
+@query
+def c28_liveness_attempts(spark, sf):
+    return H.liveness_attempts(*T.liveness(spark, sf)).select("attempt_id", "state", "failure")
+
+
+# --- D: rollout ------------------------------------------------------------------------
+
+@query
+def d1_canary_bucket(spark, sf):
+    return T.requests(spark, sf).select("session_id").distinct().withColumn(
+        "bucket", R.canary_bucket(F.col("session_id"), "canary-a", T.LOG_KEY).cast("long"))
+
+
+@query
+def d2_apply_rollout(spark, sf):
+    df = R.apply_rollout(_scored(spark, sf).drop("action"), T.canary_plan(), T.LOG_KEY)
+    return df.select("line_no", "action", "mode", F.concat_ws(",", "rollout_reasons").alias("reasons"))
+
+
+@query
+def d3_response_cost(spark, sf):
+    return _enforced(spark, sf).select(
+        "line_no", F.col("response_cost_tier").cast("long").alias("tier"),
+        F.col("directive.retry_after_seconds").cast("long").alias("retry_after_seconds"))
+
+
+@query
+def d4_directive(spark, sf):
+    df = R.directive(_scored(spark, sf), T.rollout_plan(), "computed_action")
+    return df.select(
+        "line_no", F.col("directive.handling").alias("handling"),
+        F.col("directive.http_status").cast("long").alias("http_status"),
+        F.col("directive.retry_after_seconds").cast("long").alias("retry_after_seconds"),
+        micros("directive.expires_at").alias("expires_us"))
+
+
+@query
+def d2_enforced_decisions(spark, sf):
+    return _enforced(spark, sf).select("line_no", "action", "mode",
+                                       F.concat_ws(",", "reason_codes").alias("reason_codes"))

@@ -300,3 +300,178 @@ def log_records(decided: DataFrame) -> DataFrame:
                  .otherwise(F.col("provenance")).alias("provenance"), "confidence").alias("outcome"))
     return d.withColumn("outcome", none(o, "outcome")).unionByName(
         o.withColumn("decision", none(d, "decision")))
+
+
+# --- inputs of the identity operators ---------------------------------------------------
+
+def decoy_issued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One decoy capability per fifth event."""
+    e, u = F.col("event_id"), F.col("user_id")
+    return events(spark, sf_dir).filter(e % 5 == 0).select(
+        F.concat(F.lit("cap-"), e.cast("string")).alias("capability"), _session(u).alias("session_id"),
+        pick(V.ENDPOINT_CLASSES, (e * 7 + u) % 9).alias("endpoint_class"),
+        F.when(e % 2 == 0, F.lit("form")).otherwise(F.lit("link")).alias("surface"),
+        F.timestamp_micros(F.col("us") + 600 * V.MICROS).alias("expires_at"))
+
+
+def decoy_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One to three hits per capability, some too late or of the wrong kind."""
+    e = F.col("event_id")
+    hit = F.explode(F.sequence(F.lit(0).cast("long"), e % 3)).alias("j")
+    base = events(spark, sf_dir).filter(e % 5 == 0).select("event_id", "us", hit)
+    j = F.col("j")
+    return base.select(
+        F.concat(F.lit("cap-"), e.cast("string")).alias("capability"),
+        F.timestamp_micros(F.col("us") + (e % 13 * 60 + j * 45) * V.MICROS).alias("hit_at"),
+        (e * 3 + j).alias("line_no"),
+        pick(("rendered", "touched", "submitted", "gazed"), (e + j) % 4).alias("interaction"))
+
+
+def user_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request log lines with addresses and user agents."""
+    e = F.col("event_id")
+    agents = ("Mozilla/5.0 (compatible; ExampleBot/2.1)", "notexamplebotx/1.0", "PreviewFetch-1 agent",
+              "previewfetch (ExampleBot)", "curl/8.0")
+    v4 = F.concat_ws(".", pick(("66.249", "66.250", "10.0", "203.0"), e % 4), (e % 3).cast("string"),
+                     (e % 251).cast("string"))
+    v6 = F.concat(F.lit("2001:db8:"), F.lower(F.hex(e % 5)), F.lit("::"), F.lower(F.hex(e % 4093)))
+    address = F.when(e % 6 == 5, v6).when(e % 7 == 6, F.concat(F.lit("::ffff:"), v4)).otherwise(v4)
+    return events(spark, sf_dir).select(
+        e.alias("line_no"), F.timestamp_micros("us").alias("observed_at"),
+        pick(agents, e % 5).alias("user_agent"),
+        F.when(e % 97 == 0, F.lit("300.1.1.1")).otherwise(address).alias("client_address"),
+        (e % 5).cast("int").alias("proto_major"), (e % 3 == 0).alias("tls"),
+        F.when(e % 11 == 0, F.lit("nonsense")).when(e % 2 == 0, F.concat(v4, F.lit(":443")))
+        .otherwise(v4).alias("remote_address"),
+        F.when(e % 8 == 0, F.array(F.lit("198.51.100.7"), F.lit("198.51.100.8")))
+        .when(e % 8 == 1, F.array(F.lit("0.0.0.0"))).when(e % 8 == 2, F.array(F.lit("224.0.0.1")))
+        .when(e % 8 == 3, F.array().cast("array<string>"))
+        .otherwise(F.array(F.lit("198.51.100.7"))).alias("forwarded_for"),
+        F.when(e % 5 == 0, F.array(F.lit("HTTPS "))).when(e % 5 == 1, F.array(F.lit("http")))
+        .when(e % 5 == 2, F.array(F.lit("ftp"))).otherwise(F.array().cast("array<string>"))
+        .alias("forwarded_proto"))
+
+
+def crawler_registry():
+    """A small registry; the last two entries overlap on purpose."""
+    from ..operators.identity import CrawlerIdentity
+
+    return [
+        CrawlerIdentity("search", "search_indexer", ("ExampleBot",), ("66.249.0.0/16", "2001:db8:1::/48")),
+        CrawlerIdentity("preview", "preview", ("previewfetch",), ("66.249.0.0/24", "66.250.1.0/24")),
+        CrawlerIdentity("preview-b", "preview", ("previewfetch-1", "previewfetch"), ("66.250.0.0/15",)),
+    ]
+
+
+TRUSTED_PROXIES = ["66.249.0.0/16", "66.250.2.0/24"]
+
+
+def proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uses of action proofs: pairs of events share a nonce, some are bad."""
+    from ..operators.identity import signature
+
+    e = F.col("event_id")
+    nonce = F.concat(F.lit("n-"), div(e, 2).cast("string"))
+    issued = F.col("us") - (e % 7) * V.MICROS + F.when(e % 41 == 0, 40 * V.MICROS).otherwise(0)
+    df = events(spark, sf_dir).select(
+        e.alias("line_no"), nonce.alias("nonce"), issued.alias("issued_us"),
+        (issued + F.when(e % 19 == 0, 1).otherwise(60).cast("long") * V.MICROS).alias("expires_us"),
+        F.col("us").alias("used_us"), (e % 23 != 0).alias("well_formed"))
+    payload = F.concat_ws("|", "nonce", F.col("issued_us").cast("string"), F.col("expires_us").cast("string"))
+    df = df.withColumn("payload", payload)
+    return df.withColumn("signature", F.when(F.col("line_no") % 17 == 0, F.lit("forged"))
+                         .otherwise(signature("payload", LOG_KEY)))
+
+
+def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Updates of seven versioned documents."""
+    e = F.col("event_id")
+    return events(spark, sf_dir).select(
+        (F.col("user_id") % 7).alias("document"), F.col("us").alias("_us"), e.alias("line_no"),
+        (div(e, 20) + e * 13 % 50).alias("revision"), F.concat(F.lit("d"), (e % 3).cast("string")).alias("digest"),
+        (e % 19 != 0).alias("valid"))
+
+
+def trust_tables(spark: SparkSession, sf_dir: str):
+    """(credentials, lists, issuers, revoked)."""
+    e, u = F.col("event_id"), F.col("user_id")
+    ev = events(spark, sf_dir)
+    credentials = ev.select(
+        e.alias("line_no"), F.col("us").alias("used_us"),
+        F.concat(F.lit("issuer-"), (u % 5).cast("string")).alias("issuer_id"),
+        F.concat(F.lit("c-"), (e % 97).cast("string")).alias("commitment"))
+    lists = ev.filter((e % 500 == 3)).select(
+        (div(e, 500) + 1).alias("revision"), F.col("us").alias("installed_us"),
+        (F.col("us") + F.when(div(e, 500) % 2 == 0, 600).otherwise(86_400).cast("long") * V.MICROS).alias("expires_us"))
+    issuers = lists.select("revision", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).select(
+        "revision", F.concat(F.lit("issuer-"), F.col("k").cast("string")).alias("issuer_id"),
+        (F.col("k") % 3).alias("max_level"), F.lit("per_service").alias("scope"), F.lit("login").alias("purpose"))
+    revoked = lists.select("revision", F.concat(F.lit("c-"), (F.col("revision") * 7 % 97).cast("string"))
+                           .alias("commitment"))
+    return credentials, lists, issuers, revoked
+
+
+def challenges(spark: SparkSession, sf_dir: str):
+    """(issued, events) of challenges, one per seventh event."""
+    e = F.col("event_id")
+    ev = events(spark, sf_dir).filter(e % 7 == 0)
+    cid = F.concat(F.lit("ch-"), e.cast("string"))
+    issued = ev.select(cid.alias("challenge_id"), (F.col("us") + 2 * V.MICROS).alias("ready_us"),
+                       (F.col("us") + 300 * V.MICROS).alias("expires_us"))
+    j = F.col("j")
+    steps = ev.select("event_id", "us", F.explode(F.sequence(F.lit(0).cast("long"), e % 9)).alias("j"))
+    kind = (F.when((e + j) % 11 == 10, F.lit("fallback")).when((e + j) % 3 == 2, F.lit("redeem"))
+            .otherwise(F.lit("verify")))
+    return issued, steps.select(
+        cid.alias("challenge_id"), (F.col("us") + (j * (1 + e % 50) + e % 4) * V.MICROS).alias("us"),
+        (e * 10 + j).alias("line_no"), kind.alias("kind"), ((e + j) % 5 == 0).alias("ok"))
+
+
+def liveness(spark: SparkSession, sf_dir: str):
+    """(issued, answers) of liveness attempts of three rounds, one per fourth event."""
+    e = F.col("event_id")
+    ev = events(spark, sf_dir).filter(e % 4 == 0)
+    aid = F.concat(F.lit("at-"), e.cast("string"))
+    issued = ev.select(aid.alias("attempt_id"), F.lit(3).alias("rounds"),
+                       (F.col("us") + 60 * V.MICROS).alias("expires_us"))
+    j = F.col("j")
+    steps = ev.select("event_id", "us", F.explode(F.sequence(F.lit(0).cast("long"), e % 5)).alias("j"))
+    reveal = F.col("us") + j * 5 * V.MICROS
+    return issued, steps.select(
+        aid.alias("attempt_id"),
+        (reveal + F.when(e % 44 == 0, 100_000).when(e % 52 == 0, 4_900_000).when(e % 68 == 0, 70 * V.MICROS)
+         .otherwise(500_000)).alias("us"),
+        (e * 10 + j).alias("line_no"), (j + F.when((e % 28 == 0) & (j > 0), 1).otherwise(0)).alias("round"),
+        reveal.alias("reveal_us"), (reveal + 4 * V.MICROS).alias("deadline_us"),
+        ((e + j) % 13 != 0).alias("correct"))
+
+
+def edge_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with an `edge` struct that partly contradicts the base signals."""
+    e = F.col("line_no")
+    unknown = F.lit("unknown")
+    edge = F.struct(
+        F.when(e % 3 == 0, F.lit("passed")).otherwise(unknown).alias("challenge_verdict"),
+        F.when(e % 5 == 0, F.lit("anomalous")).otherwise(unknown).alias("edge_fingerprint_class"),
+        F.when(e % 5 == 0, F.lit("tls")).otherwise(unknown).alias("edge_fingerprint_method"),
+        F.when(e % 7 == 0, F.lit("high_risk")).otherwise(unknown).alias("network_reputation"),
+        F.when(e % 11 == 0, F.lit("hosting")).otherwise(unknown).alias("network_type"),
+        F.when(e % 4 == 0, 0.25).otherwise(0.0).alias("external_risk_score"),
+        (e % 33 == 0).alias("policy_alert"))
+    return requests(spark, sf_dir).withColumn("edge", edge)
+
+
+def rollout_plan():
+    """Enforcement of all eligible endpoints that expires before the last events."""
+    from ..operators.rollout import RolloutPlan
+
+    return RolloutPlan("enforce-a", "enforce", V.ROLLOUT_ENDPOINTS_SORTED, "block", T0,
+                       T0 + 5 * 3600 * V.MICROS, 10_000, throttle_seconds=30, block_seconds=600,
+                       predecessor_rollout_id="canary-a")
+
+
+def canary_plan():
+    from ..operators.rollout import RolloutPlan
+
+    return RolloutPlan("canary-a", "canary", ("compare_index", "public_content"), "throttle", T0,
+                       T0 + 5 * 3600 * V.MICROS, 1000)

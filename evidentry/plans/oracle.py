@@ -32,6 +32,8 @@ def sql(text: str) -> str:
             order.append(name)
 
     need(text)
+    if text.lstrip().startswith("WITH"):
+        text = f"SELECT * FROM ({text})"
     ctes = ",\n".join(f"{n} AS MATERIALIZED ({VIEWS[n]})" if "RECURSIVE" not in VIEWS[n] else
                       f"{n} AS ({VIEWS[n]})" for n in order)
     return f"WITH RECURSIVE {ctes}\n{text}" if order else text
@@ -431,3 +433,276 @@ FROM v_local JOIN v_days ON strftime(make_timestamp(us), '%Y-%m-%d') = day"""
 
 
 _pseudonyms()
+
+# --- C/D: enforcement with a plan, folded row by row ----------------------------------------
+PLAN_END = 1704067200000000 + 5 * 3600 * 1000000
+CONF = ", ".join(f"CASE WHEN ({w}) AND ({s}) >= 0.5 THEN {c} ELSE 0.0 END"
+                 for _, _, d, s, c, w, _ in SIGNALS if d == 1)
+RANK = f"(list_position({lst(V.ACTIONS)}, computed) - 1)"
+VIEWS["v_plan"] = f"""
+SELECT *, row_number() OVER (PARTITION BY sid ORDER BY us, e) AS k,
+  CASE WHEN ep NOT IN {inn(V.ROLLOUT_ENDPOINTS)} OR us >= {PLAN_END}
+       THEN CASE WHEN computed IN {RISKY} THEN 'observe' ELSE computed END ELSE computed END AS act2,
+  CASE WHEN us >= {PLAN_END} THEN 'ROLLOUT_EXPIRED'
+       WHEN ep NOT IN {inn(V.ROLLOUT_ENDPOINTS)} THEN 'ROLLOUT_ENDPOINT_EXCLUDED' END AS excl,
+  greatest({CONF}) AS conf
+FROM v_scored"""
+_base = "CASE p.act2 WHEN 'delay' THEN 1 WHEN 'throttle' THEN 30 WHEN 'block' THEN 600 ELSE 0 END"
+_ttl = "CASE p.act2 WHEN 'delay' THEN 1 WHEN 'throttle' THEN 30 WHEN 'block' THEN 600 WHEN 'challenge' THEN 300 ELSE 30 END"
+_left = f"greatest(({PLAN_END} - p.us) // 1000000, 1)"
+_clip = lambda secs, exp: f"CASE WHEN {secs} > 0 AND {PLAN_END} < {exp} THEN least({secs}, {_left}) ELSE {secs} END"
+def _fold_body() -> str:
+    scaled = lambda low: (f"CASE WHEN r0 <= {low} OR tier <= 0 THEN {low} WHEN tier >= 4 THEN r0 "
+                          f"ELSE {low} + ((r0-{low})*tier + 3)//4 END")
+    return f"""
+WITH RECURSIVE prep AS MATERIALIZED (
+  SELECT p.*, {_clip('(' + _base + ')', f'p.us + ({_ttl})*1000000')} AS r0,
+    (p.ep IN ('compare_index','compare_noindex'))::INT + (p.conf >= 0.75)::INT
+      + (p.n_req >= 50 OR p.transitions >= 6)::INT AS t0, p.act2 IN {RISKY} AS enf
+  FROM v_plan p),
+fold AS (
+  SELECT sid, 0::BIGINT AS k, -1::BIGINT AS e, 0::BIGINT AS epoch, 0::BIGINT AS recent_after,
+    0::BIGINT AS recent, 0::BIGINT AS prem, 0::BIGINT AS until, 0::BIGINT AS tier, 0::BIGINT AS sec
+  FROM prep WHERE k = 1
+  UNION ALL
+  SELECT sid, k, e, epoch, recent + enf::INT, recent, prem,
+    greatest(until, CASE WHEN sec > 0 THEN least(us + sec*1000000, {PLAN_END}) ELSE 0 END), tier, sec
+  FROM (
+    SELECT *, CASE WHEN act2 IN ('throttle','block') AND {PLAN_END} < us + sec1*1000000
+                   THEN least(sec1, greatest(({PLAN_END} - us)//1000000, 1)) ELSE sec1 END AS sec
+    FROM (
+      SELECT *, CASE act2 WHEN 'throttle' THEN {scaled(1)} WHEN 'block' THEN {scaled(60)} ELSE r0 END AS sec1
+      FROM (
+        SELECT *, (t0 + (recent >= 2 OR prem >= 1)::INT)::BIGINT AS tier
+        FROM (
+          SELECT p.*, CASE WHEN p.epoch = f.epoch THEN f.until ELSE 0 END AS until,
+            CASE WHEN p.epoch = f.epoch THEN f.recent_after ELSE 0 END AS recent,
+            CASE WHEN p.epoch = f.epoch THEN f.prem + (f.until > p.us)::INT ELSE 0 END AS prem
+          FROM fold f JOIN prep p ON p.sid = f.sid AND p.k = f.k + 1)))))
+SELECT p.*, f.recent, f.prem, f.tier, f.sec FROM fold f JOIN prep p ON p.sid = f.sid AND p.k = f.k"""
+
+
+VIEWS["v_fold"] = _fold_body()
+QUERIES["c3_enforcement_history"] = """
+SELECT e AS line_no, least(recent, 255) AS recent_enforcements, least(prem, 255) AS premature_retries FROM v_fold"""
+QUERIES["d3_response_cost"] = """
+SELECT e AS line_no, CASE WHEN act2 IN ('throttle','block') THEN tier END AS tier,
+  CAST(sec AS BIGINT) AS retry_after_seconds FROM v_fold"""
+QUERIES["d2_enforced_decisions"] = f"""
+SELECT e AS line_no, act2 AS action, CASE WHEN excl IS NULL THEN 'enforce' ELSE 'shadow' END AS mode,
+  array_to_string(list_concat(list_filter([policy_reason, excl,
+    CASE WHEN act2 IN ('throttle','block') AND ep IN ('compare_index','compare_noindex') THEN 'RESPONSE_COST_ENDPOINT_VALUE' END,
+    CASE WHEN act2 IN ('throttle','block') AND conf >= 0.75 THEN 'RESPONSE_COST_CONFIDENT_EVIDENCE' END,
+    CASE WHEN act2 IN ('throttle','block') AND (n_req >= 50 OR transitions >= 6) THEN 'RESPONSE_COST_RECENT_BEHAVIOR' END,
+    CASE WHEN act2 IN ('throttle','block') AND (recent >= 2 OR prem >= 1) THEN 'RESPONSE_COST_RETRY_HISTORY' END,
+    CASE WHEN act2 IN ('throttle','block') AND tier = 0 THEN 'RESPONSE_COST_BASELINE' END,
+    CASE WHEN excl IS NOT NULL AND computed IN {RISKY} THEN 'SHADOW_ACTION_OVERRIDDEN' END],
+    lambda x: x IS NOT NULL), codes), ',') AS reason_codes
+FROM v_fold"""
+QUERIES["d1_canary_bucket"] = f"""
+SELECT DISTINCT sid AS session_id, CAST(('0x' || substr(hex({hmac_static(b'log-key-for-derived-tables',
+    "encode('evidentry:rollout-cohort:v1') || unhex('00') || encode('canary-a') || unhex('00') || encode(sid)")}), 1, 4)) AS BIGINT) % 10000 AS bucket
+FROM v_req"""
+VIEWS["v_bucket"] = QUERIES["d1_canary_bucket"]
+QUERIES["d2_apply_rollout"] = f"""
+SELECT e AS line_no, CASE WHEN excl IS NOT NULL AND computed IN {RISKY} THEN 'observe' WHEN excl IS NOT NULL THEN computed
+    WHEN computed IN ('challenge','block') THEN 'throttle' ELSE computed END AS action,
+  CASE WHEN excl IS NOT NULL THEN 'shadow' ELSE 'canary' END AS mode,
+  coalesce(excl, CASE WHEN computed IN ('challenge','block') THEN 'ROLLOUT_ACTION_CAPPED' ELSE '' END) AS reasons
+FROM (SELECT *, CASE WHEN us >= {PLAN_END} THEN 'ROLLOUT_EXPIRED'
+        WHEN ep NOT IN ('compare_index','public_content') THEN 'ROLLOUT_ENDPOINT_EXCLUDED'
+        WHEN bucket >= 1000 THEN 'ROLLOUT_CANARY_EXCLUDED' END AS excl
+      FROM v_scored JOIN v_bucket ON sid = session_id)"""
+_cttl = "CASE computed WHEN 'delay' THEN 1 WHEN 'throttle' THEN 30 WHEN 'block' THEN 600 WHEN 'challenge' THEN 300 ELSE 30 END"
+_cbase = "CASE computed WHEN 'delay' THEN 1 WHEN 'throttle' THEN 30 WHEN 'block' THEN 600 ELSE 0 END"
+QUERIES["d4_directive"] = f"""
+SELECT e AS line_no, CASE WHEN computed IN {RISKY} THEN computed ELSE 'pass' END AS handling,
+  CAST(CASE computed WHEN 'delay' THEN 429 WHEN 'throttle' THEN 429 WHEN 'challenge' THEN 403 WHEN 'block' THEN 403 ELSE 200 END AS BIGINT) AS http_status,
+  CAST(CASE WHEN {PLAN_END} < us + ttl*1000000 AND r0 > 0 THEN least(r0, greatest(floor(({PLAN_END} - us)/1e6), 1)) ELSE r0 END AS BIGINT) AS retry_after_seconds,
+  least(us + ttl*1000000, {PLAN_END}) AS expires_us
+FROM (SELECT *, {_cttl} AS ttl, {_cbase} AS r0 FROM v_scored)"""
+
+# --- C4..C7 ---------------------------------------------------------------------------------
+VIEWS["v_batch"] = """
+SELECT *, CAST(sum(fresh) OVER (PARTITION BY sid ORDER BY us, e) AS BIGINT) AS epoch FROM (
+  SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY sid ORDER BY us, e) <= 300000000 THEN 0 ELSE 1 END AS fresh
+  FROM (SELECT e, u, us, sid, greatest(1, 2*rn - e % 3) AS s0, e % 5 AS len FROM v_req WHERE e % 41 <> 0))"""
+VIEWS["v_receipt"] = """
+SELECT e, u, us, sid, acc, CAST(sum(acc) OVER w AS BIGINT) AS total, row_number() OVER w AS bseq FROM (
+  SELECT *, CASE WHEN seen IS NULL THEN len + 1 ELSE greatest(0, s0 + len - greatest(seen, s0 - 1)) END AS acc FROM (
+    SELECT *, max(s0 + len) OVER (PARTITION BY sid, epoch ORDER BY us, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
+    FROM v_batch))
+WINDOW w AS (PARTITION BY sid, epoch ORDER BY us, e)"""
+QUERIES["c4_ingest_event_batches"] = """
+SELECT e AS line_no, CAST(acc AS BIGINT) AS accepted_events, total AS total_accepted_events, bseq AS batch_sequence FROM v_receipt"""
+VIEWS["v_rec3"] = "SELECT * FROM v_receipt WHERE e % 3 = 0"
+QUERIES["c5_verified_event_count"] = """
+SELECT r.sid AS session_id, r.e AS line_no,
+  CASE WHEN c.us IS NULL OR r.us - c.us > 300000000 THEN 0 ELSE c.total END AS verified_event_count
+FROM v_req r ASOF LEFT JOIN v_rec3 c ON r.sid = c.sid AND r.us >= c.us"""
+VIEWS["v_hit"] = f"""
+SELECT e, 'cap-' || e::VARCHAR AS cap, us AS iss, us + 600000000 AS exp, sid, ep, e % 2 = 0 AS form,
+  us + (e % 13 * 60 + j*45)*1000000 AS hat, e*3 + j AS line,
+  {pick(('rendered', 'touched', 'submitted', 'gazed'), '(e + j) % 4')} AS inter
+FROM (SELECT *, unnest(range(0, e % 3 + 1)) AS j FROM v_req WHERE e % 5 = 0)"""
+VIEWS["v_redeem"] = """
+SELECT * FROM v_hit WHERE inter <> 'gazed' AND (form OR inter <> 'submitted') AND hat < exp
+QUALIFY row_number() OVER (PARTITION BY cap ORDER BY hat, line) = 1"""
+QUERIES["c6_redeem_decoys"] = """
+SELECT cap AS capability, hat AS hit_us, line AS hit_line_no, inter AS interaction FROM v_redeem"""
+VIEWS["v_pending"] = """
+WITH RECURSIVE t AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY sid, ep ORDER BY us, side, line) AS k FROM (
+    SELECT sid, ep, us, 1 AS side, e AS line FROM v_req
+    UNION ALL SELECT sid, ep, hat, 0, line FROM v_redeem)),
+f AS (
+  SELECT sid, ep, 0::BIGINT AS k, 1 AS side, 0::BIGINT AS line, 0::BIGINT AS hits, 0::BIGINT AS exp, 0::BIGINT AS taken
+  FROM t WHERE k = 1
+  UNION ALL
+  SELECT t.sid, t.ep, t.k, t.side, t.line,
+    CASE WHEN t.side = 1 THEN 0 WHEN f.exp > t.us THEN least(f.hits + 1, 100) ELSE 1 END,
+    CASE WHEN t.side = 1 THEN 0 ELSE t.us + 300000000 END,
+    CASE WHEN t.side = 1 AND f.exp > t.us THEN f.hits ELSE 0 END
+  FROM f JOIN t ON t.sid = f.sid AND t.ep = f.ep AND t.k = f.k + 1)
+SELECT sid, line AS e, taken FROM f WHERE side = 1 AND k > 0"""
+QUERIES["c7_attach_decoy_hits"] = """
+SELECT sid AS session_id, e AS line_no, taken AS verified_decoy_hits FROM v_pending"""
+VIEWS["v_subset"] = scored("(SELECT *, 0 AS vhits FROM v_feat)", ("decoy_interaction_v2", "protocol_consistency_v2"))
+QUERIES["c9_detect_subset"] = """
+SELECT computed AS computed_action, policy_reason, CAST(count(*) AS BIGINT) AS n FROM v_subset GROUP BY 1, 2"""
+QUERIES["c10_validate_evidence_rows"] = """
+SELECT e AS line_no, len(codes) = 0 OR (e % 31 <> 0 AND e % 37 <> 0) AS evidence_valid FROM v_scored"""
+
+# --- C18..C20 -------------------------------------------------------------------------------
+VIEWS["v_shadow_feat"] = features("""(
+  SELECT sid, us, e, u, bseq AS seq, 'public_content' AS ep, e % 10 <> 0 AS ua, total AS bec, true AS bev, 0 AS hp,
+    0 AS vhits, 'unknown' AS verdict, 0.0::DOUBLE AS risk, false AS alert, false AS bot, 'unknown' AS cclass, 'unknown' AS cver,
+    'unknown' AS fpc, 'unknown' AS rep, 'unknown' AS net, u % 3 = 0 AS sess FROM v_receipt)""")
+VIEWS["v_shadow_scored"] = scored("v_shadow_feat")
+QUERIES["c18_event_shadow_decisions"] = f"""
+SELECT e AS line_no, CASE WHEN computed = 'allow' THEN 'allow' ELSE 'observe' END AS action, computed AS computed_action,
+  array_to_string(list_concat(list_concat([policy_reason],
+    CASE WHEN computed IN {RISKY} THEN ['SHADOW_ACTION_OVERRIDDEN'] ELSE [] END), codes), ',') AS reason_codes
+FROM v_shadow_scored"""
+_contra = " OR ".join(f"list_contains(codes, '{c}')" for c, dim, d, _, conf, _, _ in SIGNALS
+                      if dim == "a" and d == 1 and float(conf) >= 0.6)
+QUERIES["c19_derive_assurance"] = f"""
+SELECT e AS line_no, CAST(least(earned, 1) AS BIGINT) AS assurance_level,
+  CASE WHEN earned >= 1 THEN 'behavioral' ELSE '' END AS sources,
+  array_to_string(list_filter([
+    CASE WHEN con THEN 'automation_evidence_contradicts_presence' END,
+    CASE WHEN earned = 2 THEN 'interactive_liveness_completed' END,
+    CASE WHEN earned = 2 THEN 'level_withheld_pending_measurement' END,
+    CASE WHEN NOT con AND NOT seq_ok THEN 'no_verified_interaction_evidence' END,
+    CASE WHEN list_contains(codes, 'SERVER_SESSION_VERIFIED') THEN 'server_session_verified' END,
+    CASE WHEN NOT con AND seq_ok THEN 'verified_browser_sequence' END], lambda x: x IS NOT NULL), ',') AS reasons,
+  earned = 2 AS assurance_withheld
+FROM (SELECT *, CASE WHEN con OR NOT seq_ok THEN 0 WHEN e % 3 = 0 THEN 2 ELSE 1 END AS earned
+  FROM (SELECT *, ({_contra}) AS con, list_contains(codes, 'BROWSER_SEQUENCE_PRESENT') AS seq_ok FROM v_scored))"""
+QUERIES["c20_agent_provenance"] = f"""
+SELECT CASE WHEN NOT bot THEN 'none' WHEN {CRAWLER} THEN 'verified_purpose' ELSE 'declared' END AS provenance,
+  CASE WHEN bot THEN cclass ELSE '' END AS purpose,
+  CASE WHEN NOT bot THEN '' WHEN {CRAWLER} THEN 'agent_verified_for_declared_purpose'
+    WHEN cclass IN {inn(V.BENEFICIAL_CRAWLERS)} AND ep NOT IN {inn(V.PUBLIC_CRAWLER_ENDPOINTS)}
+    THEN 'agent_identity_declared_not_verified,agent_purpose_not_permitted_on_endpoint'
+    ELSE 'agent_identity_declared_not_verified' END AS reasons, CAST(count(*) AS BIGINT) AS n
+FROM v_req GROUP BY 1, 2, 3"""
+
+# --- C21..C28 -------------------------------------------------------------------------------
+VIEWS["v_ua"] = """
+SELECT e, e % 5 AS agent, CASE e % 4 WHEN 0 THEN 66*256+249 WHEN 1 THEN 66*256+250 WHEN 2 THEN 2560 ELSE 203*256 END AS hi,
+  e % 3 AS b3, e % 251 AS b4, e % 97 = 0 AS bad, e % 97 <> 0 AND e % 6 = 5 AS six FROM v_ev"""
+QUERIES["c21_verify_crawlers"] = """
+SELECT e AS line_no, n = 1 AS verified_bot,
+  CASE WHEN n <> 1 THEN 'unknown' WHEN s THEN 'search_indexer' ELSE 'preview' END AS crawler_class,
+  CASE WHEN n = 1 THEN 'ip_ua_registry' ELSE 'unknown' END AS crawler_verification
+FROM (SELECT *, s::INT + p::INT + q::INT AS n FROM (
+  SELECT e, NOT bad AND agent IN (0, 3) AND ((NOT six AND hi = 66*256+249) OR (six AND e % 5 = 1)) AS s,
+    NOT bad AND NOT six AND agent = 3 AND ((hi = 66*256+249 AND b3 = 0) OR (hi = 66*256+250 AND b3 = 1)) AS p,
+    NOT bad AND NOT six AND agent IN (2, 3) AND hi = 66*256+250 AS q FROM v_ua))"""
+QUERIES["c22_normalise_transport"] = """
+SELECT e AS line_no, CASE WHEN e % 5 IN (1,2,3) THEN 'http' || (e % 5)::VARCHAR ELSE 'unknown' END AS transport_protocol,
+  CASE WHEN t THEN CASE e % 5 WHEN 0 THEN 'trusted_proxy_tls' WHEN 1 THEN 'plaintext' ELSE 'unknown' END
+       WHEN e % 3 = 0 THEN 'direct_tls' ELSE 'plaintext' END AS transport_security,
+  CASE WHEN e % 11 = 0 THEN 'unknown' WHEN NOT t THEN 'direct' WHEN e % 8 >= 4 THEN 'trusted_proxy' ELSE 'invalid_trusted_proxy' END AS client_address_source
+FROM (SELECT *, e % 11 <> 0 AND (hi = 66*256+249 OR (hi = 66*256+250 AND b3 = 2)) AS t FROM v_ua)"""
+
+
+def _merge(a: str, b: str) -> str:
+    return f"CASE WHEN {a} = 'unknown' AND NOT clash THEN {b} ELSE {a} END"
+
+
+QUERIES["c23_merge_signals"] = f"""
+SELECT e AS line_no, clash AS signal_conflict, {_merge('verdict', 'v2')} AS challenge_verdict,
+  {_merge('fpc', 'f2')} AS edge_fingerprint_class, {_merge('fpm', 'm2')} AS edge_fingerprint_method,
+  {_merge('rep', 'r2')} AS network_reputation, {_merge('net', 'n2')} AS network_type,
+  CASE WHEN clash THEN risk ELSE greatest(risk, CASE WHEN e % 4 = 0 THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END) END AS external_risk_score,
+  CASE WHEN clash THEN alert ELSE alert OR e % 33 = 0 END AS policy_alert
+FROM (SELECT *, (verdict <> 'unknown' AND v2 <> 'unknown' AND verdict <> v2) OR (fpc <> 'unknown' AND f2 <> 'unknown' AND fpc <> f2)
+    OR (fpm <> 'unknown' AND m2 <> 'unknown' AND fpm <> m2) OR (rep <> 'unknown' AND r2 <> 'unknown' AND rep <> r2)
+    OR (net <> 'unknown' AND n2 <> 'unknown' AND net <> n2) AS clash
+  FROM (SELECT *, CASE WHEN e % 3 = 0 THEN 'passed' ELSE 'unknown' END AS v2, CASE WHEN e % 5 = 0 THEN 'anomalous' ELSE 'unknown' END AS f2,
+    CASE WHEN e % 5 = 0 THEN 'tls' ELSE 'unknown' END AS m2, CASE WHEN e % 7 = 0 THEN 'high_risk' ELSE 'unknown' END AS r2,
+    CASE WHEN e % 11 = 0 THEN 'hosting' ELSE 'unknown' END AS n2 FROM v_req))"""
+QUERIES["c24_audit_single_use"] = """
+SELECT e AS line_no, CASE WHEN bad IS NOT NULL THEN bad
+    WHEN row_number() OVER (PARTITION BY e // 2, bad IS NULL ORDER BY us, e) = 1 THEN 'accepted' ELSE 'replayed' END AS use
+FROM (SELECT e, us, CASE WHEN e % 17 = 0 THEN 'bad_signature' WHEN e % 23 = 0 THEN 'malformed'
+        WHEN iss > us + 30000000 OR iss + CASE WHEN e % 19 = 0 THEN 1000000 ELSE 60000000 END <= us THEN 'expired' END AS bad
+      FROM (SELECT *, us - (e % 7)*1000000 + CASE WHEN e % 41 = 0 THEN 40000000 ELSE 0 END AS iss FROM v_ev))"""
+VIEWS["v_rev"] = """
+WITH RECURSIVE t AS MATERIALIZED (
+  SELECT u % 7 AS doc, e, e // 20 + e * 13 % 50 AS r, e % 3 AS d, e % 19 <> 0 AS ok,
+    row_number() OVER (PARTITION BY u % 7 ORDER BY us, e) AS k FROM v_ev),
+f AS (
+  SELECT DISTINCT doc, 0::BIGINT AS k, -1::BIGINT AS e, NULL::BIGINT AS r, NULL::BIGINT AS d, '' AS up FROM t
+  UNION ALL
+  SELECT t.doc, t.k, t.e, CASE WHEN t.ok AND (f.r IS NULL OR t.r > f.r) THEN t.r ELSE f.r END,
+    CASE WHEN t.ok AND (f.r IS NULL OR t.r > f.r) THEN t.d ELSE f.d END,
+    CASE WHEN NOT t.ok THEN 'invalid' WHEN f.r IS NULL OR t.r > f.r THEN 'installed'
+         WHEN t.r = f.r AND t.d = f.d THEN 'unchanged' ELSE 'rollback' END
+  FROM f JOIN t ON t.doc = f.doc AND t.k = f.k + 1)
+SELECT * FROM f WHERE k > 0"""
+QUERIES["c25_monotone_revisions"] = """
+SELECT doc AS document, e AS line_no, up AS "update", r AS installed_revision FROM v_rev"""
+QUERIES["c26_issuer_trust"] = """
+WITH lists AS (SELECT e // 500 + 1 AS rev, us AS inst, us + CASE WHEN (e//500) % 2 = 0 THEN 600000000 ELSE 86400000000 END AS exp
+               FROM v_ev WHERE e % 500 = 3)
+SELECT c.e AS line_no, ok AS trusted, CAST(CASE WHEN ok THEN least(c.u % 5 % 3, 1) ELSE 0 END AS BIGINT) AS maximum_assurance_level,
+  CASE WHEN ok THEN 'per_service' END AS uniqueness_scope
+FROM (SELECT x.*, coalesce(l.rev IS NOT NULL AND x.us < l.exp AND x.u % 5 < 4 AND x.e % 97 <> l.rev * 7 % 97, false) AS ok
+      FROM v_ev x ASOF LEFT JOIN lists l ON x.us >= l.inst) c"""
+VIEWS["v_chal"] = """
+WITH RECURSIVE t AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY e ORDER BY us, j) AS k FROM (
+    SELECT e, j, us0, us0 + (j*(1 + e % 50) + e % 4)*1000000 AS us,
+      CASE WHEN (e+j) % 11 = 10 THEN 'fallback' WHEN (e+j) % 3 = 2 THEN 'redeem' ELSE 'verify' END AS kind, (e+j) % 5 = 0 AS ok
+    FROM (SELECT e, us AS us0, unnest(range(0, e % 9 + 1)) AS j FROM v_ev WHERE e % 7 = 0))),
+f AS (
+  SELECT e, 0::BIGINT AS k, 'issued' AS state, 0 AS tries, 0::BIGINT AS rexp, NULL::VARCHAR AS outcome FROM t WHERE k = 1
+  UNION ALL
+  SELECT e, k, CASE WHEN nxt IS NOT NULL THEN 'done' WHEN verified THEN 'verified' ELSE state END,
+    tries + wrong::INT, CASE WHEN verified THEN least(us + 60000000, us0 + 300000000) ELSE rexp END, coalesce(outcome, nxt)
+  FROM (
+    SELECT *, CASE WHEN state = 'done' THEN NULL WHEN us >= us0 + 300000000 THEN 'challenge_abandoned'
+        WHEN wrong AND tries + 1 >= 5 THEN 'challenge_failed'
+        WHEN kind = 'redeem' AND state = 'verified' AND us >= rexp THEN 'challenge_abandoned'
+        WHEN kind = 'redeem' AND state = 'verified' AND ok THEN 'challenge_passed'
+        WHEN kind = 'fallback' THEN 'fallback_used' END AS nxt
+    FROM (SELECT t.*, f.state, f.tries, f.rexp, f.outcome,
+            f.state = 'issued' AND t.kind = 'verify' AND NOT t.ok AND t.us >= t.us0 + 2000000 AND t.us < t.us0 + 300000000 AS wrong,
+            f.state = 'issued' AND t.kind = 'verify' AND t.ok AND t.us >= t.us0 + 2000000 AND t.us < t.us0 + 300000000 AS verified
+          FROM f JOIN t ON t.e = f.e AND t.k = f.k + 1)))
+SELECT e, coalesce(arg_max(outcome, k), 'challenge_abandoned') AS outcome FROM f GROUP BY e"""
+QUERIES["c27_challenge_lifecycle"] = "SELECT 'ch-' || e::VARCHAR AS challenge_id, outcome FROM v_chal"
+QUERIES["c28_liveness_attempts"] = """
+WITH a AS (
+  SELECT *, row_number() OVER (PARTITION BY e ORDER BY at, j) - 1 AS p FROM (
+    SELECT e, j, us, us + j*5000000 AS rev, us + j*5000000 + CASE WHEN e % 44 = 0 THEN 100000 WHEN e % 52 = 0 THEN 4900000
+        WHEN e % 68 = 0 THEN 70000000 ELSE 500000 END AS at,
+      j + CASE WHEN e % 28 = 0 AND j > 0 THEN 1 ELSE 0 END AS rnd
+    FROM (SELECT e, us, unnest(range(0, e % 5 + 1)) AS j FROM v_ev WHERE e % 4 = 0))),
+b AS (SELECT *, CASE WHEN at >= us + 60000000 THEN 'expired' WHEN rnd <> p THEN 'out_of_order' WHEN at < rev + 120000 THEN 'too_fast'
+        WHEN at >= rev + 4000000 THEN 'expired' WHEN (e+j) % 13 = 0 THEN 'wrong_answer' END AS bad FROM a WHERE p < 3)
+SELECT 'at-' || e::VARCHAR AS attempt_id, CASE WHEN count(bad) > 0 THEN 'failed' WHEN count(*) >= 3 THEN 'completed' ELSE 'open' END AS state,
+  arg_min(bad, p) FILTER (WHERE bad IS NOT NULL) AS failure FROM b GROUP BY e"""

@@ -18,6 +18,7 @@ ENDPOINT_CLASSES = (
 )
 PUBLIC_CRAWLER_ENDPOINTS = ("public_content", "compare_index", "other_public")
 ROLLOUT_ENDPOINTS = ("public_content", "compare_index", "compare_noindex", "other_public")
+ROLLOUT_ENDPOINTS_SORTED = tuple(sorted(ROLLOUT_ENDPOINTS))
 COHORTS = (
     "standard", "reduced_motion", "keyboard_only", "fallback_path",
     "sensor_missing", "unknown",
