@@ -12,11 +12,13 @@ from ..operators import challenge as H
 from ..operators import contracts as A
 from ..operators import decide as D
 from ..operators import detect as X
+from ..operators import holdout as O
 from ..operators import identity as I
 from ..operators import pseudonym as B
 from ..operators import rollout as R
 from ..operators import score as P
 from ..operators import session as S
+from ..operators import windows as W
 from . import derived as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -392,3 +394,160 @@ def d4_directive(spark, sf):
 def d2_enforced_decisions(spark, sf):
     return _enforced(spark, sf).select("line_no", "action", "mode",
                                        F.concat_ws(",", "reason_codes").alias("reason_codes"))
+
+
+# --- E: activity windows ----------------------------------------------------------------
+
+def _windows(spark, sf):
+    return W.windows_of(T.local_events(spark, sf))
+
+
+@query
+def e1_sequence_key(spark, sf):
+    return (W.sequence_key(T.local_events(spark, sf)).groupBy("sequence_key")
+            .agg(n().alias("events")))
+
+
+@query
+def e2_sequence_windows(spark, sf):
+    df = W.sequence_windows(W.sequence_key(T.local_events(spark, sf)))
+    return df.select("line_no", "sequence_key", "window_us")
+
+
+@query
+def e3_closure_reason(spark, sf):
+    return _windows(spark, sf).select("sequence_key", "first_us", "closure", "closed_us")
+
+
+@query
+def e4_peak_minute(spark, sf):
+    return _windows(spark, sf).select("sequence_key", "first_us", "peak_minute", "peak_bucket")
+
+
+@query
+def e5_burst_shape(spark, sf):
+    return _windows(spark, sf).groupBy("burst_shape").agg(n().alias("n"))
+
+
+@query
+def e6_endpoint_transitions(spark, sf):
+    return _windows(spark, sf).select(
+        "sequence_key", "first_us", "transitions", "same_class", "sensitive_escalations",
+        "decoy_entries")
+
+
+@query
+def e7_window_features(spark, sf):
+    return _windows(spark, sf).select(
+        "sequence_key", "first_us", "last_us", "events", "collection_issue",
+        *[F.col(c).cast("long").alias(c) for c in
+          ("automation", "abuse_intent", "continuity", "decoy", "challenge_flags")],
+        *W.ENDPOINT_EVENTS)
+
+
+@query
+def e8_challenge_state(spark, sf):
+    return _windows(spark, sf).groupBy("challenge_state").agg(n().alias("n"))
+
+
+@query
+def e9_window_label(spark, sf):
+    return _windows(spark, sf).groupBy("label").agg(n().alias("n"))
+
+
+@query
+def e10_sequence_report(spark, sf):
+    return W.sequence_report(_windows(spark, sf))
+
+
+@query
+def e11_peak_active(spark, sf):
+    return W.peak_active(_windows(spark, sf))
+
+
+@query
+def e12_check_sequence_report(spark, sf):
+    return W.check_sequence_report(W.sequence_report(_windows(spark, sf)))
+
+
+# --- F: sequence holdout ------------------------------------------------------------------
+
+def _cutoff(events: DataFrame) -> DataFrame:
+    """The middle of the observed time range."""
+    us = F.unix_micros("observed_at")
+    return events.agg(T.div(F.min(us) + F.max(us), 2).alias("cutoff_us"))
+
+
+def _no_contract() -> F.Column:
+    return F.lit(None).cast("string")
+
+
+def _families(spark, sf):
+    # The derived ids are readable stand-ins for pseudonyms, so their form is not checked.
+    return O.load_families(T.families(spark, sf).withColumn(
+        "schema_version", F.lit(O.FAMILY_VERSION)), _no_contract())[0]
+
+
+def _split(spark, sf):
+    w = _windows(spark, sf).crossJoin(F.broadcast(_cutoff(T.local_events(spark, sf))))
+    w = O.split_windows(w, F.col("cutoff_us"))
+    return O.mark_unseen(O.attach_families(w, _families(spark, sf)))
+
+
+@query
+def f1_load_families(spark, sf):
+    rough = T.rough_families(spark, sf)
+    families, bad = O.load_families(rough)
+    return (families.select(F.lit("valid").alias("reason"), F.lit(1).alias("records"))
+            .unionByName(bad.select("reason", "records"))
+            .groupBy("reason").agg(n().alias("sequences"), F.sum("records").cast("long").alias("records")))
+
+
+@query
+def f2_split_windows(spark, sf):
+    w = _windows(spark, sf).crossJoin(F.broadcast(_cutoff(T.local_events(spark, sf))))
+    return O.split_windows(w, F.col("cutoff_us")).groupBy("part", "label").agg(
+        n().alias("windows"), F.sum("events").alias("events"))
+
+
+@query
+def f3_attach_families(spark, sf):
+    annotated = F.col("family").isNotNull()
+    return _split(spark, sf).groupBy(annotated.alias("annotated"), "label").agg(n().alias("windows"))
+
+
+@query
+def f4_unseen_families(spark, sf):
+    return O.unseen_families(_split(spark, sf))
+
+
+@query
+def f5_rule_matches(spark, sf):
+    return O.rule_matches(_windows(spark, sf)).groupBy("rule", "flagged").agg(n().alias("windows"))
+
+
+@query
+def f6_rule_confusion(spark, sf):
+    df = O.rule_confusion(_split(spark, sf))
+    return df.select(*[rounded(c) if c.endswith(("_rate", "95")) else F.col(c) for c in df.columns])
+
+
+def rounded(c: str) -> F.Column:
+    return (F.floor(F.col(c) * 1e9 + 0.5) / 1e9).alias(c)
+
+
+@query
+def f6_holdout_report(spark, sf):
+    return O.holdout_report(_split(spark, sf))
+
+
+@query
+def f7_holdout_readiness(spark, sf):
+    report = O.holdout_report(_split(spark, sf))
+    return O.holdout_readiness(report, 5, 2).select("state", F.concat_ws(",", "reasons").alias("reasons"))
+
+
+@query
+def f8_check_holdout_report(spark, sf):
+    w = _split(spark, sf)
+    return O.check_holdout_report(O.holdout_report(w), O.rule_confusion(w))

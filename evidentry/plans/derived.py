@@ -206,6 +206,20 @@ def families(spark: SparkSession, sf_dir: str) -> DataFrame:
             .distinct())
 
 
+def rough_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotations with duplicated sequences and contract violations, one per event."""
+    e = F.col("event_id")
+    ident = F.rpad(F.concat(F.lit("id"), div(e, 2).cast("string"), F.lit("-")), 43, "A")
+    return events(spark, sf_dir).select(
+        F.when(e % 19 == 0, F.lit("v0")).otherwise(F.lit("evidentry.family-annotation.v1"))
+        .alias("schema_version"),
+        F.when(e % 23 == 0, F.lit("device")).otherwise(F.lit("subject")).alias("sequence_kind"),
+        F.when(e % 3 == 0, ident).when(e % 29 == 0, F.lit("short"))
+        .otherwise(F.rpad(F.concat(F.lit("e"), e.cast("string"), F.lit("-")), 43, "A")).alias("sequence_id"),
+        F.when(e % 31 == 0, F.lit(" padded")).otherwise(F.concat(F.lit("f-"), (e % 11).cast("string")))
+        .alias("family_ref"))
+
+
 def outcomes(decisions: DataFrame) -> DataFrame:
     """Delayed outcomes of logged decisions (see `logged_decisions`)."""
     from ..vocab import OUTCOMES, OUTCOME_TRIPLES

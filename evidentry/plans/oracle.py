@@ -697,12 +697,181 @@ SELECT e, coalesce(arg_max(outcome, k), 'challenge_abandoned') AS outcome FROM f
 QUERIES["c27_challenge_lifecycle"] = "SELECT 'ch-' || e::VARCHAR AS challenge_id, outcome FROM v_chal"
 QUERIES["c28_liveness_attempts"] = """
 WITH a AS (
-  SELECT *, row_number() OVER (PARTITION BY e ORDER BY at, j) - 1 AS p FROM (
+  SELECT *, row_number() OVER (PARTITION BY e ORDER BY ta, j) - 1 AS p FROM (
     SELECT e, j, us, us + j*5000000 AS rev, us + j*5000000 + CASE WHEN e % 44 = 0 THEN 100000 WHEN e % 52 = 0 THEN 4900000
-        WHEN e % 68 = 0 THEN 70000000 ELSE 500000 END AS at,
+        WHEN e % 68 = 0 THEN 70000000 ELSE 500000 END AS ta,
       j + CASE WHEN e % 28 = 0 AND j > 0 THEN 1 ELSE 0 END AS rnd
     FROM (SELECT e, us, unnest(range(0, e % 5 + 1)) AS j FROM v_ev WHERE e % 4 = 0))),
-b AS (SELECT *, CASE WHEN at >= us + 60000000 THEN 'expired' WHEN rnd <> p THEN 'out_of_order' WHEN at < rev + 120000 THEN 'too_fast'
-        WHEN at >= rev + 4000000 THEN 'expired' WHEN (e+j) % 13 = 0 THEN 'wrong_answer' END AS bad FROM a WHERE p < 3)
+b AS (SELECT *, CASE WHEN ta >= us + 60000000 THEN 'expired' WHEN rnd <> p THEN 'out_of_order' WHEN ta < rev + 120000 THEN 'too_fast'
+        WHEN ta >= rev + 4000000 THEN 'expired' WHEN (e+j) % 13 = 0 THEN 'wrong_answer' END AS bad FROM a WHERE p < 3)
 SELECT 'at-' || e::VARCHAR AS attempt_id, CASE WHEN count(bad) > 0 THEN 'failed' WHEN count(*) >= 3 THEN 'completed' ELSE 'open' END AS state,
   arg_min(bad, p) FILTER (WHERE bad IS NOT NULL) AS failure FROM b GROUP BY e"""
+
+# --- E: windows ----------------------------------------------------------------------------
+VIEWS["v_seq"] = """
+SELECT *, CASE WHEN sess IS NOT NULL THEN 'session:' || sess ELSE 'subject:' || subj END AS key,
+  row_number() OVER (PARTITION BY coalesce(sess, subj) ORDER BY us, e) AS k FROM v_local"""
+VIEWS["v_win_ev"] = """
+WITH RECURSIVE f AS (
+  SELECT key, k, e, us, us AS w FROM v_seq WHERE k = 1
+  UNION ALL
+  SELECT s.key, s.k, s.e, s.us, CASE WHEN s.us - f.us >= 300000000 OR s.us - f.w >= 900000000 THEN s.us ELSE f.w END
+  FROM f JOIN v_seq s ON s.key = f.key AND s.k = f.k + 1)
+SELECT s.*, f.w, lag(s.ep) OVER (PARTITION BY s.key, f.w ORDER BY s.us, s.e) AS came
+FROM f JOIN v_seq s ON s.key = f.key AND s.k = f.k"""
+_sens = inn(V.SENSITIVE_ENDPOINTS)
+VIEWS["v_peak"] = """
+SELECT key, w, max(c) AS peak FROM (SELECT key, w, us // 60000000 AS m, count(*) AS c FROM v_win_ev GROUP BY 1, 2, 3) GROUP BY 1, 2"""
+VIEWS["v_win0"] = f"""
+SELECT key, w, max(us) AS last_us, count(*) AS n, count(came) AS tr,
+  {cnt('came = ep')} AS same, {cnt(f'came NOT IN {_sens} AND ep IN {_sens}')} AS esc,
+  {cnt("came <> 'decoy' AND ep = 'decoy'")} AS dec,
+  max(lv_auto) AS a, max(lv_intent) AS i, max(lv_cont) AS c, max(lv_decoy) AS d,
+  bit_or(CASE WHEN ch = 0 THEN 0 ELSE 1 << (ch - 1) END) AS fl,
+  bool_or(coll <> 'complete') AS issue, bool_or(lab IN (1, 2)) AS hum, bool_or(lab = 3) AS ab,
+  {', '.join(f"{cnt(f"ep = '{x}'")} AS ep_{x}" for x in V.LOCAL_ENDPOINTS)},
+  {', '.join(f"{cnt(f"coll = '{x}'")} AS co_{x}" for x in V.COLLECTION_STATES)}
+FROM v_win_ev GROUP BY 1, 2"""
+VIEWS["v_win"] = """
+SELECT x.*, peak,
+  CASE WHEN n = 1 THEN 'single' WHEN peak >= 60 THEN 'high_rate' WHEN n >= 20 AND last_us - x.w <= 60000000 THEN 'clustered'
+       WHEN n >= 20 AND last_us - x.w >= 300000000 THEN 'sustained' ELSE 'sparse' END AS shape,
+  CASE WHEN peak = 1 THEN 'one' WHEN peak <= 5 THEN 'two_to_five' WHEN peak <= 20 THEN 'six_to_twenty'
+       WHEN peak <= 59 THEN 'twenty_one_to_fifty_nine' ELSE 'sixty_plus' END AS pb,
+  CASE WHEN hum AND ab THEN 'ambiguous' WHEN hum THEN 'human_confirmed' WHEN ab THEN 'operator_confirmed_abuse' ELSE 'unknown' END AS label,
+  CASE WHEN bit_count(fl & 30) > 1 THEN 'conflicting' WHEN fl & 30 = 2 THEN 'passed' WHEN fl & 30 = 4 THEN 'failed'
+       WHEN fl & 30 = 8 THEN 'abandoned' WHEN fl & 30 = 16 THEN 'fallback' WHEN fl & 1 = 1 THEN 'issued_unresolved' ELSE 'none' END AS chs,
+  CASE WHEN nxt < last_us + 300000000 THEN 'maximum_duration' WHEN last_us + 300000000 <= (SELECT max(us) FROM v_local) THEN 'inactivity'
+       ELSE 'end_of_input' END AS closure,
+  CASE WHEN nxt < last_us + 300000000 THEN nxt ELSE last_us + 300000000 END AS closed
+FROM (SELECT *, lead(w) OVER (PARTITION BY key ORDER BY w) AS nxt FROM v_win0) x JOIN v_peak p ON x.key = p.key AND x.w = p.w"""
+QUERIES["e1_sequence_key"] = "SELECT key AS sequence_key, CAST(count(*) AS BIGINT) AS events FROM v_seq GROUP BY 1"
+QUERIES["e2_sequence_windows"] = "SELECT e AS line_no, key AS sequence_key, w AS window_us FROM v_win_ev"
+QUERIES["e3_closure_reason"] = "SELECT key AS sequence_key, w AS first_us, closure, closed AS closed_us FROM v_win"
+QUERIES["e4_peak_minute"] = "SELECT key AS sequence_key, w AS first_us, peak AS peak_minute, pb AS peak_bucket FROM v_win"
+QUERIES["e5_burst_shape"] = "SELECT shape AS burst_shape, count(*) AS n FROM v_win GROUP BY 1"
+QUERIES["e6_endpoint_transitions"] = """
+SELECT key AS sequence_key, w AS first_us, tr AS transitions, same AS same_class, esc AS sensitive_escalations, dec AS decoy_entries FROM v_win"""
+QUERIES["e7_window_features"] = f"""
+SELECT key AS sequence_key, w AS first_us, last_us, n AS events, issue AS collection_issue, CAST(a AS BIGINT) AS automation,
+  CAST(i AS BIGINT) AS abuse_intent, CAST(c AS BIGINT) AS continuity, CAST(d AS BIGINT) AS decoy, CAST(fl AS BIGINT) AS challenge_flags,
+  {', '.join(f'ep_{x} AS events_{x}' for x in V.LOCAL_ENDPOINTS)} FROM v_win"""
+QUERIES["e8_challenge_state"] = "SELECT chs AS challenge_state, count(*) AS n FROM v_win GROUP BY 1"
+QUERIES["e9_window_label"] = "SELECT label, count(*) AS n FROM v_win GROUP BY 1"
+
+
+def _report_rows() -> list[tuple[str, str, str]]:
+    rows = [("source", "events", "sum(n)"), ("windows", "total", "count(*)")]
+    by = lambda sec, column, values: [(sec, v, f"count(*) FILTER (WHERE {column} = '{v}')") for v in values]
+    rows += by("windows", "closure", ("inactivity", "maximum_duration", "end_of_input"))
+    rows += by("burst_shapes", "shape", ("single", "sparse", "clustered", "sustained", "high_rate"))
+    rows += by("peak_minute_events", "pb", ("one", "two_to_five", "six_to_twenty", "twenty_one_to_fifty_nine", "sixty_plus"))
+    rows += [("transitions", b, x) for b, x in (("total", "sum(tr)"), ("same_class", "sum(same)"), ("cross_class", "sum(tr - same)"),
+             ("sensitive_escalation", "sum(esc)"), ("decoy_entry", "sum(dec)"))]
+    for x in V.LOCAL_ENDPOINTS:
+        rows += [("endpoint_events", x, f"sum(ep_{x})"), ("endpoint_windows", x, f"count(*) FILTER (WHERE ep_{x} > 0)")]
+    rows += [("collection_events", x, f"sum(co_{x})") for x in V.COLLECTION_STATES]
+    rows += [("collection_windows", "clean", "count(*) FILTER (WHERE NOT issue)"), ("collection_windows", "with_artifact", "count(*) FILTER (WHERE issue)")]
+    for sec, column, values in (("automation", "a", V.LEVELS), ("abuse_intent", "i", V.LEVELS), ("continuity", "c", V.LEVELS), ("decoys", "d", V.DECOY_LEVELS)):
+        rows += [(sec, v, f"count(*) FILTER (WHERE {column} = {k})") for k, v in enumerate(values)]
+    rows += by("challenges", "chs", ("none", "issued_unresolved", "passed", "failed", "abandoned", "fallback", "conflicting"))
+    return rows + by("labels", "label", ("unknown", "human_confirmed", "operator_confirmed_abuse", "ambiguous"))
+
+
+QUERIES["e10_sequence_report"] = "\nUNION ALL ".join(
+    f"SELECT '{s}' AS section, '{b}' AS bucket, CAST(coalesce({x}, 0) AS BIGINT) AS n FROM v_win" for s, b, x in _report_rows())
+QUERIES["e11_peak_active"] = """
+SELECT CAST(max(c) AS BIGINT) AS peak_active FROM (
+  SELECT sum(d) OVER (ORDER BY us, d ROWS UNBOUNDED PRECEDING) AS c FROM (
+    SELECT w AS us, 1 AS d FROM v_win UNION ALL SELECT closed, -1 FROM v_win))"""
+QUERIES["e12_check_sequence_report"] = "SELECT unnest(" + lst((
+    "burst_shapes_sum_to_windows", "peak_minute_events_sum_to_windows", "collection_windows_sum_to_windows",
+    "automation_sum_to_windows", "abuse_intent_sum_to_windows", "continuity_sum_to_windows", "decoys_sum_to_windows",
+    "challenges_sum_to_windows", "labels_sum_to_windows", "closures_sum_to_windows", "endpoint_events_sum_to_events",
+    "collection_events_sum_to_events", "transitions_plus_windows_is_events", "same_plus_cross_is_transitions",
+    "escalations_within_cross", "decoy_entries_within_cross", "endpoint_windows_within_windows", "empty_together",
+)) + ") AS check_name, (SELECT sum(tr) + count(*) = sum(n) AND sum(n) = (SELECT count(*) FROM events) FROM v_win) AS ok"
+
+# --- F: holdout ----------------------------------------------------------------------------
+VIEWS["v_fam"] = """
+SELECT DISTINCT CASE WHEN sess IS NOT NULL THEN 'session:' || sess ELSE 'subject:' || subj END AS key,
+  sha256(encode('evidentry-family-v1') || unhex('00') || encode('family-' || (g % 11)::VARCHAR)) AS family FROM v_local WHERE g % 2 = 0"""
+VIEWS["v_part"] = """
+SELECT w.*, f.family, CASE WHEN last_us < cut THEN 'baseline' WHEN w.w >= cut THEN 'holdout' ELSE 'boundary' END AS part
+FROM v_win w LEFT JOIN v_fam f ON w.key = f.key, (SELECT (min(us) + max(us)) // 2 AS cut FROM v_local)"""
+VIEWS["v_unseen"] = """
+SELECT DISTINCT family FROM v_part WHERE part = 'holdout' AND family IS NOT NULL
+  AND family NOT IN (SELECT family FROM v_part WHERE part = 'baseline' AND family IS NOT NULL)"""
+VIEWS["v_split"] = """
+SELECT *, part = 'holdout' AND family IS NOT NULL AND family IN (SELECT family FROM v_unseen) AS unseen FROM v_part"""
+QUERIES["f1_load_families"] = """
+WITH a AS (SELECT event_id AS e, event_id % 23 = 0 AS dev,
+    CASE WHEN event_id % 3 = 0 THEN 'id' || (event_id // 2)::VARCHAR WHEN event_id % 29 = 0 THEN 'short' ELSE 'e' || event_id::VARCHAR END AS sid,
+    CASE WHEN event_id % 19 = 0 THEN 'schema_version' WHEN event_id % 23 = 0 THEN 'sequence_kind'
+         WHEN event_id % 3 <> 0 AND event_id % 29 = 0 THEN 'sequence_id' WHEN event_id % 31 = 0 THEN 'family_ref' END AS bad FROM events),
+s AS (SELECT dev, sid, bad, count(*) AS c FROM a GROUP BY 1, 2, 3)
+SELECT coalesce(bad, CASE WHEN c > 1 THEN 'duplicate_sequence' ELSE 'valid' END) AS reason,
+  CAST(count(*) AS BIGINT) AS sequences, CAST(sum(c) AS BIGINT) AS records FROM s GROUP BY 1"""
+QUERIES["f2_split_windows"] = """
+SELECT part, label, count(*) AS windows, CAST(sum(n) AS BIGINT) AS events FROM v_part GROUP BY 1, 2"""
+QUERIES["f3_attach_families"] = "SELECT family IS NOT NULL AS annotated, label, count(*) AS windows FROM v_part GROUP BY 1, 2"
+QUERIES["f4_unseen_families"] = "SELECT family FROM v_unseen"
+_rules = {"burst_behavior": "shape IN ('clustered','high_rate')", "automation_high": "a = 3", "abuse_intent_high": "i = 3",
+          "active_decoy": "d >= 2"}
+_rules["combined_candidate"] = " OR ".join(f"({x})" for x in _rules.values())
+VIEWS["v_rules"] = "\nUNION ALL ".join(f"SELECT *, '{r}' AS rule, ({x}) AS flagged FROM v_split" for r, x in _rules.items())
+QUERIES["f5_rule_matches"] = "SELECT rule, flagged, count(*) AS windows FROM v_rules GROUP BY 1, 2"
+_labels = ("unknown", "human_confirmed", "operator_confirmed_abuse", "ambiguous")
+VIEWS["v_scope"] = "\nUNION ALL ".join(
+    f"SELECT '{p}' AS partition, '{ep}' AS endpoint_class, rule, flagged, label FROM v_rules WHERE {cond} AND {seen}"
+    for p, cond in (("baseline", "part = 'baseline'"), ("holdout", "part = 'holdout'"), ("unseen_family_holdout", "unseen"))
+    for ep, seen in [("all", "true"), *[(x, f"ep_{x} > 0") for x in V.LOCAL_ENDPOINTS]])
+VIEWS["v_grid"] = f"""
+SELECT p AS partition, ep AS endpoint_class, r AS rule FROM (SELECT unnest(['baseline','holdout','unseen_family_holdout']) AS p),
+  (SELECT unnest({lst(('all', *V.LOCAL_ENDPOINTS))}) AS ep), (SELECT unnest({lst(_rules)}) AS r)"""
+VIEWS["v_conf"] = f"""
+SELECT g.partition, g.endpoint_class, g.rule, {', '.join(
+    f"CAST(count(*) FILTER (WHERE {'flagged' if f == 'flagged' else 'NOT flagged'} AND label = '{v}') AS BIGINT) AS {f}_{v}"
+    for f in ('flagged', 'unflagged') for v in _labels)}
+FROM v_grid g LEFT JOIN v_scope s ON g.partition = s.partition AND g.endpoint_class = s.endpoint_class AND g.rule = s.rule
+GROUP BY 1, 2, 3"""
+QUERIES["f6_rule_confusion"] = "SELECT *, " + rates({
+    "human_flag": ("flagged_human_confirmed", "flagged_human_confirmed + unflagged_human_confirmed"),
+    "abuse_capture": ("flagged_operator_confirmed_abuse", "flagged_operator_confirmed_abuse + unflagged_operator_confirmed_abuse"),
+    "unknown_flag": ("flagged_unknown", "flagged_unknown + unflagged_unknown")}) + " FROM v_conf"
+
+
+def _holdout_columns() -> str:
+    ab = "label = 'operator_confirmed_abuse' AND part <> 'boundary'"
+    out = [f"{cnt('true')} AS windows", "CAST(sum(n) AS BIGINT) AS events", f"{cnt('family IS NOT NULL')} AS annotated_windows",
+           f"{cnt('family IS NULL')} AS unannotated_windows", f"{cnt(f'family IS NOT NULL AND {ab}')} AS annotated_abuse_windows",
+           f"{cnt(f'family IS NULL AND {ab}')} AS unannotated_abuse_windows",
+           "count(DISTINCT family) FILTER (WHERE part = 'baseline') AS baseline_families",
+           "count(DISTINCT family) FILTER (WHERE part = 'holdout') AS holdout_families",
+           "count(DISTINCT family) FILTER (WHERE unseen) AS unseen_families"]
+    for p, cond in (("baseline", "part = 'baseline'"), ("holdout", "part = 'holdout'"), ("unseen", "unseen"), ("boundary", "part = 'boundary'")):
+        out += [f"{cnt(cond)} AS {p}_windows", f"CAST(coalesce(sum(n) FILTER (WHERE {cond}), 0) AS BIGINT) AS {p}_events",
+                f"{cnt(f'{cond} AND issue')} AS {p}_with_artifact"]
+        out += [f"{cnt(f'{cond} AND label = {chr(39)}{v}{chr(39)}')} AS {p}_{v}" for v in _labels]
+    return ", ".join(out)
+
+
+VIEWS["v_hreport"] = f"SELECT {_holdout_columns()} FROM v_split"
+QUERIES["f6_holdout_report"] = "SELECT * FROM v_hreport"
+QUERIES["f7_holdout_readiness"] = """
+SELECT CASE WHEN baseline_windows = 0 OR holdout_windows = 0 THEN 'insufficient_chronological_partitions'
+    WHEN len(b) > 0 THEN 'insufficient_confirmed_labels' WHEN fam IS NULL THEN 'chronological_and_unseen_family_ready'
+    ELSE 'chronological_holdout_ready' END AS state, array_to_string(list_filter(list_append(b, fam), lambda x: x IS NOT NULL), ',') AS reasons
+FROM (SELECT *, list_filter([CASE WHEN baseline_windows = 0 THEN 'baseline_empty' END, CASE WHEN holdout_windows = 0 THEN 'holdout_empty' END,
+    CASE WHEN baseline_human_confirmed < 5 THEN 'baseline_confirmed_human_below_minimum' END,
+    CASE WHEN baseline_operator_confirmed_abuse < 5 THEN 'baseline_confirmed_abuse_below_minimum' END,
+    CASE WHEN holdout_human_confirmed < 5 THEN 'holdout_confirmed_human_below_minimum' END,
+    CASE WHEN holdout_operator_confirmed_abuse < 5 THEN 'holdout_confirmed_abuse_below_minimum' END], lambda x: x IS NOT NULL) AS b,
+  CASE WHEN unannotated_abuse_windows <> 0 THEN 'family_confirmed_abuse_annotations_incomplete'
+       WHEN unseen_operator_confirmed_abuse < 2 THEN 'unseen_family_confirmed_abuse_below_minimum' END AS fam FROM v_hreport)"""
+QUERIES["f8_check_holdout_report"] = "SELECT unnest(" + lst((
+    "windows_sum_to_source", "events_sum_to_source", "annotated_plus_unannotated", "abuse_split_by_annotation",
+    "unseen_families_within_holdout", "unseen_within_holdout", "baseline_labels_sum", "holdout_labels_sum", "unseen_labels_sum",
+    "boundary_labels_sum", "unseen_unknown_within_holdout", "unseen_human_confirmed_within_holdout",
+    "unseen_operator_confirmed_abuse_within_holdout", "unseen_ambiguous_within_holdout", "rules_share_labels",
+    "rates_within_intervals")) + ") AS check_name, (SELECT baseline_windows + holdout_windows + boundary_windows = windows FROM v_hreport) AS ok"
