@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Z95 = 1.959963984540054  # fixed value: two-sided 95 % normal quantile
@@ -164,6 +164,15 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def items(df: DataFrame, array: Column, name: str) -> DataFrame:
+    """One row per array item, as the only column.
+
+    Outer explode plus a later null filter: a plain explode makes the optimizer push
+    `size(array) > 0` down, which evaluates the expression behind the array twice.
+    """
+    return df.select(F.explode_outer(array).alias(name))
+
+
 # --- bytes -----------------------------------------------------------------------
 
 def base64url(c: Column) -> Column:

@@ -8,7 +8,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import clamp01, round_half_up, sigmoid
+from ..functions.expr import clamp01, let, round_half_up, sigmoid
 from ..vocab import POLICY_VERSION
 from .detect import Detector, obs, signals_of, verified_public_crawler
 
@@ -92,28 +92,46 @@ def decoy_hits() -> Column:
                    + F.coalesce(obs("verified_decoy_hits"), zero), F.lit(100))
 
 
-def policy_result(bundle: PolicyBundle, scores: dict[str, Column], endpoint: Column,
+# --- fixed values: outcome of each policy rule, in order -------------------------------
+RULES = (
+    ("block", "MULTI_SOURCE_ABUSE"),
+    ("throttle", "PUBLIC_CONTENT_HIGH_RISK"),
+    ("block", "HIGH_RISK"),
+    ("challenge", "STEP_UP_REQUIRED"),
+    ("delay", "ELEVATED_RISK"),
+    ("allow", "VERIFIED_PUBLIC_CRAWLER_ALLOWED"),
+    ("allow", "BASELINE_LOW_RISK"),
+)
+
+
+def matching_rule(bundle: PolicyBundle, scores: dict[str, Column], endpoint: Column,
                   hits: Column, alert: Column, crawler: Column) -> Column:
-    """(action, reason) of the first matching rule."""
+    """1-based number of the first matching rule in `RULES`.
+
+    The inputs are bound once. However the optimizer inlines the result, the scores
+    are not repeated for every threshold they are compared with.
+    """
     t = bundle.threshold
-    auto, intent, continuity = (scores[s] for s in SCORES)
 
-    def over(level: str) -> Column:
-        return (intent >= t(f"intent_{level}")) | (~crawler & (auto >= t(f"automation_{level}")))
+    def choose(x: Column) -> Column:
+        def over(level: str) -> Column:
+            return (x.intent >= t(f"intent_{level}")) | (
+                ~x.crawler & (x.automation >= t(f"automation_{level}")))
 
-    def outcome(action: str, reason: str) -> Column:
-        return F.struct(F.lit(action).alias("action"), F.lit(reason).alias("reason"))
+        step_up = x.alert | (x.hits >= 1) | (x.continuity < t("continuity_step_up_below"))
+        return (F.when(x.alert & (x.hits >= 1), F.lit(1))
+                .when((x.endpoint == "public_content") & over("high"), F.lit(2))
+                .when(over("high"), F.lit(3))
+                .when(step_up | over("step_up"), F.lit(4))
+                .when(over("elevated"), F.lit(5))
+                .when(x.crawler & ~x.alert & (x.hits == 0), F.lit(6))
+                .otherwise(F.lit(7)))
 
-    return (
-        F.when(alert & (hits >= 1), outcome("block", "MULTI_SOURCE_ABUSE"))
-        .when((endpoint == "public_content") & over("high"),
-              outcome("throttle", "PUBLIC_CONTENT_HIGH_RISK"))
-        .when(over("high"), outcome("block", "HIGH_RISK"))
-        .when(alert | (hits >= 1) | (continuity < t("continuity_step_up_below")) | over("step_up"),
-              outcome("challenge", "STEP_UP_REQUIRED"))
-        .when(over("elevated"), outcome("delay", "ELEVATED_RISK"))
-        .when(crawler & ~alert & (hits == 0), outcome("allow", "VERIFIED_PUBLIC_CRAWLER_ALLOWED"))
-        .otherwise(outcome("allow", "BASELINE_LOW_RISK")))
+    automation, intent, continuity = (scores[s] for s in SCORES)
+    return let(F.struct(
+        automation.alias("automation"), intent.alias("intent"), continuity.alias("continuity"),
+        endpoint.alias("endpoint"), hits.alias("hits"), alert.alias("alert"),
+        crawler.alias("crawler")), choose)
 
 
 def apply_policy(df: DataFrame, bundle: PolicyBundle = PolicyBundle()) -> DataFrame:
@@ -123,10 +141,8 @@ def apply_policy(df: DataFrame, bundle: PolicyBundle = PolicyBundle()) -> DataFr
     """
     flat = SCORES[0] in df.columns
     scores = {s: F.col(s if flat else f"scores.{s}") for s in SCORES}
-    df = df.withColumns({"_hits": decoy_hits(), "_crawler": verified_public_crawler()})
-    result = policy_result(
-        bundle, scores, F.col("endpoint_class"), F.col("_hits"),
-        F.coalesce(obs("policy_alert"), F.lit(False)), F.col("_crawler"))
-    return (df.withColumn("_policy", result).drop("_hits", "_crawler")
-            .withColumns({"computed_action": F.col("_policy.action"),
-                          "policy_reason": F.col("_policy.reason")}).drop("_policy"))
+    rule = matching_rule(bundle, scores, F.col("endpoint_class"), decoy_hits(),
+                         F.coalesce(obs("policy_alert"), F.lit(False)), verified_public_crawler())
+    pick = lambda i: F.element_at(F.array(*[F.lit(r[i]) for r in RULES]), F.col("_rule"))
+    return (df.withColumn("_rule", rule)
+            .withColumns({"computed_action": pick(0), "policy_reason": pick(1)}).drop("_rule"))

@@ -7,17 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expr import micros
+from ..functions.expr import count_if, items, micros, proportion_difference, rates, wilson
+from ..operators import analysis as G
 from ..operators import challenge as H
 from ..operators import contracts as A
 from ..operators import decide as D
 from ..operators import detect as X
 from ..operators import holdout as O
 from ..operators import identity as I
+from ..operators import linkage as L
 from ..operators import pseudonym as B
 from ..operators import rollout as R
 from ..operators import score as P
 from ..operators import session as S
+from ..operators import telemetry as M
 from ..operators import windows as W
 from . import derived as T
 
@@ -68,8 +71,8 @@ def c2_session_features(spark, sf):
 
 @query
 def c8_detector_signals(spark, sf):
-    return (_scored(spark, sf).select(F.explode("evidence.code").alias("code"))
-            .groupBy("code").agg(n().alias("n")))
+    return (items(_scored(spark, sf), F.col("evidence.code"), "code").groupBy("code")
+            .agg(n().alias("n")).filter(F.col("code").isNotNull()))
 
 
 @query
@@ -551,3 +554,294 @@ def f7_holdout_readiness(spark, sf):
 def f8_check_holdout_report(spark, sf):
     w = _split(spark, sf)
     return O.check_holdout_report(O.holdout_report(w), O.rule_confusion(w))
+
+
+# --- G: decision and outcome analysis --------------------------------------------------------
+
+def _log(spark, sf):
+    d = T.logged(spark, sf)
+    return d, T.outcomes(d)
+
+
+def _links(spark, sf):
+    """Links with the latest time of the log on every row."""
+    d, o = _log(spark, sf)
+    return L.link_outcomes(d, o).crossJoin(F.broadcast(G.last_time(d, o)))
+
+
+def _round(df: DataFrame) -> DataFrame:
+    ends = ("_rate", "95", "_estimate", "_friction", "coverage", "mean", "throughput")
+    return df.select(*[rounded(c) if c.endswith(ends) and dict(df.dtypes)[c] == "double" else F.col(c)
+                       for c in df.columns])
+
+
+@query
+def g1_decision_summary(spark, sf):
+    return _round(G.decision_summary(T.logged(spark, sf)))
+
+
+@query
+def g2_outcome_summary(spark, sf):
+    d, o = _log(spark, sf)
+    return _round(G.outcome_summary(o, d))
+
+
+@query
+def g3_score_summary(spark, sf):
+    return _round(G.score_summary(T.logged(spark, sf)))
+
+
+@query
+def g4_endpoint_summary(spark, sf):
+    return _round(G.endpoint_summary(*_log(spark, sf)))
+
+
+@query
+def g5_top_counts(spark, sf):
+    return G.top_counts(T.logged(spark, sf), "reason_codes", 10)
+
+
+@query
+def g6_distinct_budget(spark, sf):
+    return G.distinct_budget(T.logged(spark, sf), ("reason_codes", "policy_version", "rollout_id"))
+
+
+@query
+def g7_link_outcomes(spark, sf):
+    return L.link_outcomes(*_log(spark, sf)).select(
+        "decision_id", "decision_seen", "decision_records", "outcome_events",
+        F.col("outcome_mask").cast("long").alias("outcome_mask"), "matched", "duplicate_outcomes",
+        "eligible", "endpoint_class", "evaluation_cohort", "predicted_risky", "challenged", "rollout_id",
+        "assurance_level", "assurance_withheld")
+
+
+@query
+def g8_linkage_summary(spark, sf):
+    d, o = _log(spark, sf)
+    return _round(L.linkage_summary(L.link_outcomes(d, o), o))
+
+
+@query
+def g9_linked_evaluation(spark, sf):
+    return _round(L.linked_evaluation(_links(spark, sf), ["mode"], F.col("last_us")))
+
+
+@query
+def g10_evaluation_slices(spark, sf):
+    return _round(L.evaluation_slices(_links(spark, sf), F.col("last_us")))
+
+
+@query
+def g11_assurance_slices(spark, sf):
+    return _round(L.assurance_slices(_links(spark, sf), F.col("last_us")))
+
+
+@query
+def g12_canary_comparison(spark, sf):
+    return _round(G.canary_comparison(T.logged(spark, sf)))
+
+
+@query
+def g13_canary_challenge_budget(spark, sf):
+    return _round(L.canary_challenge_budget(T.logged(spark, sf), _links(spark, sf), F.col("last_us")))
+
+
+@query
+def g14_wilson(spark, sf):
+    """Rate and interval of risky actions per session."""
+    d = T.logged(spark, sf).groupBy("session_key").agg(
+        F.count(F.lit(1)).cast("long").alias("total"), count_if(G.risky("computed_action")).alias("risky"))
+    return _round(d.select("session_key", "total", "risky", *rates({"risky": ("risky", "total")})))
+
+
+@query
+def g15_proportion_difference(spark, sf):
+    """Risk difference of each endpoint against all endpoints."""
+    d = T.logged(spark, sf).groupBy("endpoint_class").agg(
+        F.count(F.lit(1)).cast("long").alias("total"), count_if(G.risky("computed_action")).alias("risky"))
+    every = d.agg(F.sum("total").alias("_t"), F.sum("risky").alias("_r"))
+    diff = proportion_difference(wilson("risky", "total"), wilson("_r", "_t"))
+    return _round(d.crossJoin(F.broadcast(every)).withColumn("_d", diff).select(
+        "endpoint_class", F.col("_d.estimate").alias("difference_estimate"),
+        F.col("_d.lower95").alias("lower95"), F.col("_d.upper95").alias("upper95")))
+
+
+def _metrics(spark, sf):
+    d, o = _log(spark, sf)
+    links = L.link_outcomes(d, o)
+    overall = L.linked_evaluation(links.crossJoin(F.broadcast(G.last_time(d, o))), [], F.col("last_us"))
+    return G.report_metrics(G.decision_summary(d), L.linkage_summary(links, o), overall)
+
+
+@query
+def g16_readiness(spark, sf):
+    return G.readiness(_metrics(spark, sf)).select(
+        "state", "operator_action", F.concat_ws(",", "reasons").alias("reasons"), "automatic_enforcement")
+
+
+@query
+def g16_recommendations(spark, sf):
+    df = G.recommendations(_metrics(spark, sf))
+    return df.select(F.col("position").cast("long").alias("position"), "code", "priority", "disposition",
+                     "metric", rounded("observed"), "threshold", "unit")
+
+
+def _half(spark, sf):
+    links = _links(spark, sf)
+    middle = T.logged(spark, sf).agg(T.div(F.min(micros("recorded_at")) + F.max(micros("recorded_at")), 2)
+                                     .alias("cutoff_us"))
+    return L.decision_holdout(links.crossJoin(F.broadcast(middle)), F.col("cutoff_us"), F.col("last_us"))
+
+
+@query
+def g17_decision_holdout(spark, sf):
+    return _round(_half(spark, sf))
+
+
+@query
+def g18_decision_holdout_readiness(spark, sf):
+    return G.decision_holdout_readiness(_half(spark, sf), 10, 10).select(
+        "state", F.concat_ws(",", "reasons").alias("reasons"))
+
+
+@query
+def g19_check_analysis_report(spark, sf):
+    d, o = _log(spark, sf)
+    links = L.link_outcomes(d, o)
+    last = F.broadcast(G.last_time(d, o))
+    source = A.source_summary(d.select("recorded_at", F.lit("decision").alias("kind")).unionByName(
+        o.select("recorded_at", F.lit("outcome").alias("kind"))))
+    timed = links.crossJoin(last)
+    return G.check_analysis_report(
+        G.decision_summary(d), G.outcome_summary(o, d), G.endpoint_summary(d, o),
+        L.linkage_summary(links, o), L.evaluation_slices(timed, F.col("last_us")),
+        G.canary_comparison(d), L.canary_challenge_budget(d, timed, F.col("last_us")), source)
+
+
+# --- D6..D8: rollout review -------------------------------------------------------------------
+
+@query
+def d6_dominant_version(spark, sf):
+    d = T.logged(spark, sf)
+    return (G.dominant_version(d, "policy_version").withColumn("kind", F.lit("policy"))
+            .unionByName(G.dominant_version(d, "model_version").withColumn("kind", F.lit("model"))))
+
+
+def _review_parts(spark, sf):
+    d, o = _log(spark, sf)
+    timed = L.link_outcomes(d, o).crossJoin(F.broadcast(G.last_time(d, o)))
+    return d, o, timed, L.evaluation_slices(timed, F.col("last_us"))
+
+
+@query
+def d7_recommend_endpoint(spark, sf):
+    d, o, _, slices = _review_parts(spark, sf)
+    return G.recommend_endpoint(G.endpoint_summary(d, o), slices, min_labels=2)
+
+
+def _gates(spark, sf, stage):
+    d, o, timed, slices = _review_parts(spark, sf)
+    source = A.source_summary(d.select("recorded_at").unionByName(o.select("recorded_at")), kind=None)
+    endpoint = G.recommend_endpoint(G.endpoint_summary(d, o), slices, min_labels=2)
+    args = (G.readiness(_metrics(spark, sf)), source, G.dominant_version(d, "policy_version"),
+            G.dominant_version(d, "model_version"), endpoint)
+    if stage == "canary":
+        return G.review_gates(*args)
+    return G.review_gates(*args, "enforce", G.canary_comparison(d),
+                          L.canary_challenge_budget(d, timed, F.col("last_us")), "canary-a")
+
+
+@query
+def d8_review_gates_canary(spark, sf):
+    return _gates(spark, sf, "canary").withColumn("position", F.col("position").cast("long"))
+
+
+@query
+def d8_review_gates_enforce(spark, sf):
+    return _gates(spark, sf, "enforce").withColumn("position", F.col("position").cast("long"))
+
+
+# --- H: telemetry ------------------------------------------------------------------------------
+
+@query
+def h1_traffic_counters(spark, sf):
+    return M.traffic_counters(T.logged(spark, sf))
+
+
+@query
+def h2_reason_counters(spark, sf):
+    doubled = T.logged(spark, sf).withColumn("reason_codes", F.concat("reason_codes", "reason_codes"))
+    return M.reason_counters(doubled, 12)
+
+
+@query
+def h3_transport_posture(spark, sf):
+    return M.transport_posture(T.requests(spark, sf))
+
+
+@query
+def h4_crawler_identity(spark, sf):
+    return M.crawler_identity(T.requests(spark, sf))
+
+
+@query
+def h5_accept_coverage(spark, sf):
+    return M.accept_coverage(T.coverage_reports(spark, sf)).select("source_id", "line_no", "verdict")
+
+
+def _observer():
+    return F.timestamp_micros(F.lit(T.T0 + 1800 * 1_000_000))
+
+
+@query
+def h6_origin_coverage(spark, sf):
+    return M.origin_coverage(M.accept_coverage(T.coverage_reports(spark, sf)), _observer())
+
+
+@query
+def h6_coverage_state(spark, sf):
+    accepted = M.accept_coverage(T.coverage_reports(spark, sf))
+    return _round(M.coverage_state(M.origin_coverage(accepted, _observer()), accepted))
+
+
+@query
+def h7_request_dispositions(spark, sf):
+    return M.request_dispositions(T.request_log(spark, sf))
+
+
+@query
+def h7_running_dispositions(spark, sf):
+    return M.running_dispositions(T.request_log(spark, sf)).select("line_no", "endpoint_class", *M.COUNTERS)
+
+
+@query
+def h8_collection_funnel(spark, sf):
+    return _round(M.collection_funnel(T.request_log(spark, sf)))
+
+
+@query
+def h9_outcome_flow(spark, sf):
+    return M.outcome_flow(T.request_log(spark, sf))
+
+
+@query
+def h10_latency_summary(spark, sf):
+    return _round(M.latency_summary(T.request_log(spark, sf)))
+
+
+@query
+def h10_nearest_rank(spark, sf):
+    return M.nearest_rank(T.request_log(spark, sf), "latency_us", keys=["source_id"])
+
+
+@query
+def h10_failure_counts(spark, sf):
+    return M.failure_counts(T.request_log(spark, sf))
+
+
+@query
+def h10_run_spread(spark, sf):
+    """Spread of the hourly median latency of each source."""
+    hourly = M.nearest_rank(T.request_log(spark, sf).withColumn(
+        "hour", F.floor(F.unix_micros("observed_at") / 3.6e9)), "latency_us", keys=["source_id", "hour"])
+    return M.run_spread(hourly, "p50", ["source_id"])

@@ -202,7 +202,8 @@ def families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (raw.filter(F.col("g") % 2 == 0)
             .select(F.when(session, F.lit("session")).otherwise(F.lit("subject")).alias("sequence_kind"),
                     F.coalesce("session_ref", "subject_ref").alias("sequence_id"),
-                    F.concat(F.lit("family-"), (F.col("g") % 11).cast("string")).alias("family_ref"))
+                    F.concat(F.lit("family-"), F.when(F.col("g") % 4 == 0, F.col("g") % 11)
+                             .otherwise(div(F.col("g"), 4) + 100).cast("string")).alias("family_ref"))
             .distinct())
 
 
@@ -489,3 +490,49 @@ def canary_plan():
 
     return RolloutPlan("canary-a", "canary", ("compare_index", "public_content"), "throttle", T0,
                        T0 + 5 * 3600 * V.MICROS, 1000)
+
+
+# --- telemetry inputs -----------------------------------------------------------------------
+
+def coverage_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cumulative coverage reports of seven sources, with resends, restarts and decreases."""
+    e, u = F.col("event_id"), F.col("user_id")
+    source = u % 7
+    order = Window.partitionBy(source).orderBy("us", "event_id")
+    df = events(spark, sf_dir).withColumns({"rn": F.row_number().over(order).cast("long"), "src": source})
+    # Reports 3, 6, 9 ... repeat the report before them.
+    k = F.when(F.col("rn") % 3 == 0, F.col("rn") - 1).otherwise(F.col("rn"))
+    drop = F.when(e % 29 == 0, 50).otherwise(0)
+    df = df.withColumn("k", k)
+    counters = []
+    for i, name in enumerate(V.ENDPOINT_CLASSES):
+        base = F.greatest(F.col("k") * (i + 1) - drop, F.lit(0))
+        wrong = F.when((e % 41 == 0) & F.lit(i == 0), 1).otherwise(0)
+        counters.append(F.struct(
+            F.lit(name).alias("endpoint_class"), (base * 4 + wrong).alias("protected"),
+            base.alias("evaluated"), base.alias("bypassed"), base.alias("rejected"),
+            base.alias("granted_retries")))
+    started = F.lit(T0) + F.col("src") * 600 * V.MICROS
+    return df.select(
+        F.lpad(F.hex(F.col("src")), 32, "a").substr(1, 32).alias("_id"), e.alias("line_no"),
+        F.timestamp_micros("us").alias("received_at"),
+        F.timestamp_micros(started + F.when(e % 37 == 0, V.MICROS).otherwise(0)).alias("source_started_at"),
+        (F.col("k") - F.when(e % 31 == 0, 5).otherwise(0)).alias("sequence"),
+        F.timestamp_micros(F.lit(T0) + 86_400 * V.MICROS + F.col("k") * V.MICROS).alias("completed_at"),
+        F.array(*counters).alias("endpoints")).withColumn("source_id", F.lower("_id")).drop("_id")
+
+
+def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Origin request rows with a disposition, latency and failure class."""
+    e, u = F.col("event_id"), F.col("user_id")
+    return events(spark, sf_dir).select(
+        e.alias("line_no"), F.timestamp_micros("us").alias("observed_at"),
+        F.concat(F.lit("source-"), (u % 5).cast("string")).alias("source_id"),
+        F.when(e % 17 == 0, F.lit("basement")).otherwise(pick(V.ENDPOINT_CLASSES, (e * 7 + u) % 9))
+        .alias("endpoint_class"),
+        pick(("evaluated", "evaluated", "bypassed", "granted_retry", "rejected", "lost"), e % 6)
+        .alias("disposition"),
+        (e * 7919 % 10007 + e % 13 * 500).alias("latency_us"),
+        F.when(e % 43 == 0, F.lit("timeout")).when(e % 47 == 0, F.lit("status")).alias("failure_class"),
+        pick(("proof", "batch", "batch", "recorded", "rejected", "dropped", "ignored"), e % 7).alias("stage"),
+        pick(("accepted", "accepted", "rejected", "dropped"), e % 4).alias("result"))

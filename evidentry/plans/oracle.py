@@ -57,15 +57,15 @@ def r9(expr: str) -> str:
 
 
 def rate(k: str, n: str) -> str:
-    return f"CASE WHEN ({n}) > 0 AND ({k}) <= ({n}) THEN CAST({k} AS DOUBLE) / ({n}) ELSE 0.0 END"
+    return f"(CASE WHEN ({n}) > 0 AND ({k}) <= ({n}) THEN CAST({k} AS DOUBLE) / ({n}) ELSE 0.0 END)"
 
 
 def bound(k: str, n: str, sign: str) -> str:
-    z, p, t = "1.959963984540054", f"(CAST({k} AS DOUBLE) / ({n}))", f"CAST({n} AS DOUBLE)"
+    z, p, t = "1.959963984540054", f"(CAST({k} AS DOUBLE) / ({n}))", f"CAST(({n}) AS DOUBLE)"
     mid = f"({p} + {z}*{z}/(2.0*{t}))"
     root = f"{z} * sqrt(greatest(({p}*(1.0-{p}) + {z}*{z}/(4.0*{t})) / {t}, 0.0))"
-    return (f"CASE WHEN ({n}) > 0 AND ({k}) <= ({n}) THEN "
-            f"least(1.0, greatest(0.0, ({mid} {sign} {root}) / (1.0 + {z}*{z}/{t}))) ELSE 0.0 END")
+    return (f"(CASE WHEN ({n}) > 0 AND ({k}) <= ({n}) THEN "
+            f"least(1.0, greatest(0.0, ({mid} {sign} {root}) / (1.0 + {z}*{z}/{t}))) ELSE 0.0 END)")
 
 
 def lower(k: str, n: str) -> str:
@@ -795,7 +795,7 @@ QUERIES["e12_check_sequence_report"] = "SELECT unnest(" + lst((
 # --- F: holdout ----------------------------------------------------------------------------
 VIEWS["v_fam"] = """
 SELECT DISTINCT CASE WHEN sess IS NOT NULL THEN 'session:' || sess ELSE 'subject:' || subj END AS key,
-  sha256(encode('evidentry-family-v1') || unhex('00') || encode('family-' || (g % 11)::VARCHAR)) AS family FROM v_local WHERE g % 2 = 0"""
+  sha256(encode('evidentry-family-v1') || unhex('00') || encode('family-' || (CASE WHEN g % 4 = 0 THEN g % 11 ELSE g // 4 + 100 END)::VARCHAR)) AS family FROM v_local WHERE g % 2 = 0"""
 VIEWS["v_part"] = """
 SELECT w.*, f.family, CASE WHEN last_us < cut THEN 'baseline' WHEN w.w >= cut THEN 'holdout' ELSE 'boundary' END AS part
 FROM v_win w LEFT JOIN v_fam f ON w.key = f.key, (SELECT (min(us) + max(us)) // 2 AS cut FROM v_local)"""
@@ -875,3 +875,316 @@ QUERIES["f8_check_holdout_report"] = "SELECT unnest(" + lst((
     "boundary_labels_sum", "unseen_unknown_within_holdout", "unseen_human_confirmed_within_holdout",
     "unseen_operator_confirmed_abuse_within_holdout", "unseen_ambiguous_within_holdout", "rules_share_labels",
     "rates_within_intervals")) + ") AS check_name, (SELECT baseline_windows + holdout_windows + boundary_windows = windows FROM v_hreport) AS ok"
+
+# --- G: decisions and outcomes --------------------------------------------------------------
+
+
+def _kinds() -> str:
+    return ", ".join(f"{cnt(f"outcome = '{o}'")} AS {o}" for o in V.OUTCOMES)
+
+
+_actions = ", ".join(f"{cnt(f"{col} = '{a}'")} AS {p}_{a}" for p, col in (("enforced", "action"), ("computed", "computed")) for a in V.ACTIONS)
+VIEWS["v_dsum"] = f"""
+SELECT {cnt('true')} AS decisions, {_actions}, {', '.join(f"{cnt(f"mode = '{m}'")} AS mode_{m}" for m in V.MODES)},
+  {cnt(f"mode = 'shadow' AND action IN {RISKY}")} AS shadow_risky_enforcements FROM v_dec"""
+QUERIES["g1_decision_summary"] = f"SELECT *, {r9(rate('computed_challenge', 'decisions'))} AS computed_challenge_rate FROM v_dsum"
+VIEWS["v_osum"] = f"SELECT {cnt('true')} AS outcomes, {_kinds()}, (SELECT CAST(count(*) AS BIGINT) FROM v_dec) AS decisions FROM v_out"
+QUERIES["g2_outcome_summary"] = f"""
+SELECT *, {r9('least(1.0, CAST(outcomes AS DOUBLE) / decisions)')} AS coverage,
+  challenge_passed + challenge_failed + challenge_abandoned AS challenge_results,
+  {r9(rate('(challenge_failed + challenge_abandoned)', 'challenge_passed + challenge_failed + challenge_abandoned'))} AS challenge_failure_rate
+FROM v_osum"""
+QUERIES["g3_score_summary"] = " UNION ALL ".join(
+    f"SELECT '{n}' AS score, min({c}) AS minimum, max({c}) AS maximum, {r9(f'least(greatest(avg({c}), min({c})), max({c}))')} AS mean FROM v_dec"
+    for n, c in (("automation_risk", "auto"), ("abuse_intent_risk", "intent"), ("account_continuity", "cont")))
+VIEWS["v_eps"] = f"""
+SELECT coalesce(d.ep, o.ep) AS endpoint_class, {', '.join(f'coalesce({c}, 0) AS {c}' for c in ('decisions', 'computed_risky', 'outcomes', *V.OUTCOMES))}
+FROM (SELECT ep, {cnt('true')} AS decisions, {cnt(f'computed IN {RISKY}')} AS computed_risky FROM v_dec GROUP BY 1) d
+FULL JOIN (SELECT ep, {cnt('true')} AS outcomes, {_kinds()} FROM v_out GROUP BY 1) o ON d.ep = o.ep"""
+_res = "challenge_passed + challenge_failed + challenge_abandoned"
+QUERIES["g4_endpoint_summary"] = f"""SELECT *, human_confirmed + operator_confirmed_abuse AS confirmed_labels, {rates({
+    'computed_risky': ('computed_risky', 'decisions'), 'challenge_failure': ('(challenge_failed + challenge_abandoned)', _res),
+    'challenge_abandonment': ('challenge_abandoned', _res), 'fallback_share': ('fallback_used', 'outcomes'),
+    'appeal_share': ('appeal_requested', 'outcomes'), 'unknown_share': ('unknown', 'outcomes'),
+    'abuse_label': ('operator_confirmed_abuse', 'human_confirmed + operator_confirmed_abuse')})} FROM v_eps"""
+VIEWS["v_reason"] = "SELECT e, copy, unnest(reasons) AS value FROM v_dec"
+QUERIES["g5_top_counts"] = """
+SELECT value, CAST(count(*) AS BIGINT) AS n FROM v_reason GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"""
+QUERIES["g6_distinct_budget"] = """
+SELECT 'reason_codes' AS metadata, count(DISTINCT value) AS distinct_values, CAST(256 AS BIGINT) AS allowed, count(DISTINCT value) <= 256 AS ok FROM v_reason
+UNION ALL SELECT 'policy_version', count(DISTINCT policy), 256, count(DISTINCT policy) <= 256 FROM v_dec
+UNION ALL SELECT 'rollout_id', count(DISTINCT rollout), 256, count(DISTINCT rollout) <= 256 FROM v_dec"""
+_bits = "1 << (list_position(" + lst(V.OUTCOMES) + ", outcome) - 1)"
+VIEWS["v_link"] = f"""
+SELECT coalesce(d.did, o.did) AS did, d.did IS NOT NULL AS seen, coalesce(nd, 0) AS nd, coalesce(no, 0) AS no, coalesce(mask, 0) AS mask,
+  coalesce(lo = hi AND lo = ep, false) AS matched, coalesce(no - kinds, 0) AS dup, coalesce(nd = 1, false) AS eligible,
+  ep, cohort, rec, computed IN {RISKY} AS risky, action = 'challenge' AS challenged, mode, rollout,
+  CASE WHEN d.did IS NOT NULL THEN coalesce(level::VARCHAR, 'unknown') END AS lvl, withheld
+FROM (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY did) AS nd, row_number() OVER (PARTITION BY did ORDER BY ord) AS r FROM v_dec) WHERE r = 1) d
+FULL JOIN (SELECT did, count(*) AS no, bit_or({_bits}) AS mask, count(DISTINCT outcome) AS kinds, min(ep) AS lo, max(ep) AS hi
+           FROM v_out WHERE did IS NOT NULL GROUP BY 1) o ON d.did = o.did"""
+QUERIES["g7_link_outcomes"] = """
+SELECT did AS decision_id, seen AS decision_seen, CAST(nd AS BIGINT) AS decision_records, CAST(no AS BIGINT) AS outcome_events,
+  CAST(mask AS BIGINT) AS outcome_mask, matched, CAST(dup AS BIGINT) AS duplicate_outcomes, eligible, ep AS endpoint_class,
+  cohort AS evaluation_cohort, risky AS predicted_risky, challenged, rollout AS rollout_id, lvl AS assurance_level,
+  withheld AS assurance_withheld FROM v_link"""
+_h, _a = 1 << V.OUTCOMES.index("human_confirmed"), 1 << V.OUTCOMES.index("operator_confirmed_abuse")
+_t = sum(1 << V.OUTCOMES.index(o) for o in V.TERMINAL_OUTCOMES)
+VIEWS["v_lsum"] = f"""
+SELECT {cnt('seen')} AS unique_decision_ids, {cnt('nd > 1')} AS duplicate_decision_ids,
+  CAST(sum(nd - 1) FILTER (WHERE seen) AS BIGINT) AS duplicate_decision_records, CAST(sum(no) AS BIGINT) AS outcomes_with_id,
+  CAST(coalesce(sum(no) FILTER (WHERE seen AND matched), 0) AS BIGINT) AS matched_outcomes,
+  CAST(coalesce(sum(no) FILTER (WHERE NOT seen), 0) AS BIGINT) AS unknown_decision_outcomes,
+  CAST(coalesce(sum(no) FILTER (WHERE seen AND NOT matched), 0) AS BIGINT) AS endpoint_mismatch_outcomes,
+  CAST(sum(dup) AS BIGINT) AS duplicate_outcomes, {cnt(f'eligible AND matched AND mask & {_h | _a} IN ({_h}, {_a})')} AS confirmed_labels,
+  {cnt(f'eligible AND matched AND mask & {_h | _a} = {_h | _a}')} AS ambiguous_ground_truth,
+  (SELECT CAST(count(*) AS BIGINT) FROM v_out WHERE did IS NULL) AS outcomes_without_id FROM v_link"""
+QUERIES["g8_linkage_summary"] = f"""SELECT *, {rates({'label_coverage': ('confirmed_labels', 'unique_decision_ids + duplicate_decision_records')})} FROM v_lsum"""
+VIEWS["v_last"] = "SELECT max(rec) AS last_us FROM (SELECT rec FROM v_dec UNION ALL SELECT rec FROM v_out)"
+VIEWS["v_flag"] = f"""
+SELECT *, CASE WHEN matched THEN mask & {_h | _a} ELSE 0 END AS truth, CASE WHEN matched THEN mask & {_t} ELSE 0 END AS term,
+  challenged AND rec <= last_us - 900000000 AS mature FROM v_link, v_last WHERE eligible"""
+
+
+def _eval_counts() -> str:
+    one = lambda o: f"mature AND term = {1 << V.OUTCOMES.index(o)}"
+    items = {"decisions": "true", "confirmed_labels": f"truth IN ({_h}, {_a})", "true_positive": f"truth = {_a} AND risky",
+             "false_positive": f"truth = {_h} AND risky", "true_negative": f"truth = {_h} AND NOT risky",
+             "false_negative": f"truth = {_a} AND NOT risky", "ambiguous_ground_truth": f"truth = {_h | _a}", "mature_challenges": "mature",
+             "challenge_passed": one("challenge_passed"), "challenge_failed": one("challenge_failed"),
+             "challenge_abandoned": one("challenge_abandoned"), "fallback_used": one("fallback_used"),
+             "unresolved_mature_challenges": "mature AND term = 0", "ambiguous_challenge_outcomes": "mature AND bit_count(term) > 1"}
+    return ", ".join(f"{cnt(c)} AS {n}" for n, c in items.items())
+
+
+_eval_rates = rates({
+    "false_positive": ("false_positive", "false_positive + true_negative"), "abuse_recall": ("true_positive", "true_positive + false_negative"),
+    "abuse_precision": ("true_positive", "true_positive + false_positive"), "challenge_pass": ("challenge_passed", "mature_challenges"),
+    "challenge_failure": ("challenge_failed", "mature_challenges"), "challenge_abandonment": ("challenge_abandoned", "mature_challenges"),
+    "fallback": ("fallback_used", "mature_challenges")})
+
+
+def evaluation(keys: str, group: str, source: str = "v_flag") -> str:
+    return f"SELECT *, {_eval_rates} FROM (SELECT {keys}{', ' if keys else ''}{_eval_counts()} FROM {source} {group})"
+
+
+QUERIES["g9_linked_evaluation"] = evaluation("mode", "GROUP BY 1")
+VIEWS["v_slices"] = evaluation("ep AS endpoint_class, cohort AS evaluation_cohort", "GROUP BY 1, 2") + " UNION ALL " + evaluation(
+    "ep AS endpoint_class, 'all' AS evaluation_cohort", "GROUP BY 1")
+QUERIES["g10_evaluation_slices"] = "SELECT * FROM v_slices"
+QUERIES["g11_assurance_slices"] = evaluation(
+    "ep AS endpoint_class, lvl AS assurance_level, withheld AS assurance_withheld", "GROUP BY 1, 2, 3")
+VIEWS["v_canary"] = f"""
+SELECT c.rollout AS rollout_id, c.ep AS endpoint_class, coalesce(sn, 0) > 0 AS comparable, coalesce(sn, 0) AS shadow_decisions,
+  cn AS canary_decisions, coalesce(sr, 0) AS shadow_risky, cr AS canary_risky, ce AS canary_enforced
+FROM (SELECT rollout, ep, {cnt('true')} AS cn, {cnt(f'computed IN {RISKY}')} AS cr, {cnt(f'action IN {RISKY}')} AS ce FROM v_dec WHERE mode = 'canary' GROUP BY 1, 2) c
+LEFT JOIN (SELECT ep, {cnt('true')} AS sn, {cnt(f'computed IN {RISKY}')} AS sr FROM v_dec WHERE mode = 'shadow' GROUP BY 1) s ON c.ep = s.ep"""
+QUERIES["g12_canary_comparison"] = f"""
+SELECT *, {rates({'shadow_risky': ('shadow_risky', 'shadow_decisions'), 'canary_risky': ('canary_risky', 'canary_decisions'),
+                  'canary_enforced': ('canary_enforced', 'canary_decisions')})},
+  {r9(f"CASE WHEN comparable THEN {rate('canary_risky', 'canary_decisions')} - {rate('shadow_risky', 'shadow_decisions')} ELSE 0.0 END")} AS difference_estimate,
+  {r9(f"CASE WHEN comparable THEN greatest(-1.0, {lower('canary_risky', 'canary_decisions')} - {upper('shadow_risky', 'shadow_decisions')}) ELSE 0.0 END")} AS difference_lower95,
+  {r9(f"CASE WHEN comparable THEN least(1.0, {upper('canary_risky', 'canary_decisions')} - {lower('shadow_risky', 'shadow_decisions')}) ELSE 0.0 END")} AS difference_upper95
+FROM v_canary"""
+_bud = ("mature_challenges", "challenge_passed", "challenge_failed", "challenge_abandoned", "fallback_used",
+        "unresolved_mature_challenges", "ambiguous_challenge_outcomes")
+VIEWS["v_budget0"] = f"""
+SELECT k.rollout AS rollout_id, k.ep AS endpoint_class, {', '.join(f'coalesce({c}, 0) AS {c}' for c in _bud)},
+  coalesce(challenge_passed + challenge_failed + challenge_abandoned + fallback_used, 0) AS terminal_outcomes
+FROM (SELECT DISTINCT rollout, ep FROM v_dec WHERE mode = 'canary') k
+LEFT JOIN (SELECT rollout, ep, {_eval_counts()} FROM v_flag WHERE mode = 'canary' GROUP BY 1, 2) e ON k.rollout = e.rollout AND k.ep = e.ep"""
+VIEWS["v_budget"] = f"""SELECT *, {rates({'terminal_coverage': ('terminal_outcomes', 'mature_challenges'),
+    'challenge_abandonment': ('challenge_abandoned', 'mature_challenges'), 'fallback': ('fallback_used', 'mature_challenges')})} FROM v_budget0"""
+QUERIES["g13_canary_challenge_budget"] = "SELECT * FROM v_budget"
+QUERIES["g14_wilson"] = f"""SELECT *, {rates({'risky': ('risky', 'total')})} FROM (
+  SELECT sid AS session_key, {cnt('true')} AS total, {cnt(f'computed IN {RISKY}')} AS risky FROM v_dec GROUP BY 1)"""
+QUERIES["g15_proportion_difference"] = f"""
+SELECT endpoint_class, {r9(f"({rate('risky', 'total')}) - ({rate('r', 't')})")} AS difference_estimate,
+  {r9(f"greatest(-1.0, ({lower('risky', 'total')}) - ({upper('r', 't')}))")} AS lower95,
+  {r9(f"least(1.0, ({upper('risky', 'total')}) - ({lower('r', 't')}))")} AS upper95
+FROM (SELECT ep AS endpoint_class, {cnt('true')} AS total, {cnt(f'computed IN {RISKY}')} AS risky FROM v_dec GROUP BY 1),
+     (SELECT {cnt('true')} AS t, {cnt(f'computed IN {RISKY}')} AS r FROM v_dec)"""
+VIEWS["v_metrics"] = f"""
+SELECT d.decisions, shadow_risky_enforcements AS sre, {rate('computed_challenge', 'd.decisions')} AS ccr,
+  {rate('l.confirmed_labels', 'l.unique_decision_ids + l.duplicate_decision_records')} AS cov,
+  e.false_positive + e.true_negative AS hum, e.true_positive + e.false_negative AS ab, e.mature_challenges AS mature,
+  {rate('(e.challenge_failed + e.challenge_abandoned + e.unresolved_mature_challenges + e.ambiguous_challenge_outcomes)', 'e.mature_challenges')} AS fric
+FROM v_dsum d, v_lsum l, (SELECT {_eval_counts()} FROM v_flag) e"""
+_rules7 = [("sre > 0", "FIX_SHADOW_ENFORCEMENT", "critical", "shadow_risky_enforcements", "sre", "0", "count"),
+           ("decisions < 1000", "COLLECT_MORE_DECISIONS", "high", "decisions", "decisions", "1000", "count"),
+           ("cov < 0.1", "IMPROVE_OUTCOME_COVERAGE", "high", "linked_label_coverage", "cov", "0.1", "ratio"),
+           ("hum < 100", "EXPAND_CONFIRMED_HUMANS", "high", "linked_human_confirmed", "hum", "100", "count"),
+           ("ab < 100", "EXPAND_CONFIRMED_ABUSE", "medium", "linked_operator_confirmed_abuse", "ab", "100", "count"),
+           ("ccr > 0.05", "REVIEW_COMPUTED_CHALLENGE_RATE", "medium", "computed_challenge_rate", "ccr", "0.05", "ratio"),
+           ("mature >= 100 AND fric > 0.1", "REDUCE_CHALLENGE_FRICTION", "high", "linked_challenge_friction_rate", "fric", "0.1", "ratio")]
+_state5 = ("CASE WHEN sre > 0 THEN 'invalid_shadow_behavior' WHEN decisions < 1000 THEN 'collecting' "
+           "WHEN cov < 0.1 OR hum < 100 OR ab < 100 THEN 'needs_labels' "
+           "WHEN ccr > 0.05 OR (mature >= 100 AND fric > 0.1) THEN 'needs_tuning' ELSE 'operator_review_candidate' END")
+VIEWS["v_ready"] = f"""
+SELECT {_state5} AS state, CASE WHEN {_state5} = 'operator_review_candidate' THEN 'review_reversible_canary' ELSE 'remain_shadow' END AS operator_action,
+  array_to_string(list_filter([{', '.join(f"CASE WHEN {c} THEN '{n}' END" for c, n, *_ in _rules7)}], lambda x: x IS NOT NULL), ',') AS reasons,
+  false AS automatic_enforcement FROM v_metrics"""
+QUERIES["g16_readiness"] = "SELECT * FROM v_ready"
+QUERIES["g16_recommendations"] = " UNION ALL ".join(
+    f"SELECT CAST({i} AS BIGINT) AS position, '{n}' AS code, '{p}' AS priority, 'required' AS disposition, '{m}' AS metric, "
+    f"{r9(f'CAST({o} AS DOUBLE)')} AS observed, {t}::DOUBLE AS threshold, '{u}' AS unit FROM v_metrics WHERE {c}"
+    for i, (c, n, p, m, o, t, u) in enumerate(_rules7, 1)) + """
+UNION ALL SELECT 8, CASE WHEN state = 'operator_review_candidate' THEN 'PREPARE_OPERATOR_REVIEW' ELSE 'KEEP_SHADOW_MODE' END,
+  CASE WHEN state = 'operator_review_candidate' THEN 'low' ELSE 'high' END,
+  CASE WHEN state = 'operator_review_candidate' THEN 'review_candidate' ELSE 'hold' END, 'automatic_enforcement', 0.0, 0.0, 'boolean' FROM v_ready"""
+VIEWS["v_halfflag"] = """
+SELECT *, CASE WHEN rec < (SELECT (min(rec) + max(rec)) // 2 FROM v_dec) THEN 'baseline' ELSE 'holdout' END AS part FROM v_flag"""
+VIEWS["v_half"] = f"""
+SELECT *, false_positive + true_negative AS confirmed_human, true_positive + false_negative AS confirmed_abuse,
+  decisions - confirmed_labels - ambiguous_ground_truth AS unlabeled_decisions FROM (
+  {evaluation("part AS partition, ep AS endpoint_class, cohort AS evaluation_cohort", "GROUP BY 1, 2, 3", "v_halfflag")}
+  UNION ALL {evaluation("part AS partition, 'all' AS endpoint_class, 'all' AS evaluation_cohort", "GROUP BY 1", "v_halfflag")})"""
+QUERIES["g17_decision_holdout"] = "SELECT * FROM v_half"
+QUERIES["g18_decision_holdout_readiness"] = """
+SELECT CASE WHEN r = '' THEN 'chronological_ready' ELSE 'insufficient_confirmed_labels' END AS state, r AS reasons FROM (
+  SELECT array_to_string(list_filter([CASE WHEN bh < 10 THEN 'baseline_confirmed_human_below_minimum' END, CASE WHEN ba < 10 THEN 'baseline_confirmed_abuse_below_minimum' END,
+    CASE WHEN hh < 10 THEN 'holdout_confirmed_human_below_minimum' END, CASE WHEN ha < 10 THEN 'holdout_confirmed_abuse_below_minimum' END], lambda x: x IS NOT NULL), ',') AS r
+  FROM (SELECT max(confirmed_human) FILTER (WHERE partition = 'baseline') AS bh, max(confirmed_abuse) FILTER (WHERE partition = 'baseline') AS ba,
+    max(confirmed_human) FILTER (WHERE partition = 'holdout') AS hh, max(confirmed_abuse) FILTER (WHERE partition = 'holdout') AS ha FROM v_half WHERE endpoint_class = 'all'))"""
+QUERIES["g19_check_analysis_report"] = "SELECT unnest(" + lst((
+    "enforced_sum", "computed_sum", "modes_sum", "shadow_risky_within_shadow", "outcome_kinds_sum", "endpoint_decisions_sum",
+    "endpoint_outcomes_sum", "endpoint_risky_sum", "endpoint_kinds_sum", "decision_records", "outcome_records", "linked_outcomes",
+    "duplicates_within_ids", "evaluated_decisions", "evaluated_labels", "evaluated_ambiguous", "slices_roll_up", "evaluation_parts_sum",
+    "intervals_contain_rates", "canary_sum", "budget_per_comparison", "source_counts")) + """) AS check_name,
+  (SELECT unique_decision_ids + duplicate_decision_records = (SELECT count(*) FROM v_dec) FROM v_lsum) AS ok"""
+
+# --- D6..D8 -----------------------------------------------------------------------------------
+
+
+def _dominant(column: str, kind: str) -> str:
+    return (f"SELECT CASE WHEN ok THEN v ELSE 'none' END AS version, CASE WHEN ok THEN c ELSE 0 END AS n, decisions, ok, '{kind}' AS kind FROM ("
+            f"SELECT v, c, t AS decisions, c >= t - t // 10 AS ok FROM (SELECT {column} AS v, CAST(count(*) AS BIGINT) AS c, CAST(sum(count(*)) OVER () AS BIGINT) AS t "
+            f"FROM v_dec GROUP BY 1 ORDER BY c DESC, v LIMIT 1))")
+
+
+VIEWS["v_dom"] = _dominant("policy", "policy") + " UNION ALL " + _dominant("model", "model")
+QUERIES["d6_dominant_version"] = "SELECT * FROM v_dom"
+VIEWS["v_best"] = f"""
+SELECT e.endpoint_class, e.decisions, e.computed_risky, false_positive + true_negative AS linked_human, true_positive + false_negative AS linked_abuse
+FROM v_eps e JOIN v_slices s ON e.endpoint_class = s.endpoint_class AND evaluation_cohort = 'all'
+WHERE e.endpoint_class IN {inn(V.ROLLOUT_ENDPOINTS)} AND e.computed_risky > 0 AND false_positive + true_negative >= 2 AND true_positive + false_negative >= 2
+ORDER BY CAST(e.computed_risky AS DOUBLE) / e.decisions, e.decisions DESC, e.endpoint_class LIMIT 1"""
+QUERIES["d7_recommend_endpoint"] = "SELECT * FROM v_best"
+VIEWS["v_window"] = "SELECT (max(rec) - min(rec)) // 1000000 AS secs FROM (SELECT rec FROM v_dec UNION ALL SELECT rec FROM v_out)"
+
+
+def _dom(kind: str, expr: str) -> str:
+    return f"(SELECT {expr} FROM v_dom WHERE kind = '{kind}')"
+
+
+_gates = [
+    ("REPORT_READINESS", "(SELECT state = 'operator_review_candidate' FROM v_ready)", "(SELECT state FROM v_ready)", "operator_review_candidate"),
+    ("OBSERVATION_WINDOW", "(SELECT secs >= 86400 FROM v_window)", "(SELECT secs::VARCHAR FROM v_window)", "86400"),
+    *[(f"{k.upper()}_VERSION_DOMINANCE", _dom(k, "ok"), _dom(k, "version || ':' || n::VARCHAR || '/' || decisions::VARCHAR"), "single_valid_version>=90%")
+      for k in ("policy", "model")],
+    ("ELIGIBLE_ENDPOINT_SCOPE", "(SELECT count(*) = 1 FROM v_best)",
+     "coalesce((SELECT endpoint_class || ':risky=' || computed_risky::VARCHAR || '/' || decisions::VARCHAR || ',linked_human=' || linked_human::VARCHAR || ',linked_abuse=' || linked_abuse::VARCHAR FROM v_best), 'none')",
+     "one_public_endpoint_with_risky_shadow_actions,human>=100,abuse>=100"),
+]
+VIEWS["v_pred"] = """
+SELECT coalesce(b.endpoint_class, '') AS ep, coalesce(c.canary_decisions, 0) AS n, coalesce(k.mature_challenges, 0) AS mature,
+  coalesce(terminal_coverage_lower95, 0.0) AS cl, coalesce(terminal_outcomes, 0) AS ct, coalesce(challenge_abandonment_upper95, 0.0) AS au,
+  coalesce(challenge_abandoned, 0) AS ac, coalesce(fallback_upper95, 0.0) AS fu, coalesce(fallback_used, 0) AS fc
+FROM (SELECT 1) one LEFT JOIN v_best b ON true
+LEFT JOIN v_canary c ON c.rollout_id = 'canary-a' AND c.endpoint_class = b.endpoint_class
+LEFT JOIN v_budget k ON k.rollout_id = 'canary-a' AND k.endpoint_class = b.endpoint_class"""
+_p = lambda x: f"(SELECT {x} FROM v_pred)"
+_shown = lambda label, b, k: _p(f"'{label}=' || printf('%.6f', {b}) || ',count=' || {k}::VARCHAR || '/' || mature::VARCHAR")
+_more = [
+    ("PREDECESSOR_ENDPOINT_CANARY", _p("n >= 1000"), _p("ep || ':' || n::VARCHAR"), "same_endpoint_decisions>=1000"),
+    ("PREDECESSOR_CHALLENGE_SAMPLE", _p("mature >= 100"), _p("ep || ':' || mature::VARCHAR"), "same_rollout_endpoint_mature_challenges>=100"),
+    ("CHALLENGE_OUTCOME_COVERAGE_BUDGET", _p("mature >= 100 AND cl >= 0.9"), _shown("lower95", "cl", "ct"), "lower95>=0.90"),
+    ("CHALLENGE_ABANDONMENT_BUDGET", _p("mature >= 100 AND au <= 0.1"), _shown("upper95", "au", "ac"), "upper95<=0.10"),
+    ("CHALLENGE_FALLBACK_BUDGET", _p("mature >= 100 AND fu <= 0.1"), _shown("upper95", "fu", "fc"), "upper95<=0.10")]
+
+
+def _gate_sql(gates) -> str:
+    return " UNION ALL ".join(
+        f"SELECT CAST({i} AS BIGINT) AS position, '{g}' AS gate, CASE WHEN {ok} THEN 'pass' ELSE 'hold' END AS status, {seen} AS observed, '{need}' AS required"
+        for i, (g, ok, seen, need) in enumerate(gates, 1))
+
+
+QUERIES["d8_review_gates_canary"] = _gate_sql(_gates)
+QUERIES["d8_review_gates_enforce"] = _gate_sql(_gates + _more)
+
+# --- H: telemetry -------------------------------------------------------------------------------
+QUERIES["h1_traffic_counters"] = f"SELECT {cnt('true')} AS decisions, {_actions} FROM v_dec"
+QUERIES["h2_reason_counters"] = """
+SELECT value AS code, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT e, copy, value FROM v_reason) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12"""
+VIEWS["v_posture"] = "SELECT " + ", ".join(
+    [f"{cnt('true')} AS samples"] + [f"{cnt(f"{c} = '{v}'")} AS {n}_{v}" for n, c, vs in (
+        ("protocol", "tproto", V.TRANSPORT_PROTOCOLS), ("security", "tsec", V.TRANSPORT_SECURITY), ("address", "tsrc", V.ADDRESS_SOURCES)) for v in vs]) + " FROM v_req"
+QUERIES["h3_transport_posture"] = """
+SELECT *, CASE WHEN samples = 0 THEN 'no_samples' WHEN protocol_unknown + security_plaintext + security_unknown + address_invalid_trusted_proxy + address_unknown > 0
+  THEN 'attention' ELSE 'collecting' END AS state FROM v_posture"""
+QUERIES["h4_crawler_identity"] = "SELECT *, CASE WHEN unqualified > 0 THEN 'attention' WHEN observations > 0 THEN 'collecting' ELSE 'no_samples' END AS state FROM (SELECT " + ", ".join(
+    [f"{cnt('true')} AS observations", f"{cnt(CRAWLER)} AS qualified", f"{cnt(f'NOT {CRAWLER}')} AS unqualified"]
+    + [f"{cnt(f"cclass = '{v}'")} AS class_{v}" for v in V.CRAWLER_CLASSES]
+    + [f"{cnt(f"cver = '{v}'")} AS verification_{v}" for v in V.CRAWLER_VERIFICATIONS]) + " FROM v_req WHERE bot OR cclass <> 'unknown' OR cver <> 'unknown')"
+VIEWS["v_cov0"] = """
+SELECT e, src, us, rn, k - CASE WHEN e % 31 = 0 THEN 5 ELSE 0 END AS seq, k AS done, CASE WHEN e % 37 = 0 THEN 1 ELSE 0 END AS late,
+  CASE WHEN e % 29 = 0 THEN 50 ELSE 0 END AS drop, k, k - CASE WHEN e % 31 = 0 THEN 5 ELSE 0 END >= 1 AND e % 41 <> 0 AS ok
+FROM (SELECT *, CASE WHEN rn % 3 = 0 THEN rn - 1 ELSE rn END AS k FROM (
+  SELECT e, u % 7 AS src, us, row_number() OVER (PARTITION BY u % 7 ORDER BY us, e) AS rn FROM v_ev))"""
+VIEWS["v_cov"] = """
+WITH RECURSIVE f AS (
+  SELECT DISTINCT src, 0::BIGINT AS rn, -1::BIGINT AS e, NULL::BIGINT AS seq, NULL::BIGINT AS done, NULL::INT AS late, NULL::BIGINT AS k, NULL::INT AS drop, '' AS verdict FROM v_cov0
+  UNION ALL
+  SELECT src, rn, e, CASE WHEN vd = 'accepted' THEN s2 ELSE seq END, CASE WHEN vd = 'accepted' THEN d2 ELSE done END,
+    CASE WHEN vd = 'accepted' THEN l2 ELSE late END, CASE WHEN vd = 'accepted' THEN k2 ELSE k END, CASE WHEN vd = 'accepted' THEN p2 ELSE drop END, vd
+  FROM (SELECT f.src, t.rn, t.e, f.seq, f.done, f.late, f.k, f.drop, t.seq AS s2, t.done AS d2, t.late AS l2, t.k AS k2, t.drop AS p2,
+      CASE WHEN NOT t.ok THEN 'invalid' WHEN f.seq IS NULL THEN 'accepted'
+           WHEN t.seq = f.seq AND t.done = f.done AND t.late = f.late AND
+                list_transform(range(1, 10), lambda i: greatest(t.k*i - t.drop, 0)) = list_transform(range(1, 10), lambda i: greatest(f.k*i - f.drop, 0)) THEN 'unchanged'
+           WHEN t.late = f.late AND t.seq > f.seq AND t.done >= f.done AND
+                len(list_filter(range(1, 10), lambda i: greatest(t.k*i - t.drop, 0) < greatest(f.k*i - f.drop, 0))) = 0 THEN 'accepted'
+           ELSE 'conflict' END AS vd
+    FROM f JOIN v_cov0 t ON t.src = f.src AND t.rn = f.rn + 1))
+SELECT * FROM f WHERE rn > 0"""
+_src = "lower(substr(lpad(upper(to_hex(src)), 32, 'a'), 1, 32))"
+QUERIES["h5_accept_coverage"] = f"SELECT {_src} AS source_id, e AS line_no, verdict FROM v_cov"
+VIEWS["v_cov6"] = """
+SELECT c.src, i, greatest(n.k*i - n.drop, 0) - CASE WHEN 1704067200 + c.src*600 + n.late < 1704067200 + 1800 THEN greatest(b.k*i - b.drop, 0) ELSE 0 END AS d
+FROM (SELECT src, max(rn) AS hi, min(rn) AS lo FROM v_cov WHERE verdict = 'accepted' GROUP BY 1) c
+JOIN v_cov n ON n.src = c.src AND n.rn = c.hi JOIN v_cov b ON b.src = c.src AND b.rn = c.lo, (SELECT unnest(range(1, 10)) AS i)"""
+VIEWS["v_cov6s"] = f"""
+SELECT list_extract({lst(V.ENDPOINT_CLASSES)}, i) AS endpoint_class, CAST(sum(d)*4 AS BIGINT) AS protected, CAST(sum(d) AS BIGINT) AS evaluated,
+  CAST(sum(d) AS BIGINT) AS bypassed, CAST(sum(d) AS BIGINT) AS rejected, CAST(sum(d) AS BIGINT) AS granted_retries FROM v_cov6 GROUP BY i"""
+QUERIES["h6_origin_coverage"] = "SELECT * FROM v_cov6s"
+QUERIES["h6_coverage_state"] = f"""
+SELECT *, {r9('CASE WHEN protected > 0 THEN least(1.0, CAST(evaluated + granted_retries AS DOUBLE) / protected) ELSE 0.0 END')} AS decision_coverage,
+  CASE WHEN bypassed + rejected > 0 THEN 'degraded' WHEN protected > 0 THEN 'collecting' WHEN sources > 0 THEN 'no_samples' ELSE 'unavailable' END AS state
+FROM (SELECT {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in ('protected', 'evaluated', 'bypassed', 'rejected', 'granted_retries'))} FROM v_cov6s),
+  (SELECT count(DISTINCT src) AS sources, 1704067200000000 + 86400000000 + max(done)*1000000 AS last_reported_us FROM v_cov0 JOIN v_cov USING (src, rn) WHERE verdict = 'accepted')""".replace("max(done)", "max(v_cov0.done)")
+VIEWS["v_rlog"] = f"""
+SELECT e, us, 'source-' || (u % 5)::VARCHAR AS src, CASE WHEN e % 17 = 0 THEN 'other' ELSE {pick(V.ENDPOINT_CLASSES, '(e*7+u) % 9')} END AS ep,
+  {pick(('evaluated', 'evaluated', 'bypassed', 'granted_retry', 'rejected', 'lost'), 'e % 6')} AS disp, e*7919 % 10007 + e % 13 * 500 AS lat,
+  CASE WHEN e % 43 = 0 THEN 'timeout' WHEN e % 47 = 0 THEN 'status' END AS fail FROM v_ev"""
+_disp = {"protected": "true", "evaluated": "disp = 'evaluated'", "bypassed": "disp = 'bypassed'", "rejected": "disp IN ('rejected', 'lost')",
+         "granted_retries": "disp = 'granted_retry'"}
+QUERIES["h7_request_dispositions"] = "SELECT src AS source_id, ep AS endpoint_class, " + ", ".join(f"{cnt(c)} AS {n}" for n, c in _disp.items()) + " FROM v_rlog GROUP BY 1, 2"
+QUERIES["h7_running_dispositions"] = "SELECT e AS line_no, ep AS endpoint_class, " + ", ".join(
+    f"CAST(count(*) FILTER (WHERE {c}) OVER w AS BIGINT) AS {n}" for n, c in _disp.items()) + " FROM v_rlog WINDOW w AS (PARTITION BY src, ep ORDER BY us, e ROWS UNBOUNDED PRECEDING)"
+_stage = {"context_proofs": "e % 7 = 0", "accepted_batches": "e % 7 IN (1, 2)", "recorded_decisions": "e % 7 = 3",
+          "rejected_before_ingest": "e % 7 = 4", "dropped_after_ingest": "e % 7 = 5"}
+QUERIES["h8_collection_funnel"] = f"""
+SELECT *, {r9('CASE WHEN accepted_batches > 0 THEN least(1.0, CAST(recorded_decisions AS DOUBLE) / accepted_batches) ELSE 0.0 END')} AS batch_recording_rate,
+  CASE WHEN rejected_before_ingest + dropped_after_ingest > 0 THEN 'degraded' WHEN accepted_batches > 0 THEN 'collecting' ELSE 'no_samples' END AS state
+FROM (SELECT {', '.join(f'{cnt(c)} AS {n}' for n, c in _stage.items())} FROM v_ev)"""
+QUERIES["h9_outcome_flow"] = f"""
+SELECT *, CASE WHEN rejected + dropped > 0 THEN 'degraded' WHEN accepted > 0 THEN 'collecting' ELSE 'no_samples' END AS state
+FROM (SELECT {cnt('e % 4 < 2')} AS accepted, {cnt('e % 4 = 2')} AS rejected, {cnt('e % 4 = 3')} AS dropped FROM v_ev)"""
+_ranks = ", ".join(f"CAST(quantile_disc(lat, {p / 100}) AS BIGINT) AS p{p}" for p in (50, 95, 99))
+QUERIES["h10_latency_summary"] = f"""
+SELECT *, {r9('n / (elapsed_us / 1e6)')} AS throughput FROM (SELECT CAST(count(*) AS BIGINT) AS n, {_ranks}, max(lat) AS max,
+  {cnt('fail IS NOT NULL')} AS failures, max(us) - min(us) AS elapsed_us FROM v_rlog)"""
+QUERIES["h10_nearest_rank"] = f"SELECT src AS source_id, CAST(count(*) AS BIGINT) AS n, {_ranks}, max(lat) AS max FROM v_rlog GROUP BY 1"
+QUERIES["h10_failure_counts"] = "SELECT fail AS failure_class, CAST(count(*) AS BIGINT) AS n FROM v_rlog WHERE fail IS NOT NULL GROUP BY 1"
+QUERIES["h10_run_spread"] = """
+SELECT source_id, median(p) AS median, min(p) AS minimum, max(p) AS maximum FROM (
+  SELECT src AS source_id, us // 3600000000 AS h, quantile_disc(lat, 0.5) AS p FROM v_rlog GROUP BY 1, 2) GROUP BY 1"""
