@@ -185,14 +185,14 @@ def utf8(c: Column | str) -> Column:
 
 
 def concat_bytes(*cols: Column) -> Column:
-    """Byte concatenation (hex strings avoid implicit casts to text)."""
-    return F.unhex(F.concat(*[F.hex(c) for c in cols]))
+    """Byte concatenation; all arguments are binary, and so is the result."""
+    return F.concat(*cols)
 
 
 def length_prefixed(c: Column | str) -> Column:
     """8-byte big-endian byte length followed by the UTF-8 bytes."""
     b = utf8(c)
-    return F.unhex(F.concat(F.lpad(F.hex(F.octet_length(b)), 16, "0"), F.hex(b)))
+    return F.concat(F.unhex(F.lpad(F.hex(F.octet_length(b)), 16, "0")), b)
 
 
 def _pads(key: bytes) -> tuple[bytes, bytes]:

@@ -202,8 +202,13 @@ def over_timeline(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
     The first order column must be an integer time.
     """
+    return with_heat(df, keys, order, apply, find_heat(df, tuple(keys), order[0], rows_per_chunk))
+
+
+def with_heat(df: DataFrame, keys: Sequence[str], order: Sequence[str],
+              apply: Callable[[DataFrame, Timeline], DataFrame], heat: Heat | None) -> DataFrame:
+    """`over_timeline` with hot keys that were found before."""
     keys, order = tuple(keys), tuple(order)
-    heat = find_heat(df, keys, order[0], rows_per_chunk)
     if heat is None:
         return apply(df, Timeline(keys, order))
     cold = df.join(F.broadcast(heat.grid.select(*keys)), list(keys), "left_anti")

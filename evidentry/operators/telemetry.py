@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..functions.expr import count_if, items, micros, optional_class
-from ..functions.timeline import (ROWS_PER_CHUNK, Timeline, before, durable, over_timeline,
-                                  running)
+from ..functions.timeline import (ROWS_PER_CHUNK, Timeline, before, durable, find_heat,
+                                  over_timeline, running, with_heat)
 from .detect import obs, verified_public_crawler
 
 REASON = r"^[A-Z0-9_]{3,64}$"
@@ -125,8 +125,9 @@ def accept_coverage(reports: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK) ->
                      & (cur.done >= last.done) & grows, F.lit("accepted"))
                .otherwise(F.lit("conflict")))
     df = durable(df)
+    heat = find_heat(df, keys, order[0], rows_per_chunk)
     while True:
-        out = over_timeline(df, keys, order, judge, rows_per_chunk).withColumn("verdict", verdict)
+        out = with_heat(df, keys, order, judge, heat).withColumn("verdict", verdict)
         out = durable(out.withColumn("_now", F.col("verdict") == "accepted"))
         changed = not out.filter(F.col("_now") != F.col("_ok")).isEmpty()
         if not changed:

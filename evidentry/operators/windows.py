@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..functions.expr import bit, code, count_if, micros
-from ..functions.timeline import (ROWS_PER_CHUNK, Timeline, before, durable, over_timeline,
-                                  running)
+from ..functions.timeline import (ROWS_PER_CHUNK, Timeline, before, durable, find_heat, running,
+                                  with_heat)
 
 
 @dataclass(frozen=True)
@@ -60,9 +60,10 @@ def sequence_windows(df: DataFrame, config: WindowConfig = WindowConfig()) -> Da
         # The latest gap is the start of the stretch; it also numbers the stretch.
         return line.run(d, {"stretch_us": running("last", F.col("_new"))}).drop("_new")
 
-    df = over_timeline(df.withColumn("_us", micros("observed_at")), [KEY], ["_us", "line_no"],
-                       stretches, config.rows_per_chunk)
-    starts = _capped_starts(df, config)
+    df = df.withColumn("_us", micros("observed_at"))
+    heat = find_heat(df, [KEY], "_us", config.rows_per_chunk)
+    df = with_heat(df, [KEY], ["_us", "line_no"], stretches, heat)
+    starts = _capped_starts(df, config, heat is not None)
     bucket = F.floor((F.col("_us") - F.col("stretch_us")) / float(config.slice_us))
     # A window is shorter than `max_age_us`, so it touches at most two buckets. Each
     # (stretch, bucket) has a handful of starts, whatever the number of events.
@@ -78,22 +79,21 @@ def sequence_windows(df: DataFrame, config: WindowConfig = WindowConfig()) -> Da
             .drop("_b", "_starts", "_prev_us", "stretch_us"))
 
 
-def _capped_starts(df: DataFrame, config: WindowConfig) -> DataFrame:
-    """(key, stretch_us, _start): window starts of the stretches that reach the cap."""
-    age = F.col("_us") - F.col("stretch_us")
-    long = (df.groupBy(KEY, "stretch_us").agg(F.max("_us").alias("_end"))
-            .filter(F.col("_end") - F.col("stretch_us") >= config.max_age_us)
-            .select(KEY, "stretch_us"))
-    # Only distinct times matter for the starts.
-    times = (df.select(KEY, "stretch_us", "_us").join(long, [KEY, "stretch_us"], "left_semi")
-             .distinct().withColumn("_age", age))
-    sizes = times.groupBy(KEY, "stretch_us").count()
-    huge = sizes.filter(F.col("count") > config.rows_per_chunk).select(KEY, "stretch_us")
-    if df.isStreaming or huge.isEmpty():
+def _capped_starts(df: DataFrame, config: WindowConfig, hot: bool) -> DataFrame:
+    """(key, stretch_us, _start): the window starts that the age rule adds.
+
+    The first such start of a stretch is its first event of at least `max_age_us`, so
+    younger events, which are nearly all, are not even looked at. Of the others only the
+    distinct times matter.
+    """
+    old = F.col("_us") - F.col("stretch_us") >= config.max_age_us
+    times = df.filter(old).select(KEY, "stretch_us", "_us").distinct()
+    if not hot:  # no key is large, so no stretch is
         return _chains(times.withColumn("_slice", F.lit(0).cast("long")), None, config)
-    huge = durable(huge)
+    sizes = times.groupBy(KEY, "stretch_us").agg(F.count(F.lit(1)).alias("_n"), F.min("_us").alias("_entry"))
+    huge = durable(sizes.filter(F.col("_n") > config.rows_per_chunk).drop("_n"))
     small = times.join(F.broadcast(huge), [KEY, "stretch_us"], "left_anti")
-    big = times.join(F.broadcast(huge), [KEY, "stretch_us"], "left_semi")
+    big = times.join(F.broadcast(huge), [KEY, "stretch_us"])
     return _chains(small.withColumn("_slice", F.lit(0).cast("long")), None, config).unionByName(
         _sliced_chains(big, config))
 
@@ -110,14 +110,12 @@ def _chains(times: DataFrame, entries: DataFrame | None, config: WindowConfig) -
     sliced = entries is not None
     if sliced:
         times = times.join(entries, [KEY, "stretch_us", "_slice"])
-    else:
-        times = times.withColumn("_entry", F.col("stretch_us"))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         t = np.sort(pdf["_us"].to_numpy())
         stretch, part = int(pdf["stretch_us"].iat[0]), int(pdf["_slice"].iat[0])
-        end = stretch + (part + 1) * length if sliced else int(t[-1]) + 1
-        out, at = [], int(pdf["_entry"].iat[0])
+        end = stretch + max_age + (part + 1) * length if sliced else int(t[-1]) + 1
+        out, at = [], int(pdf["_entry"].iat[0]) if sliced else int(t[0])
         while at >= 0 and at < end:
             out.append(at)
             at = int(_next_start(t, np.array([at]), max_age)[0])
@@ -139,16 +137,20 @@ def _sliced_chains(times: DataFrame, config: WindowConfig) -> DataFrame:
     if length < reach:
         raise ValueError("a slice must be at least as long as max_age plus inactivity")
     group = [KEY, "stretch_us"]
-    cut = F.floor(F.col("_age") / float(length)).cast("long")
-    offset = F.col("_age") % length
+    age = F.col("_us") - F.col("stretch_us") - max_age
+    cut = F.floor(age / float(length)).cast("long")
+    offset = age % length
     # Each slice also sees the entry zone of the next one.
     halo = F.when((offset < reach) & (cut > 0), F.array(cut, cut - 1)).otherwise(F.array(cut))
     times = durable(times.withColumn("_slice", F.explode(halo)))
+    entries = times.filter("_slice = 0").select(*group, "_slice", "_entry").distinct()
+    times = times.drop("_entry")
 
     def hop(pdf: pd.DataFrame) -> pd.DataFrame:
         t = np.sort(pdf["_us"].to_numpy())
         stretch, part = int(pdf["stretch_us"].iat[0]), int(pdf["_slice"].iat[0])
-        begin, end = stretch + part * length, stretch + (part + 1) * length
+        begin = stretch + max_age + part * length
+        end = begin + length
         x = t[(t >= begin) & (t < begin + reach)]
         y = x.copy()
         inside = (y >= 0) & (y < end)
@@ -171,8 +173,6 @@ def _sliced_chains(times: DataFrame, config: WindowConfig) -> DataFrame:
         levels.append(durable(even.join(odd, [*group, "_slice", "_y"]).select(
             *group, "_slice", "_x", F.col("_z").alias("_y"))))
         step *= 2
-    entries = times.select(*group, F.lit(0).cast("long").alias("_slice"),
-                           F.col("stretch_us").alias("_entry")).distinct()
     for level in reversed(levels):
         found = entries.join(level.withColumnRenamed("_x", "_entry"), [*group, "_slice", "_entry"])
         ahead = found.select(*group, (F.col("_slice") + step).alias("_slice"), F.col("_y").alias("_entry"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import count_if, items, micros, proportion_difference, rates, wilson
+from ..functions.timeline import durable
 from ..operators import analysis as G
 from ..operators import challenge as H
 from ..operators import contracts as A
@@ -559,7 +560,8 @@ def f8_check_holdout_report(spark, sf):
 # --- G: decision and outcome analysis --------------------------------------------------------
 
 def _log(spark, sf):
-    d = T.logged(spark, sf)
+    """Decisions as a written table, as a log would be: outcomes derive from it twice."""
+    d = durable(T.logged(spark, sf))
     return d, T.outcomes(d)
 
 
@@ -643,7 +645,9 @@ def g12_canary_comparison(spark, sf):
 
 @query
 def g13_canary_challenge_budget(spark, sf):
-    return _round(L.canary_challenge_budget(T.logged(spark, sf), _links(spark, sf), F.col("last_us")))
+    d, o = _log(spark, sf)
+    links = L.link_outcomes(d, o).crossJoin(F.broadcast(G.last_time(d, o)))
+    return _round(L.canary_challenge_budget(d, links, F.col("last_us")))
 
 
 @query
@@ -666,8 +670,7 @@ def g15_proportion_difference(spark, sf):
         F.col("_d.lower95").alias("lower95"), F.col("_d.upper95").alias("upper95")))
 
 
-def _metrics(spark, sf):
-    d, o = _log(spark, sf)
+def _metrics(d, o):
     links = L.link_outcomes(d, o)
     overall = L.linked_evaluation(links.crossJoin(F.broadcast(G.last_time(d, o))), [], F.col("last_us"))
     return G.report_metrics(G.decision_summary(d), L.linkage_summary(links, o), overall)
@@ -675,20 +678,21 @@ def _metrics(spark, sf):
 
 @query
 def g16_readiness(spark, sf):
-    return G.readiness(_metrics(spark, sf)).select(
+    return G.readiness(_metrics(*_log(spark, sf))).select(
         "state", "operator_action", F.concat_ws(",", "reasons").alias("reasons"), "automatic_enforcement")
 
 
 @query
 def g16_recommendations(spark, sf):
-    df = G.recommendations(_metrics(spark, sf))
+    df = G.recommendations(_metrics(*_log(spark, sf)))
     return df.select(F.col("position").cast("long").alias("position"), "code", "priority", "disposition",
                      "metric", rounded("observed"), "threshold", "unit")
 
 
 def _half(spark, sf):
-    links = _links(spark, sf)
-    middle = T.logged(spark, sf).agg(T.div(F.min(micros("recorded_at")) + F.max(micros("recorded_at")), 2)
+    d, o = _log(spark, sf)
+    links = L.link_outcomes(d, o).crossJoin(F.broadcast(G.last_time(d, o)))
+    middle = d.agg(T.div(F.min(micros("recorded_at")) + F.max(micros("recorded_at")), 2)
                                      .alias("cutoff_us"))
     return L.decision_holdout(links.crossJoin(F.broadcast(middle)), F.col("cutoff_us"), F.col("last_us"))
 
@@ -743,7 +747,7 @@ def _gates(spark, sf, stage):
     d, o, timed, slices = _review_parts(spark, sf)
     source = A.source_summary(d.select("recorded_at").unionByName(o.select("recorded_at")), kind=None)
     endpoint = G.recommend_endpoint(G.endpoint_summary(d, o), slices, min_labels=2)
-    args = (G.readiness(_metrics(spark, sf)), source, G.dominant_version(d, "policy_version"),
+    args = (G.readiness(_metrics(d, o)), source, G.dominant_version(d, "policy_version"),
             G.dominant_version(d, "model_version"), endpoint)
     if stage == "canary":
         return G.review_gates(*args)

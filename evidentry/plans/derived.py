@@ -39,40 +39,37 @@ def _session(user: Column) -> Column:
     return F.concat(F.lit("session-"), F.lpad(user.cast("string"), 8, "0"))
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scoring requests, one per event."""
+def requests(spark: SparkSession, sf_dir: str, change: dict | None = None) -> DataFrame:
+    """Scoring requests, one per event; `change` maps observation names to functions."""
+    change = change or {}
     e, u = F.col("event_id"), F.col("user_id")
     rn = F.row_number().over(Window.partitionBy("user_id").orderBy("us", "event_id"))
     df = events(spark, sf_dir).withColumn("rn", rn.cast("long"))
     on = lambda n: e % n == 0
     unknown = F.lit("unknown")
-    observations = F.struct(
-        (e % 10 != 0).alias("user_agent_present"),
-        (e % 6).cast("int").alias("browser_event_count"),
-        (e % 2 == 0).alias("browser_events_verified"),
-        F.when(on(37), 1 + e % 3).otherwise(0).cast("int").alias("honeypot_hits"),
-        F.lit(0).alias("verified_decoy_hits"),
-        F.when(on(31), F.lit("failed")).otherwise(unknown).alias("challenge_verdict"),
-        F.when(on(23), (e % 100) / 100.0).otherwise(0.0).alias("external_risk_score"),
-        on(29).alias("policy_alert"),
-        on(13).alias("verified_bot"),
-        F.when(on(13), pick(V.CRAWLER_CLASSES[1:7], div(e, 13) % 6)).otherwise(unknown)
-        .alias("crawler_class"),
-        F.when(on(13), pick(V.CRAWLER_VERIFICATIONS[1:], div(e, 13) % 3)).otherwise(unknown)
-        .alias("crawler_verification"),
-        pick(V.TRANSPORT_PROTOCOLS, div(e, 3) % 4).alias("transport_protocol"),
-        pick(V.TRANSPORT_SECURITY, div(e, 5) % 4).alias("transport_security"),
-        pick(V.ADDRESS_SOURCES, div(e, 7) % 4).alias("client_address_source"),
-        F.when(on(17), pick(V.FINGERPRINT_CLASSES[1:], div(e, 17) % 3)).otherwise(unknown)
-        .alias("edge_fingerprint_class"),
-        F.when(on(17), pick(V.FINGERPRINT_METHODS[1:], div(e, 51) % 3)).otherwise(unknown)
-        .alias("edge_fingerprint_method"),
-        F.when(e % 19 < 4, pick(V.NETWORK_REPUTATIONS, e % 19 % 4)).otherwise(unknown)
-        .alias("network_reputation"),
-        F.when(e % 21 < 7, pick(V.NETWORK_TYPES, e % 21 % 7)).otherwise(unknown)
-        .alias("network_type"),
-        (u % 3 == 0).alias("server_session_verified"),
-    )
+    fields = {
+        "user_agent_present": (e % 10 != 0),
+        "browser_event_count": (e % 6).cast("int"),
+        "browser_events_verified": (e % 2 == 0),
+        "honeypot_hits": F.when(on(37), 1 + e % 3).otherwise(0).cast("int"),
+        "verified_decoy_hits": F.lit(0),
+        "challenge_verdict": F.when(on(31), F.lit("failed")).otherwise(unknown),
+        "external_risk_score": F.when(on(23), (e % 100) / 100.0).otherwise(0.0),
+        "policy_alert": on(29),
+        "verified_bot": on(13),
+        "crawler_class": F.when(on(13), pick(V.CRAWLER_CLASSES[1:7], div(e, 13) % 6)).otherwise(unknown),
+        "crawler_verification": F.when(on(13), pick(V.CRAWLER_VERIFICATIONS[1:], div(e, 13) % 3)).otherwise(unknown),
+        "transport_protocol": pick(V.TRANSPORT_PROTOCOLS, div(e, 3) % 4),
+        "transport_security": pick(V.TRANSPORT_SECURITY, div(e, 5) % 4),
+        "client_address_source": pick(V.ADDRESS_SOURCES, div(e, 7) % 4),
+        "edge_fingerprint_class": F.when(on(17), pick(V.FINGERPRINT_CLASSES[1:], div(e, 17) % 3)).otherwise(unknown),
+        "edge_fingerprint_method": F.when(on(17), pick(V.FINGERPRINT_METHODS[1:], div(e, 51) % 3)).otherwise(unknown),
+        "network_reputation": F.when(e % 19 < 4, pick(V.NETWORK_REPUTATIONS, e % 19 % 4)).otherwise(unknown),
+        "network_type": F.when(e % 21 < 7, pick(V.NETWORK_TYPES, e % 21 % 7)).otherwise(unknown),
+        "server_session_verified": (u % 3 == 0),
+    }
+    fields = {k: (change[k](c) if k in change else c) for k, c in fields.items()}
+    observations = F.struct(*[c.alias(k) for k, c in fields.items()])
     return df.select(
         F.timestamp_micros("us").alias("observed_at"), e.alias("line_no"),
         _session(u).alias("session_id"),
@@ -89,23 +86,17 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rough_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`requests` with contract violations spread over the rows."""
-    e = F.col("line_no")
-    df = requests(spark, sf_dir)
-    o = F.col("observations")
-    o = o.withField("browser_event_count", F.when(e % 53 == 0, 10_001).otherwise(o.browser_event_count))
-    o = o.withField("honeypot_hits", F.when(e % 59 == 0, -1).otherwise(o.honeypot_hits))
-    o = o.withField("external_risk_score", F.when(e % 61 == 0, 1.5).otherwise(o.external_risk_score))
-    o = o.withField("crawler_class", F.when(e % 26 == 0, F.lit("unknown")).otherwise(o.crawler_class))
-    o = o.withField("edge_fingerprint_method",
-                    F.when(e % 34 == 0, F.lit("unknown")).otherwise(o.edge_fingerprint_method))
-    o = o.withField("transport_protocol",
-                    F.when(e % 67 == 0, F.lit("http9")).otherwise(o.transport_protocol))
+    e, event = F.col("line_no"), F.col("event_id")
+    instead = lambda k, v: lambda c: F.when(event % k == 0, F.lit(v)).otherwise(c)
+    df = requests(spark, sf_dir, {
+        "browser_event_count": instead(53, 10_001), "honeypot_hits": instead(59, -1),
+        "external_risk_score": instead(61, 1.5), "crawler_class": instead(26, "unknown"),
+        "edge_fingerprint_method": instead(34, "unknown"), "transport_protocol": instead(67, "http9")})
     return df.withColumns({
         "session_id": F.when(e % 43 == 0, F.lit("short")).otherwise(F.col("session_id")),
         "action": F.when(e % 47 == 0, F.lit("dance")).otherwise(F.col("action")),
         "sequence": F.when(e % 71 == 0, F.lit(0)).otherwise(F.col("sequence")),
         "evaluation_cohort": F.when(e % 73 == 0, F.lit("vip")).otherwise(F.col("evaluation_cohort")),
-        "observations": o,
     })
 
 
