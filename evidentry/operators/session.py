@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import bit, micros
+from ..functions.expr import bit, let, micros
 from ..functions.timeline import ROWS_PER_CHUNK, Timeline, before, over_timeline, running
 from ..vocab import BROWSER_EVENT_KINDS, ENDPOINT_CLASSES, MICROS, MINUTE_US
 
@@ -125,21 +125,21 @@ def enforcement_history(df: DataFrame, config: SessionConfig = SessionConfig())
 
 # --- browser event batches -------------------------------------------------------
 
-def valid_batch(df: DataFrame) -> Column:
+def valid_batch() -> Column:
     """All-or-nothing contract of a batch."""
-    events = F.col("events")
-    ok_event = lambda e: (
-        (e.sequence >= 1) & e.kind.isin(*BROWSER_EVENT_KINDS)
-        & e.elapsed_bucket_ms.between(0, 86_400_000) & e.value_bucket.between(0, 65_536))
-    seqs = F.transform(events, lambda e: e.sequence)
-    rising = F.forall(
-        F.zip_with(seqs, F.slice(seqs, 2, F.greatest(F.size(seqs) - 1, F.lit(0))),
-                   lambda a, b: b.isNull() | (b > a)), lambda x: x)
+    def sound(events: Column) -> Column:
+        def ok_event(e: Column) -> Column:
+            return ((e.sequence >= 1) & e.kind.isin(*BROWSER_EVENT_KINDS)
+                    & e.elapsed_bucket_ms.between(0, 86_400_000) & e.value_bucket.between(0, 65_536))
+
+        following = F.slice(events, 2, F.greatest(F.size(events) - 1, F.lit(0)))
+        rising = F.forall(F.zip_with(events, following, lambda a, b: b.isNull() | (b.sequence > a.sequence)),
+                          lambda x: x)
+        return F.size(events).between(1, 64) & F.forall(events, ok_event) & rising
+
     return F.coalesce(
-        F.octet_length("session_id").between(8, 128)
-        & (F.octet_length("sensor_version") <= 32)
-        & F.size(events).between(1, 64) & F.forall(events, ok_event) & rising,
-        F.lit(False))
+        F.octet_length("session_id").between(8, 128) & (F.octet_length("sensor_version") <= 32)
+        & let(F.col("events"), sound), F.lit(False))
 
 
 def ingest_event_batches(df: DataFrame, config: SessionConfig = SessionConfig()) -> DataFrame:
@@ -159,7 +159,7 @@ def ingest_event_batches(df: DataFrame, config: SessionConfig = SessionConfig())
         return line.run(d, {"total_accepted_events": running("sum", F.col("accepted_events"))},
                         segment="epoch")
 
-    df = df.filter(valid_batch(df)).withColumn("_us", micros("received_at"))
+    df = df.filter(valid_batch()).withColumn("_us", micros("received_at"))
     out = over_timeline(df, ["session_id"], ["_us", "line_no"], apply, config.rows_per_chunk)
     return out.drop("_us")
 

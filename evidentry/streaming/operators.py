@@ -86,7 +86,7 @@ def stream_event_batches(batches: DataFrame, delay: str = "10 minutes",
                          config: SessionConfig = SessionConfig()) -> DataFrame:
     """Receipts of valid browser batches."""
     sequences = F.concat_ws(",", F.transform("events", lambda e: e.sequence.cast("string")))
-    df = batches.filter(valid_batch(batches)).withColumns({
+    df = batches.filter(valid_batch()).withColumns({
         "us": micros("received_at"), "event_time": F.col("received_at"), "sequences": sequences})
     return run_ordered(df, BatchReceipts(config), delay=delay)
 
