@@ -47,6 +47,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the cluster's shared checkpoint folder."""
+    import uuid
+
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 @dataclass(frozen=True)
 class Running:
     """A running value over the rows before (and, if `inclusive`, at) the current row."""

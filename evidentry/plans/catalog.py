@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import count_if, items, micros, proportion_difference, rates, wilson
-from ..functions.timeline import durable
+from ..functions.timeline import durable, shared_folder
 from ..operators import analysis as G
 from ..operators import challenge as H
 from ..operators import contracts as A
@@ -23,6 +23,8 @@ from ..operators import score as P
 from ..operators import session as S
 from ..operators import telemetry as M
 from ..operators import windows as W
+from ..sources import jsonl, reports, sealed, shards
+from ..streaming import operators as J
 from . import derived as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -849,3 +851,125 @@ def h10_run_spread(spark, sf):
     hourly = M.nearest_rank(T.request_log(spark, sf).withColumn(
         "hour", F.floor(F.unix_micros("observed_at") / 3.6e9)), "latency_us", keys=["source_id", "hour"])
     return M.run_spread(hourly, "p50", ["source_id"])
+
+
+# --- A: sources and sinks ------------------------------------------------------------------
+
+@query
+def a1_read_evidence_jsonl(spark, sf):
+    """Write the rough evidence as JSON Lines, break some lines, read them strictly."""
+    rough = T.rough_local_events(spark, sf)
+    e = F.col("line_no")
+    text = F.to_json(F.struct(*[c for c in rough.columns if c != "line_no"]))
+    broken = (F.when(e % 83 == 0, F.concat(text, F.lit(" x")))
+              .when(e % 89 == 0, F.regexp_replace(text, "^.", '{"source":"access_gateway",'))
+              .when(e % 97 == 0, F.regexp_replace(text, "^.", '{"extra":1,')).otherwise(text))
+    folder = shared_folder(spark, "jsonl")
+    rough.select(broken.alias("value")).write.text(folder)
+    valid, bad = jsonl.read_evidence_jsonl(spark, folder)
+    return _reasons(valid, bad)
+
+
+def _published(spark, sf):
+    folder = shared_folder(spark, "published")
+    return folder, shards.publish_evidence(T.local_events(spark, sf), folder, shard_size=2_000)
+
+
+@query
+def a4_publish_evidence(spark, sf):
+    _, manifest = _published(spark, sf)
+    return shards.published_summary(manifest).select("events", "first_us", "last_us")
+
+
+@query
+def a5_verify_published(spark, sf):
+    """Verification of a fresh folder: every shard matches, nothing is undeclared."""
+    folder, manifest = _published(spark, sf)
+    problems = shards.verify_published(spark, folder).agg(n().alias("problems"))
+    return manifest.agg(F.sum("records").cast("long").alias("records")).crossJoin(problems)
+
+
+@query
+def a13_sealed_records(spark, sf):
+    """Encrypt, tamper with every 50th record, decrypt."""
+    df = T.request_log(spark, sf).select(
+        (F.col("line_no") % 5).cast("string").alias("source"), T.div(F.col("line_no"), 5).alias("seq"),
+        "line_no", "disposition")
+    box = sealed.encrypt_records(df, b"k" * 32).withColumn(
+        "source", F.when(F.col("seq") % 50 == 7, F.lit("moved")).otherwise(F.col("source")))
+    rows, _ = sealed.decrypt_records(box, b"k" * 32, "line_no long, disposition string")
+    return rows.select("line_no", "disposition")
+
+
+@query
+def a13_check_counters(spark, sf):
+    df = T.request_log(spark, sf).select((F.col("line_no") % 5).cast("string").alias("source"),
+                                         T.div(F.col("line_no"), 5).alias("seq"))
+    return sealed.check_counters(df.filter("NOT (source = '3' AND seq = 4)"))
+
+
+@query
+def a15_publish_report(spark, sf):
+    folder = shared_folder(spark, "report")
+    for result in ("rejected", "accepted"):
+        flow = M.outcome_flow(T.request_log(spark, sf).filter(F.col("result") == result))
+        reports.publish_report(flow, folder, replace=True)
+    return reports.read_latest_report(spark, folder)
+
+
+@query
+def b3_assert_no_direct_refs(spark, sf):
+    out = B.pseudonymise(T.local_events_raw(spark, sf), b"k" * 32, "dataset-a", "pilot-a")
+    return B.assert_no_direct_refs(out).agg(
+        n().alias("rows"), F.count_distinct("subject_id").alias("subjects"),
+        F.count_distinct("session_id").alias("sessions"))
+
+
+# --- J: streaming ---------------------------------------------------------------------------
+
+def _stream(spark, sf, build) -> DataFrame:
+    """Run a streaming operator over the events file to completion and read its sink.
+
+    A separate session holds the state-store setting; the sink is in the shared folder.
+    """
+    from ..streaming.ordered import PROVIDER, ROCKSDB
+
+    session = spark.newSession()
+    session.conf.set(PROVIDER, ROCKSDB)
+    session.conf.set("spark.sql.session.timeZone", "UTC")
+    session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    out, mark = shared_folder(spark, "stream"), shared_folder(spark, "stream-checkpoint")
+    df = build(session)
+    q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(out)
+
+
+@query
+def j1_stream_session_features(spark, sf):
+    return _stream(spark, sf, lambda s: J.stream_session_features(
+        T.request_stream(s, sf), "0 seconds")).withColumn(
+        "distinct_endpoint_classes", F.col("distinct_endpoint_classes").cast("long"))
+
+
+@query
+def j3_stream_single_use(spark, sf):
+    uses = lambda s: T.request_stream(s, sf).select(
+        (T.div(F.col("line_no"), 2)).alias("nonce"), F.col("observed_at").alias("used_at"))
+    return _stream(spark, sf, lambda s: J.stream_single_use(uses(s))).select("nonce")
+
+
+@query
+def j4_stream_windows(spark, sf):
+    return _stream(spark, sf, lambda s: J.stream_windows(T.local_stream(s, sf), "0 seconds")).select(
+        "sequence_key", "first_us", "last_us", "events", "peak_minute", "transitions", "closure")
+
+
+@query
+def j9_stream_counters(spark, sf):
+    stream = lambda s: T.request_stream(s, sf).withColumn(
+        "computed_action", F.lit("allow"))
+    df = _stream(spark, sf, lambda s: J.stream_counters(stream(s).withColumn("action", F.lit("allow")),
+                                                        "5 minutes", "0 seconds", "observed_at"))
+    return df.select(micros(F.col("window.start")).alias("start_us"), "decisions")

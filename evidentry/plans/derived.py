@@ -29,7 +29,17 @@ def div(c: Column, n: int) -> Column:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, user_id and the compressed time `us`."""
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id")
+    return _compressed(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows as a stream over the file."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return _compressed(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+                       .parquet(sf_dir))
+
+
+def _compressed(raw: DataFrame) -> DataFrame:
     us = micros("ts")
     return raw.select("event_id", "user_id",
                       (F.lit(T0) + div(us - T0, COMPRESSION)).alias("us"))
@@ -118,8 +128,27 @@ def event_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
         (e % 10 != 0).alias("user_agent_present"), (u % 3 == 0).alias("verified_session"))
 
 
+def request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests as a stream; the sequence is the event id, as a stream has no rank."""
+    e, u = F.col("event_id"), F.col("user_id")
+    return event_stream(spark, sf_dir).select(
+        F.timestamp_micros("us").alias("observed_at"), e.alias("line_no"), _session(u).alias("session_id"),
+        pick(V.ENDPOINT_CLASSES, (e * 7 + u) % 9).alias("endpoint_class"),
+        (e + 1 - F.when(e % 11 == 0, 300).otherwise(0)).alias("sequence"))
+
+
+def local_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised local evidence as a stream."""
+    return _local(event_stream(spark, sf_dir)).withColumnsRenamed(
+        {"subject_ref": "subject_id", "session_ref": "session_id"})
+
+
 def local_events_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Local evidence before validation and pseudonymisation."""
+    return _local(events(spark, sf_dir))
+
+
+def _local(source: DataFrame) -> DataFrame:
     e = F.col("event_id")
     g, i = div(e, 100), e % 100
     v = g % 5
@@ -148,7 +177,7 @@ def local_events_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = (F.when(e % 53 == 0, F.lit(1)).when(e % 59 == 0, F.lit(2))
             .when(e % 61 == 0, F.lit(3)).otherwise(F.lit(0)))
     triple = lambda k: pick([t[k] for t in V.LABEL_TRIPLES], kind)
-    return events(spark, sf_dir).select(
+    return source.select(
         e.alias("line_no"), F.timestamp_micros(start + offset).alias("observed_at"),
         ref.alias("subject_ref"),
         F.when(g % 3 != 0, F.concat(F.lit("s-"), ref)).alias("session_ref"),

@@ -1188,3 +1188,31 @@ QUERIES["h10_failure_counts"] = "SELECT fail AS failure_class, CAST(count(*) AS
 QUERIES["h10_run_spread"] = """
 SELECT source_id, median(p) AS median, min(p) AS minimum, max(p) AS maximum FROM (
   SELECT src AS source_id, us // 3600000000 AS h, quantile_disc(lat, 0.5) AS p FROM v_rlog GROUP BY 1, 2) GROUP BY 1"""
+
+# --- A: sources and sinks; J: streams ---------------------------------------------------------
+QUERIES["a1_read_evidence_jsonl"] = """
+SELECT CASE WHEN e % 83 = 0 THEN 'invalid_json' WHEN e % 89 = 0 THEN 'duplicate_key' WHEN e % 97 = 0 THEN 'unknown_field'
+  ELSE coalesce(why, 'valid') END AS reason, CAST(count(*) AS BIGINT) AS n FROM v_local_bad GROUP BY 1"""
+QUERIES["a4_publish_evidence"] = "SELECT CAST(count(*) AS BIGINT) AS events, min(us) AS first_us, max(us) AS last_us FROM v_local"
+QUERIES["a5_verify_published"] = "SELECT CAST(count(*) AS BIGINT) AS records, CAST(0 AS BIGINT) AS problems FROM v_local"
+QUERIES["a13_sealed_records"] = "SELECT e AS line_no, disp AS disposition FROM v_rlog WHERE (e // 5) % 50 <> 7"
+QUERIES["a13_check_counters"] = """
+SELECT (e % 5)::VARCHAR AS source, CAST(count(*) AS BIGINT) AS records, e % 5 <> 3 AS contiguous FROM v_rlog WHERE e <> 23 GROUP BY e % 5"""
+QUERIES["a15_publish_report"] = f"""
+SELECT {cnt('e % 4 < 2')} AS accepted, CAST(0 AS BIGINT) AS rejected, CAST(0 AS BIGINT) AS dropped, 'collecting' AS state FROM v_ev"""
+QUERIES["b3_assert_no_direct_refs"] = """
+SELECT CAST(count(*) AS BIGINT) AS rows, count(DISTINCT subject_id) AS subjects, count(DISTINCT session_id) AS sessions FROM v_pseudo"""
+VIEWS["v_stream_feat"] = features(f"""(SELECT e, us, 'session-' || lpad(CAST(u AS VARCHAR), 8, '0') AS sid,
+  {pick(V.ENDPOINT_CLASSES, '(e*7+u) % 9')} AS ep, e + 1 - CASE WHEN e % 11 = 0 THEN 300 ELSE 0 END AS seq FROM v_ev)""")
+# A stream releases what lies before its watermark: the newest time in whole milliseconds.
+QUERIES["j1_stream_session_features"] = """
+SELECT sid AS session_id, e AS line_no, CAST(n_req AS BIGINT) AS request_count, first_us AS first_seen_us,
+  CAST(max_gap AS BIGINT) AS max_sequence_gap, classes AS distinct_endpoint_classes, transitions AS endpoint_transitions
+FROM v_stream_feat WHERE us < (SELECT max(us) // 1000 * 1000 FROM v_ev)"""
+QUERIES["j3_stream_single_use"] = "SELECT DISTINCT e // 2 AS nonce FROM v_ev"
+QUERIES["j4_stream_windows"] = """
+SELECT key AS sequence_key, w AS first_us, last_us, n AS events, peak AS peak_minute, tr AS transitions, closure
+FROM v_win WHERE closure <> 'end_of_input' AND closed < (SELECT max(us) // 1000 * 1000 FROM v_local)"""
+QUERIES["j9_stream_counters"] = """
+SELECT us // 300000000 * 300000000 AS start_us, CAST(count(*) AS BIGINT) AS decisions FROM v_ev GROUP BY 1
+HAVING us // 300000000 * 300000000 + 300000000 <= (SELECT max(us) // 1000 * 1000 FROM v_ev)"""
