@@ -280,7 +280,11 @@ def window_label(human: Column, abuse: Column) -> Column:
 
 
 def closure_reason(windows: DataFrame, config: WindowConfig = WindowConfig()) -> DataFrame:
-    """Add `closure` and `closed_us`, the time the window stops being open."""
+    """Add `closure` and `closed_us`, the time the window stops being open.
+
+    Windows of a key start at least `inactivity_us` or `max_age_us` apart, so even a hot
+    key has only about a hundred thousand windows per year to order.
+    """
     after = F.lead("first_us").over(Window.partitionBy(KEY).orderBy("first_us"))
     end = windows.agg(F.max("last_us").alias("_end"))
     df = windows.withColumn("_next", after).crossJoin(F.broadcast(end))
