@@ -8,13 +8,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import chat, htmltext, simhash
+from . import chat, containment, htmltext, itq, mixture, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixture.mix_report(table(spark, sf_dir, "documents")).drop("source")
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold 80 % or more of a benchmark item's five-word shingles, with the item."""
+    return containment.leaking_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and group of every embedding."""
+    return itq.embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return htmltext.extract_text(table(spark, sf_dir, "pages"))
@@ -35,7 +50,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(turns.unionByName(extra)))
 
 
-_QUERIES = (op6_html_extraction, op8_simhash, op9_chat_formatting)
+_QUERIES = (op2_mixture, op4_decontamination, op5_embedding_dedup, op6_html_extraction, op8_simhash, op9_chat_formatting)
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
