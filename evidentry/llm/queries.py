@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import chat, containment, htmltext, itq, mixture, simhash
+from . import chat, containment, htmltext, itq, mixture, simhash, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,12 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that lose repeated lines or passages: what is left, and the spans cut."""
+    cut = substring.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.where(F.size("removed") > 0).select("doc_id", "text", F.size("removed").alias("n_removed"), "removed")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and group of every document."""
     return simhash.simhash_groups(table(spark, sf_dir, "documents")).drop("fp")
@@ -50,7 +56,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(turns.unionByName(extra)))
 
 
-_QUERIES = (op2_mixture, op4_decontamination, op5_embedding_dedup, op6_html_extraction, op8_simhash, op9_chat_formatting)
+_QUERIES = (op2_mixture, op4_decontamination, op5_embedding_dedup, op6_html_extraction, op7_substring_dedup, op8_simhash, op9_chat_formatting)
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
