@@ -121,7 +121,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(count)], names=["h", "n"])
 
 
-UNITS = "id long, text_key long, first int, words int, digest_a long, digest_b long"
+#: place: number of the first word, doubled, and one more for lines
+UNITS = "id long, text_key long, place long, digest_a long, digest_b long"
 
 
 def _suspects(known: np.ndarray):
@@ -129,15 +130,14 @@ def _suspects(known: np.ndarray):
         for whole in batches:
             for batch in slices(whole, "text", SLICE_BYTES):
                 texts = batch.column("text")
-                row, kind, first, words, one, two = units(tokenize(texts), texts)
+                row, kind, first, _, one, two = units(tokenize(texts), texts)
                 one = one + kind.astype(np.uint64)
                 may = filters.contains(known, one)
                 take = pa.array(row[may], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").take(take), batch.column("text_key").take(take), pa.array(first[may], pa.int32()),
-                     pa.array(np.where(kind[may] == LINE, -words[may], words[may]), pa.int32()),
+                    [batch.column("id").take(take), batch.column("text_key").take(take), pa.array(2 * first[may] + (kind[may] == LINE)),
                      pa.array(one[may].view(np.int64)), pa.array(two[may].view(np.int64))],
-                    names=["id", "text_key", "first", "words", "digest_a", "digest_b"])
+                    names=["id", "text_key", "place", "digest_a", "digest_b"])
     return run
 
 
@@ -180,9 +180,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 spans.append([])
                 continue
             tokens = tokenize(texts.slice(i, 1))
-            table = np.array([(m["first"], m["words"], m["later"]) for m in found], np.int64)
-            table = table[table[:, 0] + np.abs(table[:, 1]) <= len(tokens.hash)]
-            gone = removed_words(len(tokens.hash), table[table[:, 2] == 1][:, :2], table[table[:, 2] == 0][:, :2])
+            mark = np.array(found, np.int64)
+            first, is_line, later = mark >> 2, mark & 2 > 0, mark & 1 > 0
+            line = line_numbers(tokens, texts.slice(i, 1))
+            words = np.where(is_line, first - np.searchsorted(line, line[first], side="right"), RUN)   # lines negative
+            table = np.stack([first, words], axis=1)
+            gone = removed_words(len(tokens.hash), table[later], table[~later])
             raw = text.encode()
             # byte offset -> code point offset
             points = np.r_[0, np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)]
@@ -206,22 +209,22 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_units(documents: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, text_key, first, words, later) of all units that occur more than once.
+    """(id, text_key, mark) of all units that occur more than once.
 
-    Places are word numbers within the text; lines have negative words. later is 0 for the
-    earliest occurrence and 1 for all others. The first pass only counts unit hashes; what
-    cannot repeat is dropped by a filter of fixed size before units are grouped exactly.
+    mark = 4 * number of the first word + 2 for lines + 1 for all but the earliest occurrence.
+    The first pass only counts unit hashes; what cannot repeat is dropped by a filter of fixed
+    size before units are grouped exactly.
     """
     source = documents.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     source = source.select("id", "text", F.xxhash64("text").alias("text_key"))
     counts = source.select("text").mapInArrow(_digests, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     known = filters.build(counts.where("n > 1"), "h")
-    suspects = stored(source.mapInArrow(_suspects(known), UNITS).distinct(), "units")
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "text_key", "first")
-    groups = suspects.groupBy("digest_a", "digest_b").agg(F.min(place).alias("best"), F.max(place).alias("worst"))
-    groups = groups.where("best <> worst").select("digest_a", "digest_b", "best")
+    suspects = stored(source.mapInArrow(_suspects(known), UNITS), "units")
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "text_key", F.shiftright("place", 1).alias("first"))
+    groups = suspects.groupBy("digest_a", "digest_b").agg(F.min(rank).alias("best"), F.count("*").alias("n"))
+    groups = groups.where("n > 1").select("digest_a", "digest_b", "best")
     return suspects.join(groups, ["digest_a", "digest_b"]).select(
-        "id", "text_key", "first", "words", (place != F.col("best")).cast("int").alias("later"))
+        "id", "text_key", (F.col("place") * 2 + (rank != F.col("best")).cast("int")).alias("mark"))
 
 
 def deduplicated(documents: DataFrame, id: str = "doc_id", text: str = "text", removed: str | None = "removed") -> DataFrame:
@@ -235,8 +238,8 @@ def deduplicated(documents: DataFrame, id: str = "doc_id", text: str = "text", r
     """
     names = documents.columns
     marks = repeated_units(documents, id, text).groupBy("id", "text_key").agg(
-        F.collect_list(F.struct("first", "words", "later")).alias("marks"), F.max("later").alias("any"))
-    marks = marks.where("any = 1").select(F.col("id").alias("m_id"), F.col("text_key").alias("m_key"), "marks")
+        F.collect_set("mark").alias("marks"), F.bit_or("mark").alias("any"))
+    marks = marks.where("any % 2 = 1").select(F.col("id").alias("m_id"), F.col("text_key").alias("m_key"), "marks")
     body = documents.select(F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("key"),
                             F.col(f"`{id}`").cast("long").alias("id"),
                             F.struct(*[F.col(f"`{c}`") for c in names if c != text]).alias("rest"))
