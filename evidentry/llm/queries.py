@@ -8,13 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import chat, containment, htmltext, itq, mixture, simhash, substring
+from . import chat, containment, htmltext, itq, mixture, simhash, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from labelled documents outside the held-out fifth."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(documents, table(spark, sf_dir, "labels"))
+    return toxicity.scored(documents, model, score="score").select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mixture.mix_report(table(spark, sf_dir, "documents")).drop("source")
@@ -56,7 +65,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(turns.unionByName(extra)))
 
 
-_QUERIES = (op2_mixture, op4_decontamination, op5_embedding_dedup, op6_html_extraction, op7_substring_dedup, op8_simhash, op9_chat_formatting)
+_QUERIES = (op1_toxicity, op2_mixture, op4_decontamination, op5_embedding_dedup, op6_html_extraction, op7_substring_dedup, op8_simhash, op9_chat_formatting)
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
