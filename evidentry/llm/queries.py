@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import chat, containment, htmltext, itq, mixture, simhash, substring, toxicity
+from . import chat, containment, htmltext, itq, mixture, simhash, substring, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,16 @@ def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix_report(table(spark, sf_dir, "documents")).drop("source")
 
 
+# The rules of the query's contract.
+URL_RULES = (urls.Rule("block", "net/"), urls.Rule("allow", "example.net/en/"),
+             urls.Rule("block", "example.com/de/"), urls.Rule("allow", "org/fr/"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url."""
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold 80 % or more of a benchmark item's five-word shingles, with the item."""
     return containment.leaking_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -65,7 +75,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(turns.unionByName(extra)))
 
 
-_QUERIES = (op1_toxicity, op2_mixture, op4_decontamination, op5_embedding_dedup, op6_html_extraction, op7_substring_dedup, op8_simhash, op9_chat_formatting)
+_QUERIES = (op1_toxicity, op2_mixture, op3_url_filter, op4_decontamination, op5_embedding_dedup, op6_html_extraction, op7_substring_dedup, op8_simhash, op9_chat_formatting)
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
