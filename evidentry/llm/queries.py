@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import chat, containment, htmltext, itq, mixture, simhash, substring, toxicity, urls
+from . import chat, containment, htmltext, itq, licenses, mixture, simhash, substring, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,7 +75,12 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(turns.unionByName(extra)))
 
 
-_QUERIES = (op1_toxicity, op2_mixture, op3_url_filter, op4_decontamination, op5_embedding_dedup, op6_html_extraction, op7_substring_dedup, op8_simhash, op9_chat_formatting)
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence paragraphs of all documents and their families."""
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.train(spark))
+
+
+_QUERIES = (op1_toxicity, op2_mixture, op3_url_filter, op4_decontamination, op5_embedding_dedup, op6_html_extraction, op7_substring_dedup, op8_simhash, op9_chat_formatting, op10_license_scan)
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
