@@ -178,3 +178,27 @@ def mix_report(documents: DataFrame, id: str = "doc_id", text: str = "text", sou
     return mixed(rows, **options).select(
         F.col("id").alias(id), F.col("source").alias(source), "size", "source_size", "target", "copies",
         (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mix(documents: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """`documents` repeated as often as the mix takes them.
+
+    Columns stay; `copy` counts the copies of a row from 1, and `mix_size`, `mix_source_size`
+    and `mix_target` hold the words of the text, of its source and of its source's target.
+    Rows of no copies are left out. Rows that repeat in all of id, text and source are taken
+    as often as all of them together.
+    """
+    names = documents.columns
+    key = F.xxhash64(F.col(f"`{id}`"), F.col(f"`{text}`"))
+    wanted = F.col(f"`{source}`").cast("string")
+    rows = documents.select(key.alias("id"), wanted.alias("source"), words_of(F.col(f"`{text}`")).alias("size"))
+    taken = mixed(rows, **options).groupBy("id", "source", "size", "source_size", "target").agg(
+        F.sum("copies").alias("copies"), F.count("*").alias("n")).where("copies > 0")
+    taken = stored(taken.select(*[F.col(c).alias(f"mix {c}") for c in ("id", "source", "size", "source_size", "target", "copies", "n")]), "taken")
+    found = documents.withColumn("mix key", key).join(
+        taken, (F.col("`mix key`") == F.col("`mix id`")) & wanted.eqNullSafe(F.col("`mix source`")))
+    once = found.where("`mix n` = 1")
+    repeated = found.where("`mix n` > 1").dropDuplicates(["mix id", "mix source"])
+    return once.union(repeated).select(
+        *[F.col(f"`{c}`") for c in names], F.explode(F.sequence(F.lit(1).cast("long"), F.col("`mix copies`"))).alias("copy"),
+        F.col("`mix size`").alias("mix_size"), F.col("`mix source_size`").alias("mix_source_size"), F.col("`mix target`").alias("mix_target"))

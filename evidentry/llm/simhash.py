@@ -227,6 +227,12 @@ def trie_links(fingerprints: DataFrame, leaves_per_task: int = LEAVES_PER_TASK)
             .groupBy("start", "level", "xor", "node").applyInPandas(_walk_node, "a long, b long"))
 
 
+def _prints(documents: DataFrame, id: str, text: str) -> DataFrame:
+    source = documents.select(F.col(f"`{id}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("text_key"),
+                              F.col(f"`{text}`").alias("text"))
+    return stored(source.mapInArrow(_fingerprints("text", "fp"), "id long, text_key long, fp long"), "doc-fingerprints")
+
+
 def simhash_groups(documents: DataFrame, id: str = "doc_id", text: str = "text",
                    leaves_per_task: int = LEAVES_PER_TASK) -> DataFrame:
     """One row per document: id, fp (signed 64 bits), fingerprint (16 hex digits), component_id.
@@ -236,10 +242,8 @@ def simhash_groups(documents: DataFrame, id: str = "doc_id", text: str = "text",
     name them unless all ids of a component are null. Repeated rows give repeated results;
     an empty table gives none. Copies share a fingerprint, so they meet as one leaf of the trie.
     """
-    source = documents.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    prints = stored(source.mapInArrow(_fingerprints("text", "fp"), "id long, fp long"), "doc-fingerprints")
-    links = trie_links(prints, leaves_per_task)
-    labels = components(links)
+    prints = _prints(documents, id, text)
+    labels = components(trie_links(prints, leaves_per_task))
     nodes = prints.groupBy("fp").agg(F.min("id").alias("least"))
     linked = nodes.join(labels, F.col("fp") == F.col("node")).select("fp", "least", "component")
     least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -248,3 +252,29 @@ def simhash_groups(documents: DataFrame, id: str = "doc_id", text: str = "text",
     named = stored(linked.union(alone), "named-fingerprints")
     return prints.join(named, "fp").select(
         F.col("id").alias(id), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def simhash_distinct(documents: DataFrame, id: str = "doc_id", text: str = "text",
+                     leaves_per_task: int = LEAVES_PER_TASK) -> DataFrame:
+    """`documents` with one row of each group: that of the smallest id (null last), then of the smallest text hash.
+
+    Columns stay as they are. Rows that repeat in id and text are copies, so one of them stays.
+    """
+    prints = _prints(documents, id, text)
+    labels = components(trie_links(prints, leaves_per_task))
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "text_key")
+    firsts = prints.groupBy("fp").agg(F.min(rank).alias("best"))
+    linked = firsts.join(labels, F.col("fp") == F.col("node"))
+    best = linked.groupBy("component").agg(F.min("best").alias("best")).select("best").union(
+        firsts.join(labels, F.col("fp") == F.col("node"), "left_anti").select("best"))
+    # how many rows are that very document: nearly always one
+    rows = prints.groupBy("id", "text_key").agg(F.count("*").alias("n"))
+    stay = best.select(F.col("best.id").alias("i"), F.col("best.text_key").alias("k")).join(
+        rows, F.col("i").eqNullSafe(F.col("id")) & (F.col("k") == F.col("text_key"))).select(
+        F.col("i").alias("keep id"), F.col("k").alias("keep key"), F.col("n").alias("keep rows"))
+    names = documents.columns
+    found = documents.withColumn("own text key", F.xxhash64(F.col(f"`{text}`"))).join(
+        stored(stay, "kept"), F.col(f"`{id}`").cast("long").eqNullSafe(F.col("`keep id`")) & (F.col("`own text key`") == F.col("`keep key`")))
+    once = found.where("`keep rows` = 1")
+    repeated = found.where("`keep rows` > 1").dropDuplicates(["keep id", "keep key"])
+    return once.union(repeated).select(*[F.col(f"`{c}`") for c in names])
