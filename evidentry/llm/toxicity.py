@@ -31,8 +31,8 @@ GRAMS = (3, 4, 5)
 BUCKETS = 1 << 17
 DIM = 8
 WINDOW = 3
-SAMPLE_ROWS = 6_000       # labelled texts to learn from, half of them toxic where there are enough
-SAMPLE_BYTES = 60_000     # longer texts are not learnt from (they are scored whole like any other)
+SAMPLE_ROWS = 3_000       # labelled texts to learn from, half of them toxic where there are enough
+SAMPLE_BYTES = 8_000      # longer texts are not learnt from (they are scored whole like any other)
 ROUNDS = 4
 RATE = 0.05
 PASSES = 3                # over the chosen passages, per round
@@ -140,27 +140,38 @@ def fit(texts: pa.Array, labels: np.ndarray, seed: int = 5) -> Model:
     distinct_hash, place, inverse = np.unique(tokens.hash, return_index=True, return_inverse=True)
     distinct = Tokens(tokens.row[place], tokens.start[place], tokens.end[place], distinct_hash, tokens.bounds, tokens.lengths)
     data, starts = word_bytes(distinct, texts)
-    words, buckets = [np.arange(len(place))], [word_buckets(distinct_hash)]
+    # subwords of distinct word w: buckets[begin[w]:begin[w] + length[w]], the whole word first
+    length = 1 + sum(np.maximum(0, np.diff(np.r_[starts, len(data)]) - k + 1) for k in GRAMS)
+    begin = np.cumsum(length) - length
+    buckets = np.empty(int(length.sum()), np.int32)
+    buckets[begin] = word_buckets(distinct_hash)
+    filled = np.ones(len(place), np.int64)
     for k in GRAMS:
-        w, _, b = grams(data, starts, k)
-        words.append(w)
-        buckets.append(b)
-    words, buckets = np.concatenate(words), np.concatenate(buckets)
-    order = np.argsort(words, kind="stable")
-    words, buckets = words[order], buckets[order]
-    length = np.bincount(words, minlength=len(place))        # subwords of each distinct word
-
-    # in how many toxic and clean texts each subword occurs
+        for lo in range(0, len(place), 20_000):               # some words at a time, for memory
+            hi = min(len(place), lo + 20_000)
+            part = data[starts[lo]:starts[hi] if hi < len(place) else len(data)]
+            w, _, found = grams(part, starts[lo:hi] - starts[lo], k)
+            number = np.bincount(w, minlength=hi - lo)
+            within = np.arange(len(w)) - np.repeat(np.cumsum(number) - number, number)
+            buckets[begin[lo:hi][w] + filled[lo:hi][w] + within] = found
+            filled[lo:hi] += number
+
+    # in how many toxic and clean texts each subword occurs; some texts at a time, for memory
     text_of, word_of = np.divmod(np.unique(tokens.row.astype(np.int64) * len(place) + inverse), len(place))
-    begin = np.cumsum(length) - length
-    size = length[word_of]
-    spread = np.repeat(begin[word_of] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    pairs = np.unique(np.repeat(text_of, size) * BUCKETS + buckets[spread])
-    seen = np.stack([np.bincount(pairs[labels[pairs // BUCKETS] == y] % BUCKETS, minlength=BUCKETS) for y in (0, 1)])
+    seen = np.zeros((2, BUCKETS), np.int64)
+    for lo in range(0, len(text_of), 50_000):
+        # a text is not cut in two
+        hi = np.searchsorted(text_of, text_of[min(lo + 50_000, len(text_of)) - 1], side="right")
+        lo = np.searchsorted(text_of, text_of[lo - 1], side="right") if lo else 0
+        size = length[word_of[lo:hi]]
+        spread = np.repeat(begin[word_of[lo:hi]] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        pairs = np.unique(np.repeat(text_of[lo:hi], size) * BUCKETS + buckets[spread])
+        for y in (0, 1):
+            seen[y] += np.bincount(pairs[labels[pairs // BUCKETS] == y] % BUCKETS, minlength=BUCKETS)
     known = seen.sum(axis=0) >= LEAST_TEXTS
     odds = np.where(known, np.log((seen[1] + 0.5) / (positive + 1)) - np.log((seen[0] + 0.5) / (n - positive + 1)), 0.0)
     flat = buckets[known[buckets]]                            # known subwords of word w: flat[edge[w]:edge[w + 1]]
-    edge = np.r_[0, np.cumsum(np.bincount(words[known[buckets]], minlength=len(place)))]
+    edge = np.r_[0, np.cumsum(np.add.reduceat(known[buckets].astype(np.int64), begin))]
 
     embed = rng.uniform(-1, 1, (BUCKETS, DIM)) / DIM
     out = rng.normal(0, 0.1, (DIM, 2))
