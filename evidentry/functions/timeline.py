@@ -6,8 +6,8 @@ package runs on a `Timeline`:
 
 * cold keys use a plain window, partitioned by the key;
 * rows of hot keys (more than `rows_per_chunk` rows, found by one pre-aggregated
-  count) are cut into consecutive chunks of bounded size. Each chunk is computed
-  on its own and then corrected by the *carry*: the running state of the chunks
+  count) are ranked and cut into consecutive chunks of exactly that size, whatever their
+  times are. Each chunk is computed on its own and then corrected by the *carry*: the running state of the chunks
   before it, one small row per chunk.
 
 `sum`, `max`, `min`, `bit_or`, `last` and `first` states can be merged, which makes
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_CHUNK = 20_000_000
-CELLS_PER_CHUNK = 16
+MIN_ROWS_PER_CHUNK = 100_000
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -166,51 +166,55 @@ class Timeline:
 
 @dataclass(frozen=True)
 class Heat:
-    """Hot keys of a frame: their time grid and the chunk of every grid cell."""
+    """Hot keys of a frame, and how many rows a chunk of them has at most."""
 
-    grid: DataFrame
-    cells: DataFrame
+    keys: DataFrame
+    rows_per_chunk: int
 
 
-def find_heat(df: DataFrame, keys: Sequence[str], time: str,
-              rows_per_chunk: int = ROWS_PER_CHUNK) -> Heat | None:
+def find_heat(df: DataFrame, keys: Sequence[str], rows_per_chunk: int = ROWS_PER_CHUNK) -> Heat | None:
     """Hot keys, or None when no key exceeds `rows_per_chunk`.
 
-    `time` is an integer column. Both result tables hold at most about
-    `2 * CELLS_PER_CHUNK * rows / rows_per_chunk` rows, which bounds their broadcast.
+    There are at most rows / rows_per_chunk hot keys; `rows_per_chunk` is raised to
+    `MIN_ROWS_PER_CHUNK` on a cluster, so their broadcast stays small.
     """
     if df.isStreaming:
         return None
-    hot = (df.groupBy(*keys)
-           .agg(F.count(F.lit(1)).alias("_n"), F.min(time).alias("_t0"), F.max(time).alias("_t1"))
-           .filter(F.col("_n") > rows_per_chunk))
-    parts = F.ceil(F.col("_n") / F.lit(float(rows_per_chunk))) * CELLS_PER_CHUNK
-    width = F.greatest(F.lit(1), F.ceil((F.col("_t1") - F.col("_t0") + 1) / parts.cast("double")))
-    if hot.isEmpty():
-        return None
-    grid = durable(hot.select(*keys, "_t0", width.cast("long").alias("_width")))
-    counts = (_with_cell(df.join(F.broadcast(grid), list(keys)), time)
-              .groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n")))
-    upto = Window.partitionBy(*keys).orderBy("_cell")
-    ahead = F.sum("_n").over(upto) - F.col("_n")
-    cells = counts.select(*keys, "_cell",
-                          F.floor(ahead / F.lit(float(rows_per_chunk))).cast("long").alias("_chunk"))
-    return Heat(grid, durable(cells))
+    if not df.sparkSession.sparkContext.master.startswith("local"):
+        rows_per_chunk = max(rows_per_chunk, MIN_ROWS_PER_CHUNK)
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_chunk).select(*keys)
+    hot = durable(hot)
+    return None if hot.isEmpty() else Heat(hot, rows_per_chunk)
+
 
+def chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_chunk: int) -> DataFrame:
+    """Add `_chunk`: the rank of a row within its key, divided by `rows_per_chunk`.
 
-def _with_cell(df: DataFrame, time: str) -> DataFrame:
-    cell = F.floor((F.col(time) - F.col("_t0")) / F.col("_width").cast("double"))
-    return df.withColumn("_cell", cell.cast("long")).drop("_t0", "_width")
+    Rows are dealt by range of (keys, order), so a key spans tasks and neither a burst nor
+    equal times meet in one; a row number decides between rows that are equal in both. The
+    counts per key and task (one small row each) turn places within a task into ranks.
+    """
+    spark = df.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = durable(
+        df.withColumn("_tie", F.monotonically_increasing_id())
+        .repartitionByRange(tasks, *keys, *order, "_tie").sortWithinPartitions(*keys, *order, "_tie")
+        .drop("_tie").withColumn("_place", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_task", F.shiftright("_place", 33))
+    counts = placed.groupBy(*keys, "_task").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    upto = Window.partitionBy(*keys).orderBy("_task")
+    ahead = counts.select(*keys, "_task", "_first", (F.sum("_n").over(upto) - F.col("_n")).alias("_ahead"))
+    # at most one row for each key and task, and a key has more than `rows_per_chunk` rows
+    rank = F.col("_ahead") + F.col("_place") - F.col("_first")
+    return placed.join(F.broadcast(ahead), [*keys, "_task"]).withColumn(
+        "_chunk", F.floor(rank / F.lit(float(rows_per_chunk))).cast("long")).drop("_task", "_place", "_first", "_ahead")
 
 
 def over_timeline(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                   apply: Callable[[DataFrame, Timeline], DataFrame],
                   rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    """Run `apply` over cold keys with plain windows and over hot keys in chunks.
-
-    The first order column must be an integer time.
-    """
-    return with_heat(df, keys, order, apply, find_heat(df, tuple(keys), order[0], rows_per_chunk))
+    """Run `apply` over cold keys with plain windows and over hot keys in chunks."""
+    return with_heat(df, keys, order, apply, find_heat(df, tuple(keys), rows_per_chunk))
 
 
 def with_heat(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -219,8 +223,7 @@ def with_heat(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     keys, order = tuple(keys), tuple(order)
     if heat is None:
         return apply(df, Timeline(keys, order))
-    cold = df.join(F.broadcast(heat.grid.select(*keys)), list(keys), "left_anti")
-    hot = (_with_cell(df.join(F.broadcast(heat.grid), list(keys)), order[0])
-           .join(F.broadcast(heat.cells), [*keys, "_cell"]).drop("_cell"))
+    cold = df.join(F.broadcast(heat.keys), list(keys), "left_anti")
+    hot = chunked(df.join(F.broadcast(heat.keys), list(keys), "left_semi"), keys, order, heat.rows_per_chunk)
     return apply(cold, Timeline(keys, order)).unionByName(
         apply(hot, Timeline(keys, order, "_chunk")).drop("_chunk"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import hmac
 import struct
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,6 @@ from ..functions.expr import (base64url, concat_bytes, hmac_sha256, hmac_with_pa
 DOMAIN_LABEL = "evidentry:offline:v2:domain"
 DAY_LABEL = "evidentry:offline:v2:day"
 DIRECT_REFERENCES = ("subject_ref", "session_ref")
-MAX_DAYS = 200_000
 
 
 def _field(value: str) -> bytes:
@@ -37,36 +38,31 @@ def domain_id(domain: bytes) -> str:
 
 
 def day_key_table(df: DataFrame, domain: bytes, label: str = DAY_LABEL) -> DataFrame:
-    """Pads of the days between the first and the last row, as a small table.
+    """Pads of every distinct `_day` of `df`: one HMAC per calendar day that occurs.
 
-    A span of days has at most `MAX_DAYS` (547 years) rows, which bounds the broadcast.
-    The keys are one HMAC per calendar day; the records stay in Spark.
+    Days are few, but their number is not assumed: they are a distributed table, and Spark
+    broadcasts it in the join only if it is small.
     """
-    spark = df.sparkSession
-    first, last = df.agg(F.min("_day"), F.max("_day")).first()
-    if first is None:
-        return spark.createDataFrame([], "_day string, _inner binary, _outer binary")
-    import datetime as dt
-
-    a, b = dt.date.fromisoformat(first), dt.date.fromisoformat(last)
-    if (b - a).days > MAX_DAYS:
-        raise ValueError("observed days span more than the supported range")
-    rows = []
-    for i in range((b - a).days + 1):
-        day = (a + dt.timedelta(days=i)).isoformat()
-        key = hmac.new(domain, _field(label) + _field(day), hashlib.sha256).digest()
-        inner, outer = key_pads(key)
-        rows.append((day, bytearray(inner), bytearray(outer)))
-    return spark.createDataFrame(rows, "_day string, _inner binary, _outer binary")
+    def pads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keys = [hmac.new(domain, _field(label) + _field(day), hashlib.sha256).digest() for day in pdf["_day"]]
+            both = [key_pads(k) for k in keys]
+            yield pd.DataFrame({"_day": pdf["_day"], "_inner": [p[0] for p in both], "_outer": [p[1] for p in both]})
+
+    days = df.select("_day").filter("_day IS NOT NULL").distinct()
+    return days.mapInPandas(pads, "_day string, _inner binary, _outer binary")
 
 
 def pseudonymise(df: DataFrame, key: bytes, dataset: str, pilot: str,
                  domain_label: str = DOMAIN_LABEL, day_label: str = DAY_LABEL) -> DataFrame:
-    """Replace `subject_ref` / `session_ref` by daily `subject_id` / `session_id`."""
+    """Replace `subject_ref` / `session_ref` by daily `subject_id` / `session_id`.
+
+    A row without a time has no day and thus no key: it stays, with NULL ids. Split such rows
+    off first (`without_day`) where they must not pass.
+    """
     domain = domain_key(key, dataset, pilot, domain_label)
     df = df.withColumn("_day", utc_day(micros("observed_at")))
-    pads = F.broadcast(day_key_table(df, domain, day_label))
-    df = df.join(pads, "_day")
+    df = df.join(day_key_table(df, domain, day_label), "_day", "left")
 
     def pseudonym(kind: str, *refs: str) -> Column:
         message = concat_bytes(F.lit(bytearray(_field(kind))), *[length_prefixed(r) for r in refs])
@@ -79,6 +75,12 @@ def pseudonymise(df: DataFrame, key: bytes, dataset: str, pilot: str,
     }).drop("_day", "_inner", "_outer", *DIRECT_REFERENCES)
 
 
+def without_day(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with a time, quarantine of the others with reason `time`)."""
+    known = F.col("observed_at").isNotNull()
+    return df.filter(known), df.filter(~known).withColumn("reason", F.lit("time"))
+
+
 def assert_no_direct_refs(df: DataFrame) -> DataFrame:
     """`df` itself, or an error when a direct reference column is left (any depth)."""
     def names(schema, prefix="") -> list[str]:

@@ -125,7 +125,7 @@ def accept_coverage(reports: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK) ->
                      & (cur.done >= last.done) & grows, F.lit("accepted"))
                .otherwise(F.lit("conflict")))
     df = durable(df)
-    heat = find_heat(df, keys, order[0], rows_per_chunk)
+    heat = find_heat(df, keys, rows_per_chunk)
     while True:
         out = with_heat(df, keys, order, judge, heat).withColumn("verdict", verdict)
         out = durable(out.withColumn("_now", F.col("verdict") == "accepted"))

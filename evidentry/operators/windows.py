@@ -61,7 +61,7 @@ def sequence_windows(df: DataFrame, config: WindowConfig = WindowConfig()) -> Da
         return line.run(d, {"stretch_us": running("last", F.col("_new"))}).drop("_new")
 
     df = df.withColumn("_us", micros("observed_at"))
-    heat = find_heat(df, [KEY], "_us", config.rows_per_chunk)
+    heat = find_heat(df, [KEY], config.rows_per_chunk)
     df = with_heat(df, [KEY], ["_us", "line_no"], stretches, heat)
     starts = _capped_starts(df, config, heat is not None)
     bucket = F.floor((F.col("_us") - F.col("stretch_us")) / float(config.slice_us))

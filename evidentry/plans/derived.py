@@ -1,7 +1,9 @@
 """Evidence tables derived from the driver's `events` table.
 
 Only integer arithmetic is used, so the same rows can be derived by any SQL
-engine. Every function reads the whole table and keeps every row.
+engine. Every function reads the whole table. Some inputs are sparser than events by their
+nature and say so: decoys exist for every fifth event, challenges for every seventh, liveness
+attempts for every fourth, trust lists for one in 500, outcomes for a third of the decisions.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from .. import vocab as V
 
 T0 = 1_704_067_200_000_000  # 2024-01-01 UTC in microseconds
 COMPRESSION = 120
+LOCAL_GROUPS = 100_000  # start times of local sequences repeat after 23 years, so dates stay valid at any size
 
 
 def pick(values, index: Column) -> Column:
@@ -46,7 +49,9 @@ def _compressed(raw: DataFrame) -> DataFrame:
 
 
 def _session(user: Column) -> Column:
-    return F.concat(F.lit("session-"), F.lpad(user.cast("string"), 8, "0"))
+    """Whole user id, padded to eight digits at least."""
+    digits = user.cast("string")
+    return F.concat(F.lit("session-"), F.repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.length(digits))), digits)
 
 
 def requests(spark: SparkSession, sf_dir: str, change: dict | None = None) -> DataFrame:
@@ -152,7 +157,7 @@ def _local(source: DataFrame) -> DataFrame:
     e = F.col("event_id")
     g, i = div(e, 100), e % 100
     v = g % 5
-    start = F.lit(T0) + g * 7200 * V.MICROS
+    start = F.lit(T0) + g % LOCAL_GROUPS * 7200 * V.MICROS
     offset = (F.when(v == 0, i * 500_000)
               .when((v == 1) & (i < 40), i * V.MICROS)
               .when(v == 1, (i - 40) * 20 * V.MICROS)
@@ -273,7 +278,7 @@ def logged(spark: SparkSession, sf_dir: str) -> DataFrame:
 def logged_decisions(decisions: DataFrame) -> DataFrame:
     """Decision-log rows from scored shadow decisions, with duplicated ids."""
     e = F.col("line_no")
-    user = F.substring("session_id", 9, 8).cast("long")
+    user = F.expr("substring(session_id, 9)").cast("long")
     canary = user % 4 == 0
     rollout = F.when(canary, F.when(user % 8 == 0, F.lit("canary-a")).otherwise(F.lit("canary-b")))
     copies = F.when(e % 97 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))

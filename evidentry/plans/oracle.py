@@ -97,7 +97,7 @@ SELECT event_id AS e, user_id AS u,
 FROM events"""
 
 VIEWS["v_req"] = f"""
-SELECT e, u, us, 'session-' || lpad(CAST(u AS VARCHAR), 8, '0') AS sid, rn,
+SELECT e, u, us, 'session-' || lpad(CAST(u AS VARCHAR), CAST(greatest(8, length(CAST(u AS VARCHAR))) AS INTEGER), '0') AS sid, rn,
   {pick(V.REQUEST_ACTIONS, 'e % 13')} AS act, {pick(V.ENDPOINT_CLASSES, '(e*7+u) % 9')} AS ep,
   CASE WHEN u % 6 <> 5 THEN {pick(V.COHORTS, 'u % 6')} END AS cohort,
   greatest(1, rn + 30*(rn // 7) - CASE WHEN e % 11 = 0 THEN 3 ELSE 0 END) AS seq,
@@ -250,7 +250,7 @@ QUERIES["c12_apply_policy"] = """
 SELECT e AS line_no, computed AS computed_action, policy_reason FROM v_scored"""
 QUERIES["c14_verified_crawler"] = """
 SELECT cclass AS crawler_class, crawler AS qualified, CAST(count(*) AS BIGINT) AS n FROM v_scored
-WHERE bot GROUP BY 1, 2"""
+GROUP BY 1, 2"""
 QUERIES["c15_shadow_mode"] = """
 SELECT computed AS computed_action, action, CAST(count(*) AS BIGINT) AS n FROM v_shadow GROUP BY 1, 2"""
 QUERIES["c16_assemble_decisions"] = """
@@ -317,7 +317,7 @@ def reason(*checks: tuple[str, str]) -> str:
 LOG_V = ("evidentry.log.v1", "evidentry.log.v2", "evidentry.log.v3", "evidentry.log.v4")
 
 VIEWS["v_local"] = f"""
-SELECT e, g, v, i, 1704067200000000 + g*7200000000 + off AS us,
+SELECT e, g, v, i, 1704067200000000 + (g % 100000)*7200000000 + off AS us,
   'seq-' || g::VARCHAR || '-' || CASE WHEN v = 1 AND i >= 40 THEN 'b' ELSE 'a' END AS subj,
   CASE WHEN g % 3 <> 0 THEN 's-seq-' || g::VARCHAR || '-' || CASE WHEN v = 1 AND i >= 40 THEN 'b' ELSE 'a' END END AS sess,
   {pick(V.LOCAL_SOURCES, 'e % 6')} AS source, {pick(V.LOCAL_ENDPOINTS, '(e//3) % 7')} AS ep,
@@ -535,11 +535,10 @@ SELECT e, u, us, sid, acc, CAST(sum(acc) OVER w AS BIGINT) AS total, row_number(
 WINDOW w AS (PARTITION BY sid, epoch ORDER BY us, e)"""
 QUERIES["c4_ingest_event_batches"] = """
 SELECT e AS line_no, CAST(acc AS BIGINT) AS accepted_events, total AS total_accepted_events, bseq AS batch_sequence FROM v_receipt"""
-VIEWS["v_rec3"] = "SELECT * FROM v_receipt WHERE e % 3 = 0"
 QUERIES["c5_verified_event_count"] = """
 SELECT r.sid AS session_id, r.e AS line_no,
   CASE WHEN c.us IS NULL OR r.us - c.us > 300000000 THEN 0 ELSE c.total END AS verified_event_count
-FROM v_req r ASOF LEFT JOIN v_rec3 c ON r.sid = c.sid AND r.us >= c.us"""
+FROM v_req r ASOF LEFT JOIN v_receipt c ON r.sid = c.sid AND r.us >= c.us"""
 VIEWS["v_hit"] = f"""
 SELECT e, 'cap-' || e::VARCHAR AS cap, us AS iss, us + 600000000 AS exp, sid, ep, e % 2 = 0 AS form,
   us + (e % 13 * 60 + j*45)*1000000 AS hat, e*3 + j AS line,
@@ -1199,10 +1198,11 @@ QUERIES["a13_sealed_records"] = "SELECT e AS line_no, disp AS disposition FROM v
 QUERIES["a13_check_counters"] = """
 SELECT (e % 5)::VARCHAR AS source, CAST(count(*) AS BIGINT) AS records, e % 5 <> 3 AS contiguous FROM v_rlog WHERE e <> 23 GROUP BY e % 5"""
 QUERIES["a15_publish_report"] = f"""
-SELECT {cnt('e % 4 < 2')} AS accepted, CAST(0 AS BIGINT) AS rejected, CAST(0 AS BIGINT) AS dropped, 'collecting' AS state FROM v_ev"""
+SELECT *, CASE WHEN rejected + dropped > 0 THEN 'degraded' WHEN accepted > 0 THEN 'collecting' ELSE 'no_samples' END AS state
+FROM (SELECT {cnt('e % 4 < 2')} AS accepted, {cnt('e % 4 = 2')} AS rejected, {cnt('e % 4 = 3')} AS dropped FROM v_ev)"""
 QUERIES["b3_assert_no_direct_refs"] = """
 SELECT CAST(count(*) AS BIGINT) AS rows, count(DISTINCT subject_id) AS subjects, count(DISTINCT session_id) AS sessions FROM v_pseudo"""
-VIEWS["v_stream_feat"] = features(f"""(SELECT e, us, 'session-' || lpad(CAST(u AS VARCHAR), 8, '0') AS sid,
+VIEWS["v_stream_feat"] = features(f"""(SELECT e, us, 'session-' || lpad(CAST(u AS VARCHAR), CAST(greatest(8, length(CAST(u AS VARCHAR))) AS INTEGER), '0') AS sid,
   {pick(V.ENDPOINT_CLASSES, '(e*7+u) % 9')} AS ep, e + 1 - CASE WHEN e % 11 = 0 THEN 300 ELSE 0 END AS seq FROM v_ev)""")
 # A stream releases what lies before its watermark: the newest time in whole milliseconds.
 QUERIES["j1_stream_session_features"] = """

@@ -76,17 +76,26 @@ def strict_reason(line: Column, schema: T.StructType) -> Column:
     return check(line)
 
 
-def parse_strict(lines: DataFrame, schema: str, column: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(parsed rows, quarantine with `reason` and the raw text)."""
+MAX_LINE_BYTES = 1 << 20
+
+
+def parse_strict(lines: DataFrame, schema: str, column: str = "value",
+                 max_line_bytes: int = MAX_LINE_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(parsed rows, quarantine with `reason` and the raw text).
+
+    Lines above `max_line_bytes` are not parsed; they go to quarantine whole, as `line_too_long`.
+    """
     kind = T._parse_datatype_string(schema)
-    marked = lines.withColumn("reason", strict_reason(F.col(column), kind))
+    long = F.octet_length(column) > max_line_bytes
+    checked = strict_reason(F.when(~F.coalesce(long, F.lit(False)), F.col(column)), kind)
+    marked = lines.withColumn("reason", F.when(long, F.lit("line_too_long")).otherwise(checked))
     rest = [c for c in lines.columns if c != column]
     good = (marked.filter("reason IS NULL")
             .select(*rest, F.from_json(column, kind).alias("_r")).select(*rest, "_r.*"))
     return good, marked.filter("reason IS NOT NULL")
 
 
-def read_lines(spark: SparkSession, path: str, max_line_bytes: int = 1 << 20) -> DataFrame:
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Text lines with their input position.
 
     A split of a file is read in order by one task, so (`source`, `line_no`) orders all
@@ -97,14 +106,20 @@ def read_lines(spark: SparkSession, path: str, max_line_bytes: int = 1 << 20) ->
     return raw.select(
         F.concat("_f", F.lit("#"), F.lpad(F.col("_o").cast("string"), 20, "0")).alias("source_split"),
         F.monotonically_increasing_id().alias("line_no"),
-        F.when(F.octet_length("value") <= max_line_bytes, F.col("value")).alias("value"))
+        "value")
 
 
 def read_evidence_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(valid, quarantine) of local evidence in JSON Lines, contract included."""
+    """(valid, quarantine) of local evidence in JSON Lines, contract included.
+
+    Quarantine has the reason and, for lines that are no record at all, their text (`value`);
+    records that break the contract are given back as JSON in the same column.
+    """
     from ..operators.contracts import validate_evidence
 
     parsed, broken = parse_strict(read_lines(spark, path), LOCAL_INPUT)
     valid, bad = validate_evidence(parsed)
     keep = ["source_split", "line_no", "reason"]
-    return valid, broken.select(*keep).unionByName(bad.select(*keep))
+    fields = [c for c in bad.columns if c not in keep]
+    return valid, broken.select(*keep, "value").unionByName(
+        bad.select(*keep, F.to_json(F.struct(*fields)).alias("value")))

@@ -157,3 +157,38 @@ def test_pseudonyms(spark):
     assert d.session_id == base64.urlsafe_b64encode(want).decode().rstrip("=")
     with pytest.raises(ValueError):
         pseudonym.assert_no_direct_refs(df)
+
+
+def test_long_ids_stay_apart(spark):
+    users = spark.createDataFrame([(123456780,), (123456789,), (7,), (10**12,)], "user long")
+    ids = [r[0] for r in users.select(T._session(F.col("user"))).collect()]
+    assert ids == ["session-123456780", "session-123456789", "session-00000007", "session-1000000000000"]
+
+
+def test_budget_reports_and_enforces(spark):
+    summary = spark.createDataFrame([(2_000_000, 1, 1)], "records long, files long, bytes long")
+    budget = contracts.scan_budget(summary, max_records=1_000_000)
+    assert budget.first()["ok"] is False
+    with pytest.raises(Exception, match="scan budget exceeded"):
+        contracts.enforce_budget(budget).collect()
+
+
+def test_days_far_apart_and_missing(spark):
+    rows = [(1, "a", "s", 0), (2, "a", "s", 4_000 * 365 * 86_400), (3, "a", None, None), (4, "a", "s", 1)]
+    df = spark.createDataFrame(rows, "line_no int, subject_ref string, session_ref string, t long").select(
+        "line_no", "subject_ref", "session_ref", F.timestamp_seconds("t").alias("observed_at"))
+    out = {r["line_no"]: r for r in pseudonym.pseudonymise(df, b"k" * 32, "d", "p").collect()}
+    assert set(out) == {1, 2, 3, 4} and out[3]["subject_id"] is None
+    assert out[1]["subject_id"] == out[4]["subject_id"] != out[2]["subject_id"]
+    kept, bad = pseudonym.without_day(df)
+    assert kept.count() == 3 and [r["reason"] for r in bad.collect()] == ["time"]
+
+
+def test_long_line_keeps_its_text(spark, tmp_path):
+    from evidentry.sources import jsonl
+
+    line = '{"source":"' + "x" * (1 << 20) + '"}'
+    (tmp_path / "a.jsonl").write_text(f"{line}\n\nnot json\n")
+    _, bad = jsonl.read_evidence_jsonl(spark, str(tmp_path))
+    got = {r["reason"]: r["value"] for r in bad.collect()}
+    assert got == {"line_too_long": line, "blank_line": "", "invalid_json": "not json"}

@@ -7,7 +7,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from evidentry.functions.timeline import Timeline, before, find_heat, over_timeline, running
+from evidentry.functions.timeline import Timeline, before, chunked, find_heat, over_timeline, running
 from evidentry.operators import challenge, decide, identity, session, telemetry, windows
 from evidentry.plans import derived as T
 from evidentry.vocab import MINUTE_US
@@ -28,11 +28,22 @@ def same(plain, chunked, columns=None):
 def test_heat_finds_only_hot_keys(spark):
     df = spark.range(1000).select((F.when(F.col("id") < 700, 0).otherwise(F.col("id"))).alias("k"),
                                   F.col("id").alias("t"))
-    heat = find_heat(df, ["k"], "t", 50)
-    assert [r.k for r in heat.grid.collect()] == [0]
-    chunks = heat.cells.groupBy("_chunk").agg(F.sum(F.lit(1))).count()
-    assert chunks >= 10
-    assert find_heat(df, ["k"], "t", 1000) is None
+    assert [r.k for r in find_heat(df, ["k"], 50).keys.collect()] == [0]
+    assert find_heat(df, ["k"], 1000) is None
+
+
+@pytest.mark.parametrize("time", ["id", "id DIV 400 * 1000000", "0L", "CASE WHEN id < 2970 THEN id % 7 ELSE id * 1000000 END"])
+def test_chunks_are_bounded(spark, time):
+    """Even, stepped, equal and bursty times: no chunk has more rows than asked for."""
+    df = spark.range(3000).select((F.col("id") % 2).alias("k"), F.expr(time).alias("t"), F.col("id").alias("line"))
+    cut = chunked(df, ["k"], ["t", "line"], 100)
+    sizes = cut.groupBy("k", "_chunk").agg(F.count("*").alias("n"), F.min(F.struct("t", "line")).alias("lo"),
+                                           F.max(F.struct("t", "line")).alias("hi")).orderBy("k", "_chunk").collect()
+    assert max(r.n for r in sizes) == 100 and len(sizes) == 30 and sum(r.n for r in sizes) == 3000
+    assert all(x.hi < y.lo for x, y in zip(sizes, sizes[1:]) if x.k == y.k)
+    # rows that are equal in every column of the order still spread
+    same_rows = chunked(df.withColumns({"t": F.lit(0), "line": F.lit(0)}), ["k"], ["t", "line"], 100)
+    assert same_rows.groupBy("k", "_chunk").count().agg(F.max("count")).first()[0] == 100
 
 
 @pytest.mark.parametrize("kind", ["sum", "max", "min", "bit_or", "last", "first"])
