@@ -92,26 +92,31 @@ def valid_coverage_report() -> Column:
         & (F.col("source_started_at") == F.date_trunc("second", "source_started_at"))
         & (F.col("completed_at") == F.date_trunc("second", "completed_at"))
         & (F.col("completed_at") >= F.col("source_started_at"))
+        & (micros("completed_at") <= micros("received_at") + V.MINUTE_US)
         & (F.size(e) == len(V.ENDPOINT_CLASSES)) & names & counters, F.lit(False))
 
 
-def accept_coverage(reports: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+def accept_coverage(reports: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK, max_rounds: int = 200) -> DataFrame:
     """Add `verdict`: invalid, accepted, unchanged (identical resend) or conflict.
 
     A report must follow the last *accepted* report of its source: same start, rising
     sequence, no decreasing time or counter. Whether a report is accepted depends only on
     reports before it, so the verdicts are the unique fixed point of "compare with the
-    last report that is accepted so far". The iteration starts with everything accepted
-    and stops when nothing changes; it needs about as many rounds as conflicts are
-    nested, and each round is a running maximum that splits hot sources.
+    last report that is accepted so far". The iteration starts with all valid reports
+    accepted. In every round the rows of a source before its first changed one are final:
+    they leave, but for the last accepted one of them, and the next round starts there.
+    Rounds are as many as conflicts are nested; above `max_rounds` the job fails. `line_no`
+    names a report within its source.
     """
     keys, order = ["source_id"], ["_us", "line_no"]
     row = F.struct(
         F.col("sequence").alias("sequence"), F.unix_micros("completed_at").alias("done"),
         F.unix_micros("source_started_at").alias("started"),
         F.flatten(F.transform("endpoints", lambda x: F.array(*[x[c] for c in COUNTERS]))).alias("counters"))
-    df = reports.withColumns({"_us": micros("received_at"), "_valid": valid_coverage_report(), "_row": row})
-    df = df.withColumn("_ok", F.col("_valid"))
+    valid = valid_coverage_report()
+    # the compared values only; the reports themselves are joined again at the end
+    active = durable(reports.select("source_id", micros("received_at").alias("_us"), "line_no", valid.alias("_valid"),
+                                    valid.alias("_ok"), row.alias("_row"), F.lit(False).alias("_seed")))
 
     def judge(d: DataFrame, line: Timeline) -> DataFrame:
         # Among accepted reports the sequence rises, so the latest has the highest one.
@@ -119,20 +124,31 @@ def accept_coverage(reports: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK) ->
 
     last, cur = F.col("_last"), F.col("_row")
     grows = F.forall(F.arrays_zip(last.counters.alias("a"), cur.counters.alias("b")), lambda z: z.a <= z.b)
-    verdict = (F.when(~F.col("_valid"), F.lit("invalid")).when(last.isNull(), F.lit("accepted"))
+    verdict = (F.when(F.col("_seed"), F.lit("accepted"))
+               .when(~F.col("_valid"), F.lit("invalid")).when(last.isNull(), F.lit("accepted"))
                .when((cur.sequence == last.sequence) & (cur == last), F.lit("unchanged"))
                .when((cur.started == last.started) & (cur.sequence > last.sequence)
                      & (cur.done >= last.done) & grows, F.lit("accepted"))
                .otherwise(F.lit("conflict")))
-    df = durable(df)
-    heat = find_heat(df, keys, rows_per_chunk)
-    while True:
-        out = with_heat(df, keys, order, judge, heat).withColumn("verdict", verdict)
-        out = durable(out.withColumn("_now", F.col("verdict") == "accepted"))
-        changed = not out.filter(F.col("_now") != F.col("_ok")).isEmpty()
-        if not changed:
-            return out.drop("_us", "_valid", "_row", "_ok", "_last", "_now")
-        df = out.withColumn("_ok", F.col("_now")).drop("_last", "_now", "verdict")
+    heat = find_heat(active, keys, rows_per_chunk)
+    at, fields = F.struct(*order), active.columns
+    final = None
+    for _ in range(max_rounds):
+        out = durable(with_heat(active, keys, order, judge, heat).withColumn("verdict", verdict).drop("_last"))
+        now = F.col("verdict") == "accepted"
+        first = out.filter(now != F.col("_ok")).groupBy(*keys).agg(F.min(at).alias("_from"))
+        out = out.join(first, keys, "left")
+        settled = F.col("_from").isNull() | (at < F.col("_from"))
+        found = out.filter(settled & ~F.col("_seed")).select(*keys, "line_no", "verdict")
+        final = found if final is None else final.unionByName(found)
+        open_ = out.filter(F.col("_from").isNotNull())
+        rest = open_.filter(~settled).withColumn("_ok", now).select(*fields)
+        seeds = open_.filter(settled & now).withColumns({"_ok": F.lit(True), "_seed": F.lit(True)})
+        seeds = seeds.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in fields if c not in keys]), at).alias("_s"))
+        active = durable(rest.unionByName(seeds.select(*keys, "_s.*").select(*fields)))
+        if active.isEmpty():
+            return reports.join(final, [*keys, "line_no"])
+    raise RuntimeError(f"coverage verdicts are not settled after {max_rounds} rounds")
 
 
 def origin_coverage(accepted: DataFrame, observer_start: Column) -> DataFrame:
@@ -152,12 +168,18 @@ def origin_coverage(accepted: DataFrame, observer_start: Column) -> DataFrame:
             .agg(*[F.sum(c).cast("long").alias(c) for c in COUNTERS]))
 
 
-def coverage_state(coverage: DataFrame, sources: DataFrame) -> DataFrame:
-    """One row: totals, decision coverage and state."""
+def coverage_state(coverage: DataFrame, sources: DataFrame, observer_start: Column) -> DataFrame:
+    """One row: totals, sources, time range, decision coverage and state.
+
+    A source is observed since it or the observer started, whichever is later.
+    """
     one = coverage.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in COUNTERS])
-    n = sources.filter("verdict = 'accepted'").agg(
-        F.count_distinct("source_id").cast("long").alias("sources"),
-        F.max(micros("completed_at")).alias("last_reported_us"))
+    newest = sources.filter("verdict = 'accepted'").groupBy("source_id").agg(
+        F.max_by(F.struct(micros("source_started_at").alias("started"), micros("completed_at").alias("done")),
+                 "sequence").alias("_r"))
+    n = newest.agg(
+        F.count(F.lit(1)).cast("long").alias("sources"), F.max("_r.done").alias("last_reported_us"),
+        F.min(F.greatest(F.col("_r.started"), micros(observer_start))).alias("observed_since_us"))
     total = F.col("protected")
     share = (F.col("evaluated") + F.col("granted_retries")).cast("double") / F.when(total > 0, total).otherwise(1)
     return one.crossJoin(F.broadcast(n)).withColumns({

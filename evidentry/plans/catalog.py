@@ -807,7 +807,7 @@ def h6_origin_coverage(spark, sf):
 @query
 def h6_coverage_state(spark, sf):
     accepted = M.accept_coverage(T.coverage_reports(spark, sf))
-    return _round(M.coverage_state(M.origin_coverage(accepted, _observer()), accepted))
+    return _round(M.coverage_state(M.origin_coverage(accepted, _observer()), accepted, _observer()))
 
 
 @query

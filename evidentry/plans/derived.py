@@ -524,7 +524,9 @@ def coverage_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, u = F.col("event_id"), F.col("user_id")
     source = u % 7
     order = Window.partitionBy(source).orderBy("us", "event_id")
-    df = events(spark, sf_dir).withColumns({"rn": F.row_number().over(order).cast("long"), "src": source})
+    df = events(spark, sf_dir).withColumns({
+        "rn": F.row_number().over(order).cast("long"), "src": source,
+        "done": F.when(F.row_number().over(order) % 3 == 0, F.lag("us").over(order)).otherwise(F.col("us"))})
     # Reports 3, 6, 9 ... repeat the report before them.
     k = F.when(F.col("rn") % 3 == 0, F.col("rn") - 1).otherwise(F.col("rn"))
     drop = F.when(e % 29 == 0, 50).otherwise(0)
@@ -534,16 +536,18 @@ def coverage_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         base = F.greatest(F.col("k") * (i + 1) - drop, F.lit(0))
         wrong = F.when((e % 41 == 0) & F.lit(i == 0), 1).otherwise(0)
         counters.append(F.struct(
-            F.lit(name).alias("endpoint_class"), (base * 4 + wrong).alias("protected"),
-            base.alias("evaluated"), base.alias("bypassed"), base.alias("rejected"),
-            base.alias("granted_retries")))
+            F.lit(name).alias("endpoint_class"), (base * 10 + wrong).alias("protected"),
+            (base * 4).alias("evaluated"), (base * 2).alias("bypassed"), base.alias("rejected"),
+            (base * 3).alias("granted_retries")))
     started = F.lit(T0) + F.col("src") * 600 * V.MICROS
+    # A resend has the completion of the report it repeats; some reports claim a future one.
+    done, ahead = F.col("done"), F.when(e % 43 == 0, 120 * V.MICROS).otherwise(0)
     return df.select(
         F.lpad(F.hex(F.col("src")), 32, "a").substr(1, 32).alias("_id"), e.alias("line_no"),
         F.timestamp_micros("us").alias("received_at"),
         F.timestamp_micros(started + F.when(e % 37 == 0, V.MICROS).otherwise(0)).alias("source_started_at"),
         (F.col("k") - F.when(e % 31 == 0, 5).otherwise(0)).alias("sequence"),
-        F.timestamp_micros(F.lit(T0) + 86_400 * V.MICROS + F.col("k") * V.MICROS).alias("completed_at"),
+        F.timestamp_micros(div(done, V.MICROS) * V.MICROS + ahead).alias("completed_at"),
         F.array(*counters).alias("endpoints")).withColumn("source_id", F.lower("_id")).drop("_id")
 
 

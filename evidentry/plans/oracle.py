@@ -1126,10 +1126,12 @@ QUERIES["h4_crawler_identity"] = "SELECT *, CASE WHEN unqualified > 0 THEN 'atte
     + [f"{cnt(f"cclass = '{v}'")} AS class_{v}" for v in V.CRAWLER_CLASSES]
     + [f"{cnt(f"cver = '{v}'")} AS verification_{v}" for v in V.CRAWLER_VERIFICATIONS]) + " FROM v_req WHERE bot OR cclass <> 'unknown' OR cver <> 'unknown')"
 VIEWS["v_cov0"] = """
-SELECT e, src, us, rn, k - CASE WHEN e % 31 = 0 THEN 5 ELSE 0 END AS seq, k AS done, CASE WHEN e % 37 = 0 THEN 1 ELSE 0 END AS late,
-  CASE WHEN e % 29 = 0 THEN 50 ELSE 0 END AS drop, k, k - CASE WHEN e % 31 = 0 THEN 5 ELSE 0 END >= 1 AND e % 41 <> 0 AS ok
-FROM (SELECT *, CASE WHEN rn % 3 = 0 THEN rn - 1 ELSE rn END AS k FROM (
-  SELECT e, u % 7 AS src, us, row_number() OVER (PARTITION BY u % 7 ORDER BY us, e) AS rn FROM v_ev))"""
+SELECT e, src, us, rn, k - CASE WHEN e % 31 = 0 THEN 5 ELSE 0 END AS seq, done, CASE WHEN e % 37 = 0 THEN 1 ELSE 0 END AS late,
+  CASE WHEN e % 29 = 0 THEN 50 ELSE 0 END AS drop, k, k - CASE WHEN e % 31 = 0 THEN 5 ELSE 0 END >= 1 AND e % 41 <> 0
+    AND done >= 1704067200 + src*600 + CASE WHEN e % 37 = 0 THEN 1 ELSE 0 END AND done * 1000000 <= us + 60000000 AS ok
+FROM (SELECT *, CASE WHEN rn % 3 = 0 THEN rn - 1 ELSE rn END AS k,
+    CASE WHEN rn % 3 = 0 THEN before ELSE us END // 1000000 + CASE WHEN e % 43 = 0 THEN 120 ELSE 0 END AS done FROM (
+  SELECT e, u % 7 AS src, us, row_number() OVER w AS rn, lag(us) OVER w AS before FROM v_ev WINDOW w AS (PARTITION BY u % 7 ORDER BY us, e)))"""
 VIEWS["v_cov"] = """
 WITH RECURSIVE f AS (
   SELECT DISTINCT src, 0::BIGINT AS rn, -1::BIGINT AS e, NULL::BIGINT AS seq, NULL::BIGINT AS done, NULL::INT AS late, NULL::BIGINT AS k, NULL::INT AS drop, '' AS verdict FROM v_cov0
@@ -1152,14 +1154,16 @@ SELECT c.src, i, greatest(n.k*i - n.drop, 0) - CASE WHEN 1704067200 + c.src*600
 FROM (SELECT src, max(rn) AS hi, min(rn) AS lo FROM v_cov WHERE verdict = 'accepted' GROUP BY 1) c
 JOIN v_cov n ON n.src = c.src AND n.rn = c.hi JOIN v_cov b ON b.src = c.src AND b.rn = c.lo, (SELECT unnest(range(1, 10)) AS i)"""
 VIEWS["v_cov6s"] = f"""
-SELECT list_extract({lst(V.ENDPOINT_CLASSES)}, i) AS endpoint_class, CAST(sum(d)*4 AS BIGINT) AS protected, CAST(sum(d) AS BIGINT) AS evaluated,
-  CAST(sum(d) AS BIGINT) AS bypassed, CAST(sum(d) AS BIGINT) AS rejected, CAST(sum(d) AS BIGINT) AS granted_retries FROM v_cov6 GROUP BY i"""
+SELECT list_extract({lst(V.ENDPOINT_CLASSES)}, i) AS endpoint_class, CAST(sum(d)*10 AS BIGINT) AS protected, CAST(sum(d)*4 AS BIGINT) AS evaluated,
+  CAST(sum(d)*2 AS BIGINT) AS bypassed, CAST(sum(d) AS BIGINT) AS rejected, CAST(sum(d)*3 AS BIGINT) AS granted_retries FROM v_cov6 GROUP BY i"""
 QUERIES["h6_origin_coverage"] = "SELECT * FROM v_cov6s"
 QUERIES["h6_coverage_state"] = f"""
 SELECT *, {r9('CASE WHEN protected > 0 THEN least(1.0, CAST(evaluated + granted_retries AS DOUBLE) / protected) ELSE 0.0 END')} AS decision_coverage,
   CASE WHEN bypassed + rejected > 0 THEN 'degraded' WHEN protected > 0 THEN 'collecting' WHEN sources > 0 THEN 'no_samples' ELSE 'unavailable' END AS state
 FROM (SELECT {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in ('protected', 'evaluated', 'bypassed', 'rejected', 'granted_retries'))} FROM v_cov6s),
-  (SELECT count(DISTINCT src) AS sources, 1704067200000000 + 86400000000 + max(done)*1000000 AS last_reported_us FROM v_cov0 JOIN v_cov USING (src, rn) WHERE verdict = 'accepted')""".replace("max(done)", "max(v_cov0.done)")
+  (SELECT count(*) AS sources, max(n.done) * 1000000 AS last_reported_us,
+     min(greatest(1704067200 + c.src*600 + n.late, 1704067200 + 1800)) * 1000000 AS observed_since_us
+   FROM (SELECT src, max(rn) AS hi FROM v_cov WHERE verdict = 'accepted' GROUP BY 1) c JOIN v_cov n ON n.src = c.src AND n.rn = c.hi)"""
 VIEWS["v_rlog"] = f"""
 SELECT e, us, 'source-' || (u % 5)::VARCHAR AS src, CASE WHEN e % 17 = 0 THEN 'other' ELSE {pick(V.ENDPOINT_CLASSES, '(e*7+u) % 9')} END AS ep,
   {pick(('evaluated', 'evaluated', 'bypassed', 'granted_retry', 'rejected', 'lost'), 'e % 6')} AS disp, e*7919 % 10007 + e % 13 * 500 AS lat,
