@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import ipaddress
 import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -251,26 +254,71 @@ def edge_signature(payload: Column | str, key: bytes, label: str = "evidentry:ed
                                                    utf8(payload))))
 
 
+def proof_fault(well_formed: Column, signed: Column, issued_us: str = "issued_us", expires_us: str = "expires_us",
+                used_us: str = "used_us", skew_us: int = 30 * V.MICROS) -> Column:
+    """bad_signature, malformed or expired; NULL for a use that only a replay can spoil."""
+    early = F.col(issued_us) > F.col(used_us) + skew_us
+    late = F.col(expires_us) <= F.col(used_us)
+    return (F.when(~F.coalesce(signed, F.lit(False)), F.lit("bad_signature"))
+            .when(~F.coalesce(well_formed, F.lit(False)), F.lit("malformed"))
+            .when(early | late, F.lit("expired")))
+
+
+def valid_claims(max_lifetime_us: int = 300 * V.MICROS) -> Column:
+    """Claim rules of an action proof: version 1, the session and action it is used for, a nonce
+    of 16 bytes in base64url, a lifetime of at most `max_lifetime_us`, and request action and
+    endpoint class given together or not at all."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    lifetime = F.col("expires_us") - F.col("issued_us")
+    return F.coalesce(
+        (F.col("version") == 1) & (F.col("session_id") == F.col("expected_session"))
+        & (F.col("action") == F.col("expected_action")) & F.col("nonce").rlike("^[A-Za-z0-9_-]{21}[AQgw]$")
+        & (lifetime > 0) & (lifetime <= max_lifetime_us)
+        & (F.octet_length("session_id").between(8, 128))
+        & ((text("request_action") == "") == (text("endpoint_class") == "")), F.lit(False))
+
+
+def _taken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Accepted uses of nonces in order; the only state is the nonce at hand and its expiry."""
+    nonce, until = None, None
+    for pdf in batches:
+        keep = []
+        for n, used, expires in zip(pdf["nonce"], pdf["used"], pdf["expires"]):
+            if n != nonce or until <= used:
+                nonce, until = n, expires
+                keep.append(True)
+            else:
+                keep.append(False)
+        yield pdf.loc[keep, ["nonce", "used", "line"]]
+
+
 def audit_single_use(df: DataFrame, well_formed: Column, signed: Column, nonce: str = "nonce",
                      issued_us: str = "issued_us", expires_us: str = "expires_us",
                      used_us: str = "used_us", line: str = "line_no",
-                     skew_us: int = 30 * V.MICROS) -> DataFrame:
+                     skew_us: int = 30 * V.MICROS, for_ever: bool = False) -> DataFrame:
     """Add `use`: malformed, bad_signature, expired, replayed or accepted.
 
-    The first otherwise valid use of a nonce is accepted. That first use is found by
-    a map-side combined minimum and marked by an equi-join on (nonce, position), so a
-    nonce replayed a billion times neither sorts nor joins in one task.
+    An accepted use takes its nonce until its expiry, or `for_ever`. The first valid use of a
+    nonce is found by a map-side combined minimum and marked by an equi-join on (nonce,
+    position), so a nonce replayed a billion times neither sorts nor joins in one task. Only
+    nonces with valid uses after an expiry are read in order, by a stream that keeps one row.
+    A use with a NULL nonce is malformed.
     """
-    early = F.col(issued_us) > F.col(used_us) + skew_us
-    late = F.col(expires_us) <= F.col(used_us)
-    state = (F.when(~F.coalesce(signed, F.lit(False)), F.lit("bad_signature"))
-             .when(~F.coalesce(well_formed, F.lit(False)), F.lit("malformed"))
-             .when(early | late, F.lit("expired")))
-    df = df.withColumn("_state", state)
-    first = (df.filter("_state IS NULL").groupBy(nonce)
-             .agg(F.min(F.struct(F.col(used_us).alias("u"), F.col(line).alias("l"))).alias("_f"))
-             .select(nonce, F.col("_f.u").alias(used_us), F.col("_f.l").alias(line),
-                     F.lit(True).alias("_first")))
+    fault = proof_fault(well_formed & F.col(nonce).isNotNull(), signed, issued_us, expires_us, used_us, skew_us)
+    df = df.withColumn("_state", fault)
+    valid = df.filter("_state IS NULL").select(
+        F.col(nonce).alias("nonce"), F.col(used_us).alias("used"), F.col(expires_us).alias("expires"), F.col(line).alias("line"))
+    about = valid.groupBy("nonce").agg(
+        F.min(F.struct("used", "line")).alias("f"), F.max("used").alias("latest"), F.min("expires").alias("soonest"))
+    first = about.select("nonce", "f.used", "f.line")
+    if not for_ever:
+        again = about.filter("latest >= soonest").select("nonce")
+        first = first.join(again, "nonce", "left_anti")
+        uses = valid.join(again, "nonce", "left_semi").repartition("nonce").sortWithinPartitions("nonce", "used", "line")
+        types = {f.name: f.dataType.simpleString() for f in valid.schema}
+        first = first.unionByName(uses.select("nonce", "used", "expires", "line").mapInPandas(
+            _taken, ", ".join(f"{c} {types[c]}" for c in ("nonce", "used", "line"))))
+    first = first.select(F.col("nonce").alias(nonce), F.col("used").alias(used_us), F.col("line").alias(line), F.lit(True).alias("_first"))
     out = df.join(first, [nonce, used_us, line], "left")
     use = F.coalesce(F.col("_state"), F.when(F.col("_first"), F.lit("accepted")), F.lit("replayed"))
     return out.withColumn("use", use).drop("_state", "_first")

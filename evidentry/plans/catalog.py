@@ -25,6 +25,7 @@ from ..operators import telemetry as M
 from ..operators import windows as W
 from ..sources import jsonl, reports, sealed, shards
 from ..streaming import operators as J
+from .. import vocab as V
 from . import derived as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -947,30 +948,125 @@ def _stream(spark, sf, build) -> DataFrame:
     return spark.read.schema(df.schema).parquet(out)
 
 
+def _ended(stream: DataFrame, time: str, **values) -> DataFrame:
+    """The stream and, from a source of its own, one row of the far future: the watermark then
+    passes all real rows, so that open keys and windows of a finite input come out too."""
+    spark, end = stream.sparkSession, F.lit("2200-01-01 00:00:00").cast("timestamp")
+    values = {time: end, "line_no": -1, **values}
+    row = spark.range(1).select(*[
+        F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in stream.schema.fields])
+    folder = shared_folder(spark, "stream-end")
+    row.write.parquet(folder)
+    return stream.unionByName(spark.readStream.schema(row.schema).parquet(folder))
+
+
+def _staged(session, df: DataFrame, name: str) -> DataFrame:
+    """A derived table as a stream over its files in the shared folder."""
+    folder = shared_folder(session, name)
+    df.write.parquet(folder)
+    return session.readStream.schema(df.schema).parquet(folder)
+
+
 @query
 def j1_stream_session_features(spark, sf):
     return _stream(spark, sf, lambda s: J.stream_session_features(
-        T.request_stream(s, sf), "0 seconds")).withColumn(
+        _ended(T.request_stream(s, sf), "observed_at", session_id="end"), "0 seconds")).withColumn(
         "distinct_endpoint_classes", F.col("distinct_endpoint_classes").cast("long"))
 
 
+@query
+def j2_stream_event_batches(spark, sf):
+    item = F.array(F.struct(F.lit(1).alias("sequence"), F.lit(0).alias("elapsed_bucket_ms"),
+                            F.lit(V.BROWSER_EVENT_KINDS[0]).alias("kind"), F.lit(0).alias("value_bucket")))
+    return _stream(spark, sf, lambda s: J.stream_event_batches(
+        _ended(_staged(s, T.event_batches(spark, sf), "batches"), "received_at", session_id="end-of-stream",
+               sensor_version="sensor-1", user_agent_present=True, verified_session=True, events=item), "0 seconds")).select(
+        "line_no", "accepted_events", "total_accepted_events", "batch_sequence").filter("line_no >= 0")
+
+
 @query
 def j3_stream_single_use(spark, sf):
-    uses = lambda s: T.request_stream(s, sf).select(
-        (T.div(F.col("line_no"), 2)).alias("nonce"), F.col("observed_at").alias("used_at"))
-    return _stream(spark, sf, lambda s: J.stream_single_use(uses(s))).select("nonce")
+    signed = F.col("signature") == I.signature("payload", T.LOG_KEY)
+    fault = I.proof_fault(F.col("well_formed"), signed)
+    far = F.unix_micros(F.lit("2200-01-01 00:00:00").cast("timestamp"))
+
+    def build(s):
+        uses = T.proofs_of(T.event_stream(s, sf)).withColumn("fault", fault).select(
+            "nonce", "line_no", "used_us", "expires_us", "fault")
+        end = _ended(uses.withColumn("at", F.timestamp_micros("used_us")), "at", nonce="end", used_us=far, expires_us=far)
+        return J.stream_single_use(end, F.col("fault"), "0 seconds")
+    return _stream(spark, sf, build).select("line_no", "use")
 
 
 @query
 def j4_stream_windows(spark, sf):
-    return _stream(spark, sf, lambda s: J.stream_windows(T.local_stream(s, sf), "0 seconds")).select(
+    return _stream(spark, sf, lambda s: J.stream_windows(
+        _ended(T.local_stream(s, sf), "observed_at", subject_id="end"), "0 seconds")).select(
         "sequence_key", "first_us", "last_us", "events", "peak_minute", "transitions", "closure")
 
 
+@query
+def j5_stream_link_outcomes(spark, sf):
+    d = T.logged(spark, sf).filter("copy = 0").select("decision_id", "recorded_at", "endpoint_class")
+    o = T.outcomes(T.logged(spark, sf)).filter("decision_id IS NOT NULL")
+    return _stream(spark, sf, lambda s: J.stream_link_outcomes(
+        _ended(_staged(s, d, "decisions"), "recorded_at", decision_id="end"),
+        _ended(_staged(s, o, "outcomes"), "recorded_at", decision_id="end-outcome"), "15 minutes", "0 seconds", "0 seconds")).select(
+        "decision_id", "outcome")
+
+
+@query
+def j6_stream_challenges(spark, sf):
+    issued, events = T.challenges(spark, sf)
+    first = issued.select("challenge_id", (F.col("ready_us") - 2_000_000).alias("us"), F.lit(-1).cast("long").alias("line_no"),
+                          F.lit("issue").alias("kind"), F.lit(True).alias("ok"), "ready_us", "expires_us")
+    none = F.lit(0).cast("long")
+    rows = first.unionByName(events.withColumns({"ready_us": none, "expires_us": none}).select(*first.columns)).withColumn(
+        "event_time", F.timestamp_micros("us"))
+    far = F.unix_micros(F.lit("2200-01-01 00:00:00").cast("timestamp"))
+    return _stream(spark, sf, lambda s: J.stream_challenges(_ended(
+        _staged(s, rows, "challenges"), "event_time", challenge_id="end", us=far, kind="verify", ready_us=0, expires_us=0),
+        "0 seconds")).select("challenge_id", "outcome")
+
+
+@query
+def j7_watch_report(spark, sf):
+    """A report that a stream re-publishes as its append table grows; the newest version."""
+    from ..streaming import jobs
+
+    folder, report, mark = (shared_folder(spark, n) for n in ("watched", "watched-report", "watched-checkpoint"))
+    log = T.logged(spark, sf)
+    log.write.parquet(folder)
+    stream = spark.readStream.schema(log.schema).parquet(folder)
+    jobs.watch_report(stream, folder, G.decision_summary, report, mark, available_now=True).awaitTermination()
+    return _round(reports.read_latest_report(spark, report))
+
+
+@query
+def j8_stream_coverage(spark, sf):
+    return _stream(spark, sf, lambda s: J.stream_coverage(
+        _ended(_staged(s, T.coverage_reports(spark, sf), "coverage"), "received_at", source_id="end"), "0 seconds"))
+
+
 @query
 def j9_stream_counters(spark, sf):
-    stream = lambda s: T.request_stream(s, sf).withColumn(
+    stream = lambda s: _ended(T.request_stream(s, sf), "observed_at").withColumn(
         "computed_action", F.lit("allow"))
     df = _stream(spark, sf, lambda s: J.stream_counters(stream(s).withColumn("action", F.lit("allow")),
                                                         "5 minutes", "0 seconds", "observed_at"))
     return df.select(micros(F.col("window.start")).alias("start_us"), "decisions")
+
+
+@query
+def j10_route_late(spark, sf):
+    """Odd events arrive first, even ones after them: even ones before the newest odd one are late."""
+    from ..streaming import jobs
+
+    folder, on_time, late, mark = (shared_folder(spark, n) for n in ("arrivals", "on-time", "late", "arrivals-checkpoint"))
+    rows = T.requests(spark, sf).select("line_no", "observed_at")
+    for part in (1, 0):
+        rows.filter(F.col("line_no") % 2 == part).write.mode("append").parquet(folder)
+        jobs.route_late(spark.readStream.schema(rows.schema).parquet(folder), "observed_at", 0, on_time, late, mark,
+                        available_now=True).awaitTermination()
+    return spark.read.parquet(on_time).select("line_no", F.lit(False).alias("late")).unionByName(
+        spark.read.parquet(late).select("line_no", F.lit(True).alias("late")))

@@ -408,12 +408,17 @@ TRUSTED_PROXIES = ["66.249.0.0/16", "66.250.2.0/24"]
 
 def proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uses of action proofs: pairs of events share a nonce, some are bad."""
+    return proofs_of(events(spark, sf_dir))
+
+
+def proofs_of(source: DataFrame) -> DataFrame:
+    """`proofs` of a batch or stream of events."""
     from ..operators.identity import signature
 
     e = F.col("event_id")
     nonce = F.concat(F.lit("n-"), div(e, 2).cast("string"))
     issued = F.col("us") - (e % 7) * V.MICROS + F.when(e % 41 == 0, 40 * V.MICROS).otherwise(0)
-    df = events(spark, sf_dir).select(
+    df = source.select(
         e.alias("line_no"), nonce.alias("nonce"), issued.alias("issued_us"),
         (issued + F.when(e % 19 == 0, 1).otherwise(60).cast("long") * V.MICROS).alias("expires_us"),
         F.col("us").alias("used_us"), (e % 23 != 0).alias("well_formed"))

@@ -645,8 +645,8 @@ FROM (SELECT *, (verdict <> 'unknown' AND v2 <> 'unknown' AND verdict <> v2) OR
     CASE WHEN e % 11 = 0 THEN 'hosting' ELSE 'unknown' END AS n2 FROM v_req))"""
 QUERIES["c24_audit_single_use"] = """
 SELECT e AS line_no, CASE WHEN bad IS NOT NULL THEN bad
-    WHEN row_number() OVER (PARTITION BY e // 2, bad IS NULL ORDER BY us, e) = 1 THEN 'accepted' ELSE 'replayed' END AS use
-FROM (SELECT e, us, CASE WHEN e % 17 = 0 THEN 'bad_signature' WHEN e % 23 = 0 THEN 'malformed'
+    WHEN coalesce(lag(exp) OVER (PARTITION BY e // 2, bad IS NULL ORDER BY us, e), 0) <= us THEN 'accepted' ELSE 'replayed' END AS use
+FROM (SELECT e, us, iss + CASE WHEN e % 19 = 0 THEN 1000000 ELSE 60000000 END AS exp, CASE WHEN e % 17 = 0 THEN 'bad_signature' WHEN e % 23 = 0 THEN 'malformed'
         WHEN iss > us + 30000000 OR iss + CASE WHEN e % 19 = 0 THEN 1000000 ELSE 60000000 END <= us THEN 'expired' END AS bad
       FROM (SELECT *, us - (e % 7)*1000000 + CASE WHEN e % 41 = 0 THEN 40000000 ELSE 0 END AS iss FROM v_ev))"""
 VIEWS["v_rev"] = """
@@ -1208,15 +1208,23 @@ QUERIES["b3_assert_no_direct_refs"] = """
 SELECT CAST(count(*) AS BIGINT) AS rows, count(DISTINCT subject_id) AS subjects, count(DISTINCT session_id) AS sessions FROM v_pseudo"""
 VIEWS["v_stream_feat"] = features(f"""(SELECT e, us, 'session-' || lpad(CAST(u AS VARCHAR), CAST(greatest(8, length(CAST(u AS VARCHAR))) AS INTEGER), '0') AS sid,
   {pick(V.ENDPOINT_CLASSES, '(e*7+u) % 9')} AS ep, e + 1 - CASE WHEN e % 11 = 0 THEN 300 ELSE 0 END AS seq FROM v_ev)""")
-# A stream releases what lies before its watermark: the newest time in whole milliseconds.
+# A row of the far future ends every stream, so all rows and windows come out.
 QUERIES["j1_stream_session_features"] = """
 SELECT sid AS session_id, e AS line_no, CAST(n_req AS BIGINT) AS request_count, first_us AS first_seen_us,
   CAST(max_gap AS BIGINT) AS max_sequence_gap, classes AS distinct_endpoint_classes, transitions AS endpoint_transitions
-FROM v_stream_feat WHERE us < (SELECT max(us) // 1000 * 1000 FROM v_ev)"""
-QUERIES["j3_stream_single_use"] = "SELECT DISTINCT e // 2 AS nonce FROM v_ev"
+FROM v_stream_feat"""
+QUERIES["j2_stream_event_batches"] = QUERIES["c4_ingest_event_batches"]
+QUERIES["j3_stream_single_use"] = QUERIES["c24_audit_single_use"]
 QUERIES["j4_stream_windows"] = """
-SELECT key AS sequence_key, w AS first_us, last_us, n AS events, peak AS peak_minute, tr AS transitions, closure
-FROM v_win WHERE closure <> 'end_of_input' AND closed < (SELECT max(us) // 1000 * 1000 FROM v_local)"""
+SELECT key AS sequence_key, w AS first_us, last_us, n AS events, peak AS peak_minute, tr AS transitions,
+  CASE closure WHEN 'end_of_input' THEN 'inactivity' ELSE closure END AS closure FROM v_win"""
+QUERIES["j5_stream_link_outcomes"] = """
+SELECT d.did AS decision_id, o.outcome FROM v_dec d LEFT JOIN v_out o
+  ON o.did = d.did AND o.rec BETWEEN d.rec AND d.rec + 900000000 WHERE d.copy = 0"""
+QUERIES["j6_stream_challenges"] = QUERIES["c27_challenge_lifecycle"]
+QUERIES["j7_watch_report"] = QUERIES["g1_decision_summary"]
+QUERIES["j8_stream_coverage"] = QUERIES["h5_accept_coverage"]
 QUERIES["j9_stream_counters"] = """
-SELECT us // 300000000 * 300000000 AS start_us, CAST(count(*) AS BIGINT) AS decisions FROM v_ev GROUP BY 1
-HAVING us // 300000000 * 300000000 + 300000000 <= (SELECT max(us) // 1000 * 1000 FROM v_ev)"""
+SELECT us // 300000000 * 300000000 AS start_us, CAST(count(*) AS BIGINT) AS decisions FROM v_ev GROUP BY 1"""
+QUERIES["j10_route_late"] = """
+SELECT e AS line_no, e % 2 = 0 AND us < (SELECT max(us) FROM v_ev WHERE e % 2 = 1) AS late FROM v_ev"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab as V
@@ -91,10 +91,37 @@ def stream_event_batches(batches: DataFrame, delay: str = "10 minutes",
     return run_ordered(df, BatchReceipts(config), delay=delay)
 
 
-def stream_single_use(uses: DataFrame, nonce: str = "nonce", time: str = "used_at",
-                      lifetime: str = "6 minutes") -> DataFrame:
-    """Accepted uses: the first of every nonce within the proof lifetime."""
-    return uses.withWatermark(time, lifetime).dropDuplicatesWithinWatermark([nonce])
+class SingleUse(OrderedProcessor):
+    """State: until when the nonce is taken."""
+
+    key = "nonce"
+    fields = ("us", "line_no", "expires_us")
+    fields_schema = "us long, line_no long, expires_us long"
+    state_schema = "until_us long"
+    outputs = ("nonce", "line_no", "use")
+    output = "nonce string, line_no long, use string"
+
+    def deadline_us(self, state):
+        return None if state is None else state[0]
+
+    def step(self, state, row):
+        us, line, expires = row
+        if state is not None and state[0] > us:
+            return state, [(line, "replayed")]
+        return (expires,), [(line, "accepted")]
+
+
+def stream_single_use(uses: DataFrame, fault: Column, delay: str = "10 minutes") -> DataFrame:
+    """(nonce, line_no, use) of every use of an action proof, as `audit_single_use` gives them.
+
+    uses: nonce, line_no, used_us, expires_us and the columns of `fault` (`identity.proof_fault`).
+    Faulty uses come out at once; the others in order, the first of a nonce accepted and the
+    rest replayed until it expires.
+    """
+    df = uses.withColumn("_fault", fault).withColumns({
+        "us": F.col("used_us"), "event_time": F.timestamp_micros("used_us"), "nonce": F.col("nonce").cast("string")})
+    faulty = df.filter("_fault IS NOT NULL").select("nonce", "line_no", F.col("_fault").alias("use"))
+    return run_ordered(df.filter("_fault IS NULL"), SingleUse(), delay=delay).unionByName(faulty)
 
 
 class ActivityWindows(OrderedProcessor):

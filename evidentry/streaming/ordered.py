@@ -41,13 +41,15 @@ class OrderedProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        # pandas turns whole numbers into floats where a batch also has a NULL
+        self.whole = [kind.split()[1] in ("long", "int") for kind in self.fields_schema.split(", ")]
         self.buffer = handle.getListState("buffer", self.fields_schema)
         self.state = handle.getValueState("state", self.state_schema)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for pdf in rows:
-            batch = [tuple(None if _missing(v) else _plain(v) for v in r)
+            batch = [tuple(None if _missing(v) else int(v) if whole else _plain(v) for v, whole in zip(r, self.whole))
                      for r in pdf[list(self.fields)].itertuples(index=False, name=None)]
             self.buffer.appendList(batch)
             low = min(r[0] for r in batch)

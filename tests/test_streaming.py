@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidentry.functions.expr import micros
-from evidentry.operators import challenge, session, telemetry, windows
+from evidentry.operators import challenge, identity, session, telemetry, windows
 from evidentry.plans import derived as T
 from evidentry.streaming import jobs, operators as J
 
@@ -101,10 +101,40 @@ def test_coverage(spark, sf, tmp_path):
 
 
 def test_single_use(spark, sf, tmp_path):
-    df = T.proofs(spark, sf).select("nonce", "line_no", F.timestamp_micros("used_us").alias("used_at"))
-    stream = feed(spark, df, tmp_path, "use", "used_at", future(used_at=None, nonce="flush", line_no=-1))
-    got = drain(spark, J.stream_single_use(stream, lifetime="400 minutes"), tmp_path, "t_use")
-    assert got.filter("line_no >= 0").count() == df.select("nonce").distinct().count()
+    signed = F.col("signature") == identity.signature("payload", T.LOG_KEY)
+    df = T.proofs(spark, sf).withColumn("at", F.timestamp_micros("used_us"))
+    stream = feed(spark, df, tmp_path, "use", "at", future(at=None, nonce="flush", line_no=-1, used_us=1893456000000000,
+                                                          expires_us=1893456600000000, issued_us=1893455900000000))
+    fault = identity.proof_fault(F.col("well_formed"), signed)
+    got = drain(spark, J.stream_single_use(stream, fault, "1 minute"), tmp_path, "t_use")
+    want = identity.audit_single_use(df, F.col("well_formed"), signed)
+    assert rows(got.filter("line_no >= 0"), ["line_no", "use"]) == rows(want, ["line_no", "use"])
+    assert {r["use"] for r in want.select("use").distinct().collect()} >= {"accepted", "replayed", "expired"}
+
+
+def test_nonce_is_free_after_its_expiry(spark):
+    s = 1_000_000
+    uses = spark.createDataFrame(
+        [(1, "n", 0, 10 * s, 1 * s), (2, "n", 0, 10 * s, 5 * s), (3, "n", 15 * s, 30 * s, 21 * s), (4, "n", 15 * s, 30 * s, 22 * s),
+         (5, "m", 0, 300 * s, 2 * s), (6, None, 0, 300 * s, 2 * s), (7, "m", 0, 300 * s, 2 * s)],
+        "line_no long, nonce string, issued_us long, expires_us long, used_us long")
+    use = lambda **kw: {r["line_no"]: r["use"] for r in identity.audit_single_use(
+        uses, F.lit(True), F.lit(True), **kw).collect()}
+    freed = {1: "accepted", 2: "replayed", 3: "accepted", 4: "replayed", 5: "accepted", 6: "malformed", 7: "replayed"}
+    assert use() == freed
+    assert use(for_ever=True) == {**freed, 3: "replayed"}
+
+
+def test_proof_claims(spark):
+    base = {"version": 1, "session_id": "session-1", "expected_session": "session-1", "action": "a", "expected_action": "a",
+            "nonce": "A" * 22, "issued_us": 0, "expires_us": 300_000_000, "request_action": None, "endpoint_class": None}
+    cases = [({}, True), ({"version": 2}, False), ({"nonce": "A" * 21}, False), ({"expires_us": 300_000_001}, False),
+             ({"expires_us": 0}, False), ({"expected_action": "b"}, False), ({"expected_session": "other-one"}, False),
+             ({"request_action": "x"}, False), ({"request_action": "x", "endpoint_class": "y"}, True), ({"session_id": None}, False)]
+    schema = ("version int, session_id string, expected_session string, action string, expected_action string, nonce string, "
+              "issued_us long, expires_us long, request_action string, endpoint_class string")
+    df = spark.createDataFrame([tuple({**base, **c}.values()) for c, _ in cases], schema)
+    assert [r[0] for r in df.select(identity.valid_claims()).collect()] == [ok for _, ok in cases]
 
 
 def test_link_outcomes(spark, sf, tmp_path):
