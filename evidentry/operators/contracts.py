@@ -39,8 +39,11 @@ def valid_utc_text(c: Column | str) -> Column:
                                                   F.lit("yyyy-MM-dd'T'HH:mm:ss")).isNotNull()
 
 
-def evidence_reason() -> Column:
-    """Why a local evidence row (text `observed_at`) breaks its contract, else NULL."""
+def evidence_reason(version: str = LOCAL_INPUT_VERSION) -> Column:
+    """Why a local evidence row (text `observed_at`) breaks its contract, else NULL.
+
+    `version` is the schema version its producer writes.
+    """
     e, label = "evidence.", "label."
     closed = (F.col("source").isin(*V.LOCAL_SOURCES)
               & F.col("endpoint_class").isin(*V.LOCAL_ENDPOINTS)
@@ -58,7 +61,7 @@ def evidence_reason() -> Column:
     triple = F.concat_ws("|", label + "class", label + "provenance", label + "confidence")
     no_session = F.coalesce(F.col("session_ref"), F.lit("")) == ""
     return first_reason(
-        (F.col("schema_version") == LOCAL_INPUT_VERSION, "schema_version"),
+        (F.col("schema_version") == version, "schema_version"),
         (valid_reference("subject_ref") & (no_session | valid_reference("session_ref")), "reference"),
         (closed, "closed_enum"),
         (label_closed, "label_enum"),
@@ -66,9 +69,9 @@ def evidence_reason() -> Column:
         (valid_utc_text("observed_at"), "observed_at"))
 
 
-def validate_evidence(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+def validate_evidence(df: DataFrame, version: str = LOCAL_INPUT_VERSION) -> tuple[DataFrame, DataFrame]:
     """(valid rows with a timestamp `observed_at`, quarantine with `reason`)."""
-    valid, bad = split_valid(df, evidence_reason())
+    valid, bad = split_valid(df, evidence_reason(version))
     return valid.withColumn("observed_at", F.col("observed_at").cast("timestamp")), bad
 
 
@@ -199,11 +202,15 @@ def valid_outcome(o: Column, need_id: Column) -> Column:
         & triple.isin(*["|".join(t) for t in V.OUTCOME_TRIPLES]), F.lit(False))
 
 
-def log_reason(max_assurance_level: int = 1) -> Column:
-    """Why a log record (tagged union, any readable generation) is rejected, else NULL."""
+def log_reason(max_assurance_level: int = 1, versions: tuple[str, str, str, str] = LOG_VERSIONS) -> Column:
+    """Why a log record (tagged union, any readable generation) is rejected, else NULL.
+
+    `versions` are the four generations as their producers name them, oldest first.
+    """
     d, version = F.col("decision"), F.col("schema_version")
-    legacy, newest = version == LOG_VERSIONS[0], version == LOG_VERSIONS[3]
-    delays = version.isin(*LOG_VERSIONS[2:])
+    legacy, newest = version == versions[0], version == versions[3]
+    delays = version.isin(*versions[2:])
+    reasons = F.coalesce(d.reason_codes, F.array().cast("array<string>"))   # an absent list is empty
 
     def action_ok(a: Column) -> Column:
         return a.isin(*[x for x in V.ACTIONS if x != "delay"]) | ((a == "delay") & delays)
@@ -220,7 +227,7 @@ def log_reason(max_assurance_level: int = 1) -> Column:
         return ~is_decision | ok
 
     return first_reason(
-        (version.isin(*LOG_VERSIONS) & F.col("kind").isin("decision", "outcome"), "version_or_kind"),
+        (version.isin(*versions) & F.col("kind").isin("decision", "outcome"), "version_or_kind"),
         (F.col("recorded_at") == F.date_trunc("second", "recorded_at"), "recorded_at"),
         (F.col("session_key").rlike(V.SESSION_KEY), "session_key"),
         (F.when(is_decision, d.isNotNull() & F.col("outcome").isNull())
@@ -231,24 +238,25 @@ def log_reason(max_assurance_level: int = 1) -> Column:
             & action_ok(d.action) & action_ok(d.computed_action) & d.mode.isin(*V.MODES)
             & scores_ok & ((rollout == "") | rollout.rlike(V.STABLE_VALUE))
             & d.policy_version.rlike(V.STABLE_VALUE) & d.model_version.rlike(V.STABLE_VALUE)
-            & (F.size(d.reason_codes) <= 32)), "decision"),
+            & (F.size(reasons) <= 32)), "decision"),
         (if_decision(level.isNull() | (newest & level.between(0, max_assurance_level))),
          "assurance_level"),
         (if_decision(~F.coalesce(d.assurance_withheld, F.lit(False)) | level.isNotNull()),
          "assurance_withheld"),
         (if_decision((d.mode != "canary") | (rollout != "")), "canary_rollout"),
-        (if_decision(F.forall(d.reason_codes, lambda r: r.rlike(V.STABLE_VALUE))), "reason_code"),
+        (if_decision(F.forall(reasons, lambda r: r.rlike(V.STABLE_VALUE))), "reason_code"),
         (is_decision | valid_outcome(F.col("outcome"), ~legacy), "outcome"))
 
 
-def decode_log_records(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def decode_log_records(df: DataFrame, versions: tuple[str, str, str, str] = LOG_VERSIONS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(decisions, outcomes, quarantine) of tagged log records."""
-    valid, bad = split_valid(df, log_reason())
+    valid, bad = split_valid(df, log_reason(versions=versions))
     keep = [c for c in ("ingest_order",) if c in df.columns]
     decisions = valid.filter("kind = 'decision'").select(
         *keep, "schema_version", "recorded_at", "session_key",
         *[F.col(f"decision.{f}").alias(f) for f in DECISION_FIELDS]
-    ).withColumn("evaluation_cohort", optional_class("evaluation_cohort"))
+    ).withColumns({"evaluation_cohort": optional_class("evaluation_cohort"),
+                   "reason_codes": F.coalesce("reason_codes", F.array().cast("array<string>"))})
     outcomes = valid.filter("kind = 'outcome'").select(
         *keep, "schema_version", "recorded_at", "session_key",
         *[F.col(f"outcome.{f}").alias(f) for f in

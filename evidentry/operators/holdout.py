@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..functions.expr import concat_bytes, count_if, first_reason, present, rates, utf8
+from .contracts import valid_reference
 from .windows import ENDPOINT_SEEN, KEY, LABELS
 
 PARTITIONS = ("baseline", "holdout", "unseen_family_holdout")
@@ -21,31 +22,31 @@ def _digest(label: bytes, text: Column) -> Column:
     return F.sha2(concat_bytes(F.lit(bytearray(label)), utf8(text)), 256)
 
 
-def sequence_digest(key: Column) -> Column:
-    return _digest(SEQUENCE_LABEL, key)
+def sequence_digest(key: Column, label: bytes = SEQUENCE_LABEL) -> Column:
+    return _digest(label, key)
 
 
-def family_reason() -> Column:
-    """Why an annotation breaks its contract, else NULL."""
+def family_reason(version: str = FAMILY_VERSION) -> Column:
+    """Why an annotation breaks its contract, else NULL. An id is 32 bytes in base64url."""
     ref = F.col("family_ref")
     return first_reason(
-        (F.col("schema_version") == FAMILY_VERSION, "schema_version"),
+        (F.col("schema_version") == version, "schema_version"),
         (F.col("sequence_kind").isin("subject", "session"), "sequence_kind"),
-        (F.col("sequence_id").rlike(r"^[A-Za-z0-9_-]{42}[AEIMQUYcgkosw048]$"), "sequence_id"),
-        (F.octet_length(ref).between(1, 256) & (F.trim(ref) == ref)
-         & ~ref.rlike(r"[\x00-\x1f\x7f-\x9f]") & F.is_valid_utf8(ref), "family_ref"))
+        (F.col("sequence_id").rlike(r"^[A-Za-z0-9_-]{43}$"), "sequence_id"),
+        (F.octet_length(ref).between(1, 256) & valid_reference(ref), "family_ref"))
 
 
-def load_families(df: DataFrame, reason: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def load_families(df: DataFrame, reason: Column | None = None, sequence_label: bytes = SEQUENCE_LABEL,
+                  family_label: bytes = FAMILY_LABEL) -> tuple[DataFrame, DataFrame]:
     """(families: sequence_digest -> family_digest, quarantine).
 
     An annotation that breaks the contract and every sequence assigned more than once
     go to quarantine; the caller decides whether that is an error.
     """
     reason = family_reason() if reason is None else reason
-    digest = sequence_digest(F.concat_ws(":", "sequence_kind", "sequence_id"))
+    digest = sequence_digest(F.concat_ws(":", "sequence_kind", "sequence_id"), sequence_label)
     marked = df.withColumns({"reason": reason, "sequence_digest": digest,
-                             "family_digest": _digest(FAMILY_LABEL, F.col("family_ref"))})
+                             "family_digest": _digest(family_label, F.col("family_ref"))})
     good = marked.filter("reason IS NULL")
     one = good.groupBy("sequence_digest").agg(
         F.count(F.lit(1)).alias("_n"), F.min("family_digest").alias("family_digest"))

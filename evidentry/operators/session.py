@@ -193,32 +193,36 @@ def verified_event_count(requests: DataFrame, receipts: DataFrame,
 
 # --- decoys ----------------------------------------------------------------------
 
-INTERACTIONS = ("rendered", "touched", "submitted")
+INTERACTIONS = ("touched", "submitted")
+SURFACES = ("link", "form", "api")
+MIN_DECOY_TTL_US, MAX_DECOY_TTL_US = MINUTE_US // 2, 15 * MINUTE_US
 PENDING_TTL_US = 5 * MINUTE_US
 MAX_HITS = 100
 
 
+def valid_decoy_issue(max_ttl_us: int = MAX_DECOY_TTL_US, min_ttl_us: int = MIN_DECOY_TTL_US) -> Column:
+    """Issue rules: session id, endpoint, surface, and a lifetime within bounds."""
+    ttl = micros("expires_at") - micros("issued_at")
+    return F.coalesce(F.octet_length("session_id").between(8, 128) & F.col("endpoint_class").isin(*ENDPOINT_CLASSES)
+                      & F.col("surface").isin(*SURFACES) & ttl.between(min_ttl_us, max_ttl_us), F.lit(False))
+
+
 def redeem_decoys(issued: DataFrame, hits: DataFrame) -> DataFrame:
     """The hit that consumes each capability (at most one per capability).
 
-    A hit after the expiry never counts; `submitted` needs a form surface and
-    otherwise leaves the capability usable.
+    A hit counts from the issue (`issued_at`) to before the expiry; `submitted` needs a form
+    surface and otherwise leaves the capability usable. The earliest hit is a minimum that
+    combines map-side, and the join before it splits a capability that is replayed millions
+    of times.
     """
     at = micros("hit_at")
-    # Keep only the earliest candidates before the join: `min` combines map-side,
-    # so a capability that is replayed millions of times stays one row.
-    def earliest(cond: Column) -> Column:
-        return F.min(F.when(cond, F.struct(at.alias("us"), F.col("line_no").alias("line_no"),
-                                           F.col("interaction").alias("interaction"))))
-
-    first = (hits.filter(F.col("interaction").isin(*INTERACTIONS))
-             .groupBy("capability")
-             .agg(earliest(F.lit(True)).alias("_any"),
-                  earliest(F.col("interaction") != "submitted").alias("_plain")))
-    usable = F.when(F.col("surface") == "form", F.col("_any")).otherwise(F.col("_plain"))
+    rules = issued.select("capability", (F.col("surface") == "form").alias("_form"),
+                          micros("issued_at").alias("_from"), micros("expires_at").alias("_until"))
+    usable = (at >= F.col("_from")) & (at < F.col("_until")) & (F.col("_form") | (F.col("interaction") != "submitted"))
+    first = (hits.filter(F.col("interaction").isin(*INTERACTIONS)).join(rules, "capability").filter(usable)
+             .groupBy("capability").agg(F.min(F.struct(
+                 at.alias("us"), F.col("line_no").alias("line_no"), F.col("interaction").alias("interaction"))).alias("_hit")))
     return (issued.join(first, "capability")
-            .withColumn("_hit", usable)
-            .filter(F.col("_hit").isNotNull() & (micros("expires_at") > F.col("_hit.us")))
             .select("capability", "session_id", "endpoint_class", "surface",
                     F.timestamp_micros("_hit.us").alias("hit_at"),
                     F.col("_hit.line_no").alias("hit_line_no"),

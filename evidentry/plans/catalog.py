@@ -79,6 +79,39 @@ def c8_detector_signals(spark, sf):
             .agg(n().alias("n")).filter(F.col("code").isNotNull()))
 
 
+def _signal_counts(df):
+    return (items(df, F.col("evidence.code"), "code").groupBy("code")
+            .agg(n().alias("n")).filter(F.col("code").isNotNull()))
+
+
+@query
+def c8_burst_signals(spark, sf):
+    """Signals of sessions that are large and fast: volume, burst and surface sweep."""
+    return _signal_counts(D.score_requests(T.busy_requests(spark, sf)))
+
+
+@query
+def c8_decoy_signals(spark, sf):
+    """Signals after verified decoy hits were attached to the requests."""
+    requests = T.requests(spark, sf)
+    hits = S.attach_decoy_hits(requests, S.redeem_decoys(T.decoy_issued(spark, sf), T.decoy_hits(spark, sf)))
+    joined = requests.join(hits, ["session_id", "line_no"])
+    joined = joined.withColumn("observations", F.col("observations").withField(
+        "verified_decoy_hits", F.col("verified_decoy_hits"))).drop("verified_decoy_hits")
+    return _signal_counts(D.score_requests(joined))
+
+
+@query
+def c8_user_detector(spark, sf):
+    """A registry with a detector of the user's own beside two built-in ones."""
+    mine = X.Detector("night_watch_v1", (
+        X.Signal("OTHER_SURFACE_REPEATED", "intent", 1, .4, .5,
+                 (F.col("endpoint_class") == "other") & (F.col("request_count") > 1)),))
+    config = D.DecisionConfig(detectors=(*X.default_detectors(), mine),
+                              enabled_detectors=("campaign_surface_v1", "night_watch_v1"))
+    return _signal_counts(D.score_requests(T.requests(spark, sf), config))
+
+
 @query
 def c9_detect(spark, sf):
     codes = F.concat_ws(",", "evidence.code")

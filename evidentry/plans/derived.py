@@ -99,6 +99,15 @@ def requests(spark: SparkSession, sf_dir: str, change: dict | None = None) -> Da
     )
 
 
+def busy_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`requests` as bursts: every 200 events share a session and follow at 250 ms."""
+    e = F.col("line_no")
+    g = div(e, 200)
+    return requests(spark, sf_dir).withColumns({
+        "session_id": _session(g), "sequence": e % 200 + 1,
+        "observed_at": F.timestamp_micros(F.lit(T0) + g % 1_000_000 * V.MINUTE_US * 10 + e % 200 * 250_000)})
+
+
 def rough_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`requests` with contract violations spread over the rows."""
     e, event = F.col("line_no"), F.col("event_id")
@@ -351,18 +360,20 @@ def decoy_issued(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("cap-"), e.cast("string")).alias("capability"), _session(u).alias("session_id"),
         pick(V.ENDPOINT_CLASSES, (e * 7 + u) % 9).alias("endpoint_class"),
         F.when(e % 2 == 0, F.lit("form")).otherwise(F.lit("link")).alias("surface"),
+        F.timestamp_micros("us").alias("issued_at"),
         F.timestamp_micros(F.col("us") + 600 * V.MICROS).alias("expires_at"))
 
 
 def decoy_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One to three hits per capability, some too late or of the wrong kind."""
+    """One to three hits per capability, some too early, too late or of the wrong kind."""
     e = F.col("event_id")
     hit = F.explode(F.sequence(F.lit(0).cast("long"), e % 3)).alias("j")
     base = events(spark, sf_dir).filter(e % 5 == 0).select("event_id", "us", hit)
     j = F.col("j")
     return base.select(
         F.concat(F.lit("cap-"), e.cast("string")).alias("capability"),
-        F.timestamp_micros(F.col("us") + (e % 13 * 60 + j * 45) * V.MICROS).alias("hit_at"),
+        F.timestamp_micros(F.col("us") + (e % 13 * 60 + j * 45 - F.when(e % 35 == 0, 60).otherwise(0)) * V.MICROS)
+        .alias("hit_at"),
         (e * 3 + j).alias("line_no"),
         pick(("rendered", "touched", "submitted", "gazed"), (e + j) % 4).alias("interaction"))
 

@@ -541,11 +541,11 @@ SELECT r.sid AS session_id, r.e AS line_no,
 FROM v_req r ASOF LEFT JOIN v_receipt c ON r.sid = c.sid AND r.us >= c.us"""
 VIEWS["v_hit"] = f"""
 SELECT e, 'cap-' || e::VARCHAR AS cap, us AS iss, us + 600000000 AS exp, sid, ep, e % 2 = 0 AS form,
-  us + (e % 13 * 60 + j*45)*1000000 AS hat, e*3 + j AS line,
+  us + (e % 13 * 60 + j*45 - CASE WHEN e % 35 = 0 THEN 60 ELSE 0 END)*1000000 AS hat, e*3 + j AS line,
   {pick(('rendered', 'touched', 'submitted', 'gazed'), '(e + j) % 4')} AS inter
 FROM (SELECT *, unnest(range(0, e % 3 + 1)) AS j FROM v_req WHERE e % 5 = 0)"""
 VIEWS["v_redeem"] = """
-SELECT * FROM v_hit WHERE inter <> 'gazed' AND (form OR inter <> 'submitted') AND hat < exp
+SELECT * FROM v_hit WHERE inter IN ('touched', 'submitted') AND (form OR inter <> 'submitted') AND hat >= iss AND hat < exp
 QUALIFY row_number() OVER (PARTITION BY cap ORDER BY hat, line) = 1"""
 QUERIES["c6_redeem_decoys"] = """
 SELECT cap AS capability, hat AS hit_us, line AS hit_line_no, inter AS interaction FROM v_redeem"""
@@ -566,6 +566,17 @@ f AS (
 SELECT sid, line AS e, taken FROM f WHERE side = 1 AND k > 0"""
 QUERIES["c7_attach_decoy_hits"] = """
 SELECT sid AS session_id, e AS line_no, taken AS verified_decoy_hits FROM v_pending"""
+VIEWS["v_busy"] = features("""(SELECT * REPLACE (
+  'session-' || lpad(CAST(e // 200 AS VARCHAR), CAST(greatest(8, length(CAST(e // 200 AS VARCHAR))) AS INTEGER), '0') AS sid,
+  1704067200000000 + e // 200 % 1000000 * 600000000 + e % 200 * 250000 AS us, e % 200 + 1 AS seq) FROM v_req)""")
+VIEWS["v_busy_scored"] = scored("(SELECT *, 0 AS vhits FROM v_busy)")
+VIEWS["v_decoy_scored"] = scored("(SELECT v_feat.*, p.taken AS vhits FROM v_feat JOIN v_pending p USING (sid, e))")
+for _name, _view in (("c8_burst_signals", "v_busy_scored"), ("c8_decoy_signals", "v_decoy_scored")):
+    QUERIES[_name] = f"SELECT code, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(codes) AS code FROM {_view}) GROUP BY 1"
+QUERIES["c8_user_detector"] = """
+SELECT unnest(['COMPARE_NOINDEX_CAMPAIGN_SURFACE', 'OTHER_SURFACE_REPEATED']) AS code,
+  unnest([CAST(count(*) FILTER (WHERE ep = 'compare_noindex') AS BIGINT),
+          CAST(count(*) FILTER (WHERE ep = 'other' AND n_req > 1) AS BIGINT)]) AS n FROM v_feat"""
 VIEWS["v_subset"] = scored("(SELECT *, 0 AS vhits FROM v_feat)", ("decoy_interaction_v2", "protocol_consistency_v2"))
 QUERIES["c9_detect_subset"] = """
 SELECT computed AS computed_action, policy_reason, CAST(count(*) AS BIGINT) AS n FROM v_subset GROUP BY 1, 2"""

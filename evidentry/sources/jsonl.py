@@ -109,16 +109,16 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         "value")
 
 
-def read_evidence_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_evidence_jsonl(spark: SparkSession, path: str, version: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(valid, quarantine) of local evidence in JSON Lines, contract included.
 
     Quarantine has the reason and, for lines that are no record at all, their text (`value`);
     records that break the contract are given back as JSON in the same column.
     """
-    from ..operators.contracts import validate_evidence
+    from ..operators.contracts import LOCAL_INPUT_VERSION, validate_evidence
 
     parsed, broken = parse_strict(read_lines(spark, path), LOCAL_INPUT)
-    valid, bad = validate_evidence(parsed)
+    valid, bad = validate_evidence(parsed, version or LOCAL_INPUT_VERSION)
     keep = ["source_split", "line_no", "reason"]
     fields = [c for c in bad.columns if c not in keep]
     return valid, broken.select(*keep, "value").unionByName(
