@@ -16,7 +16,7 @@ from .. import vocab as V
 from ..functions.expr import (base64url, concat_bytes, hmac_sha256, in_or_absent, is_finite, micros,
                               optional_class, present, utf8)
 from ..functions.net import address_bits, peer_address, prefix_bits, within
-from ..functions.timeline import ROWS_PER_CHUNK, Timeline, before, over_timeline
+from ..functions.timeline import ROWS_PER_CHUNK, Timeline, before, over_timeline, running
 from .detect import obs, verified_public_crawler
 
 # --- fixed values: assurance ---------------------------------------------------------
@@ -350,29 +350,29 @@ def monotone_revisions(df: DataFrame, key: str, order_us: str = "_us", line: str
 
 
 def issuer_trust(credentials: DataFrame, lists: DataFrame, issuers: DataFrame, revoked: DataFrame,
-                 max_level: int = MAX_LEVEL) -> DataFrame:
+                 max_level: int = MAX_LEVEL, rows_per_chunk: int = 1_000_000) -> DataFrame:
     """trusted, maximum_assurance_level, uniqueness_scope and issuer_purpose per credential.
 
     credentials: used_us, issuer_id, commitment. lists: revision, installed_us,
     expires_us (accepted revisions only). issuers: revision, issuer_id, max_level,
     scope, purpose. revoked: revision, commitment.
 
-    The list in force is found by day: every list is spread over the days it covers,
-    which turns the interval join into an equi-join.
+    The list in force is the last one installed, until it expires. Lists and uses go on one
+    time line, which is cut by rank into chunks of `rows_per_chunk`; every chunk hands its
+    last list on to the next. A list and a use of the same instant: the list comes first.
     """
-    from pyspark.sql import Window
-
-    day = 86_400 * V.MICROS
-    until = F.lead("installed_us").over(Window.orderBy("installed_us"))  # one row per list
-    spans = lists.withColumn("_until", F.least(F.coalesce(until, F.col("expires_us")), F.col("expires_us")))
-    spans = spans.filter(F.col("_until") > F.col("installed_us")).select(
-        "revision", F.col("installed_us").alias("_from"), "_until",
-        F.explode(F.sequence(F.floor(F.col("installed_us") / float(day)),
-                             F.floor((F.col("_until") - 1) / float(day)))).alias("_day"))
-    c = credentials.withColumn("_day", F.floor(F.col("used_us") / float(day)))
-    at = F.col("used_us")
-    c = (c.join(spans, (c["_day"] == spans["_day"]) & (at >= F.col("_from")) & (at < F.col("_until")), "left")
-         .drop("_day", "_from", "_until"))
+    entry = F.struct("revision", "expires_us")
+    left = credentials.withColumns({"_side": F.lit(1), "_list": F.lit(None).cast("struct<revision:long,expires_us:long>")})
+    right = lists.select(F.col("installed_us").alias("used_us"), F.lit(0).alias("_side"),
+                         entry.cast("struct<revision:long,expires_us:long>").alias("_list"), F.col("revision").alias("line_no"))
+    both = left.unionByName(right, allowMissingColumns=True).withColumn("_all", F.lit(0))
+
+    def apply(d: DataFrame, line: Timeline) -> DataFrame:
+        return line.run(d, {"_now": running("last", F.col("_list"))})
+
+    c = over_timeline(both, ["_all"], ["used_us", "_side", "line_no"], apply, rows_per_chunk).filter("_side = 1")
+    c = c.withColumn("revision", F.when(F.col("_now.expires_us") > F.col("used_us"), F.col("_now.revision"))).drop(
+        "_side", "_list", "_now", "_all")
     c = c.join(issuers, ["revision", "issuer_id"], "left")
     gone = revoked.select("revision", "commitment").distinct().withColumn("_gone", F.lit(True))
     c = c.join(gone, ["revision", "commitment"], "left")

@@ -303,23 +303,24 @@ def windows_of(events: DataFrame, config: WindowConfig = WindowConfig()) -> Data
         window_features(sequence_windows(sequence_key(events), config), config), config)
 
 
-def peak_active(windows: DataFrame, bucket_us: int = 60 * V.MINUTE_US) -> DataFrame:
+def peak_active(windows: DataFrame) -> DataFrame:
     """`peak_active`: the highest number of windows open at once.
 
-    Openings and closings are summed per instant, then prefix-summed in two levels
-    (buckets, instants within a bucket).
+    Openings and closings are summed per instant. Instants are dealt to tasks by range, so
+    each task sums up its own and starts from the total of the tasks before it (one row per
+    task); neither an hour nor the whole time line has to fit one task.
     """
     change = windows.select(F.inline(F.array(
         F.struct(F.col("first_us").alias("us"), F.lit(1).alias("d")),
         F.struct(F.col("closed_us").alias("us"), F.lit(-1).alias("d")))))
-    instants = change.groupBy("us").agg(F.sum("d").alias("d")).withColumn(
-        "b", F.floor(F.col("us") / float(bucket_us)))
-    totals = instants.groupBy("b").agg(F.sum("d").alias("t"))
-    ahead = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
-    base = totals.select("b", F.coalesce(F.sum("t").over(ahead), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("b").orderBy("us")
-    level = F.sum("d").over(inside) + F.col("base")
-    return (instants.join(base, "b").select(level.alias("open"))
+    instants = change.groupBy("us").agg(F.sum("d").alias("d"))
+    tasks = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = durable(instants.repartitionByRange(tasks, "us").withColumn("task", F.spark_partition_id()))
+    ahead = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # one row per task
+    base = placed.groupBy("task").agg(F.sum("d").alias("t")).select(
+        "task", F.coalesce(F.sum("t").over(ahead), F.lit(0)).alias("base"))
+    level = F.sum("d").over(Window.partitionBy("task").orderBy("us")) + F.col("base")
+    return (placed.join(F.broadcast(base), "task").select(level.alias("open"))
             .agg(F.coalesce(F.max("open"), F.lit(0)).cast("long").alias("peak_active")))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import count_if, items, micros, proportion_difference, rates, wilson
-from ..functions.timeline import durable, shared_folder
+from ..functions.timeline import shared_folder, stored
 from ..operators import analysis as G
 from ..operators import challenge as H
 from ..operators import contracts as A
@@ -530,8 +530,8 @@ def _families(spark, sf):
 
 def _split(spark, sf):
     w = _windows(spark, sf).crossJoin(F.broadcast(_cutoff(T.local_events(spark, sf))))
-    w = O.split_windows(w, F.col("cutoff_us"))
-    return O.mark_unseen(O.attach_families(w, _families(spark, sf)))
+    w = stored(O.attach_families(O.split_windows(w, F.col("cutoff_us")), _families(spark, sf)), "split-windows")
+    return O.mark_unseen(w)
 
 
 @query
@@ -589,7 +589,7 @@ def f7_holdout_readiness(spark, sf):
 
 @query
 def f8_check_holdout_report(spark, sf):
-    w = _split(spark, sf)
+    w = stored(_split(spark, sf), "marked-windows")
     return O.check_holdout_report(O.holdout_report(w), O.rule_confusion(w))
 
 
@@ -597,10 +597,15 @@ def f8_check_holdout_report(spark, sf):
 
 def _log(spark, sf):
     """Decisions as a written table, as a log would be: outcomes derive from it twice."""
-    d = durable(T.logged(spark, sf))
+    d = stored(T.logged(spark, sf), "log")
     return d, T.outcomes(d)
 
 
+def _stored_links(d, o):
+    """The links as a table: all consumers of one query read the same join."""
+    return stored(L.link_outcomes(d, o), "links")
+
+
 def _links(spark, sf):
     """Links with the latest time of the log on every row."""
     d, o = _log(spark, sf)
@@ -706,8 +711,8 @@ def g15_proportion_difference(spark, sf):
         F.col("_d.lower95").alias("lower95"), F.col("_d.upper95").alias("upper95")))
 
 
-def _metrics(d, o):
-    links = L.link_outcomes(d, o)
+def _metrics(d, o, links=None):
+    links = _stored_links(d, o) if links is None else links
     overall = L.linked_evaluation(links.crossJoin(F.broadcast(G.last_time(d, o))), [], F.col("last_us"))
     return G.report_metrics(G.decision_summary(d), L.linkage_summary(links, o), overall)
 
@@ -747,7 +752,7 @@ def g18_decision_holdout_readiness(spark, sf):
 @query
 def g19_check_analysis_report(spark, sf):
     d, o = _log(spark, sf)
-    links = L.link_outcomes(d, o)
+    links = _stored_links(d, o)
     last = F.broadcast(G.last_time(d, o))
     source = A.source_summary(d.select("recorded_at", F.lit("decision").alias("kind")).unionByName(
         o.select("recorded_at", F.lit("outcome").alias("kind"))))
@@ -769,21 +774,22 @@ def d6_dominant_version(spark, sf):
 
 def _review_parts(spark, sf):
     d, o = _log(spark, sf)
-    timed = L.link_outcomes(d, o).crossJoin(F.broadcast(G.last_time(d, o)))
-    return d, o, timed, L.evaluation_slices(timed, F.col("last_us"))
+    links = _stored_links(d, o)
+    timed = links.crossJoin(F.broadcast(G.last_time(d, o)))
+    return d, o, links, timed, L.evaluation_slices(timed, F.col("last_us"))
 
 
 @query
 def d7_recommend_endpoint(spark, sf):
-    d, o, _, slices = _review_parts(spark, sf)
+    d, o, _, _, slices = _review_parts(spark, sf)
     return G.recommend_endpoint(G.endpoint_summary(d, o), slices, min_labels=2)
 
 
 def _gates(spark, sf, stage):
-    d, o, timed, slices = _review_parts(spark, sf)
+    d, o, links, timed, slices = _review_parts(spark, sf)
     source = A.source_summary(d.select("recorded_at").unionByName(o.select("recorded_at")), kind=None)
     endpoint = G.recommend_endpoint(G.endpoint_summary(d, o), slices, min_labels=2)
-    args = (G.readiness(_metrics(d, o)), source, G.dominant_version(d, "policy_version"),
+    args = (G.readiness(_metrics(d, o, links)), source, G.dominant_version(d, "policy_version"),
             G.dominant_version(d, "model_version"), endpoint)
     if stage == "canary":
         return G.review_gates(*args)

@@ -125,3 +125,18 @@ def test_revisions_and_coverage(spark, sf):
          ["source_id", "line_no", "verdict"])
     log = T.request_log(spark, sf)
     same(telemetry.running_dispositions(log), telemetry.running_dispositions(log, TINY))
+
+
+def test_trust_lists_and_peak(spark, sf):
+    tables = T.trust_tables(spark, sf)
+    cols = ["line_no", "trusted", "maximum_assurance_level", "uniqueness_scope"]
+    same(identity.issuer_trust(*tables), identity.issuer_trust(*tables, rows_per_chunk=37), cols)
+    # one instant with many openings and closings
+    w = spark.range(500).select((F.col("id") % 3).alias("first_us"), (F.col("id") % 3 + 1 + F.col("id") % 2).alias("closed_us"))
+    level, best = 0, 0
+    rows_ = [(r["first_us"], r["closed_us"]) for r in w.collect()]
+    for t in range(6):
+        level += sum(a == t for a, _ in rows_) - sum(b == t for _, b in rows_)
+        best = max(best, level)
+    assert windows.peak_active(w).first()[0] == best
+    assert windows.peak_active(w.limit(0)).first()[0] == 0
