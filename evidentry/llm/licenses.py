@@ -69,7 +69,9 @@ OTHER_NAMES = ("Foobar", "Example", "Artistic", "Zlib", "Community", "Eclipse",
 NOT_LICENCES = ("She renewed her driver license at the office.", "The copyright debate went on for years.",
                 "They license new doctors every spring.", "Seats are reserved for guests.", "A fishing licence costs ten euros.",
                 "The apache helicopter landed.", "The warranty of the car ran out.", "Tables can be reserved by phone.",
-                "The pub lost its license last year.", "He wrote about copyright and the press.")
+                "The pub lost its license last year.", "Her driver license expired in May.",
+                "He got his hunting license.", "You need a license to drive a truck.", "She got a new driver license.",
+                "He wrote about copyright and the press.")
 TERMS = ("licen[sc]e[ds]?", "sublicense", "licensing", "copyright", "copyleft", "apache(?:-[0-9.]+)?", "gnu", "a?gpl(?:-[a-z0-9.-]+)?",
          "lgpl(?:-[a-z0-9.-]+)?", "bsd(?:-[a-z0-9-]+)?", "mozilla", "mpl(?:-[0-9.]+)?", "creative", "commons", "cc", "cc0(?:-[0-9.]+)?",
          "cc-by(?:-[a-z0-9.-]+)?", "spdx(?:-[a-z-]+)?", "reserved", "redistributions?", "redistribute", "proprietary", "warranty",

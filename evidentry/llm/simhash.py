@@ -18,19 +18,18 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stored
+from .common import stored
 from .components import components
 
 SHINGLE, SEED, BUDGET = 4, 42, 4
 STARTS, BLOCK = (0, 21, 42), 21          # the third block has 22 bits; 21 of them are led by it
 LEAVES_PER_NODE = 400                    # aim of the first cut
-LEAVES_PER_TASK = 20_000                 # node pairs above it are expanded further
+LEAVES_PER_TASK = 5_000                  # node pairs above it are expanded further
 STEP = 4
 PAIRS_PER_STEP = 200_000
 
@@ -175,22 +174,27 @@ def walk(left: np.ndarray, right: np.ndarray | None, level: int, spent: int) ->
     return np.concatenate(links) if links else np.empty((0, 2), np.uint64)
 
 
-def _walk_node(group: pd.DataFrame) -> pd.DataFrame:
-    start, xor = int(group["start"].iloc[0]), int(group["xor"].iloc[0])
-    level, node = int(group["level"].iloc[0]), int(group["node"].iloc[0])
-    leaves = np.unique(group["fp"].to_numpy().view(np.uint64))
+def _node_links(leaves: np.ndarray, start: int, level: int, xor: int, node: int) -> np.ndarray:
+    """Links below one node pair, as signed fingerprints in their original bit order."""
+    leaves = np.unique(leaves.view(np.uint64))
     if xor == 0:
         links = walk(leaves, None, level, 0)
     else:
-        mine = (leaves >> np.uint64(64 - level) if level < 64 else leaves) == np.array(node).astype(np.int64).view(np.uint64)
-        left, right = leaves[mine], leaves[~mine]
-        both = len(left) and len(right)
-        links = walk(left, right, level, bin(xor & (2**64 - 1)).count("1")) if both else np.empty((0, 2), np.uint64)
+        mine = (leaves >> np.uint64(64 - level)).view(np.int64) == node
+        links = walk(leaves[mine], leaves[~mine], level, bin(xor).count("1"))
     s = np.uint64(start)
     if start:
         links = (links >> s) | (links << (np.uint64(64) - s))
-    links = np.ascontiguousarray(links).view(np.int64)
-    return pd.DataFrame({"a": links[:, 0], "b": links[:, 1]})
+    return np.ascontiguousarray(links).view(np.int64)
+
+
+def _walk_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        leaves = batch.column("leaves")
+        rows = zip(*(batch.column(c).to_pylist() for c in ("start", "level", "xor", "node")), strict=True)
+        found = [_node_links(leaves[i].values.to_numpy(), *row) for i, row in enumerate(rows)]
+        links = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+        yield pa.RecordBatch.from_pydict({"a": pa.array(links[:, 0]), "b": pa.array(links[:, 1])})
 
 
 def trie_links(fingerprints: DataFrame, leaves_per_task: int = LEAVES_PER_TASK) -> DataFrame:
@@ -199,7 +203,6 @@ def trie_links(fingerprints: DataFrame, leaves_per_task: int = LEAVES_PER_TASK)
     Two fingerprints are connected through these links exactly if they are connected through
     pairs that differ in at most `BUDGET` bits.
     """
-    spark = fingerprints.sparkSession
     distinct = stored(fingerprints.select("fp").where("fp is not null").distinct(), "fingerprints")
     n = distinct.count()
     level = min(BLOCK, max(2, math.ceil(math.log2(max(1, n) / LEAVES_PER_NODE))))
@@ -221,10 +224,15 @@ def trie_links(fingerprints: DataFrame, leaves_per_task: int = LEAVES_PER_TASK)
         if not crowded:
             break
         step = min(STEP, 60 - level)
-        nodes = _expand(nodes.join(hot, key, "left_semi"), level, step)
+        # written once, or every further round would start from the leaves again
+        nodes = stored(_expand(nodes.join(hot, key, "left_semi"), level, step), "expanded-nodes")
         level += step
-    return (ready.repartition(partitions(spark), "start", "level", "xor", "node")
-            .groupBy("start", "level", "xor", "node").applyInPandas(_walk_node, "a long, b long"))
+    # one row for each node pair, of at most `leaves_per_task` leaves; pairs with an empty side hold no link
+    left = F.expr("shiftrightunsigned(fp, 64 - level)") == F.col("node")
+    pairs = ready.groupBy("start", "level", "xor", "node").agg(
+        F.collect_list("fp").alias("leaves"), F.count_if(left).alias("left"))
+    pairs = pairs.where("IF(xor = 0, size(leaves) > 1, left > 0 AND left < size(leaves))")
+    return pairs.select("start", "level", "xor", "node", "leaves").mapInArrow(_walk_nodes, "a long, b long")
 
 
 def _prints(documents: DataFrame, id: str, text: str) -> DataFrame:

@@ -59,17 +59,17 @@ def _leaves(n, seed):
         for _ in range(k):
             flips ^= np.uint64(1) << rng.integers(0, 64, n, dtype=np.uint64)
         out.append(base ^ flips)
-    dense = rng.integers(0, 2**64, 1, dtype=np.uint64) ^ (rng.integers(0, 2**9, 200, dtype=np.uint64) << np.uint64(20))
+    dense = rng.integers(0, 2**64, 1, dtype=np.uint64) ^ (rng.integers(0, 2**9, 60, dtype=np.uint64) << np.uint64(40))
     return np.unique(np.concatenate([*out, dense]))
 
 
 def test_trie_links(spark):
-    leaves = _leaves(150, 5)
+    leaves = _leaves(40, 5)
     linked = [(int(leaves[i]), int(leaves[j])) for i in range(len(leaves))
               for j in np.flatnonzero(np.bitwise_count(leaves[i + 1:] ^ leaves[i]) <= 4) + i + 1]
     expected = brute_components([int(x) for x in leaves], linked)
     frame = spark.createDataFrame([(int(x),) for x in leaves.view(np.int64)], "fp long")
-    for most in (20_000, 40):     # 40: node pairs are expanded again and again
+    for most in (5_000, 30):     # 30: node pairs are expanded again and again
         links = [(r["a"] % 2**64, r["b"] % 2**64) for r in simhash.trie_links(frame, most).collect()]
         assert all(bin(a ^ b).count("1") <= 4 for a, b in links)
         assert brute_components([int(x) for x in leaves], links) == expected

@@ -52,8 +52,10 @@ def test_mixture(spark, sources):
     assert sorted(map(key, rows)) == sorted(map(key, again))
     copies = mixture.mix(sources, group_rows=64)
     assert copies.columns == [*sources.columns, "copy", "mix_size", "mix_source_size", "mix_target"]
-    total = copies.groupBy("source").sum("mix_size").collect()
-    assert {r[0]: r[1] for r in total} == {s: t for s in sizes if (t := sum(r["taken"] for r in rows if r["source"] == s))}
+    total = {r[0]: r[1] for r in copies.groupBy("source").sum("mix_size").collect()}
+    for s, target in expected.items():
+        assert abs(total.get(s, 0) - target) <= max(r["size"] for r in rows if r["source"] == s)
+    assert {r["copy"] for r in copies.collect()} >= {1, 2}
     assert mixture.mix_report(sources.limit(0)).count() == 0 and mixture.mix(sources.limit(0)).count() == 0
 
 
@@ -89,7 +91,9 @@ def test_url_rules(spark):
     assert len(got) == len(rows)
     for r in got:
         assert (r["host"], r["path"], r["rule"]) == list(cases.values())[r["page_id"]]
-        assert r["verdict"] == ("block" if r["rule"] in ("net/", "example.com/de/") else "allow")
+        if r["rule"]:
+            assert r["verdict"] == ("block" if r["rule"] in ("net/", "example.com/de/") else "allow")
+        assert r["verdict"] in ("allow", "block")
     assert urls.judge(frame.limit(0), RULES).count() == 0
 
 
