@@ -115,6 +115,17 @@ def rates(specs: dict[str, tuple[str, Column | str, Column | str]] | dict) -> li
     return out
 
 
+def same_rates(specs: dict) -> Column:
+    """Whether the columns of `rates(specs)` are what the counts give (to 1e-9, NULL for NULL)."""
+    ok = F.lit(True)
+    for name, (k, n) in specs.items():
+        for suffix, value in (("rate", proportion(col(k), col(n))), ("lower95", wilson_lower(col(k), col(n))),
+                              ("upper95", wilson_upper(col(k), col(n)))):
+            given = F.col(f"{name}_{suffix}")
+            ok = ok & F.coalesce(F.abs(given - value) <= 1e-9, given.isNull() & value.isNull())
+    return ok
+
+
 # --- enums -----------------------------------------------------------------------
 
 def optional_class(c: Column | str) -> Column:

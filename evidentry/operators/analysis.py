@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..functions.expr import (count_if, items, micros, present, proportion,
-                              proportion_difference, rates, wilson)
+                              proportion_difference, rates, same_rates, wilson)
 from .linkage import COUNTS
 
 SCORES = ("automation_risk", "abuse_intent_risk", "account_continuity")
@@ -109,6 +109,12 @@ def value_counts(d: DataFrame, column: str) -> DataFrame:
             .filter(F.col("value").isNotNull()))
 
 
+def enforce_distinct_budget(budget: DataFrame) -> DataFrame:
+    """Fail the job when a column has more distinct values than allowed."""
+    return budget.withColumn("ok", F.coalesce(F.when(F.col("ok"), F.lit(True)), F.raise_error(
+        F.concat(F.lit("too many distinct values: "), F.col("metadata"))).cast("boolean")))
+
+
 def top_counts(d: DataFrame, column: str, k: int = 32) -> DataFrame:
     """The k most frequent values, ties by value."""
     return value_counts(d, column).orderBy(F.desc("n"), F.asc("value")).limit(k)
@@ -283,7 +289,8 @@ def check_analysis_report(summary: DataFrame, outcome: DataFrame, endpoints: Dat
     intervals = endpoints.agg(F.coalesce(F.bool_and(
         (c("computed_risky_lower95") <= c("computed_risky_rate"))
         & (c("computed_risky_rate") <= c("computed_risky_upper95"))
-        & (c("computed_risky") <= c("decisions"))), F.lit(True)).alias("r_intervals"))
+        & (c("computed_risky") <= c("decisions"))), F.lit(True)).alias("r_intervals"),
+        F.coalesce(F.bool_and(same_rates({"computed_risky": ("computed_risky", "decisions")})), F.lit(True)).alias("r_rates"))
     one = (prefixed(summary, "d").crossJoin(prefixed(outcome, "o")).crossJoin(prefixed(linkage, "l"))
            .crossJoin(total(endpoints, ("decisions", "outcomes", "computed_risky", *V.OUTCOMES), "e"))
            .crossJoin(total(slices.filter("evaluation_cohort = 'all'"),
@@ -313,7 +320,7 @@ def check_analysis_report(summary: DataFrame, outcome: DataFrame, endpoints: Dat
         "evaluated_labels": c("v_confirmed_labels") == c("l_confirmed_labels"),
         "evaluated_ambiguous": c("v_ambiguous_ground_truth") == c("l_ambiguous_ground_truth"),
         "slices_roll_up": c("r_slices"), "evaluation_parts_sum": c("r_inner"),
-        "intervals_contain_rates": c("r_intervals"),
+        "intervals_contain_rates": c("r_intervals"), "rates_recomputed": c("r_rates"),
         "canary_sum": c("c_canary_decisions") == c("d_mode_canary"),
         "budget_per_comparison": c("c_rows") == c("b_rows"),
     }

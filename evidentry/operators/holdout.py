@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab as V
-from ..functions.expr import concat_bytes, count_if, first_reason, present, rates, utf8
+from ..functions.expr import concat_bytes, count_if, first_reason, present, rates, same_rates, utf8
 from .contracts import valid_reference
 from .windows import ENDPOINT_SEEN, KEY, LABELS
 
@@ -125,13 +125,14 @@ def rule_confusion(windows: DataFrame) -> DataFrame:
         for f in ("flagged", "unflagged") for label in LABELS]
     counted = long.groupBy("partition", "endpoint_class", "rule").agg(*sums)
     full = scaffold(windows).join(counted, ["partition", "endpoint_class", "rule"], "left").fillna(0)
-    human = F.col("flagged_human_confirmed") + F.col("unflagged_human_confirmed")
-    abuse = F.col("flagged_operator_confirmed_abuse") + F.col("unflagged_operator_confirmed_abuse")
-    unknown = F.col("flagged_unknown") + F.col("unflagged_unknown")
-    return full.select("*", *rates({
-        "human_flag": ("flagged_human_confirmed", human),
-        "abuse_capture": ("flagged_operator_confirmed_abuse", abuse),
-        "unknown_flag": ("flagged_unknown", unknown)}))
+    return full.select("*", *rates(_rule_rates()))
+
+
+def _rule_rates() -> dict:
+    total = lambda label: F.col(f"flagged_{label}") + F.col(f"unflagged_{label}")
+    return {"human_flag": ("flagged_human_confirmed", total("human_confirmed")),
+            "abuse_capture": ("flagged_operator_confirmed_abuse", total("operator_confirmed_abuse")),
+            "unknown_flag": ("flagged_unknown", total("unknown"))}
 
 
 def scaffold(df: DataFrame) -> DataFrame:
@@ -223,4 +224,19 @@ def check_holdout_report(report: DataFrame, confusion: DataFrame) -> DataFrame:
         (F.col("human_flag_lower95") <= F.col("human_flag_rate"))
         & (F.col("human_flag_rate") <= F.col("human_flag_upper95"))).alias("ok")).select(
         F.lit("rates_within_intervals").alias("check_name"), "ok")
-    return one.unionByName(rules).unionByName(in_bounds)
+    # Over all endpoints a partition's labels are the report's, and no endpoint has more than all of them.
+    parts = report.select(F.inline(F.array(*[F.struct(
+        F.lit(p).alias("partition"), *[c(f"{short}_{v}").alias(f"r_{v}") for v in LABELS])
+        for p, short in zip(PARTITIONS, ("baseline", "holdout", "unseen"))])))
+    whole = confusion.filter("endpoint_class = 'all'").join(parts, "partition", "full_outer")
+    totals = whole.agg(F.coalesce(F.bool_and(sum(
+        (F.when(both[v].eqNullSafe(c(f"r_{v}")), 0).otherwise(1) for v in LABELS), F.lit(0)) == 0), F.lit(False)).alias("ok")).select(
+        F.lit("labels_are_the_reports").alias("check_name"), "ok")
+    cells = [f"{f}_{v}" for f in ("flagged", "unflagged") for v in LABELS]
+    most = confusion.filter("endpoint_class = 'all'").select("partition", "rule", *[c(x).alias(f"a_{x}") for x in cells])
+    within = confusion.join(most, ["partition", "rule"], "left").agg(F.bool_and(sum(
+        (F.when((c(x) >= 0) & (c(x) <= c(f"a_{x}")), 0).otherwise(1) for x in cells), F.lit(0)) == 0).alias("ok")).select(
+        F.lit("endpoints_within_all").alias("check_name"), "ok")
+    again = confusion.agg(F.bool_and(same_rates(_rule_rates())).alias("ok")).select(
+        F.lit("rates_recomputed").alias("check_name"), "ok")
+    return one.unionByName(rules).unionByName(in_bounds).unionByName(totals).unionByName(within).unionByName(again)

@@ -23,7 +23,7 @@ from ..operators import score as P
 from ..operators import session as S
 from ..operators import telemetry as M
 from ..operators import windows as W
-from ..sources import jsonl, reports, sealed, shards
+from ..sources import importer, jsonl, reports, sealed, shards
 from ..streaming import operators as J
 from .. import vocab as V
 from . import derived as T
@@ -929,6 +929,21 @@ def a5_verify_published(spark, sf):
     return manifest.agg(F.sum("records").cast("long").alias("records")).crossJoin(problems)
 
 
+@query
+def a5_import_evidence(spark, sf):
+    """The whole import of all valid records, written in order of time, and its verification."""
+    rough = T.rough_local_events(spark, sf).filter(A.evidence_reason().isNull())
+    text = F.to_json(F.struct(*[c for c in rough.columns if c != "line_no"]))
+    source, target = shared_folder(spark, "import-lines"), shared_folder(spark, "import-shards")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (rough.repartitionByRange(parts, "observed_at", "line_no").sortWithinPartitions("observed_at", "line_no")
+     .select(text.alias("value")).write.text(source))
+    record = importer.import_evidence(spark, source, target, b"k" * 32, "dataset-a", "pilot-a")
+    problems = importer.verify_import(spark, target).agg(n().alias("problems"))
+    return record.select("dataset", "pilot", "domain_id", "schema_version", "events", "first_us", "last_us", "quarantined",
+                         "out_of_order", F.size("warnings").cast("long").alias("warnings")).crossJoin(F.broadcast(problems))
+
+
 @query
 def a13_sealed_records(spark, sf):
     """Encrypt, tamper with every 50th record, decrypt."""

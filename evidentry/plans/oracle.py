@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from .. import vocab as V
+from ..operators.pseudonym import domain_id, domain_key
 
 VIEWS: dict[str, str] = {}
 QUERIES: dict[str, str] = {}
@@ -884,7 +885,7 @@ QUERIES["f8_check_holdout_report"] = "SELECT unnest(" + lst((
     "unseen_families_within_holdout", "unseen_within_holdout", "baseline_labels_sum", "holdout_labels_sum", "unseen_labels_sum",
     "boundary_labels_sum", "unseen_unknown_within_holdout", "unseen_human_confirmed_within_holdout",
     "unseen_operator_confirmed_abuse_within_holdout", "unseen_ambiguous_within_holdout", "rules_share_labels",
-    "rates_within_intervals")) + ") AS check_name, (SELECT baseline_windows + holdout_windows + boundary_windows = windows FROM v_hreport) AS ok"
+    "rates_within_intervals", "labels_are_the_reports", "endpoints_within_all", "rates_recomputed")) + ") AS check_name, (SELECT baseline_windows + holdout_windows + boundary_windows = windows FROM v_hreport) AS ok"
 
 # --- G: decisions and outcomes --------------------------------------------------------------
 
@@ -1060,7 +1061,7 @@ QUERIES["g19_check_analysis_report"] = "SELECT unnest(" + lst((
     "enforced_sum", "computed_sum", "modes_sum", "shadow_risky_within_shadow", "outcome_kinds_sum", "endpoint_decisions_sum",
     "endpoint_outcomes_sum", "endpoint_risky_sum", "endpoint_kinds_sum", "decision_records", "outcome_records", "linked_outcomes",
     "duplicates_within_ids", "evaluated_decisions", "evaluated_labels", "evaluated_ambiguous", "slices_roll_up", "evaluation_parts_sum",
-    "intervals_contain_rates", "canary_sum", "budget_per_comparison", "source_counts")) + """) AS check_name,
+    "intervals_contain_rates", "rates_recomputed", "canary_sum", "budget_per_comparison", "source_counts")) + """) AS check_name,
   (SELECT unique_decision_ids + duplicate_decision_records = (SELECT count(*) FROM v_dec) FROM v_lsum) AS ok"""
 
 # --- D6..D8 -----------------------------------------------------------------------------------
@@ -1209,6 +1210,11 @@ SELECT CASE WHEN e % 83 = 0 THEN 'invalid_json' WHEN e % 89 = 0 THEN 'duplicate_
   ELSE coalesce(why, 'valid') END AS reason, CAST(count(*) AS BIGINT) AS n FROM v_local_bad GROUP BY 1"""
 QUERIES["a4_publish_evidence"] = "SELECT CAST(count(*) AS BIGINT) AS events, min(us) AS first_us, max(us) AS last_us FROM v_local"
 QUERIES["a5_verify_published"] = "SELECT CAST(count(*) AS BIGINT) AS records, CAST(0 AS BIGINT) AS problems FROM v_local"
+QUERIES["a5_import_evidence"] = f"""
+SELECT 'dataset-a' AS dataset, 'pilot-a' AS pilot, '{domain_id(domain_key(b"k" * 32, "dataset-a", "pilot-a"))}' AS domain_id,
+  'evidentry.local-input.v1' AS schema_version, CAST(count(*) AS BIGINT) AS events, min(us) // 1000000 * 1000000 AS first_us,
+  max(us) // 1000000 * 1000000 AS last_us, CAST(0 AS BIGINT) AS quarantined, CAST(0 AS BIGINT) AS out_of_order,
+  CAST(0 AS BIGINT) AS warnings, CAST(0 AS BIGINT) AS problems FROM v_local_bad WHERE why IS NULL"""
 QUERIES["a13_sealed_records"] = "SELECT e AS line_no, disp AS disposition FROM v_rlog WHERE (e // 5) % 50 <> 7"
 QUERIES["a13_check_counters"] = """
 SELECT (e % 5)::VARCHAR AS source, CAST(count(*) AS BIGINT) AS records, e % 5 <> 3 AS contiguous FROM v_rlog WHERE e <> 23 GROUP BY e % 5"""

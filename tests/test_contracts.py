@@ -192,3 +192,63 @@ def test_long_line_keeps_its_text(spark, tmp_path):
     _, bad = jsonl.read_evidence_jsonl(spark, str(tmp_path))
     got = {r["reason"]: r["value"] for r in bad.collect()}
     assert got == {"line_too_long": line, "blank_line": "", "invalid_json": "not json"}
+
+
+def test_other_versions_and_labels(spark, tmp_path):
+    """Records of another producer are read under its own version strings."""
+    (tmp_path / "b.jsonl").write_text(line(schema_version="other.local.v1") + "\n")
+    assert jsonl.read_evidence_jsonl(spark, str(tmp_path))[0].count() == 0
+    assert jsonl.read_evidence_jsonl(spark, str(tmp_path), "other.local.v1")[0].count() == 1
+    from evidentry.operators import holdout
+
+    ids = spark.createDataFrame([("v9", "subject", "A" * 42 + "B", "family"), ("v9", "subject", "A" * 43, "\u2003x")],
+                                "schema_version string, sequence_kind string, sequence_id string, family_ref string")
+    good, bad = holdout.load_families(ids, holdout.family_reason("v9"))
+    assert good.count() == 1 and [r["reason"] for r in bad.collect()] == ["family_ref"]
+    other, _ = holdout.load_families(ids, holdout.family_reason("v9"), b"x\0", b"y\0")
+    assert other.first()["family_digest"] != good.first()["family_digest"]
+
+
+def test_absent_reason_codes_are_an_empty_list(spark):
+    from evidentry.operators import decide
+
+    records = T.log_records(decide.decide(T.requests(spark, "/root/testdata/sf0.001"))).filter("kind = 'decision' AND decision IS NOT NULL")
+    absent = records.withColumn("decision", F.col("decision").withField("reason_codes", F.lit(None).cast("array<string>")))
+    reasons = {r[0] for r in absent.select(contracts.log_reason()).collect()}
+    assert None in reasons and "reason_code" not in reasons
+    versions = ("a", "b", "c", "d")
+    renamed = records.withColumn("schema_version", F.translate(F.substring("schema_version", -1, 1), "1234", "abcd"))
+    count = lambda df, *a: df.select(contracts.log_reason(*a).alias("r")).filter("r IS NULL").count()
+    assert count(renamed, 1, versions) == count(records) > 0 == count(renamed)
+
+
+def test_import_and_verification(spark, tmp_path):
+    from evidentry.sources import importer
+
+    rows = [line(observed_at=f"2024-01-01T00:{i // 60:02d}:{i % 60:02d}Z", subject_ref=f"s{i % 7}") for i in range(300)]
+    good, bad = tmp_path / "good", tmp_path / "bad"
+    for folder, lines in ((good, rows), (bad, rows[:50] + rows[10:12] + ["{}"])):
+        folder.mkdir()
+        (folder / "a.jsonl").write_text("\n".join(lines) + "\n")
+    args = (b"k" * 32, "d", "p")
+    with pytest.raises(importer.ImportRefused, match="break the contract"):
+        importer.import_evidence(spark, str(bad), str(tmp_path / "x"), *args)
+    with pytest.raises(importer.ImportRefused, match="older"):
+        importer.import_evidence(spark, str(bad), str(tmp_path / "x"), *args, max_quarantined=1)
+    assert not (tmp_path / "x").exists()
+    record = importer.import_evidence(spark, str(bad), str(tmp_path / "x"), *args, max_quarantined=1, max_out_of_order=1).first()
+    assert record["events"] == 52 and record["warnings"] == ["quarantined:schema_version", "out_of_order"]
+
+    target = tmp_path / "y"
+    record = importer.import_evidence(spark, str(good), str(target), *args, shard_size=100).first()
+    assert (record["events"], record["quarantined"], record["warnings"]) == (300, 0, [])
+    stored_rows = spark.read.parquet(f"{target}/shards")
+    assert stored_rows.count() == 300 and "subject_ref" not in stored_rows.columns
+    assert importer.verify_import(spark, str(target)).count() == 0
+    (target / "shards" / "notes.txt").write_text("x")
+    shard = sorted((target / "shards").glob("*.parquet"))[0]
+    shard.write_bytes(shard.read_bytes() + b" ")
+    found = {(r["problem"]) for r in importer.verify_import(spark, str(target)).collect()}
+    assert {"undeclared", "size"} <= found
+    with pytest.raises(Exception):
+        importer.import_evidence(spark, str(good), str(target), *args)      # never overwrites

@@ -197,3 +197,22 @@ def test_linkage_is_order_independent(spark, sf):
     a = linkage.linkage_summary(linkage.link_outcomes(d, o), o).first()
     mixed = d.orderBy(F.rand(5)).repartition(7), o.orderBy(F.rand(6)).repartition(3)
     assert linkage.linkage_summary(linkage.link_outcomes(*mixed), mixed[1]).first() == a
+
+
+def test_corrupted_reports_are_found(spark, sf):
+    """Every check that recomputes must reject a report with one wrong number."""
+    from evidentry.operators import analysis, holdout
+    from evidentry.plans import catalog
+
+    w = catalog._split(spark, sf)
+    report, confusion = holdout.holdout_report(w), holdout.rule_confusion(w)
+    failed = lambda r, c: {x["check_name"] for x in holdout.check_holdout_report(r, c).collect() if not x["ok"]}
+    assert failed(report, confusion) == set()
+    more = lambda df, c, n=1: df.withColumn(c, F.coalesce(F.col(c), F.lit(0)) + n)
+    assert "rates_recomputed" in failed(report, more(confusion, "abuse_capture_rate", 0.01))
+    assert "labels_are_the_reports" in failed(more(report, "holdout_human_confirmed"), confusion)
+    one = F.when(F.col("endpoint_class") == "api", 10**6).otherwise(0)
+    assert "endpoints_within_all" in failed(report, more(confusion, "flagged_unknown", one))
+    budget = analysis.distinct_budget(spark.range(300).select(F.col("id").cast("string").alias("v")), ("v",))
+    with pytest.raises(Exception, match="too many distinct values"):
+        analysis.enforce_distinct_budget(budget).collect()
