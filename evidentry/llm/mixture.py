@@ -186,9 +186,9 @@ def mix(documents: DataFrame, id: str = "doc_id", text: str = "text", source: st
     Columns stay; `copy` counts the copies of a row from 1, and `mix_size`, `mix_source_size`
     and `mix_target` hold the words of the text, of its source and of its source's target.
     Rows of no copies are left out. Rows that repeat in all of id, text and source are taken
-    as often as all of them together.
+    as often as all of them together. Columns that are already called like the new ones are replaced.
     """
-    names = documents.columns
+    names = [c for c in documents.columns if c not in ("copy", "mix_size", "mix_source_size", "mix_target")]
     key = F.xxhash64(F.col(f"`{id}`"), F.col(f"`{text}`"))
     wanted = F.col(f"`{source}`").cast("string")
     rows = documents.select(key.alias("id"), wanted.alias("source"), words_of(F.col(f"`{text}`")).alias("size"))

@@ -234,9 +234,9 @@ def deduplicated(documents: DataFrame, id: str = "doc_id", text: str = "text", r
     with the spans put back. All rows stay, also those whose text becomes empty; null and
     empty texts are returned as they are. Rows that repeat in id and text are one document
     and get the same result. A null id ranks last. Other columns pass through; `removed` None
-    leaves the spans out.
+    leaves the spans out. A column that is already called like `removed` is replaced.
     """
-    names = documents.columns
+    names = [c for c in documents.columns if c != removed]
     marks = repeated_units(documents, id, text).groupBy("id", "text_key").agg(
         F.collect_set("mark").alias("marks"), F.bit_or("mark").alias("any"))
     marks = marks.where("any % 2 = 1").select(F.col("id").alias("m_id"), F.col("text_key").alias("m_key"), "marks")

@@ -219,6 +219,8 @@ def test_substring(spark, odd):
                 assert seen.setdefault(tuple(w[k:k + 40]), d) == d
     for p in passages:
         assert sum(" ".join(p) in (r["text"] or "") for r in rows.values()) == 1
+    twice = substring.deduplicated(substring.deduplicated(frame))   # the spans of a first run are replaced
+    assert twice.columns == ["doc_id", "marks", "text", "removed"] or set(twice.columns) == {"doc_id", "text", "marks", "removed"}
     same = substring.deduplicated(odd)
     assert same.columns == [*odd.columns, "removed"] and same.count() == odd.count()
     assert substring.deduplicated(odd.limit(0)).count() == 0

@@ -56,6 +56,8 @@ def test_mixture(spark, sources):
     for s, target in expected.items():
         assert abs(total.get(s, 0) - target) <= max(r["size"] for r in rows if r["source"] == s)
     assert {r["copy"] for r in copies.collect()} >= {1, 2}
+    again = mixture.mix(copies, group_rows=64)              # columns of an earlier mix are replaced
+    assert again.columns == copies.columns
     assert mixture.mix_report(sources.limit(0)).count() == 0 and mixture.mix(sources.limit(0)).count() == 0
 
 
