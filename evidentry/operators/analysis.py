@@ -287,8 +287,8 @@ def check_analysis_report(summary: DataFrame, outcome: DataFrame, endpoints: Dat
                "unresolved_mature_challenges", "ambiguous_challenge_outcomes") == c("mature_challenges"))
         & (add("confirmed_labels", "ambiguous_ground_truth") <= c("decisions"))), F.lit(True)).alias("r_inner"))
     intervals = endpoints.agg(F.coalesce(F.bool_and(
-        (c("computed_risky_lower95") <= c("computed_risky_rate"))
-        & (c("computed_risky_rate") <= c("computed_risky_upper95"))
+        (c("computed_risky_lower95") <= c("computed_risky_rate") + 1e-9)
+        & (c("computed_risky_rate") <= c("computed_risky_upper95") + 1e-9)
         & (c("computed_risky") <= c("decisions"))), F.lit(True)).alias("r_intervals"),
         F.coalesce(F.bool_and(same_rates({"computed_risky": ("computed_risky", "decisions")})), F.lit(True)).alias("r_rates"))
     one = (prefixed(summary, "d").crossJoin(prefixed(outcome, "o")).crossJoin(prefixed(linkage, "l"))

@@ -221,8 +221,8 @@ def check_holdout_report(report: DataFrame, confusion: DataFrame) -> DataFrame:
     rules = same.agg(F.bool_and(F.expr(" AND ".join(LABELS))).alias("ok")).select(
         F.lit("rules_share_labels").alias("check_name"), "ok")
     in_bounds = confusion.agg(F.bool_and(
-        (F.col("human_flag_lower95") <= F.col("human_flag_rate"))
-        & (F.col("human_flag_rate") <= F.col("human_flag_upper95"))).alias("ok")).select(
+        (F.col("human_flag_lower95") <= F.col("human_flag_rate") + 1e-9)
+        & (F.col("human_flag_rate") <= F.col("human_flag_upper95") + 1e-9)).alias("ok")).select(
         F.lit("rates_within_intervals").alias("check_name"), "ok")
     # Over all endpoints a partition's labels are the report's, and no endpoint has more than all of them.
     parts = report.select(F.inline(F.array(*[F.struct(

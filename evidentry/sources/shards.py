@@ -38,7 +38,7 @@ def describe_shards(spark: SparkSession, path: str, time: str = "observed_at") -
         F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"),
         F.sha2("content", 256).alias("sha256"))
     us = micros(time)
-    rows = spark.read.parquet(f"{path}/{DATA}").select(
+    rows = spark.read.option("pathGlobFilter", "*.parquet").parquet(f"{path}/{DATA}").select(
         F.col("_metadata.file_name").alias("file"), us.alias("us")).groupBy("file").agg(
         F.count(F.lit(1)).alias("records"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
     return files.join(rows, "file", "left").fillna(0, ["records"])
