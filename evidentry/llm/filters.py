@@ -19,9 +19,9 @@ def build(values: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
     place = F.col(column).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
     rows = (values.select(place.alias("place"))
         .select(F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, CAST(place & 63 AS INT))").alias("bit"))
-        .groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas())
+        .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow())
     out = np.zeros(1 << (bits - 6), np.uint64)
-    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return out
 
 

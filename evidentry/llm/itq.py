@@ -129,10 +129,11 @@ def candidates(codes: DataFrame, radius: int = RADIUS) -> DataFrame:
 def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """Pairs (a, b, cosine) of `vectors(id, vector, dim)` with a cosine of `threshold` or more."""
     models = {}
-    picked = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector", "dim").toPandas()
-    for dim, group in picked.groupby("dim"):
-        x = np.stack([np.asarray(v, np.float64) for v in group["vector"]])
-        models[int(dim)] = fit_rotation(x / np.linalg.norm(x, axis=1, keepdims=True))
+    picked = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector", "dim").toArrow()
+    dims = picked["dim"].to_numpy()
+    for dim in np.unique(dims).tolist():
+        x = _dense(picked["vector"].combine_chunks().take(pa.array(np.flatnonzero(dims == dim))), dim)
+        models[dim] = fit_rotation(x / np.linalg.norm(x, axis=1, keepdims=True))
     codes = stored(vectors.mapInArrow(_encode(models), "id long, dim int, code long"), "codes")
     pairs = candidates(codes)
     left = vectors.select(F.col("id").alias("a"), F.col("vector").alias("va"))

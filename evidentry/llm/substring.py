@@ -26,7 +26,7 @@ from .tokens import Tokens, buffers, constants, mix, tokenize
 RUN, WINNOW = 12, 9
 LINE_WORDS = 5
 PASSAGE_WORDS = 25       # shorter repeated passages inside lines stay
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 1_000_000
 LINE, PASSAGE = 0, 1
 
 
@@ -168,7 +168,7 @@ def removed_words(n: int, later: np.ndarray, earliest: np.ndarray) -> list[tuple
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, "text", SLICE_BYTES)):
         names = batch.schema.names
         texts, marks = batch.column("text"), batch.column("marks")
         out_text, spans = [], []

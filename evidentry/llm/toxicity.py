@@ -38,7 +38,7 @@ RATE = 0.05
 PASSES = 3                # over the chosen passages, per round
 LEAST_TEXTS = 3           # a subword of fewer training texts has no embedding: it would only be remembered
 NEGATIVES = 24_000        # passages of clean texts a round
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
