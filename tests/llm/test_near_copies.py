@@ -115,6 +115,24 @@ def test_embeddings(spark):
     assert itq.embedding_groups(frame.limit(0)).count() == 0
 
 
+def test_embedding_links_near_the_threshold(spark):
+    """Pairs planted at exact cosines among isotropic vectors, where the codes differ most."""
+    rng = np.random.default_rng(12)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    base = unit(rng.standard_normal((2000, 64)))
+    cosines = np.repeat([0.901, 0.91, 0.92, 0.93], 500)
+    side = rng.standard_normal(base.shape)
+    side = unit(side - (side * base).sum(axis=1, keepdims=True) * base)
+    x = np.concatenate([base, cosines[:, None] * base + np.sqrt(1 - cosines ** 2)[:, None] * side])
+    frame = spark.createDataFrame([(i, v.tolist(), 64) for i, v in enumerate(x)], "id long, vector array<double>, dim int")
+    got = [(r["a"], r["b"]) for r in itq.embedding_links(frame).collect()]
+    near = x @ x.T >= 0.9
+    assert len(got) == len(set(got)) and all(a < b and near[a, b] for a, b in got)
+    found = np.isin(np.arange(2000), [a for a, b in got if b == a + 2000])
+    for c in (0.901, 0.91, 0.92, 0.93):
+        assert found[cosines == c].mean() >= 0.99, c
+
+
 def _words(rng, n):
     return [f"w{rng.randrange(4000)}" for _ in range(n)]
 
