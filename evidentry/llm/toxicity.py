@@ -20,7 +20,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,7 +32,7 @@ BUCKETS = 1 << 17
 DIM = 8
 WINDOW = 3
 SAMPLE_ROWS = 3_000       # labelled texts to learn from, half of them toxic where there are enough
-SAMPLE_BYTES = 8_000      # longer texts are not learnt from (they are scored whole like any other)
+SAMPLE_BYTES = 48_000_000 # of these texts together, half for each class; no text is too long by itself up to that half
 ROUNDS = 4
 RATE = 0.05
 PASSES = 3                # over the chosen passages, per round
@@ -228,17 +228,23 @@ def fit(texts: pa.Array, labels: np.ndarray, seed: int = 5) -> Model:
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, id: str, text: str, label: str, rows: int, max_bytes: int) -> DataFrame:
-    """At most `rows` labelled texts outside the held-out fifth, half of each class if there are enough.
+    """At most `rows` labelled texts of `max_bytes` together outside the held-out fifth, half of each for each class.
 
-    Ids are chosen by their hash; a text with several labels takes the largest.
+    Ids are chosen by their hash, among those that have a text of a length that fits at all, until the
+    class has its rows or its bytes; a text with several labels takes the largest.
     """
     marked = labels.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).where(
         "id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     marked = marked.where(~held_out(F.col("id")))
-    per_class = [marked.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(rows // 2) for y in (0, 1)]
-    chosen = F.broadcast(per_class[0].union(per_class[1]))    # at most `rows` rows of two numbers
-    texts = documents.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    return texts.where(F.octet_length("text") <= max_bytes).join(chosen, "id")
+    texts = documents.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).where("text is not null")
+    sized = texts.select("id", F.octet_length("text").cast("long").alias("bytes")).groupBy("id").agg(F.sum("bytes").alias("bytes"))
+    sized = marked.join(sized.where(F.col("bytes") <= max_bytes // 2), "id")
+    order = [F.xxhash64("id"), F.col("id")]
+    per_class = [sized.where(F.col("y") == y).orderBy(*order).limit(rows // 2) for y in (0, 1)]
+    # at most `rows` rows of three numbers
+    chosen = per_class[0].union(per_class[1]).withColumn("total", F.sum("bytes").over(
+        Window.partitionBy("y").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    return texts.join(F.broadcast(chosen.where(F.col("total") <= max_bytes // 2).select("id", "y")), "id")
 
 
 def held_out(id: Column) -> Column:

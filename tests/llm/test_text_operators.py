@@ -137,3 +137,21 @@ def test_toxicity_rows(spark, odd):
     assert {r["toxicity"] < 0.5 for r in toxicity.scored(odd, empty).collect()} == {True}
     held = docs.where(toxicity.held_out(docs["doc_id"])).count()
     assert toxicity.training_rows(docs, marks, "doc_id", "text", "toxic", 1000, 10**6).count() == 200 - held
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    """The ids of least hash are long or have no text; the others fill the sample, and long texts teach too."""
+    texts, labels = _corpus(400, 6)
+    pad = " ".join(f"an{i % 50}" for i in range(4_000))          # 20 kB
+    rows = [(i, t + " " + pad, int(y)) for i, (t, y) in enumerate(zip(texts, labels, strict=True))]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(10_000 + i, None) for i in range(2_000)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, y) for i, _, y in rows] + [(10_000 + i, i % 2) for i in range(2_000)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, marks)                          # all texts are long
+    assert model.weight.any()
+    other, truth = _corpus(300, 2)
+    assert ((toxicity.text_scores(pa.array(other), model) >= 0.5) == truth).mean() > 0.9
+    learnt = [r for r in rows if r[0] in {d["doc_id"] for d in docs.where(~toxicity.held_out(docs["doc_id"])).select("doc_id").collect()}]
+    few = toxicity.training_rows(docs, marks, "doc_id", "text", "toxic", 100, 10**9).groupBy("y").count().collect()
+    assert {r["y"]: r["count"] for r in few} == {0: min(50, sum(r[2] == 0 for r in learnt)), 1: min(50, sum(r[2] for r in learnt))}
+    bound = toxicity.training_rows(docs, marks, "doc_id", "text", "toxic", 1000, 200_000).collect()
+    assert sum(len(r["text"].encode()) for r in bound if r["y"]) in range(60_000, 100_001) and {r["y"] for r in bound} == {0, 1}
