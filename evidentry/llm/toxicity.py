@@ -31,8 +31,9 @@ GRAMS = (3, 4, 5)
 BUCKETS = 1 << 17
 DIM = 8
 WINDOW = 3
-SAMPLE_ROWS = 3_000       # labelled texts to learn from, half of them toxic where there are enough
+SAMPLE_ROWS = 6_000       # labelled texts to learn from, half of them toxic where there are enough
 SAMPLE_BYTES = 48_000_000 # of these texts together, half for each class; no text is too long by itself up to that half
+LEARN_BYTES = 1_000_000   # of text are split into words at a time
 ROUNDS = 4
 RATE = 0.05
 PASSES = 3                # over the chosen passages, per round
@@ -126,30 +127,69 @@ def text_scores(texts: pa.Array, model: Model) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(worst, -60, 60)))
 
 
-def fit(texts: pa.Array, labels: np.ndarray, seed: int = 5) -> Model:
+def numbered(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, hashes, word, bounds): the distinct words of all texts in order of their hashes, as
+    `word_bytes` has them; the number of the distinct word at every place, and the places of every text.
+
+    Texts are read `LEARN_BYTES` at a time, so that only four bytes a word are held of all of them at the end.
+    """
+    size = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
+    edges = np.flatnonzero(np.diff(np.cumsum(size) // LEARN_BYTES)) + 1
+    known, pieces, sizes, fresh, places, counts = np.zeros(0, np.uint64), [], [], [], [], []
+    for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(texts)], strict=True):
+        part = texts.slice(lo, hi - lo)
+        part = part.combine_chunks() if isinstance(part, pa.ChunkedArray) else part
+        tokens = tokenize(part)
+        _, place = np.unique(tokens.hash, return_index=True)
+        place = place[~np.isin(tokens.hash[place], known, assume_unique=True)]
+        data, starts = word_bytes(Tokens(tokens.row[place], tokens.start[place], tokens.end[place], tokens.hash[place],
+                                         tokens.bounds, tokens.lengths), part)
+        pieces.append(data)
+        sizes.append(np.diff(np.r_[starts, len(data)]))
+        fresh.append(tokens.hash[place])
+        known = np.union1d(known, fresh[-1])
+        places.append(tokens.hash)
+        counts.append(np.diff(tokens.bounds))
+    order = np.argsort(np.concatenate(fresh))
+    size = np.concatenate(sizes)
+    start = (np.cumsum(size) - size)[order]
+    size = size[order]
+    starts = np.cumsum(size) - size
+    data = np.concatenate(pieces)[np.repeat(start - starts, size) + np.arange(int(size.sum()))]
+    word = np.concatenate([np.searchsorted(known, h).astype(np.int32) for h in places])
+    return data, starts, known, word, np.r_[0, np.cumsum(np.concatenate(counts))]
+
+
+def blocks(bounds: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs (first, end) of texts of about `most` words, one text at least."""
+    lo, n = 0, len(bounds) - 1
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + most, side="right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
+def fit(texts: pa.Array | pa.ChunkedArray, labels: np.ndarray, seed: int = 5) -> Model:
     """Learn embeddings and softmax from texts and labels (0, 1).
 
-    With only one class, or no texts, the score is that class's smoothed share everywhere.
+    With only one class, or no words, the score is that class's smoothed share everywhere.
     """
     positive, n = int(labels.sum()), len(labels)
-    if n == 0 or positive in (0, n):
+    data, starts, distinct_hash, word_at, bounds = numbered(texts) if n and positive not in (0, n) else [np.zeros(0)] * 5
+    if not len(word_at):
         share = (positive + 0.5) / (n + 1.0) if n else 0.1
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
     rng = np.random.default_rng(seed)
-    tokens = tokenize(texts)
-    distinct_hash, place, inverse = np.unique(tokens.hash, return_index=True, return_inverse=True)
-    distinct = Tokens(tokens.row[place], tokens.start[place], tokens.end[place], distinct_hash, tokens.bounds, tokens.lengths)
-    data, starts = word_bytes(distinct, texts)
     # subwords of distinct word w: buckets[begin[w]:begin[w] + length[w]], the whole word first
     length = 1 + sum(np.maximum(0, np.diff(np.r_[starts, len(data)]) - k + 1) for k in GRAMS)
     begin = np.cumsum(length) - length
     buckets = np.empty(int(length.sum()), np.int32)
     buckets[begin] = word_buckets(distinct_hash)
-    filled = np.ones(len(place), np.int64)
+    filled = np.ones(len(distinct_hash), np.int64)
     for k in GRAMS:
-        for lo in range(0, len(place), 20_000):               # some words at a time, for memory
-            hi = min(len(place), lo + 20_000)
-            part = data[starts[lo]:starts[hi] if hi < len(place) else len(data)]
+        for lo in range(0, len(distinct_hash), 20_000):               # some words at a time, for memory
+            hi = min(len(distinct_hash), lo + 20_000)
+            part = data[starts[lo]:starts[hi] if hi < len(distinct_hash) else len(data)]
             w, _, found = grams(part, starts[lo:hi] - starts[lo], k)
             number = np.bincount(w, minlength=hi - lo)
             within = np.arange(len(w)) - np.repeat(np.cumsum(number) - number, number)
@@ -157,21 +197,20 @@ def fit(texts: pa.Array, labels: np.ndarray, seed: int = 5) -> Model:
             filled[lo:hi] += number
 
     # in how many toxic and clean texts each subword occurs; some texts at a time, for memory
-    text_of, word_of = np.divmod(np.unique(tokens.row.astype(np.int64) * len(place) + inverse), len(place))
     seen = np.zeros((2, BUCKETS), np.int64)
-    for lo in range(0, len(text_of), 50_000):
-        # a text is not cut in two
-        hi = np.searchsorted(text_of, text_of[min(lo + 50_000, len(text_of)) - 1], side="right")
-        lo = np.searchsorted(text_of, text_of[lo - 1], side="right") if lo else 0
-        size = length[word_of[lo:hi]]
-        spread = np.repeat(begin[word_of[lo:hi]] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        pairs = np.unique(np.repeat(text_of[lo:hi], size) * BUCKETS + buckets[spread])
+    for lo, hi in blocks(bounds, 50_000):
+        owner = np.repeat(np.arange(hi - lo), np.diff(bounds[lo:hi + 1]))
+        text_of, word_of = np.divmod(np.unique(owner * len(distinct_hash) + word_at[bounds[lo]:bounds[hi]]), len(distinct_hash))
+        size = length[word_of]
+        spread = np.repeat(begin[word_of] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        pairs = np.unique(np.repeat(text_of, size) * BUCKETS + buckets[spread])
         for y in (0, 1):
-            seen[y] += np.bincount(pairs[labels[pairs // BUCKETS] == y] % BUCKETS, minlength=BUCKETS)
+            seen[y] += np.bincount(pairs[labels[lo + pairs // BUCKETS] == y] % BUCKETS, minlength=BUCKETS)
     known = seen.sum(axis=0) >= LEAST_TEXTS
     odds = np.where(known, np.log((seen[1] + 0.5) / (positive + 1)) - np.log((seen[0] + 0.5) / (n - positive + 1)), 0.0)
     flat = buckets[known[buckets]]                            # known subwords of word w: flat[edge[w]:edge[w + 1]]
-    edge = np.r_[0, np.cumsum(np.add.reduceat(known[buckets].astype(np.int64), begin))]
+    edge = np.r_[0, np.cumsum(np.add.reduceat(known[buckets], begin, dtype=np.int64))]
+    del buckets
 
     embed = rng.uniform(-1, 1, (BUCKETS, DIM)) / DIM
     out = rng.normal(0, 0.1, (DIM, 2))
@@ -203,26 +242,43 @@ def fit(texts: pa.Array, labels: np.ndarray, seed: int = 5) -> Model:
         weight = np.where(known, embed @ (out[:, 1] - out[:, 0]), 0.0)
         return Model(weight.astype(np.float32), float(bias[1] - bias[0]))
 
-    row, first, end = passages(tokens.bounds)
-    begin_row = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-    clean = np.flatnonzero(labels[row] == 0)
+    # passages are numbered through all texts; those of text r begin at number[r] and at word bounds[r]
+    count = np.diff(bounds)
+    number = np.r_[0, np.cumsum(np.where(count == 0, 0, np.maximum(1, count - WINDOW + 1)))]
+    clean = np.flatnonzero((labels == 0) & (count > 0))
+    clean_number = np.r_[0, np.cumsum(np.diff(number)[clean])]
     weight, offset = odds, 0.0
-    owner = np.repeat(np.arange(len(place)), np.diff(edge))
     for _ in range(ROUNDS):
-        sums = np.bincount(owner, weight[flat], minlength=len(place))
-        logit = passage_scores(sums[inverse], length[inverse].astype(np.float64), first, end, offset)
-        best = np.maximum.reduceat(logit, begin_row)
-        top = np.flatnonzero(logit == np.repeat(best, np.diff(np.r_[begin_row, len(row)])))
-        top = top[np.r_[True, row[top][1:] != row[top][:-1]]]
-        some = rng.choice(clean, min(NEGATIVES, len(clean)), replace=False)
+        sums = np.empty(len(distinct_hash))
+        for lo in range(0, len(sums), 50_000):
+            hi = min(len(sums), lo + 50_000)
+            owner = np.repeat(np.arange(hi - lo), np.diff(edge[lo:hi + 1]))
+            sums[lo:hi] = np.bincount(owner, weight[flat[edge[lo]:edge[hi]]], minlength=hi - lo)
+        top = []
+        for lo, hi in blocks(bounds, 200_000):
+            word = word_at[bounds[lo]:bounds[hi]]
+            row, first, end = passages(bounds[lo:hi + 1] - bounds[lo])
+            if len(row):
+                logit = passage_scores(sums[word], length[word].astype(np.float64), first, end, offset)
+                begin_row = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+                best = np.maximum.reduceat(logit, begin_row)
+                high = np.flatnonzero(logit == np.repeat(best, np.diff(np.r_[begin_row, len(row)])))
+                top.append(number[lo] + high[np.r_[True, row[high][1:] != row[high][:-1]]])
+        some = rng.choice(int(clean_number[-1]), min(NEGATIVES, int(clean_number[-1])), replace=False)
+        of = np.searchsorted(clean_number, some, side="right") - 1
+        some = some - clean_number[of] + number[clean[of]]
+        top = np.concatenate(top)
         chosen = np.unique(np.r_[top, some])
-        bad = chosen[labels[row[chosen]] == 1]               # repeated, so that about a quarter is toxic
-        chosen = np.r_[chosen, np.repeat(bad, max(0, len(chosen) // (3 * len(bad)) - 1))]
+        bad = chosen[labels[np.searchsorted(number, chosen, side="right") - 1] == 1]   # repeated, so that about a quarter is toxic
+        chosen = np.r_[chosen, np.repeat(bad, max(0, len(chosen) // max(1, 3 * len(bad)) - 1))]
+        row = np.searchsorted(number, chosen, side="right") - 1
+        first = bounds[row] + chosen - number[row]
+        end = np.minimum(first + WINDOW, bounds[row + 1])
         for _ in range(PASSES):
-            mixed = rng.permutation(chosen)
+            mixed = rng.permutation(len(chosen))
             for lo in range(0, len(mixed), 128):
                 pick = mixed[lo:lo + 128]
-                step([inverse[first[i]:end[i]] for i in pick], labels[row[pick]], RATE)
+                step([word_at[first[i]:end[i]] for i in pick], labels[row[pick]], RATE)
         weight, offset = model()
     return model()
 
@@ -256,7 +312,7 @@ def learn(documents: DataFrame, labels: DataFrame, id: str = "doc_id", text: str
           rows: int = SAMPLE_ROWS, max_bytes: int = SAMPLE_BYTES) -> Model:
     """Fit a model on the bounded sample of `training_rows`. Repeated ids may add a few rows; they are cut by order."""
     found = training_rows(documents, labels, id, text, label, rows, max_bytes).orderBy("id", F.xxhash64("text")).limit(2 * rows).toArrow()
-    return fit(found["text"].combine_chunks() if found.num_rows else pa.array([], pa.string()), found["y"].to_numpy().astype(np.int64))
+    return fit(found["text"], found["y"].to_numpy().astype(np.int64))
 
 
 def _score(model: Model):

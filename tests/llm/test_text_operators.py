@@ -155,3 +155,7 @@ def test_toxicity_learns_from_long_texts(spark):
     assert {r["y"]: r["count"] for r in few} == {0: min(50, sum(r[2] == 0 for r in learnt)), 1: min(50, sum(r[2] for r in learnt))}
     bound = toxicity.training_rows(docs, marks, "doc_id", "text", "toxic", 1000, 200_000).collect()
     assert sum(len(r["text"].encode()) for r in bound if r["y"]) in range(60_000, 100_001) and {r["y"] for r in bound} == {0, 1}
+
+
+def test_toxicity_sample_bounds():
+    assert (toxicity.SAMPLE_ROWS, toxicity.SAMPLE_BYTES >= 6_000 * 3_500) == (6_000, True)
