@@ -13,6 +13,8 @@ grammar: memory is bounded by a slice or by the longest text. Nothing is shuffle
 
 from __future__ import annotations
 
+import itertools
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,8 +102,8 @@ def _slice(texts: list[str | None], least: int, exponent: int) -> tuple[pa.Array
     split = [t.encode("utf-8").split() if t else [] for t in texts]
     count = np.array([len(w) for w in split], np.int64)
     bounds = np.r_[0, np.cumsum(count)]
-    number: dict[bytes, int] = {}
-    words = np.fromiter((number.setdefault(w, len(number)) for t in split for w in t), np.int32, int(bounds[-1]))
+    number: defaultdict[bytes, int] = defaultdict(itertools.count().__next__)
+    words = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(split)), np.int32, int(bounds[-1]))
     rows = runs_of(words, bounds, least, exponent)
     # words that a run holds after its first period
     edges = np.zeros(int(bounds[-1]) + 1, np.int64)
