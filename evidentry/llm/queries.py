@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import chat, containment, hardneg, htmltext, itq, licenses, mixture, periodic, simhash, substring, toxicity, urls
+from . import chat, containment, hardneg, htmltext, itq, licenses, mixture, periodic, quality, simhash, substring, toxicity, urls
 from .common import WORD
 
 
@@ -108,6 +108,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from trusted and unlabelled documents outside the held-out fifth."""
+    scores = quality.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), score="score")
+    return scores.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every fiftieth embedding."""
     rows = table(spark, sf_dir, "embeddings").where(
@@ -119,7 +126,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES = (op1_toxicity, op2_mixture, op3_url_filter, op4_decontamination, op5_embedding_dedup, op6_html_extraction, op7_substring_dedup, op8_simhash, op9_chat_formatting, op10_license_scan,
-            op11_periodic_runs, op13_hard_negatives)
+            op11_periodic_runs, op12_quality, op13_hard_negatives)
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
