@@ -242,7 +242,8 @@ def hard_negatives(vectors: DataFrame, anchor: Column, id: str = "id", label: st
         "id is not null and label is not null and vector is not null and not exists(vector, x -> x is null)")
     rows = rows.withColumn("size", F.size("vector"))
     tasks = max(1, min(partitions(spark), -(-rows.count() // rows_per_block)))
-    sorted_rows = rows.repartitionByRange(tasks, "size", "label", "id").sortWithinPartitions("size", "label", "id", "vector", F.desc("mark"))
+    sorted_rows = rows.repartitionByRange(tasks, "size", "label", "id").sortWithinPartitions(
+        "size", "label", "id", "vector", F.desc("mark")).coalesce(tasks)     # blocks are filled, however many partitions there are
     blocks = stored(sorted_rows.mapInArrow(_pack(rows_per_block), _BLOCK), "blocks")
     packs = stored(blocks.mapInArrow(_anchors_of, _BLOCK), "packs")
 
