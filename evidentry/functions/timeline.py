@@ -186,17 +186,25 @@ def find_heat(df: DataFrame, keys: Sequence[str], rows_per_chunk: int = ROWS_PER
     There are at most rows / rows_per_chunk hot keys; `rows_per_chunk` is raised to
     `MIN_ROWS_PER_CHUNK` on a cluster, so their broadcast stays small.
     """
+    return find_sizes(df, keys, None, rows_per_chunk)[1]
+
+
+def find_sizes(df: DataFrame, keys: Sequence[str], few: int | None, rows_per_chunk: int = ROWS_PER_CHUNK) -> tuple[bool, Heat | None]:
+    """Whether a key has more than `few` rows, and the hot keys, by one pre-aggregated count."""
     if df.isStreaming:
-        return None
+        return False, None
     if not df.sparkSession.sparkContext.master.startswith("local"):
         rows_per_chunk = max(rows_per_chunk, MIN_ROWS_PER_CHUNK)
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_chunk).select(*keys)
-    hot = durable(hot)
-    return None if hot.isEmpty() else Heat(hot, rows_per_chunk)
+    least = rows_per_chunk if few is None else min(few, rows_per_chunk)
+    sizes = durable(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > least))
+    if sizes.isEmpty():
+        return False, None
+    hot = sizes.filter(F.col("_n") > rows_per_chunk).select(*keys)
+    return True, None if hot.isEmpty() else Heat(hot, rows_per_chunk)
 
 
-def chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_chunk: int) -> DataFrame:
-    """Add `_chunk`: the rank of a row within its key, divided by `rows_per_chunk`.
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Add `_rank`: the number of rows of the same key before a row, from 0 on.
 
     Rows are dealt by range of (keys, order), so a key spans tasks and neither a burst nor
     equal times meet in one; a row number decides between rows that are equal in both. The
@@ -212,10 +220,14 @@ def chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_c
     counts = placed.groupBy(*keys, "_task").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
     upto = Window.partitionBy(*keys).orderBy("_task")
     ahead = counts.select(*keys, "_task", "_first", (F.sum("_n").over(upto) - F.col("_n")).alias("_ahead"))
-    # at most one row for each key and task, and a key has more than `rows_per_chunk` rows
-    rank = F.col("_ahead") + F.col("_place") - F.col("_first")
-    return placed.join(F.broadcast(ahead), [*keys, "_task"]).withColumn(
-        "_chunk", F.floor(rank / F.lit(float(rows_per_chunk))).cast("long")).drop("_task", "_place", "_first", "_ahead")
+    return placed.join(ahead, [*keys, "_task"]).withColumn(
+        "_rank", F.col("_ahead") + F.col("_place") - F.col("_first")).drop("_task", "_place", "_first", "_ahead")
+
+
+def chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_chunk: int) -> DataFrame:
+    """Add `_chunk`: the rank of a row within its key, divided by `rows_per_chunk`."""
+    return ranked(df, keys, order).withColumn(
+        "_chunk", F.floor(F.col("_rank") / F.lit(float(rows_per_chunk))).cast("long")).drop("_rank")
 
 
 def over_timeline(df: DataFrame, keys: Sequence[str], order: Sequence[str],

@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import ipaddress
 import re
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..functions.expr import (base64url, concat_bytes, hmac_sha256, in_or_absent, is_finite, micros,
                               optional_class, present, utf8)
+from ..functions.greedy import FEW, greedy_chain
 from ..functions.net import address_bits, peer_address, prefix_bits, within
-from ..functions.timeline import ROWS_PER_CHUNK, Timeline, before, over_timeline, running
+from ..functions.timeline import ROWS_PER_CHUNK, Timeline, before, durable, over_timeline, running
 from .detect import obs, verified_public_crawler
 
 # --- fixed values: assurance ---------------------------------------------------------
@@ -278,46 +276,32 @@ def valid_claims(max_lifetime_us: int = 300 * V.MICROS) -> Column:
         & ((text("request_action") == "") == (text("endpoint_class") == "")), F.lit(False))
 
 
-def _taken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Accepted uses of nonces in order; the only state is the nonce at hand and its expiry."""
-    nonce, until = None, None
-    for pdf in batches:
-        keep = []
-        for n, used, expires in zip(pdf["nonce"], pdf["used"], pdf["expires"]):
-            if n != nonce or until <= used:
-                nonce, until = n, expires
-                keep.append(True)
-            else:
-                keep.append(False)
-        yield pdf.loc[keep, ["nonce", "used", "line"]]
-
-
 def audit_single_use(df: DataFrame, well_formed: Column, signed: Column, nonce: str = "nonce",
                      issued_us: str = "issued_us", expires_us: str = "expires_us",
                      used_us: str = "used_us", line: str = "line_no",
-                     skew_us: int = 30 * V.MICROS, for_ever: bool = False) -> DataFrame:
+                     skew_us: int = 30 * V.MICROS, for_ever: bool = False, few: int = FEW,
+                     rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """Add `use`: malformed, bad_signature, expired, replayed or accepted.
 
     An accepted use takes its nonce until its expiry, or `for_ever`. The first valid use of a
     nonce is found by a map-side combined minimum and marked by an equi-join on (nonce,
     position), so a nonce replayed a billion times neither sorts nor joins in one task. Only
-    nonces with valid uses after an expiry are read in order, by a stream that keeps one row.
-    A use with a NULL nonce is malformed.
+    nonces with valid uses after an expiry need more, a greedy chain: they are folded, and those with more than
+    `few` uses go by a jump table that is cut by rank. A use with a NULL nonce is malformed.
     """
     fault = proof_fault(well_formed & F.col(nonce).isNotNull(), signed, issued_us, expires_us, used_us, skew_us)
     df = df.withColumn("_state", fault)
     valid = df.filter("_state IS NULL").select(
         F.col(nonce).alias("nonce"), F.col(used_us).alias("used"), F.col(expires_us).alias("expires"), F.col(line).alias("line"))
-    about = valid.groupBy("nonce").agg(
-        F.min(F.struct("used", "line")).alias("f"), F.max("used").alias("latest"), F.min("expires").alias("soonest"))
+    about = valid.groupBy("nonce").agg(F.min(F.struct("used", "line")).alias("f"), F.max("used").alias("latest"),
+                                       F.min("expires").alias("soonest"), F.count(F.lit(1)).alias("n"))
     first = about.select("nonce", "f.used", "f.line")
     if not for_ever:
-        again = about.filter("latest >= soonest").select("nonce")
-        first = first.join(again, "nonce", "left_anti")
-        uses = valid.join(again, "nonce", "left_semi").repartition("nonce").sortWithinPartitions("nonce", "used", "line")
-        types = {f.name: f.dataType.simpleString() for f in valid.schema}
-        first = first.unionByName(uses.select("nonce", "used", "expires", "line").mapInPandas(
-            _taken, ", ".join(f"{c} {types[c]}" for c in ("nonce", "used", "line"))))
+        again = durable(about.filter("latest >= soonest").select("nonce", "n"))
+        uses = valid.join(again.select("nonce"), "nonce", "left_semi")
+        large = not again.filter(F.col("n") > few).isEmpty()
+        taken = greedy_chain(uses, ["nonce"], "used", "expires", "line", few, rows_per_chunk, large)
+        first = first.join(again.select("nonce"), "nonce", "left_anti").unionByName(taken)
     first = first.select(F.col("nonce").alias(nonce), F.col("used").alias(used_us), F.col("line").alias(line), F.lit(True).alias("_first"))
     out = df.join(first, [nonce, used_us, line], "left")
     use = F.coalesce(F.col("_state"), F.when(F.col("_first"), F.lit("accepted")), F.lit("replayed"))

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..functions.expr import count_if, items, micros, optional_class
-from ..functions.timeline import (ROWS_PER_CHUNK, Timeline, before, durable, find_heat,
-                                  over_timeline, running, with_heat)
+from ..functions.timeline import ROWS_PER_CHUNK, Timeline, chunked, durable, find_heat, over_timeline, running
 from .detect import obs, verified_public_crawler
 
 REASON = r"^[A-Z0-9_]{3,64}$"
@@ -96,59 +97,149 @@ def valid_coverage_report() -> Column:
         & (F.size(e) == len(V.ENDPOINT_CLASSES)) & names & counters, F.lit(False))
 
 
-def accept_coverage(reports: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK, max_rounds: int = 200) -> DataFrame:
+def _fold_reports(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Verdicts of the rows of each (source, chunk), in order, from the state that its first row (`kind` 0) carries.
+
+    The state is the numbers of the last accepted report. Stretches in which every report follows the one before are
+    accepted together; after a break the next accepted report is looked for in blocks, so a batch
+    costs a pass over its rows and one Python step for each break. At the end of a chunk a row of
+    `kind` 1 has its own last accepted report, NULL where it accepted none.
+    """
+    at, state, own = None, None, None
+
+    def leave() -> list[dict]:
+        return [] if at is None else [{"source_id": at[0], "chunk": at[1], "line_no": None, "verdict": None, "kind": 1,
+                                       "state": None if own is None else own.tolist()}]
+
+    def judge(valid: np.ndarray, rows: np.ndarray) -> list[str]:
+        nonlocal state, own
+        out = np.where(valid, "conflict", "invalid").astype(object)
+        place = np.flatnonzero(valid)
+        x = rows[place]
+        n = len(place)
+        if not n:
+            return out.tolist()
+        follows = np.r_[False, _follows(x[:-1], x[1:])]
+        breaks = np.r_[np.flatnonzero(~follows), n]
+        i = 0
+        while i < n:
+            if state is None:
+                found = i
+            else:
+                found, size = n, 64
+                lo = i
+                while lo < n:
+                    hits = np.flatnonzero(_follows(state, x[lo:lo + size]))
+                    if len(hits):
+                        found = lo + int(hits[0])
+                        break
+                    lo, size = lo + size, size * 2
+                same = (x[i:found] == state).all(axis=1)
+                out[place[i:found][same]] = "unchanged"
+            if found == n:
+                break
+            end = int(breaks[np.searchsorted(breaks, found, side="right")])
+            out[place[found:end]] = "accepted"
+            state = own = x[end - 1]
+            i = end
+        return out.tolist()
+
+    for batch in batches:
+        part = {c: batch.column(c).to_pylist() for c in ("source_id", "chunk", "line_no", "kind")}
+        valid = np.array(batch.column("valid").to_pylist(), bool)
+        numbers = batch.column("numbers")
+        key = list(zip(part["source_id"], part["chunk"], strict=True))
+        edges = [i for i in range(len(key)) if i == 0 or key[i] != key[i - 1]] + [len(key)]
+        made: list[dict] = []
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if key[lo] != at:
+                made += leave()
+                at, state, own = key[lo], None, None
+            if part["kind"][lo] == 0:
+                given = numbers[lo].as_py()
+                state = None if given is None else np.array(given, np.int64)
+                lo += 1
+            here = np.zeros((hi - lo, _NUMBERS), np.int64)
+            good = np.flatnonzero(valid[lo:hi])
+            if len(good):
+                here[good] = np.array([numbers[int(lo + i)].as_py() for i in good], np.int64) if len(good) < 64 else \
+                    np.asarray(numbers.take(pa.array(lo + good)).flatten(), np.int64).reshape(-1, _NUMBERS)
+            made += [{"source_id": at[0], "chunk": at[1], "line_no": line, "verdict": v, "kind": 2, "state": None}
+                     for line, v in zip(part["line_no"][lo:hi], judge(valid[lo:hi], here), strict=True)]
+        if made:
+            yield pa.RecordBatch.from_pylist(made, schema=_FOLDED)
+    if leave():
+        yield pa.RecordBatch.from_pylist(leave(), schema=_FOLDED)
+
+
+#: start, sequence, completion and the counters of all endpoint classes
+_NUMBERS = 3 + len(V.ENDPOINT_CLASSES) * len(COUNTERS)
+_FOLDED = pa.schema([("source_id", pa.string()), ("chunk", pa.int64()), ("line_no", pa.int64()), ("verdict", pa.string()),
+                     ("kind", pa.int32()), ("state", pa.list_(pa.int64()))])
+
+
+def _follows(last: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Same start, higher sequence, no lower completion and counters."""
+    return (rows[..., 0] == last[..., 0]) & (rows[..., 1] > last[..., 1]) & (rows[..., 2:] >= last[..., 2:]).all(axis=-1)
+
+
+def accept_coverage(reports: DataFrame, rows_per_chunk: int = 1_000_000) -> DataFrame:
     """Add `verdict`: invalid, accepted, unchanged (identical resend) or conflict.
 
     A report must follow the last *accepted* report of its source: same start, rising
-    sequence, no decreasing time or counter. Whether a report is accepted depends only on
-    reports before it, so the verdicts are the unique fixed point of "compare with the
-    last report that is accepted so far". The iteration starts with all valid reports
-    accepted. In every round the rows of a source before its first changed one are final:
-    they leave, but for the last accepted one of them, and the next round starts there.
-    Rounds are as many as conflicts are nested; above `max_rounds` the job fails. `line_no`
-    names a report within its source.
+    sequence, no decreasing time or counter. That is a fold along the reports of a source, whose state is one report;
+    a task reads its rows in order as a stream and holds one batch.
+
+    A source of more than `rows_per_chunk` reports is cut by rank into chunks. Each is folded from a guess of the
+    state before it: the last report that an earlier chunk accepts of its own. Chunks whose guess was wrong are
+    folded again, all at the same time, until no guess changes. Every round settles one more chunk at least, and one
+    that accepts nothing hands on what came before it, so counters that fall once settle in the third round however many
+    reports follow. `line_no` names a report within its source.
     """
-    keys, order = ["source_id"], ["_us", "line_no"]
-    row = F.struct(
-        F.col("sequence").alias("sequence"), F.unix_micros("completed_at").alias("done"),
-        F.unix_micros("source_started_at").alias("started"),
-        F.flatten(F.transform("endpoints", lambda x: F.array(*[x[c] for c in COUNTERS]))).alias("counters"))
+    keys = ["source_id"]
+    numbers = F.concat(
+        F.array(F.unix_micros("source_started_at"), F.col("sequence").cast("long"), F.unix_micros("completed_at")),
+        F.flatten(F.transform("endpoints", lambda x: F.array(*[x[c].cast("long") for c in COUNTERS]))))
     valid = valid_coverage_report()
-    # the compared values only; the reports themselves are joined again at the end
-    active = durable(reports.select("source_id", micros("received_at").alias("_us"), "line_no", valid.alias("_valid"),
-                                    valid.alias("_ok"), row.alias("_row"), F.lit(False).alias("_seed")))
-
-    def judge(d: DataFrame, line: Timeline) -> DataFrame:
-        # Among accepted reports the sequence rises, so the latest has the highest one.
-        return line.run(d, {"_last": before("max", F.when(F.col("_ok"), F.col("_row")))})
-
-    last, cur = F.col("_last"), F.col("_row")
-    grows = F.forall(F.arrays_zip(last.counters.alias("a"), cur.counters.alias("b")), lambda z: z.a <= z.b)
-    verdict = (F.when(F.col("_seed"), F.lit("accepted"))
-               .when(~F.col("_valid"), F.lit("invalid")).when(last.isNull(), F.lit("accepted"))
-               .when((cur.sequence == last.sequence) & (cur == last), F.lit("unchanged"))
-               .when((cur.started == last.started) & (cur.sequence > last.sequence)
-                     & (cur.done >= last.done) & grows, F.lit("accepted"))
-               .otherwise(F.lit("conflict")))
-    heat = find_heat(active, keys, rows_per_chunk)
-    at, fields = F.struct(*order), active.columns
-    final = None
-    for _ in range(max_rounds):
-        out = durable(with_heat(active, keys, order, judge, heat).withColumn("verdict", verdict).drop("_last"))
-        now = F.col("verdict") == "accepted"
-        first = out.filter(now != F.col("_ok")).groupBy(*keys).agg(F.min(at).alias("_from"))
-        out = out.join(first, keys, "left")
-        settled = F.col("_from").isNull() | (at < F.col("_from"))
-        found = out.filter(settled & ~F.col("_seed")).select(*keys, "line_no", "verdict")
-        final = found if final is None else final.unionByName(found)
-        open_ = out.filter(F.col("_from").isNotNull())
-        rest = open_.filter(~settled).withColumn("_ok", now).select(*fields)
-        seeds = open_.filter(settled & now).withColumns({"_ok": F.lit(True), "_seed": F.lit(True)})
-        seeds = seeds.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in fields if c not in keys]), at).alias("_s"))
-        active = durable(rest.unionByName(seeds.select(*keys, "_s.*").select(*fields)))
-        if active.isEmpty():
-            return reports.join(final, [*keys, "line_no"])
-    raise RuntimeError(f"coverage verdicts are not settled after {max_rounds} rounds")
+    rows = reports.select("source_id", micros("received_at").alias("_us"), F.col("line_no").cast("long").alias("line_no"),
+                          valid.alias("valid"), F.when(valid, numbers).alias("numbers"))
+    heat = find_heat(rows, keys, rows_per_chunk)
+    ddl = "source_id string, chunk long, line_no long, verdict string, kind int, state array<long>"
+
+    def folded(part: DataFrame, guesses: DataFrame | None) -> DataFrame:
+        part = part.select("source_id", "chunk", "_us", "line_no", "valid", "numbers", F.lit(2).alias("kind"))
+        if guesses is not None:
+            part = part.unionByName(guesses.select(
+                "source_id", "chunk", F.lit(None).cast("long").alias("_us"), F.lit(None).cast("long").alias("line_no"),
+                F.lit(False).alias("valid"), F.col("guess").alias("numbers"), F.lit(0).alias("kind")))
+        dealt = part.repartition("source_id", "chunk").sortWithinPartitions("source_id", "chunk", "kind", "_us", "line_no")
+        return dealt.drop("_us").mapInArrow(_fold_reports, ddl)
+
+    cold = rows if heat is None else rows.join(F.broadcast(heat.keys), keys, "left_anti")
+    found = folded(cold.withColumn("chunk", F.lit(0).cast("long")), None).filter("kind = 2")
+    if heat is not None:
+        hot = chunked(rows.join(F.broadcast(heat.keys), keys, "left_semi"), keys, ["_us", "line_no"], heat.rows_per_chunk)
+        hot = durable(hot.withColumnRenamed("_chunk", "chunk"))
+        found = found.unionByName(_settled(hot, folded))
+    return reports.join(found.select("source_id", "line_no", "verdict"), [*keys, "line_no"])
+
+
+def _settled(rows: DataFrame, folded: Callable[[DataFrame, DataFrame | None], DataFrame]) -> DataFrame:
+    """Folded chunks whose guesses are right; one row per chunk decides about the next round."""
+    at = ["source_id", "chunk"]
+    earlier = Window.partitionBy("source_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    now = durable(folded(rows, None))
+    used = durable(rows.select(*at).distinct().withColumn("guess", F.lit(None).cast("array<long>")))
+    while True:
+        ends = now.filter("kind = 1").select(*at, "state")
+        # at most one row for every `rows_per_chunk` reports
+        guess = ends.withColumn("guess", F.last("state", ignorenulls=True).over(earlier)).select(*at, "guess")
+        wrong = durable(guess.alias("g").join(used.alias("u"), at).filter(~F.col("g.guess").eqNullSafe(F.col("u.guess"))).select(*at, "g.guess"))
+        if wrong.isEmpty():
+            return now.filter("kind = 2")
+        again = folded(rows.join(wrong.select(*at), at, "left_semi"), wrong)
+        now = durable(now.join(wrong.select(*at), at, "left_anti").unionByName(again))
+        used = durable(used.join(wrong.select(*at), at, "left_anti").unionByName(wrong))
 
 
 def origin_coverage(accepted: DataFrame, observer_start: Column) -> DataFrame:

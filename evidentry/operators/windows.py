@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..functions.expr import bit, code, count_if, micros
-from ..functions.timeline import (ROWS_PER_CHUNK, Timeline, before, durable, find_heat, running,
-                                  with_heat)
+from ..functions.greedy import FEW, greedy_chain
+from ..functions.timeline import ROWS_PER_CHUNK, Timeline, before, durable, find_sizes, running, with_heat
 
 
 @dataclass(frozen=True)
@@ -29,11 +27,6 @@ class WindowConfig:
     slice_us: int = 60 * V.MINUTE_US
     rows_per_chunk: int = ROWS_PER_CHUNK
 
-    @property
-    def reach_us(self) -> int:
-        """A window start lies less than this after the previous one, within a session."""
-        return self.max_age_us + self.inactivity_us
-
 
 KEY = "sequence_key"
 
@@ -61,9 +54,9 @@ def sequence_windows(df: DataFrame, config: WindowConfig = WindowConfig()) -> Da
         return line.run(d, {"stretch_us": running("last", F.col("_new"))}).drop("_new")
 
     df = df.withColumn("_us", micros("observed_at"))
-    heat = find_heat(df, [KEY], config.rows_per_chunk)
+    big, heat = find_sizes(df, [KEY], min(FEW, config.rows_per_chunk), config.rows_per_chunk)
     df = with_heat(df, [KEY], ["_us", "line_no"], stretches, heat)
-    starts = _capped_starts(df, config, heat is not None)
+    starts = _capped_starts(df, config, big)
     bucket = F.floor((F.col("_us") - F.col("stretch_us")) / float(config.slice_us))
     # A window is shorter than `max_age_us`, so it touches at most two buckets. Each
     # (stretch, bucket) has a handful of starts, whatever the number of events.
@@ -79,106 +72,19 @@ def sequence_windows(df: DataFrame, config: WindowConfig = WindowConfig()) -> Da
             .drop("_b", "_starts", "_prev_us", "stretch_us"))
 
 
-def _capped_starts(df: DataFrame, config: WindowConfig, hot: bool) -> DataFrame:
+def _capped_starts(df: DataFrame, config: WindowConfig, large: bool) -> DataFrame:
     """(key, stretch_us, _start): the window starts that the age rule adds.
 
     The first such start of a stretch is its first event of at least `max_age_us`, so
     younger events, which are nearly all, are not even looked at. Of the others only the
-    distinct times matter.
+    distinct times matter. Each start is followed by the first time `max_age_us` or more after it.
     """
     old = F.col("_us") - F.col("stretch_us") >= config.max_age_us
     times = df.filter(old).select(KEY, "stretch_us", "_us").distinct()
-    if not hot:  # no key is large, so no stretch is
-        return _chains(times.withColumn("_slice", F.lit(0).cast("long")), None, config)
-    sizes = times.groupBy(KEY, "stretch_us").agg(F.count(F.lit(1)).alias("_n"), F.min("_us").alias("_entry"))
-    huge = durable(sizes.filter(F.col("_n") > config.rows_per_chunk).drop("_n"))
-    small = times.join(F.broadcast(huge), [KEY, "stretch_us"], "left_anti")
-    big = times.join(F.broadcast(huge), [KEY, "stretch_us"])
-    return _chains(small.withColumn("_slice", F.lit(0).cast("long")), None, config).unionByName(
-        _sliced_chains(big, config))
-
-
-def _next_start(times: np.ndarray, start: np.ndarray, max_age: int) -> np.ndarray:
-    """First time at least `max_age` after each start, -1 when there is none."""
-    i = np.searchsorted(times, start + max_age, side="left")
-    return np.where(i < len(times), times[np.minimum(i, len(times) - 1)], -1)
-
-
-def _chains(times: DataFrame, entries: DataFrame | None, config: WindowConfig) -> DataFrame:
-    """Window starts per (stretch, slice), from the slice's entry to its end."""
-    max_age, length = config.max_age_us, config.slice_us
-    sliced = entries is not None
-    if sliced:
-        times = times.join(entries, [KEY, "stretch_us", "_slice"])
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["_us"].to_numpy())
-        stretch, part = int(pdf["stretch_us"].iat[0]), int(pdf["_slice"].iat[0])
-        end = stretch + max_age + (part + 1) * length if sliced else int(t[-1]) + 1
-        out, at = [], int(pdf["_entry"].iat[0]) if sliced else int(t[0])
-        while at >= 0 and at < end:
-            out.append(at)
-            at = int(_next_start(t, np.array([at]), max_age)[0])
-        return pd.DataFrame({KEY: pdf[KEY].iat[0], "stretch_us": stretch, "_start": out})
-
-    return times.groupBy(KEY, "stretch_us", "_slice").applyInPandas(
-        walk, f"{KEY} string, stretch_us long, _start long")
-
-
-def _sliced_chains(times: DataFrame, config: WindowConfig) -> DataFrame:
-    """Starts of stretches too large for one task.
-
-    The stretch is cut in slices. Every slice maps each possible entry (the events of
-    its first `reach_us`) to the entry it leads to in the next slice. Those maps are
-    composed pairwise, level by level, so the entry of every slice is known after a
-    logarithmic number of equi-joins; then the slices are walked independently.
-    """
-    max_age, length, reach = config.max_age_us, config.slice_us, config.reach_us
-    if length < reach:
-        raise ValueError("a slice must be at least as long as max_age plus inactivity")
-    group = [KEY, "stretch_us"]
-    age = F.col("_us") - F.col("stretch_us") - max_age
-    cut = F.floor(age / float(length)).cast("long")
-    offset = age % length
-    # Each slice also sees the entry zone of the next one.
-    halo = F.when((offset < reach) & (cut > 0), F.array(cut, cut - 1)).otherwise(F.array(cut))
-    times = durable(times.withColumn("_slice", F.explode(halo)))
-    entries = times.filter("_slice = 0").select(*group, "_slice", "_entry").distinct()
-    times = times.drop("_entry")
-
-    def hop(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["_us"].to_numpy())
-        stretch, part = int(pdf["stretch_us"].iat[0]), int(pdf["_slice"].iat[0])
-        begin = stretch + max_age + part * length
-        end = begin + length
-        x = t[(t >= begin) & (t < begin + reach)]
-        y = x.copy()
-        inside = (y >= 0) & (y < end)
-        while inside.any():
-            y[inside] = _next_start(t, y[inside], max_age)
-            inside = (y >= 0) & (y < end)
-        keep = y >= 0
-        return pd.DataFrame({KEY: pdf[KEY].iat[0], "stretch_us": stretch, "_slice": part,
-                             "_x": x[keep], "_y": y[keep]})
-
-    levels = [durable(times.groupBy(*group, "_slice").applyInPandas(
-        hop, f"{KEY} string, stretch_us long, _slice long, _x long, _y long"))]
-    last = times.agg(F.max("_slice")).first()[0] or 0
-    step = 1
-    while step * 2 <= last:
-        even = levels[-1].filter(F.col("_slice") % (2 * step) == 0)
-        odd = levels[-1].filter(F.col("_slice") % (2 * step) == step).select(
-            *group, (F.col("_slice") - step).alias("_slice"), F.col("_x").alias("_y"),
-            F.col("_y").alias("_z"))
-        levels.append(durable(even.join(odd, [*group, "_slice", "_y"]).select(
-            *group, "_slice", "_x", F.col("_z").alias("_y"))))
-        step *= 2
-    for level in reversed(levels):
-        found = entries.join(level.withColumnRenamed("_x", "_entry"), [*group, "_slice", "_entry"])
-        ahead = found.select(*group, (F.col("_slice") + step).alias("_slice"), F.col("_y").alias("_entry"))
-        entries = durable(entries.unionByName(ahead))
-        step //= 2
-    return _chains(times, entries, config)
+    chain = times.withColumns({"_until": F.col("_us") + config.max_age_us, "_line": F.lit(0).cast("long")})
+    few = min(FEW, config.rows_per_chunk)
+    taken = greedy_chain(chain, [KEY, "stretch_us"], "_us", "_until", "_line", few, config.rows_per_chunk, None if large else False)
+    return taken.select(KEY, "stretch_us", F.col("_us").alias("_start"))
 
 
 # --- features ------------------------------------------------------------------------

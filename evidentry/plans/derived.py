@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.expr import micros
+from ..functions.timeline import ranked
 from .. import vocab as V
 
 T0 = 1_704_067_200_000_000  # 2024-01-01 UTC in microseconds
@@ -537,12 +538,12 @@ def canary_plan():
 
 def coverage_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cumulative coverage reports of seven sources, with resends, restarts and decreases."""
-    e, u = F.col("event_id"), F.col("user_id")
-    source = u % 7
-    order = Window.partitionBy(source).orderBy("us", "event_id")
-    df = events(spark, sf_dir).withColumns({
-        "rn": F.row_number().over(order).cast("long"), "src": source,
-        "done": F.when(F.row_number().over(order) % 3 == 0, F.lag("us").over(order)).otherwise(F.col("us"))})
+    e = F.col("event_id")
+    # seven sources hold all reports, so they are numbered by rank, and a resend finds the report before it by its number
+    df = ranked(events(spark, sf_dir).withColumn("src", F.col("user_id") % 7), ["src"], ["us", "event_id"])
+    df = df.withColumn("rn", F.col("_rank") + 1).drop("_rank")
+    ahead = df.filter("rn % 3 = 2").select("src", (F.col("rn") + 1).alias("rn"), F.col("us").alias("before"))
+    df = df.join(ahead, ["src", "rn"], "left").withColumn("done", F.when(F.col("rn") % 3 == 0, F.col("before")).otherwise(F.col("us")))
     # Reports 3, 6, 9 ... repeat the report before them.
     k = F.when(F.col("rn") % 3 == 0, F.col("rn") - 1).otherwise(F.col("rn"))
     drop = F.when(e % 29 == 0, 50).otherwise(0)
