@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.expr import micros
 from ..sources.reports import publish_report
+from .ordered import LATE
 
 
 def watch_report(stream: DataFrame, table_path: str, analyse: Callable[[DataFrame], DataFrame],
@@ -62,6 +63,24 @@ def route_late(stream: DataFrame, time: str, delay_us: int, on_time_path: str, l
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def write_with_late(stream: DataFrame, on_time_path: str, late_path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Write the output of an ordered operator and the rows that came behind its watermark into two tables, by one query.
+
+    Batches are partitions that a retry overwrites.
+    """
+    late_columns = [stream.columns[0], *LATE]
+
+    def split(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        late = F.col(LATE[0]).isNotNull()
+        batch.filter(~late).drop(*LATE).write.mode("overwrite").parquet(f"{on_time_path}/batch_id={batch_id}")
+        batch.filter(late).select(*late_columns).write.mode("overwrite").parquet(f"{late_path}/batch_id={batch_id}")
+        batch.unpersist()
+
+    writer = stream.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def _newest(spark: SparkSession, path: str, batch_id: int) -> int | None:
     """Newest time seen before a batch."""
     for earlier in range(batch_id - 1, -1, -1):

@@ -121,7 +121,7 @@ def stream_single_use(uses: DataFrame, fault: Column, delay: str = "10 minutes")
     df = uses.withColumn("_fault", fault).withColumns({
         "us": F.col("used_us"), "event_time": F.timestamp_micros("used_us"), "nonce": F.col("nonce").cast("string")})
     faulty = df.filter("_fault IS NOT NULL").select("nonce", "line_no", F.col("_fault").alias("use"))
-    return run_ordered(df.filter("_fault IS NULL"), SingleUse(), delay=delay).unionByName(faulty)
+    return run_ordered(df.filter("_fault IS NULL"), SingleUse(), delay=delay).unionByName(faulty, allowMissingColumns=True)
 
 
 class ActivityWindows(OrderedProcessor):

@@ -3,6 +3,10 @@
 Rows of a micro-batch arrive unordered. Each key buffers them until the watermark has
 passed and then releases them in (time, line_no) order, so a finite stream gives the
 rows of the batch operator. Buffers hold what arrived within the watermark delay.
+
+A row that arrives behind the watermark cannot be put in order any more. It comes out at
+once, tagged by `late_line_no` and `late_us` with all other outputs NULL, so on-time and late
+rows together are all rows (`jobs.write_with_late` parts them).
 """
 
 from __future__ import annotations
@@ -10,11 +14,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+LATE = ("late_line_no", "late_us")
 
 
 class OrderedProcessor(StatefulProcessor):
@@ -47,16 +53,22 @@ class OrderedProcessor(StatefulProcessor):
         self.state = handle.getValueState("state", self.state_schema)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        first, late = None, []
+        settled = timerValues.getCurrentWatermarkInMs() * 1000
         for pdf in rows:
             batch = [tuple(None if _missing(v) else int(v) if whole else _plain(v) for v, whole in zip(r, self.whole))
                      for r in pdf[list(self.fields)].itertuples(index=False, name=None)]
-            self.buffer.appendList(batch)
-            low = min(r[0] for r in batch)
-            first = low if first is None else min(first, low)
+            late += [r for r in batch if r[0] < settled]
+            batch = [r for r in batch if r[0] >= settled]
+            if batch:
+                self.buffer.appendList(batch)
+                low = min(r[0] for r in batch)
+                first = low if first is None else min(first, low)
         if first is not None:
             self.handle.registerTimer(first // 1000)
-        return iter(())
+        if late:
+            none = [None] * (len(self.outputs) - 1)
+            yield pd.DataFrame([(key[0], *none, r[1], r[0]) for r in late], columns=[*self.outputs, *LATE], dtype=object)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         settled = timerValues.getCurrentWatermarkInMs() * 1000
@@ -86,9 +98,8 @@ class OrderedProcessor(StatefulProcessor):
             if deadline is not None:
                 self.handle.registerTimer(deadline // 1000)
         if out:
-            columns = self.outputs
             name = key[0]
-            yield pd.DataFrame([(name, *r) for r in out], columns=columns)
+            yield pd.DataFrame([(name, *r, None, None) for r in out], columns=[*self.outputs, *LATE]).astype(dict.fromkeys(LATE, object))
 
     def _advance(self, state, now_us, out):
         """Apply a deadline that lies at or before `now_us`."""
@@ -116,8 +127,17 @@ def run_ordered(stream: DataFrame, processor: OrderedProcessor, time: str = "eve
     """Apply a processor to a stream that has the key, `us`, `line_no` and an event time.
 
     The session must use the RocksDB state store; state then lives on disk and is
-    checkpointed incrementally.
+    checkpointed incrementally. Columns `LATE` are NULL but for rows behind the watermark.
     """
-    columns = list(dict.fromkeys([processor.key, *processor.fields, time]))
-    return (stream.select(*columns).withWatermark(time, delay).groupBy(processor.key)
-            .transformWithStateInPandas(processor, processor.output, "Append", "EventTime"))
+    import evidentry
+    from evidentry import streaming
+
+    # the runner of stateful processors sees no files that were shipped: processors travel with their code
+    for module in (streaming, evidentry.vocab):
+        if module.__name__ not in cloudpickle.list_registry_pickle_by_value():
+            cloudpickle.register_pickle_by_value(module)
+    columns = list(dict.fromkeys([processor.key, *processor.fields]))
+    # Spark drops late rows by the event-time column, so it ends here; the watermark itself goes on
+    watched = stream.select(*dict.fromkeys([*columns, time])).withWatermark(time, delay).select(*columns)
+    output = f"{processor.output}, {', '.join(f'{c} long' for c in LATE)}"
+    return watched.groupBy(processor.key).transformWithStateInPandas(processor, output, "Append", "EventTime")
