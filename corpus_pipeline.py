@@ -14,7 +14,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5, by a model learnt from the labelled ones among them."""
     ship_package(spark)
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.scored(docs, model, score="toxicity").where("toxicity < 0.5").select(docs.columns)
+    score = "_score"
+    while score in docs.columns:
+        score += "_"
+    return toxicity.scored(docs, model, score=score).where(F.col(score) < 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,9 +27,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines and passages that occur in an earlier one."""
+    """All documents, without lines and passages that occur in an earlier one; `n_chars` follows, where there is one."""
     ship_package(spark)
     cut = substring.deduplicated(docs, removed=None)
+    if "n_chars" not in docs.columns:
+        return cut
     return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 

@@ -2,8 +2,9 @@
 
 Every host has a tree of path segments. Segments are generalised (digits and long hex runs
 become marks, and below a node with too many children the rare ones become one wildcard),
-branches that are statistically similar are merged, and a template is rejected if its
-labelled pages are impure after smoothing. All steps are DataFrame operations on distinct
+branches that are statistically similar are merged, and a template is rejected if its share of blocked
+pages is high after smoothing: every node is smoothed by its parent, the first node of a host by the overall share, so a
+branch without labels has what its parent has. All steps are DataFrame operations on distinct
 shapes of paths, which are counted before anything is shuffled.
 """
 
@@ -20,7 +21,8 @@ from .common import stored
 DEPTH = 6                # segments of a template; what lies deeper is one wildcard tail
 FAN_OUT = 32             # children a node keeps apart; beyond it, children below 1 / FAN_OUT of its pages merge
 SIMILAR = 1.96           # |z| of a branch against all labelled pages below its parent, to be merged with them
-PRIOR_PAGES = 4.0        # weight of the overall share of blocked pages
+PRIOR_PAGES = 4.0        # weight of the parent's share of blocked pages
+MOST_PRIOR = 0.5         # of the overall share: hosts without labels are not rejected for the others' sake
 REJECT = 0.7             # smoothed share of blocked pages from which a template is rejected
 TAIL, RARE, PLAIN = "**", "*", "~"
 
@@ -66,16 +68,17 @@ def segments(path: Column) -> Column:
 
 
 def _level(shapes: DataFrame, k: int) -> DataFrame:
-    """Append segment k (from 0) to `node` of every shape, after generalising and merging branches."""
+    """Append segment k (from 0) to `node` of every shape, after generalising and merging branches; `impure` is the node's smoothed share."""
     segment = F.get("parts", F.lit(k))
     shapes = shapes.withColumn("segment", segment)
+    # `impure` belongs to the node, so any row of it has the same
     branches = shapes.where("segment is not null").groupBy("host", "node", "segment").agg(
-        F.sum("pages").alias("pages"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+        F.first("impure").alias("impure"), F.sum("pages").alias("pages"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
     branches = stored(branches, "branches")
     parents = branches.groupBy("host", "node").agg(
-        F.count("*").alias("children"), F.sum("pages").alias("all_pages"),
+        F.count("*").alias("children"), F.sum("pages").alias("all_pages"), F.first("impure").alias("impure"),
         F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"))
-    judged = branches.join(parents, ["host", "node"])
+    judged = branches.drop("impure").join(parents, ["host", "node"])
     rare = (F.col("children") > FAN_OUT) & (F.col("pages") * FAN_OUT < F.col("all_pages"))
     others, p = F.col("all_labelled") - F.col("labelled"), F.col("all_blocked") / F.col("all_labelled")
     spread = F.sqrt(p * (1 - p) * (1 / F.col("labelled") + 1 / others))
@@ -83,10 +86,16 @@ def _level(shapes: DataFrame, k: int) -> DataFrame:
     other = (F.col("all_blocked") - F.col("blocked")) / others
     similar = (others > 0) & ((spread == 0) | (F.abs(share - other) < SIMILAR * spread))
     name = F.when(rare, F.lit(RARE)).when(F.col("labelled") == 0, F.lit(PLAIN)).when(similar, F.lit(RARE)).otherwise(F.col("segment"))
-    names = judged.select("host", "node", "segment", name.alias("name"))
+    named = judged.withColumn("name", name)
+    inner = named.groupBy("host", "node", "name").agg(_smoothed(F.sum("blocked"), F.sum("labelled"), F.first("impure")).alias("inner"))
+    names = named.select("host", "node", "segment", "name").join(inner, ["host", "node", "name"])
     joined = shapes.join(names, ["host", "node", "segment"], "left")
     node = F.when(F.col("segment").isNull(), F.col("node")).otherwise(F.concat("node", F.lit("/"), F.col("name")))
-    return joined.select("host", "parts", node.alias("node"), "pages", "labelled", "blocked")
+    return joined.select("host", "parts", node.alias("node"), F.coalesce("inner", "impure").alias("impure"), "pages", "labelled", "blocked")
+
+
+def _smoothed(blocked: Column, labelled: Column, around: Column) -> Column:
+    return (blocked + PRIOR_PAGES * around) / (labelled + PRIOR_PAGES)
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -94,21 +103,20 @@ def templates(pages: DataFrame) -> DataFrame:
 
     label: 1 blocked, 0 allowed, null unlabelled. A branch is merged with its labelled
     siblings if its share of blocked pages does not differ from theirs in a two-proportion
-    test; branches without labels merge with each other only, so they inherit nothing but
-    the prior. Without any label nothing is rejected.
+    test; branches without labels merge with each other only and have their parent's share. Without any
+    label nothing is rejected.
     """
     shapes = pages.groupBy("host", "parts").agg(
         F.count("*").alias("pages"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).cast("long").alias("blocked"))
-    shapes = stored(shapes.withColumn("node", F.lit("")).select("host", "parts", "node", "pages", "labelled", "blocked"), "shapes")
+    shapes = stored(shapes, "shapes")
     about = shapes.agg(F.max(F.size("parts")).alias("depth"), F.sum("labelled").alias("n"), F.sum("blocked").alias("b")).first()
-    prior = (about["b"] or 0) / about["n"] if about["n"] else 0.0
+    prior = min(MOST_PRIOR, (about["b"] or 0) / about["n"]) if about["n"] else 0.0
+    hosts = shapes.groupBy("host").agg(_smoothed(F.sum("blocked"), F.sum("labelled"), F.lit(prior)).alias("impure"))
+    shapes = shapes.join(hosts, "host").select("host", "parts", F.lit("").alias("node"), "impure", "pages", "labelled", "blocked")
     for k in range(about["depth"] or 0):
         shapes = stored(_level(shapes, k), "templates")
-    by = shapes.groupBy("host", "node").agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("b"))
-    purity = (F.col("b") + PRIOR_PAGES * prior) / (F.col("n") + PRIOR_PAGES)
-    verdict = F.when((F.col("n") > 0) & (purity >= REJECT), F.lit("block")).otherwise(F.lit("allow"))
-    return shapes.select("host", "parts", "node").join(by.select("host", "node", verdict.alias("learnt")), ["host", "node"]).select(
-        "host", "parts", F.concat("host", "node").alias("template"), "learnt")
+    verdict = F.when(F.col("impure") >= REJECT, F.lit("block")).otherwise(F.lit("allow"))
+    return shapes.select("host", "parts", F.concat("host", "node").alias("template"), verdict.alias("learnt"))
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], id: str = "page_id", url: str = "url", label: str | None = None) -> DataFrame:

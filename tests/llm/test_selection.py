@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
+
 from evidentry.llm import licenses, mixture, queries, urls
 
 
@@ -115,6 +117,27 @@ def test_url_templates(spark):
     assert {r["verdict"] for r in urls.judge(frame, ()).collect()} == {"allow"}
 
 
+def test_unlabelled_branches_take_their_parents_share(spark):
+    """Sites with impure labelled pages reject their other pages too; sites without labels, and the rules' own pages, are as before."""
+    rows = [(f"http://bad.com/de/{i}", 1) for i in range(30)] + [("http://bad.com/en/1", None), ("http://bad.com", None)]
+    rows += [(f"http://good.com/de/{i}", 0) for i in range(30)] + [("http://good.com/en/1", None), ("http://new.com/de/1", None)]
+    rows += [(f"http://mixed.com/{'de' if i % 2 else 'fr'}/{i}", i % 2) for i in range(60)] + [("http://mixed.com/es/1", None), ("http://mixed.com/de/999", None)]
+    got = {u: r["verdict"] for (u, _), r in zip(rows, sorted(urls.judge(spark.createDataFrame(
+        [(i, *r) for i, r in enumerate(rows)], "page_id long, url string, bad int"), (), label="bad").collect(), key=lambda r: r["page_id"]), strict=True)}
+    assert [got[f"http://{u}"] for u in ("bad.com/en/1", "bad.com", "good.com/en/1", "new.com/de/1", "mixed.com/es/1", "mixed.com/de/999")] == [
+        "block", "block", "allow", "allow", "allow", "block"]
+
+
+def test_hidden_rule_verdicts_come_back(spark, sf):
+    """Of the pages that a rule decides, a third loses its label; the tree gives most of their verdicts."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    truth = urls.judge(pages, queries.URL_RULES).where("rule is not null").select("page_id", (F.col("verdict") == "block").cast("int").alias("truth"))
+    hidden = F.pmod(F.crc32(F.col("page_id").cast("string")), F.lit(3)) == 0
+    found = urls.judge(pages.join(truth, "page_id", "left").withColumn("y", F.when(~hidden, F.col("truth"))), (), label="y").join(truth, "page_id").where(hidden)
+    right = [(r["verdict"] == "block") == bool(r["truth"]) for r in found.collect()]
+    assert sum(right) >= 0.75 * len(right) > 10
+
+
 def test_licences(spark, odd):
     scanner = licenses.train(spark)
     lines = {"Released under the MIT License.": "mit", "© 2021 Foo. Licensed under the Apache License, Version 2.0, see NOTICE.": "apache-2.0",
@@ -140,9 +163,13 @@ def test_queries_and_pipeline(spark, sf):
     import corpus_pipeline
 
     names = [q for q in entry.queries() if re.match(r"op\d+_", q)]
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 14))
     out = entry.queries()["pipeline"](spark, sf)
     assert out.count() > 0 and {"doc_id", "text", "lang", "source", "n_chars", "copy"} <= set(out.columns)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
+    # a column of the user's that is called like a score, and none called n_chars
+    own = docs.drop("n_chars").withColumn("toxicity", F.lit("mine"))
+    assert {r["toxicity"] for r in corpus_pipeline.drop_toxic(spark, own, sf).collect()} == {"mine"}
+    assert corpus_pipeline.cut_repeats(spark, own, sf).columns == own.columns
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), sf).columns == docs.columns
