@@ -250,8 +250,24 @@ def log_reason(max_assurance_level: int = 1, versions: tuple[str, str, str, str]
 
 def decode_log_records(df: DataFrame, versions: tuple[str, str, str, str] = LOG_VERSIONS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(decisions, outcomes, quarantine) of tagged log records."""
-    valid, bad = split_valid(df, log_reason(versions=versions))
-    keep = [c for c in ("ingest_order",) if c in df.columns]
+    return _kinds(*split_valid(df, log_reason(versions=versions)))
+
+
+def split_log_records(df: DataFrame, path: str, versions: tuple[str, str, str, str] = LOG_VERSIONS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """`decode_log_records` by one scan: a table with a partition for each kind and one for the quarantine.
+
+    Readers of a result read its partition only. `path` must not exist.
+    """
+    marked = df.withColumn("reason", log_reason(versions=versions))
+    part = F.when(F.col("reason").isNotNull(), F.lit("quarantine")).otherwise(F.col("kind"))
+    marked.withColumn("part", part).write.partitionBy("part").mode("errorifexists").parquet(path)
+    table = df.sparkSession.read.schema(marked.withColumn("part", part).schema).parquet(path)
+    return _kinds(table.filter("part IN ('decision', 'outcome')").drop("part", "reason"),
+                  table.filter("part = 'quarantine'").drop("part"))
+
+
+def _kinds(valid: DataFrame, bad: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    keep = [c for c in ("ingest_order",) if c in valid.columns]
     decisions = valid.filter("kind = 'decision'").select(
         *keep, "schema_version", "recorded_at", "session_key",
         *[F.col(f"decision.{f}").alias(f) for f in DECISION_FIELDS]
@@ -318,12 +334,16 @@ def normalise_log_row(df: DataFrame) -> DataFrame:
 DAY_US = 86_400 * V.MICROS
 
 
-def apply_retention(df: DataFrame, now: Column, keep_days: int = 7, time: str = "recorded_at") -> DataFrame:
-    """Rows not older than the retention (1..90 days); a plain, prunable time filter."""
+def oldest_kept(now: Column, keep_days: int) -> Column:
+    """The oldest time that a retention of 1 to 90 days keeps."""
     if not 1 <= keep_days <= 90:
         raise ValueError("retention must be 1 to 90 days")
-    oldest = now - F.expr(f"INTERVAL {keep_days} DAYS")
-    return df.filter(F.col(time) >= oldest)
+    return now - F.expr(f"INTERVAL {keep_days} DAYS")
+
+
+def apply_retention(df: DataFrame, now: Column, keep_days: int = 7, time: str = "recorded_at") -> DataFrame:
+    """Rows not older than the retention; `sources.retention` has the table that prunes by it."""
+    return df.filter(F.col(time) >= oldest_kept(now, keep_days))
 
 
 def latest_valid_report(attempts: DataFrame, key: str | None = None) -> DataFrame:

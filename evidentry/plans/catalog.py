@@ -218,6 +218,19 @@ def a9_decode_log_records(spark, sf):
     return _marked(T.log_records(_decided(spark, sf)), A.log_reason(), "kind")
 
 
+@query
+def a9_split_log_records(spark, sf):
+    """Decisions, outcomes and quarantine of the log, written by one scan and read back."""
+    decisions, outcomes, bad = A.split_log_records(T.log_records(_decided(spark, sf)), shared_folder(spark, "log-kinds"))
+    none = F.lit(None).cast("string")
+    rows = [decisions.select(F.lit("decision").alias("part"), none.alias("reason"), "endpoint_class", "recorded_at"),
+            outcomes.select(F.lit("outcome").alias("part"), none.alias("reason"), "endpoint_class", "recorded_at"),
+            bad.select(F.concat(F.lit("quarantine-"), F.col("kind")).alias("part"), "reason", none.alias("endpoint_class"), "recorded_at")]
+    us = micros("recorded_at")
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("part", "reason", "endpoint_class").agg(
+        n().alias("n"), F.min(us).alias("first_us"), F.max(us).alias("last_us"))
+
+
 @query
 def a10_validate_outcomes(spark, sf):
     out = T.outcomes(T.logged(spark, sf)).withColumn(
@@ -253,6 +266,23 @@ def a14_apply_retention(spark, sf):
     return kept.select("decision_id", "copy", micros("recorded_at").alias("recorded_us"))
 
 
+@query
+def a14_retention_table(spark, sf):
+    """The decision log as a table by day, written twice, old days dropped, and the rest read within the retention."""
+    from ..sources import retention
+
+    folder = shared_folder(spark, "by-day")
+    log = T.logged(spark, sf).select("decision_id", "copy", "recorded_at")
+    for _ in range(2):
+        retention.write_dated(log, folder)
+    newest = spark.read.schema(log.schema).parquet(folder).agg(F.max("recorded_at").alias("t")).first()["t"]
+    if newest is None:
+        return log.select("decision_id", "copy", micros("recorded_at").alias("recorded_us"))
+    retention.drop_expired(spark, folder, newest, keep_days=2)
+    kept = retention.read_retained(spark, folder, newest, keep_days=1)
+    return kept.select("decision_id", "copy", micros("recorded_at").alias("recorded_us"))
+
+
 @query
 def a16_latest_valid_report(spark, sf):
     attempts = T.requests(spark, sf).select(
@@ -921,6 +951,16 @@ def a4_publish_evidence(spark, sf):
     return shards.published_summary(manifest).select("events", "first_us", "last_us")
 
 
+@query
+def a4_shard_contents(spark, sf):
+    """Shards of at most 1,000 records: the rows in them by a digest that does not depend on files, their size and order."""
+    folder = shared_folder(spark, "published")
+    shards.publish_evidence(T.local_events(spark, sf), folder, shard_size=1_000)
+    digest = shards.row_digest(F.col("line_no"), micros("observed_at"), F.col("subject_id"), F.col("session_id"), F.col("endpoint_class"))
+    found = shards.shard_contents(spark, folder, digest)
+    return found.select("records", "digest", (F.col("largest") > 1_000).alias("too_large"), "overlaps")
+
+
 @query
 def a5_verify_published(spark, sf):
     """Verification of a fresh folder: every shard matches, nothing is undeclared."""
@@ -944,6 +984,22 @@ def a5_import_evidence(spark, sf):
                          "out_of_order", F.size("warnings").cast("long").alias("warnings")).crossJoin(F.broadcast(problems))
 
 
+@query
+def a5_import_faults(spark, sf):
+    """The whole rough table in its own order, faults and all: what was published, and the lines refused by reason."""
+    rough = T.rough_local_events(spark, sf)
+    text = F.to_json(F.struct(*[c for c in rough.columns if c != "line_no"]))
+    e = F.col("line_no")
+    broken = F.when(e % 83 == 0, F.concat(text, F.lit(" x"))).when(e % 97 == 0, F.regexp_replace(text, "^.", '{"extra":1,')).otherwise(text)
+    source, target = shared_folder(spark, "import-lines"), shared_folder(spark, "import-shards")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (rough.withColumn("value", broken).repartitionByRange(parts, "line_no").sortWithinPartitions("line_no")
+     .select("value").write.text(source))
+    total = 2**62
+    record = importer.import_evidence(spark, source, target, b"k" * 32, "dataset-a", "pilot-a", max_quarantined=total, max_out_of_order=total)
+    return record.select("events", "quarantined", "out_of_order", F.inline("reasons"))
+
+
 @query
 def a13_sealed_records(spark, sf):
     """Encrypt, tamper with every 50th record, decrypt."""

@@ -386,6 +386,12 @@ QUERIES["a9_decode_log_records"] = """
 SELECT kind, reason, CAST(count(*) AS BIGINT) AS n FROM (
   SELECT 'decision' AS kind, coalesce(why, 'valid') AS reason FROM v_log
   UNION ALL SELECT 'outcome', coalesce(why, 'valid') FROM v_logout) GROUP BY 1, 2"""
+QUERIES["a9_split_log_records"] = """
+SELECT part, reason, endpoint_class, CAST(count(*) AS BIGINT) AS n, min(rec) AS first_us, max(rec) AS last_us FROM (
+  SELECT CASE WHEN why IS NULL THEN 'decision' ELSE 'quarantine-decision' END AS part, why AS reason,
+    CASE WHEN why IS NULL THEN ep END AS endpoint_class, rec FROM v_log
+  UNION ALL SELECT CASE WHEN why IS NULL THEN 'outcome' ELSE 'quarantine-outcome' END, why, CASE WHEN why IS NULL THEN ep END, rec FROM v_logout)
+GROUP BY 1, 2, 3"""
 QUERIES["a10_validate_outcomes"] = f"""
 SELECT CASE WHEN did IS NULL THEN 'id_or_endpoint'
   WHEN (outcome, p2, conf) NOT IN ({', '.join(str(t) for t in V.OUTCOME_TRIPLES)}) THEN 'triple'
@@ -399,6 +405,7 @@ SELECT DISTINCT sid AS session_id, {b64url(hmac_static(b'log-key-for-derived-tab
 FROM v_req"""
 QUERIES["a14_apply_retention"] = """
 SELECT did AS decision_id, copy, rec AS recorded_us FROM v_dec WHERE rec >= (SELECT max(rec) FROM v_dec) - 86400000000"""
+QUERIES["a14_retention_table"] = QUERIES["a14_apply_retention"]
 QUERIES["a16_latest_valid_report"] = """
 SELECT sid AS session_id, arg_max(e, struct_pack(us, e)) FILTER (WHERE e % 4 <> 0) AS report,
   max(us) FILTER (WHERE e % 4 <> 0) AS report_us, max(us) AS attempted_us,
@@ -1209,6 +1216,14 @@ QUERIES["a1_read_evidence_jsonl"] = """
 SELECT CASE WHEN e % 83 = 0 THEN 'invalid_json' WHEN e % 89 = 0 THEN 'duplicate_key' WHEN e % 97 = 0 THEN 'unknown_field'
   ELSE coalesce(why, 'valid') END AS reason, CAST(count(*) AS BIGINT) AS n FROM v_local_bad GROUP BY 1"""
 QUERIES["a4_publish_evidence"] = "SELECT CAST(count(*) AS BIGINT) AS events, min(us) AS first_us, max(us) AS last_us FROM v_local"
+QUERIES["a4_shard_contents"] = """
+SELECT CAST(count(*) AS BIGINT) AS records, CAST(sum(('0x' || substr(sha256(concat_ws('|', e, us, coalesce(subj, ''), coalesce(sess, ''), ep)), 1, 15))::BIGINT) AS VARCHAR) AS digest,
+  false AS too_large, CAST(0 AS BIGINT) AS overlaps FROM v_local"""
+QUERIES["a5_import_faults"] = """
+WITH lines AS (SELECT e, us // 1000000 AS s, CASE WHEN e % 83 = 0 THEN 'invalid_json' WHEN e % 97 = 0 THEN 'unknown_field' ELSE why END AS reason FROM v_local_bad),
+late AS (SELECT count(*) AS n FROM (SELECT s, lag(s) OVER (ORDER BY e) AS p FROM lines WHERE reason IS NULL) WHERE s < p)
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM lines WHERE reason IS NULL) AS events, (SELECT CAST(count(*) AS BIGINT) FROM lines WHERE reason IS NOT NULL) AS quarantined,
+  (SELECT CAST(n AS BIGINT) FROM late) AS out_of_order, reason, CAST(count(*) AS BIGINT) AS n FROM lines WHERE reason IS NOT NULL GROUP BY reason"""
 QUERIES["a5_verify_published"] = "SELECT CAST(count(*) AS BIGINT) AS records, CAST(0 AS BIGINT) AS problems FROM v_local"
 QUERIES["a5_import_evidence"] = f"""
 SELECT 'dataset-a' AS dataset, 'pilot-a' AS pilot, '{domain_id(domain_key(b"k" * 32, "dataset-a", "pilot-a"))}' AS domain_id,

@@ -13,7 +13,8 @@ from . import jsonl, shards
 
 IMPORT = "_import"
 RECORD = ("dataset string, pilot string, domain_id string, schema_version string, events long, shards long, bytes long, "
-          "first_us long, last_us long, quarantined long, out_of_order long, warnings array<string>")
+          "first_us long, last_us long, quarantined long, out_of_order long, warnings array<string>, "
+          "reasons array<struct<reason:string,n:long>>")
 #: What a published folder may hold besides its shards.
 OWN_FILES = r"(^|/)(_manifest|_import)/part-[^/]*\.json$|/_SUCCESS$|\.crc$"
 
@@ -24,10 +25,10 @@ class ImportRefused(ValueError):
 
 def import_evidence(spark: SparkSession, source: str, target: str, key: bytes, dataset: str, pilot: str,
                     version: str = contracts.LOCAL_INPUT_VERSION, max_quarantined: int = 0, max_out_of_order: int = 0,
-                    shard_size: int = 1_000_000) -> DataFrame:
+                    shard_size: int = 1_000_000, max_by_reason: dict[str, int] | None = None) -> DataFrame:
     """Read `source` (JSON Lines) and publish it under `target`; returns the import's record.
 
-    It fails closed: with more than `max_quarantined` bad lines or `max_out_of_order` lines
+    It fails closed: with more than `max_quarantined` bad lines, more of a reason than `max_by_reason` allows it, or `max_out_of_order` lines
     older than the line before, `ImportRefused` is raised before anything is written to
     `target`. Shards hold daily pseudonyms only. The record is written last, so a folder
     without it is not complete. Tolerated faults are named as warnings.
@@ -38,6 +39,9 @@ def import_evidence(spark: SparkSession, source: str, target: str, key: bytes, d
     quarantined = sum(by_reason.values())
     if quarantined > max_quarantined:
         raise ImportRefused(f"{quarantined} lines break the contract: {json.dumps(by_reason, sort_keys=True)}")
+    above = {r: by_reason[r] for r, most in (max_by_reason or {}).items() if by_reason.get(r, 0) > most}
+    if above:
+        raise ImportRefused(f"more lines than a reason may have: {json.dumps(above, sort_keys=True)}")
     out_of_order = contracts.check_chronology(valid, "observed_at", "line_no", "source_split").count()
     if out_of_order > max_out_of_order:
         raise ImportRefused(f"{out_of_order} lines are older than the line before")
@@ -49,7 +53,9 @@ def import_evidence(spark: SparkSession, source: str, target: str, key: bytes, d
         F.lit(pseudonym.domain_id(pseudonym.domain_key(key, dataset, pilot))).alias("domain_id"),
         F.lit(version).alias("schema_version"), "events", "shards", "bytes", "first_us", "last_us",
         F.lit(quarantined).cast("long").alias("quarantined"), F.lit(out_of_order).cast("long").alias("out_of_order"),
-        F.array(*[F.lit(w) for w in warnings]).cast("array<string>").alias("warnings"))
+        F.array(*[F.lit(w) for w in warnings]).cast("array<string>").alias("warnings"),
+        F.array(*[F.struct(F.lit(r).alias("reason"), F.lit(k).cast("long").alias("n")) for r, k in sorted(by_reason.items())])
+        .cast("array<struct<reason:string,n:long>>").alias("reasons"))
     record.coalesce(1).write.mode("errorifexists").json(f"{target}/{IMPORT}")
     return read_import(spark, target)
 

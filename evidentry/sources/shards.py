@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import micros
@@ -11,6 +11,27 @@ MANIFEST = "_manifest"
 DATA = "shards"
 
 
+def row_digest(*columns: Column) -> Column:
+    """60 bits of SHA-256 over the given texts, parted by `|`; NULL counts as empty. Their sum does not depend on the order."""
+    text = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
+    return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
+
+
+def shard_contents(spark: SparkSession, path: str, digest: Column, time: str = "observed_at") -> DataFrame:
+    """One row: what the published rows are, whatever the files: records, sum of `digest`, the largest shard, and how many
+    shards begin before the one that comes before them ends."""
+    us = micros(time)
+    rows = spark.read.option("pathGlobFilter", "*.parquet").parquet(f"{path}/{DATA}").select(
+        F.col("_metadata.file_name").alias("file"), us.alias("us"), digest.alias("d"))
+    per_file = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("d").cast("decimal(38,0)")).alias("d"),
+                                        F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+    # one row a shard
+    before = F.lag("last_us").over(Window.orderBy("first_us", "last_us", "file"))
+    return per_file.withColumn("overlaps", (F.col("first_us") < before).cast("long")).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("records"), F.sum("d").cast("string").alias("digest"),
+        F.coalesce(F.max("n"), F.lit(0)).cast("long").alias("largest"), F.coalesce(F.sum("overlaps"), F.lit(0)).alias("overlaps"))
+
+
 def publish_evidence(df: DataFrame, path: str, shard_size: int = 1_000_000, time: str = "observed_at",
                      line: str = "line_no") -> DataFrame:
     """Write `df` as time-ordered shards of at most `shard_size` records; return the manifest.
