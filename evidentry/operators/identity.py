@@ -281,15 +281,40 @@ def audit_single_use(df: DataFrame, well_formed: Column, signed: Column, nonce:
                      used_us: str = "used_us", line: str = "line_no",
                      skew_us: int = 30 * V.MICROS, for_ever: bool = False, few: int = FEW,
                      rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    """Add `use`: malformed, bad_signature, expired, replayed or accepted.
+    """Add `use`: malformed, bad_signature, expired, replayed or accepted. A use with a NULL nonce is malformed."""
+    fault = proof_fault(well_formed & F.col(nonce).isNotNull(), signed, issued_us, expires_us, used_us, skew_us)
+    return single_use(df, fault, nonce, expires_us, used_us, line, for_ever, few, rows_per_chunk)
+
+
+def audit_edge_envelopes(df: DataFrame, key: bytes, edge: str = "edge", max_age_us: int = 30 * V.MICROS, skew_us: int = 5 * V.MICROS,
+                         few: int = FEW, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+    """Add `use` to signed edge envelopes (version, nonce, issued_us, payload, signature, `edge` signals, used_us, line_no).
+
+    In this order: bad_signature; malformed (version 1, a nonce of 16 bytes in base64url, signals within their contract
+    that say something); expired (older than `max_age_us` or `skew_us` ahead); replayed while the nonce is taken,
+    that is until its age and the skew have passed; accepted.
+    """
+    signed = F.col("signature") == edge_signature("payload", key)
+    formed = ((F.col("version") == 1) & (F.col("issued_us") >= 0) & F.col("nonce").rlike("^[A-Za-z0-9_-]{21}[AQgw]$")
+              & valid_edge_signals(edge))
+    age = F.col("used_us") - F.col("issued_us")
+    fault = (F.when(~F.coalesce(signed, F.lit(False)), F.lit("bad_signature"))
+             .when(~F.coalesce(formed, F.lit(False)), F.lit("malformed"))
+             .when(~F.coalesce(age.between(-skew_us, max_age_us), F.lit(False)), F.lit("expired")))
+    kept = df.withColumn("_until", F.col("issued_us") + max_age_us + skew_us)
+    return single_use(kept, fault, "nonce", "_until", "used_us", "line_no", few=few, rows_per_chunk=rows_per_chunk).drop("_until")
+
+
+def single_use(df: DataFrame, fault: Column, nonce: str, expires_us: str, used_us: str, line: str, for_ever: bool = False,
+               few: int = FEW, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+    """Add `use`: the `fault` of a use where it has one, else replayed or accepted.
 
     An accepted use takes its nonce until its expiry, or `for_ever`. The first valid use of a
     nonce is found by a map-side combined minimum and marked by an equi-join on (nonce,
     position), so a nonce replayed a billion times neither sorts nor joins in one task. Only
     nonces with valid uses after an expiry need more, a greedy chain: they are folded, and those with more than
-    `few` uses go by a jump table that is cut by rank. A use with a NULL nonce is malformed.
+    `few` uses go by a jump table that is cut by rank.
     """
-    fault = proof_fault(well_formed & F.col(nonce).isNotNull(), signed, issued_us, expires_us, used_us, skew_us)
     df = df.withColumn("_state", fault)
     valid = df.filter("_state IS NULL").select(
         F.col(nonce).alias("nonce"), F.col(used_us).alias("used"), F.col(expires_us).alias("expires"), F.col(line).alias("line"))

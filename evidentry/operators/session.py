@@ -200,11 +200,18 @@ PENDING_TTL_US = 5 * MINUTE_US
 MAX_HITS = 100
 
 
-def valid_decoy_issue(max_ttl_us: int = MAX_DECOY_TTL_US, min_ttl_us: int = MIN_DECOY_TTL_US) -> Column:
-    """Issue rules: session id, endpoint, surface, and a lifetime within bounds."""
+def decoy_issue_reason(max_ttl_us: int = MAX_DECOY_TTL_US, min_ttl_us: int = MIN_DECOY_TTL_US) -> Column:
+    """Why a capability must not be issued, else NULL: session id, endpoint, surface, lifetime within bounds."""
     ttl = micros("expires_at") - micros("issued_at")
-    return F.coalesce(F.octet_length("session_id").between(8, 128) & F.col("endpoint_class").isin(*ENDPOINT_CLASSES)
-                      & F.col("surface").isin(*SURFACES) & ttl.between(min_ttl_us, max_ttl_us), F.lit(False))
+    rules = ((F.octet_length("session_id").between(8, 128), "session_id"), (F.col("endpoint_class").isin(*ENDPOINT_CLASSES), "endpoint_class"),
+             (F.col("surface").isin(*SURFACES), "surface"), (ttl.between(min_ttl_us, max_ttl_us), "lifetime"))
+    return F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for ok, name in rules])
+
+
+def issue_decoys(wanted: DataFrame, max_ttl_us: int = MAX_DECOY_TTL_US, min_ttl_us: int = MIN_DECOY_TTL_US) -> tuple[DataFrame, DataFrame]:
+    """(issued, refused with `reason`): only issued capabilities can be redeemed."""
+    marked = wanted.withColumn("reason", decoy_issue_reason(max_ttl_us, min_ttl_us))
+    return marked.filter("reason IS NULL").drop("reason"), marked.filter("reason IS NOT NULL")
 
 
 def redeem_decoys(issued: DataFrame, hits: DataFrame) -> DataFrame:

@@ -331,6 +331,13 @@ def c6_redeem_decoys(spark, sf):
         "capability", micros("hit_at").alias("hit_us"), "hit_line_no", "interaction")
 
 
+@query
+def c6_issue_decoys(spark, sf):
+    """Capabilities that may be issued, and why the others must not."""
+    issued, refused = S.issue_decoys(T.wanted_decoys(spark, sf))
+    return issued.select("capability", F.lit(None).cast("string").alias("reason")).unionByName(refused.select("capability", "reason"))
+
+
 @query
 def c7_attach_decoy_hits(spark, sf):
     redeemed = S.redeem_decoys(T.decoy_issued(spark, sf), T.decoy_hits(spark, sf))
@@ -399,6 +406,11 @@ def c23_merge_signals(spark, sf):
         F.col("observations.policy_alert").alias("policy_alert"))
 
 
+@query
+def c23_edge_envelopes(spark, sf):
+    return I.audit_edge_envelopes(T.edge_envelopes(spark, sf), T.LOG_KEY).select("line_no", "use")
+
+
 @query
 def c24_audit_single_use(spark, sf):
     df = T.proofs(spark, sf)
@@ -837,6 +849,23 @@ def d8_review_gates_enforce(spark, sf):
     return _gates(spark, sf, "enforce").withColumn("position", F.col("position").cast("long"))
 
 
+def _proposal(spark, sf, stage):
+    d, o, _, _, slices = _review_parts(spark, sf)
+    endpoint = G.recommend_endpoint(G.endpoint_summary(d, o), slices, min_labels=2)
+    out = G.review_proposal(_gates(spark, sf, stage), endpoint, stage)
+    return out.withColumns({c: F.col(c).cast("long") for c in ("basis_points", "duration_seconds")})
+
+
+@query
+def d8_proposal_canary(spark, sf):
+    return _proposal(spark, sf, "canary")
+
+
+@query
+def d8_proposal_enforce(spark, sf):
+    return _proposal(spark, sf, "enforce")
+
+
 # --- H: telemetry ------------------------------------------------------------------------------
 
 @query

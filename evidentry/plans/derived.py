@@ -440,6 +440,34 @@ def proofs_of(source: DataFrame) -> DataFrame:
                          .otherwise(signature("payload", LOG_KEY)))
 
 
+def edge_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed edge signals with forged, old, early, wrong and repeated envelopes; many say nothing."""
+    from ..functions.expr import base64url
+    from ..operators.identity import edge_signature
+
+    e = F.col("line_no")
+    us = micros("observed_at")
+    issued = us - (e % 7) * V.MICROS + F.when(e % 41 == 0, 60 * V.MICROS).when(e % 31 == 0, -600 * V.MICROS).otherwise(0)
+    df = edge_signals(spark, sf_dir).select(
+        "line_no", "edge", F.when(e % 29 == 0, 2).otherwise(1).alias("version"),
+        F.when(e % 37 == 0, F.lit("short")).otherwise(base64url(F.unhex(F.md5(div(e, 2).cast("string"))))).alias("nonce"),
+        issued.alias("issued_us"), us.alias("used_us"))
+    payload = F.concat_ws("|", *[F.col(c).cast("string") for c in ("version", "nonce", "issued_us")], F.to_json("edge"))
+    return df.withColumn("payload", payload).withColumn(
+        "signature", F.when(e % 17 == 0, F.lit("forged")).otherwise(edge_signature("payload", LOG_KEY)))
+
+
+def wanted_decoys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoy capabilities that are asked for, each rule broken by some."""
+    e, u = F.col("event_id"), F.col("user_id")
+    length = F.when(e % 59 == 0, 1).when(e % 61 == 0, 3600).otherwise(60 + e % 200)
+    return events(spark, sf_dir).select(
+        e.alias("capability"), F.when(e % 43 == 0, F.lit("short")).otherwise(F.concat(F.lit("session-"), u.cast("string"))).alias("session_id"),
+        F.when(e % 47 == 0, F.lit("basement")).otherwise(pick(V.ENDPOINT_CLASSES, e % 9)).alias("endpoint_class"),
+        F.when(e % 53 == 0, F.lit("banner")).when(e % 97 != 0, pick(("link", "form", "api"), e % 3)).alias("surface"),
+        F.timestamp_micros("us").alias("issued_at"), F.timestamp_micros(F.col("us") + length * V.MICROS).alias("expires_at"))
+
+
 def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Updates of seven versioned documents."""
     e = F.col("event_id")

@@ -662,6 +662,18 @@ FROM (SELECT *, (verdict <> 'unknown' AND v2 <> 'unknown' AND verdict <> v2) OR
   FROM (SELECT *, CASE WHEN e % 3 = 0 THEN 'passed' ELSE 'unknown' END AS v2, CASE WHEN e % 5 = 0 THEN 'anomalous' ELSE 'unknown' END AS f2,
     CASE WHEN e % 5 = 0 THEN 'tls' ELSE 'unknown' END AS m2, CASE WHEN e % 7 = 0 THEN 'high_risk' ELSE 'unknown' END AS r2,
     CASE WHEN e % 11 = 0 THEN 'hosting' ELSE 'unknown' END AS n2 FROM v_req))"""
+QUERIES["c6_issue_decoys"] = f"""
+SELECT e AS capability, CASE WHEN e % 43 = 0 OR length('session-' || u::VARCHAR) < 8 THEN 'session_id' WHEN e % 47 = 0 THEN 'endpoint_class'
+  WHEN e % 53 = 0 OR e % 97 = 0 THEN 'surface' WHEN e % 59 = 0 OR e % 61 = 0 THEN 'lifetime' END AS reason FROM v_ev"""
+# Two uses have a nonce; the second is free where the first took nothing or is past.
+QUERIES["c23_edge_envelopes"] = """
+WITH x AS (SELECT e, us AS used, us - (e % 7) * 1000000 + CASE WHEN e % 41 = 0 THEN 60000000 WHEN e % 31 = 0 THEN -600000000 ELSE 0 END AS issued FROM v_ev),
+f AS (SELECT *, CASE WHEN e % 17 = 0 THEN 'bad_signature'
+  WHEN e % 29 = 0 OR e % 37 = 0 OR NOT (e % 3 = 0 OR e % 5 = 0 OR e % 7 = 0 OR e % 11 = 0 OR e % 4 = 0) THEN 'malformed'
+  WHEN used - issued NOT BETWEEN -5000000 AND 30000000 THEN 'expired' END AS fault FROM x),
+g AS (SELECT *, row_number() OVER w AS k, lag(issued) OVER w AS p FROM f WHERE fault IS NULL WINDOW w AS (PARTITION BY e // 2 ORDER BY used, e))
+SELECT e AS line_no, fault AS use FROM f WHERE fault IS NOT NULL
+UNION ALL SELECT e, CASE WHEN k = 1 OR p + 35000000 <= used THEN 'accepted' ELSE 'replayed' END FROM g"""
 QUERIES["c24_audit_single_use"] = """
 SELECT e AS line_no, CASE WHEN bad IS NOT NULL THEN bad
     WHEN coalesce(lag(exp) OVER (PARTITION BY e // 2, bad IS NULL ORDER BY us, e), 0) <= us THEN 'accepted' ELSE 'replayed' END AS use
@@ -1129,6 +1141,12 @@ def _gate_sql(gates) -> str:
 
 QUERIES["d8_review_gates_canary"] = _gate_sql(_gates)
 QUERIES["d8_review_gates_enforce"] = _gate_sql(_gates + _more)
+for _stage, _points, _seconds in (("canary", 100, 86_400), ("enforce", 10_000, 43_200)):
+    QUERIES[f"d8_proposal_{_stage}"] = f"""
+SELECT CASE WHEN ok THEN 'review_candidate' ELSE 'hold' END AS state,
+  CASE WHEN ok THEN (SELECT any_value(endpoint_class) FROM v_best) END AS endpoint_class, CASE WHEN ok THEN 'challenge' END AS max_action,
+  CAST(CASE WHEN ok THEN {_points} END AS BIGINT) AS basis_points, CAST(CASE WHEN ok THEN {_seconds} END AS BIGINT) AS duration_seconds,
+  false AS automatic_activation FROM (SELECT bool_and(status = 'pass') AS ok FROM ({QUERIES[f"d8_review_gates_{_stage}"]}))"""
 
 # --- H: telemetry -------------------------------------------------------------------------------
 QUERIES["h1_traffic_counters"] = f"SELECT {cnt('true')} AS decisions, {_actions} FROM v_dec"
