@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab as V
-from ..functions.expr import (count_if, items, micros, present, proportion,
+from ..functions.expr import (count_if, items, micros, optional_class, present, proportion,
                               proportion_difference, rates, same_rates, wilson)
 from .linkage import COUNTS
 
@@ -334,6 +334,83 @@ def check_analysis_report(summary: DataFrame, outcome: DataFrame, endpoints: Dat
         F.struct(F.lit(n).alias("check_name"), ok.alias("ok")) for n, ok in checks.items()])))
 
 
+def _checks(one: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """(check_name, ok) from one row; a check that cannot be decided has failed."""
+    return one.select(F.inline(F.array(*[
+        F.struct(F.lit(n).alias("check_name"), F.coalesce(ok, F.lit(False)).alias("ok")) for n, ok in checks.items()])))
+
+
+def _every(ok: Column) -> Column:
+    return F.coalesce(F.bool_and(F.coalesce(ok, F.lit(False))), F.lit(True))
+
+
+def check_readiness(summary: DataFrame, linkage: DataFrame, slices: DataFrame, ready: DataFrame, recommended: DataFrame,
+                    cfg: AnalysisConfig = AnalysisConfig()) -> DataFrame:
+    """(check_name, ok): state, action, reasons and recommendations again from the other published tables.
+
+    A report's own words are never trusted: what `readiness` and `recommendations` would say about the
+    published counts must be what the report says, row by row.
+    """
+    overall = slices.filter("evaluation_cohort = 'all'").agg(*[F.coalesce(F.sum(x), F.lit(0)).cast("long").alias(x) for x in COUNTS])
+    metrics = report_metrics(summary, linkage, overall)
+    fields = ("position", "code", "priority", "disposition", "metric", "observed", "threshold", "unit")
+
+    def packed(df: DataFrame, name: str) -> DataFrame:
+        # eight rows at most
+        rounded = [F.round(c, 9).alias(c) if c in ("observed", "threshold") else F.col(c).cast("string").alias(c) for c in fields]
+        return df.agg(F.sort_array(F.collect_list(F.struct(*rounded))).alias(name))
+
+    def state(df: DataFrame, p: str) -> DataFrame:
+        one = df.select(*[F.struct("state", "operator_action", F.concat_ws(",", "reasons").alias("reasons"), "automatic_enforcement").alias("r")])
+        return one.agg(F.count(F.lit(1)).alias(f"{p}_rows"), F.max("r").alias(f"{p}_state"))
+    one = (state(ready, "said").crossJoin(state(readiness(metrics, cfg), "found"))
+           .crossJoin(packed(recommended, "said_rows_of")).crossJoin(packed(recommendations(metrics, cfg), "found_rows_of")))
+    said, found = F.col("said_state"), F.col("found_state")
+    return _checks(one, {
+        "readiness_is_one_row": F.col("said_rows") == 1, "state_recomputed": said.state.eqNullSafe(found.state),
+        "action_recomputed": said.operator_action.eqNullSafe(found.operator_action),
+        "reasons_recomputed": said.reasons.eqNullSafe(found.reasons), "never_automatic": ~said.automatic_enforcement,
+        "recommendations_recomputed": F.col("said_rows_of").eqNullSafe(F.col("found_rows_of"))})
+
+
+def check_decision_holdout(holdout: DataFrame, linkage: DataFrame, ready: DataFrame, min_human: int = 100, min_abuse: int = 100) -> DataFrame:
+    """(check_name, ok) over the published tables of a decision holdout.
+
+    Partitions must add up to the linkage, parts to their partition, slices to the overall row, and the
+    readiness must follow from the overall rows.
+    """
+    c = F.col
+    add = lambda *names: sum((c(n) for n in names), F.lit(0))
+    whole, parts = holdout.filter("endpoint_class = 'all'"), holdout.filter("endpoint_class <> 'all'")
+    sums = whole.agg(F.count(F.lit(1)).alias("n_whole"), F.count_distinct("partition").alias("n_partitions"), *[F.sum(x).alias(f"w_{x}") for x in COUNTS],
+                     _every(c("partition").isin("baseline", "holdout")).alias("known"))
+    rows = holdout.agg(
+        _every(add("true_positive", "false_positive", "true_negative", "false_negative") == c("confirmed_labels")).alias("confusion"),
+        _every((c("confirmed_human") == add("false_positive", "true_negative")) & (c("confirmed_abuse") == add("true_positive", "false_negative"))).alias("confirmed"),
+        _every((c("unlabeled_decisions") == c("decisions") - c("confirmed_labels") - c("ambiguous_ground_truth")) & (c("unlabeled_decisions") >= 0)).alias("unlabeled"),
+        _every(add("challenge_passed", "challenge_failed", "challenge_abandoned", "fallback_used", "unresolved_mature_challenges",
+                   "ambiguous_challenge_outcomes") == c("mature_challenges")).alias("challenges"),
+        _every(F.least(*COUNTS) >= 0).alias("counts"))
+    rolled = parts.groupBy("partition").agg(*[F.sum(x).alias(f"s_{x}") for x in COUNTS])
+    rolled = whole.join(rolled, "partition", "left").agg(_every(sum(
+        (F.when(c(x) == F.coalesce(c(f"s_{x}"), F.lit(0)), 0).otherwise(1) for x in COUNTS), F.lit(0)) == 0).alias("rolled"))
+    keys = parts.groupBy("partition", "endpoint_class", "evaluation_cohort").agg(F.count(F.lit(1)).alias("n")).agg(_every(c("n") == 1).alias("distinct"))
+    named = parts.agg(_every(c("endpoint_class").isin(*V.ENDPOINT_CLASSES) & (optional_class("evaluation_cohort") == c("evaluation_cohort"))).alias("named"))
+    found = decision_holdout_readiness(holdout, min_human, min_abuse)
+    say = lambda df, name: df.agg(F.max(F.struct("state", F.concat_ws(",", "reasons").alias("reasons"), "automatic_enforcement")).alias(name))
+    one = (sums.crossJoin(rows).crossJoin(rolled).crossJoin(keys).crossJoin(named).crossJoin(linkage.select([c(x).alias(f"l_{x}") for x in linkage.columns]))
+           .crossJoin(say(ready, "said")).crossJoin(say(found, "found")))
+    return _checks(one, {
+        "two_partitions": (c("n_whole") == 2) & (c("n_partitions") == 2) & c("known"), "counts_not_negative": c("counts"),
+        "decisions_are_eligible": c("w_decisions") == c("l_unique_decision_ids") - c("l_duplicate_decision_ids"),
+        "labels_are_linked": c("w_confirmed_labels") == c("l_confirmed_labels"),
+        "ambiguous_are_linked": c("w_ambiguous_ground_truth") == c("l_ambiguous_ground_truth"),
+        "confusion_sums": c("confusion"), "confirmed_sums": c("confirmed"), "unlabeled_rest": c("unlabeled"), "challenge_sums": c("challenges"),
+        "slices_roll_up": c("rolled"), "slices_distinct": c("distinct"), "slices_named": c("named"),
+        "state_recomputed": c("said.state").eqNullSafe(c("found.state")), "reasons_recomputed": c("said.reasons").eqNullSafe(c("found.reasons")),
+        "never_automatic": ~c("said.automatic_enforcement")})
+
+
 # --- rollout review ------------------------------------------------------------------------
 
 # --- fixed values: review limits -----------------------------------------------------------

@@ -805,6 +805,26 @@ def g19_check_analysis_report(spark, sf):
         G.canary_comparison(d), L.canary_challenge_budget(d, timed, F.col("last_us")), source)
 
 
+@query
+def g19_check_readiness(spark, sf):
+    """State and recommendations of the report, recomputed from its other tables."""
+    d, o = _log(spark, sf)
+    links = _stored_links(d, o)
+    slices = L.evaluation_slices(links.crossJoin(F.broadcast(G.last_time(d, o))), F.col("last_us"))
+    metrics = _metrics(d, o, links)
+    return G.check_readiness(G.decision_summary(d), L.linkage_summary(links, o), slices, G.readiness(metrics), G.recommendations(metrics))
+
+
+@query
+def g19_check_decision_holdout(spark, sf):
+    d, o = _log(spark, sf)
+    links = _stored_links(d, o)
+    middle = d.agg(T.div(F.min(micros("recorded_at")) + F.max(micros("recorded_at")), 2).alias("cutoff_us"))
+    timed = links.crossJoin(F.broadcast(G.last_time(d, o))).crossJoin(F.broadcast(middle))
+    holdout = L.decision_holdout(timed, F.col("cutoff_us"), F.col("last_us"))
+    return G.check_decision_holdout(holdout, L.linkage_summary(links, o), G.decision_holdout_readiness(holdout, 10, 10), 10, 10)
+
+
 # --- D6..D8: rollout review -------------------------------------------------------------------
 
 @query

@@ -1083,6 +1083,15 @@ QUERIES["g19_check_analysis_report"] = "SELECT unnest(" + lst((
     "intervals_contain_rates", "rates_recomputed", "canary_sum", "budget_per_comparison", "source_counts")) + """) AS check_name,
   (SELECT unique_decision_ids + duplicate_decision_records = (SELECT count(*) FROM v_dec) FROM v_lsum) AS ok"""
 
+QUERIES["g19_check_readiness"] = "SELECT unnest(" + lst((
+    "readiness_is_one_row", "state_recomputed", "action_recomputed", "reasons_recomputed", "never_automatic", "recommendations_recomputed")) + """) AS check_name,
+  (SELECT unique_decision_ids + duplicate_decision_records = (SELECT count(*) FROM v_dec) FROM v_lsum) AS ok"""
+QUERIES["g19_check_decision_holdout"] = "SELECT unnest(" + lst((
+    "two_partitions", "counts_not_negative", "decisions_are_eligible", "labels_are_linked", "ambiguous_are_linked", "confusion_sums", "confirmed_sums",
+    "unlabeled_rest", "challenge_sums", "slices_roll_up", "slices_distinct", "slices_named", "state_recomputed", "reasons_recomputed",
+    "never_automatic")) + """) AS check_name,
+  (SELECT unique_decision_ids + duplicate_decision_records = (SELECT count(*) FROM v_dec) FROM v_lsum) AS ok"""
+
 # --- D6..D8 -----------------------------------------------------------------------------------
 
 
