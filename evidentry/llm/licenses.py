@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 UNKNOWN, NONE = "unknown", "none"
 GRAMS = (1, 2, 3)
-SPARSITY = 0.0005
+SPARSITY = 0.0002
 SIMILARITY = 0.6         # share of the paragraph's or the notice's word pairs that must agree
 VARIATIONS = 12          # of every notice
 
@@ -40,14 +40,16 @@ NOTICES: dict[str, tuple[str, ...]] = {
                    "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in "
                    "compliance with the License.", "Released under the Apache 2.0 license."),
     "gpl": ("This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-or-later",
+            "SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-2.0-or-later",
             "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
             "License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
             "Licensed under the GPL version 2.", "Released under the GNU GPL v3 license."),
     "lgpl": ("Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-only",
+             "SPDX-License-Identifier: LGPL-3.0-or-later",
              "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License."),
     "agpl": ("Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only",
              "Released under the terms of the GNU Affero General Public License."),
-    "bsd": ("Released under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-2-Clause", "Licensed under the BSD license.",
+    "bsd": ("Released under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-2-Clause", "SPDX-License-Identifier: BSD-3-Clause", "Licensed under the BSD license.",
             "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
             "following conditions are met"),
     "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0",
@@ -57,6 +59,10 @@ NOTICES: dict[str, tuple[str, ...]] = {
                  "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "cc-by-nc": ("Licensed under CC BY-NC 4.0.",
                  "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    "isc": ("Licensed under the ISC License.", "The ISC License applies to this text.", "SPDX-License-Identifier: ISC",
+            "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    "bsl-1.0": ("Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0",
+                "Released under the Boost Software License 1.0."),
     "cc0": ("Released under the CC0 1.0 Universal Public Domain Dedication license.", "SPDX-License-Identifier: CC0-1.0"),
     "proprietary": ("All rights reserved.", "Copyright the authors. All rights reserved.",
                     "This document is proprietary and confidential; all rights reserved, no part may be copied without a license."),
@@ -64,16 +70,23 @@ NOTICES: dict[str, tuple[str, ...]] = {
 # Licences of no family, and sentences that use licence terms but license nothing.
 OTHERS = ("Licensed under the {} License.", "Released under the {} Public License, version {}.", "SPDX-License-Identifier: {}",
           "Distributed under the terms of the {} license agreement.", "This work is licensed under the {} licence.",
-          "Use of this text is subject to the {} Open License.")
-OTHER_NAMES = ("Foobar", "Example", "Artistic", "Zlib", "Community", "Eclipse", "Beerware", "Academic", "Vendor", "Sample")
+          "Use of this text is subject to the {} Open License.", "Distributed under the {} License, Version {}.",
+          "The {} License applies to this text.", "Covered by the {} Software License.", "Available under the {} License {}.0.",
+          "Licensed under the terms of the {} license.", "See the {} license for terms.")
+OTHER_NAMES = ("Foobar", "Example", "Artistic", "Zlib", "Community", "Eclipse", "Beerware", "Academic", "Vendor", "Sample",
+               "Wombat", "Northwind", "Garden", "Harbour", "Python", "Perl", "Openfont", "Unicode", "Lakeside", "Copper",
+               "Meadow", "Falcon", "Granite", "Orchard", "Postgres", "Ruby", "Delta", "Summit", "Willow", "Ember")
 NOT_LICENCES = ("She renewed her driver license at the office.", "The copyright debate went on for years.",
                 "They license new doctors every spring.", "Seats are reserved for guests.", "A fishing licence costs ten euros.",
                 "The apache helicopter landed.", "The warranty of the car ran out.", "Tables can be reserved by phone.",
                 "The pub lost its license last year.", "Her driver license expired in May.",
                 "He got his hunting license.", "You need a license to drive a truck.", "She got a new driver license.",
-                "He wrote about copyright and the press.")
+                "He wrote about copyright and the press.", "The license plates are made of metal.", "A new plate with the old license number.",
+                "She renewed a hunting licence in autumn.", "The licensed plumber came late.", "The bar has no licence to sell wine.",
+                "The warranty covers two years.", "He asked for permission to leave.", "The creative team met at noon.",
+                "House of Commons members voted on it.", "A gnu crossed the river.")
 TERMS = ("licen[sc]e[ds]?", "sublicense", "licensing", "copyright", "copyleft", "apache(?:-[0-9.]+)?", "gnu", "a?gpl(?:-[a-z0-9.-]+)?",
-         "lgpl(?:-[a-z0-9.-]+)?", "bsd(?:-[a-z0-9-]+)?", "mozilla", "mpl(?:-[0-9.]+)?", "creative", "commons", "cc", "cc0(?:-[0-9.]+)?",
+         "lgpl(?:-[a-z0-9.-]+)?", "bsd(?:-[a-z0-9-]+)?", "isc", "bsl(?:-[0-9.]+)?", "mozilla", "mpl(?:-[0-9.]+)?", "creative", "commons", "cc", "cc0(?:-[0-9.]+)?",
          "cc-by(?:-[a-z0-9.-]+)?", "spdx(?:-[a-z-]+)?", "reserved", "redistributions?", "redistribute", "proprietary", "warranty",
          "permission", "dedication")
 TERM = "(?:" + "|".join(TERMS) + ")"
@@ -118,9 +131,10 @@ def examples() -> list[tuple[str, str, int]]:
     for family, notices in NOTICES.items():
         for notice in notices:
             vary(notice, family)
+    # names are kept out whole, so the bound is set by licences that were never seen
     for i, name in enumerate(OTHER_NAMES):
-        for j, form in enumerate(OTHERS):
-            out.append((form.format(name, i % 3 + 1), UNKNOWN, int((i + j) % 4 == 3)))
+        for form in OTHERS:
+            out.append((form.format(name, i % 3 + 1), UNKNOWN, int(i % 4 == 3)))
     for text in NOT_LICENCES:
         vary(text, NONE)
     out += [("", NONE, 0)] * 40

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import partitions, stored
 from .components import components
 
 SHINGLE, SEED, BUDGET = 4, 42, 4
@@ -229,7 +229,9 @@ def trie_links(fingerprints: DataFrame, leaves_per_task: int = LEAVES_PER_TASK)
         level += step
     # one row for each node pair, of at most `leaves_per_task` leaves; pairs with an empty side hold no link
     left = F.expr("shiftrightunsigned(fp, 64 - level)") == F.col("node")
-    pairs = ready.groupBy("start", "level", "xor", "node").agg(
+    # little data but much work: dealt to so many tasks explicitly, or they would be merged by their bytes
+    dealt = ready.repartition(partitions(fingerprints.sparkSession), "start", "level", "xor", "node")
+    pairs = dealt.groupBy("start", "level", "xor", "node").agg(
         F.collect_list("fp").alias("leaves"), F.count_if(left).alias("left"))
     pairs = pairs.where("IF(xor = 0, size(leaves) > 1, left > 0 AND left < size(leaves))")
     return pairs.select("start", "level", "xor", "node", "leaves").mapInArrow(_walk_nodes, "a long, b long")

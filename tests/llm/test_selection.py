@@ -142,6 +142,9 @@ def test_licences(spark, odd):
     scanner = licenses.train(spark)
     lines = {"Released under the MIT License.": "mit", "© 2021 Foo. Licensed under the Apache License, Version 2.0, see NOTICE.": "apache-2.0",
              "This work is licensed under the GNU General Public License, version 3.": "gpl", "Licensed under CC BY-NC 4.0.": "cc-by-nc",
+             "Distributed under the Boost Software License, Version 1.0.": "bsl-1.0", "The ISC License applies to this text.": "isc",
+             "SPDX-License-Identifier: GPL-2.0-only": "gpl", "Distributed under the terms of the Zephyr license.": "unknown",
+             "A boost for the economy.": None,
              "ALL RIGHTS RESERVED.": "proprietary", "Licensed under the Quux Wombat License.": "unknown",
              "She got her driver license.": None, "mit der Zeit": None, "The seats are reserved for us.": None}
     texts = [(i, f"first\n{line}\nlast") for i, line in enumerate(lines)] + [(90, "x\n" * 50_000 + "Licensed under CC BY 4.0.\n" + "y\n" * 50_000)]
