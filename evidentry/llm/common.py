@@ -29,6 +29,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def frequent(counts: DataFrame, n: str = "n") -> DataFrame:
+    """Rows of `counts` (one per key) whose number `n` is over a quarter of a shuffle task's even share.
+
+    There are fewer than four of them per shuffle partition, whatever the data, so they can be broadcast.
+    """
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return counts.where(F.col(n) > total // (4 * partitions(counts.sparkSession)))
+
+
 def words_of(text: Column) -> Column:
     """Number of words; null and empty texts have none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

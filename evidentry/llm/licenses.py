@@ -1,13 +1,14 @@
 """Licence scan: a trained paragraph classifier, confirmed by comparison with templates.
 
-Paragraphs are the lines of a text. Features are word n-grams that hold at least one licence
-term; a sparse (L1) softmax regression maps them to licence families, to `unknown` (a
+Paragraphs are runs of lines that were wrapped: a line goes on in the next one if it is long
+enough to have been wrapped, does not end a sentence and is no SPDX tag; every other line is a
+paragraph of its own. Features are word n-grams that hold at least one licence term; a sparse (L1) softmax regression maps them to licence families, to `unknown` (a
 licence, but none of the families) or to `none`. It is trained on the notices below and on
 variations of them made by rule; the probability from which a family is believed is
 calibrated on variations that were kept out. A believed family must then share enough word
 pairs with one of its notices, or the paragraph is `unknown` as well.
 
-Training and scoring run in Spark's JVM; lines without a licence term have no feature and
+Training and scoring run in Spark's JVM; paragraphs without a licence term have no feature and
 are never classified, which loses nothing, as their score is that of an empty vector: none.
 """
 
@@ -91,6 +92,12 @@ TERMS = ("licen[sc]e[ds]?", "sublicense", "licensing", "copyright", "copyleft",
          "permission", "dedication")
 TERM = "(?:" + "|".join(TERMS) + ")"
 WORDS = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
+WRAP_COLUMNS = 40        # shorter lines were not wrapped
+MARGIN = r"[ \t#/*;>-]*"  # blanks and comment signs before a line's text
+JOINT, NUMBER_END = "\x01", "\x02"
+#: A numbered line that goes on in the next one, and the end of that line.
+WRAPPED = (rf"(?md)^([0-9]+{NUMBER_END}(?!.*SPDX).{{{WRAP_COLUMNS - 1},}}[^\s.!?:])[ \t\r]*\n"
+           rf"(?=[0-9]+{NUMBER_END}{MARGIN}[^\s#/*;>-])")
 
 
 class Scanner(NamedTuple):
@@ -104,6 +111,16 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({WORDS})"), F.lit(1))
 
 
+def paragraphs(text: Column) -> Column:
+    """The paragraphs of a text, in order: array of {paragraph: number of its first line from 1, line: its lines}."""
+    plain = F.translate(text, JOINT + NUMBER_END, "  ")
+    numbered = F.array_join(F.transform(F.split(plain, "\n"), lambda line, i: F.concat((i + 1).cast("string"), F.lit(NUMBER_END), line)), "\n")
+    joined = F.split(F.regexp_replace(numbered, WRAPPED, "$1" + JOINT), "\n")
+    return F.transform(joined, lambda p: F.struct(
+        F.substring_index(p, NUMBER_END, 1).cast("long").alias("paragraph"),
+        F.regexp_replace(F.regexp_replace(p, f"^[0-9]+{NUMBER_END}", ""), f"{JOINT}[0-9]+{NUMBER_END}", "\n").alias("line")))
+
+
 def _grams(tokens: Column, n: int) -> Column:
     if n == 1:
         return tokens
@@ -185,7 +202,9 @@ def _similarity(family: Column, tokens: Column) -> Column:
 
 
 def scan(documents: DataFrame, scanner: Scanner, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per licence paragraph: id, paragraph (line number from 1), family, probability, similarity, line.
+    """One row per licence paragraph: id, paragraph (number of its first line from 1), family, probability, similarity, line.
+
+    line has all lines of the paragraph; a paragraph that names several licences has the likeliest one.
 
     family is one of the notices' families or `unknown`; a family has a probability of the
     scanner's threshold or more and a similarity of `SIMILARITY` or more, everything else
@@ -194,9 +213,8 @@ def scan(documents: DataFrame, scanner: Scanner, id: str = "doc_id", text: str =
     """
     gate = f"(?i)(?<![a-z0-9.+-]){TERM}(?![a-z0-9])"
     rows = documents.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).where(F.col("text").rlike(gate))
-    lines = rows.select("id", F.posexplode(F.filter(F.transform(
-        F.split("text", "\n"), lambda line, i: F.struct((i + 1).cast("long").alias("paragraph"), line.alias("line"))),
-        lambda x: x["line"].rlike(gate))).alias("at", "x")).select("id", "x.paragraph", "x.line")
+    lines = rows.select("id", F.explode(F.filter(paragraphs(F.col("text")), lambda x: x["line"].rlike(gate))).alias("x")).select(
+        "id", "x.paragraph", "x.line")
     lines = lines.withColumn("tokens", words(F.col("line"))).withColumn("grams", _features(F.col("tokens"))).where(F.size("grams") > 0)
     scored = scanner.model.transform(scanner.vectorizer.transform(lines)).withColumn("p", vector_to_array("probability"))
     known = len(scanner.families) - 2

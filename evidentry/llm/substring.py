@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import filters
-from .common import slices, stored
+from .common import frequent, slices, stored
 from .tokens import Tokens, buffers, constants, mix, tokenize
 
 RUN, WINNOW = 12, 9
@@ -213,18 +213,24 @@ def repeated_units(documents: DataFrame, id: str = "doc_id", text: str = "text")
 
     mark = 4 * number of the first word + 2 for lines + 1 for all but the earliest occurrence.
     The first pass only counts unit hashes; what cannot repeat is dropped by a filter of fixed
-    size before units are grouped exactly.
+    size before units are grouped exactly. Rows of a frequent unit stay where they are and get
+    its earliest occurrence by a broadcast; only rows of all other units are shuffled.
     """
     source = documents.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     source = source.select("id", "text", F.xxhash64("text").alias("text_key"))
-    counts = source.select("text").mapInArrow(_digests, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    known = filters.build(counts.where("n > 1"), "h")
+    counts = stored(source.select("text").mapInArrow(_digests, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"), "counts")
+    known = filters.build(counts, "h")
     suspects = stored(source.mapInArrow(_suspects(known), UNITS), "units")
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "text_key", F.shiftright("place", 1).alias("first"))
-    groups = suspects.groupBy("digest_a", "digest_b").agg(F.min(rank).alias("best"), F.count("*").alias("n"))
-    groups = groups.where("n > 1").select("digest_a", "digest_b", "best")
-    return suspects.join(groups, ["digest_a", "digest_b"]).select(
-        "id", "text_key", (F.col("place") * 2 + (rank != F.col("best")).cast("int")).alias("mark"))
+    keys = ["digest_a", "digest_b"]
+
+    def earliest(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.min(rank).alias("best"), F.count("*").alias("n")).where("n > 1").select(*keys, "best")
+
+    hot = F.broadcast(frequent(counts).select(F.col("h").alias("digest_a")))
+    many, few = suspects.join(hot, "digest_a", "left_semi"), suspects.join(hot, "digest_a", "left_anti")
+    found = many.join(F.broadcast(earliest(many)), keys).unionByName(few.join(earliest(few), keys))
+    return found.select("id", "text_key", (F.col("place") * 2 + (rank != F.col("best")).cast("int")).alias("mark"))
 
 
 def deduplicated(documents: DataFrame, id: str = "doc_id", text: str = "text", removed: str | None = "removed") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -161,6 +162,40 @@ def test_licences(spark, odd):
     assert licenses.scan(odd, scanner).count() == 0 and licenses.scan(odd.limit(0), scanner).count() == 0
 
 
+def test_wrapped_licences(spark):
+    notices = [(f, n) for f, ns in licenses.NOTICES.items() for n in ns if len(n.split()) >= 12]
+    texts, wanted = [], []
+    for width, margin in ((48, "# "), (60, " * "), (72, ""), (72, "    ")):
+        for family, notice in notices:
+            lines = textwrap.wrap(notice, width)
+            wanted.append((len(texts), 3, family, len(lines)))
+            texts.append((len(texts), "Title\n\n" + "\n".join(margin + x for x in lines) + "\n\nShort line\nAnother sentence."))
+    got = licenses.scan(spark.createDataFrame(texts, "doc_id long, text string"), licenses.train(spark)).collect()
+    # one row each, over all lines that the notice was wrapped into
+    assert sorted((r["doc_id"], r["paragraph"], r["family"], len(r["line"].split("\n"))) for r in got) == wanted
+
+
+def plain_paragraphs(text):
+    out, lines = [], text.split("\n")
+    for i, line in enumerate(lines):
+        before = lines[i - 1].rstrip(" \t\r") if i else ""
+        wrapped = len(before) >= licenses.WRAP_COLUMNS and before[-1] not in ".!?:\x0b\x0c" and "SPDX" not in lines[i - 1]
+        if wrapped and line.strip(" \t\r\x0b\x0c").lstrip(" \t#/*;>-"):
+            out[-1] = (out[-1][0], out[-1][1].rstrip(" \t\r") + "\n" + line)
+        else:
+            out.append((i + 1, line))
+    return out
+
+
+def test_paragraphs(spark):
+    long = "a line that is long enough to have been wrapped by hand"
+    texts = ["", "one", f"{long}\nnext", f"{long}.\nnext", f"{long}  \r\n# next\n", f"{long}\n\nnext", f"{long}\n{long}\n{long}\nend\nmore",
+             f"// SPDX-License-Identifier: MIT AND {long}\nnext", f"{long}\n---\n{long}", f"12{long}\n34 {long}\n5", "x\n" * 50 + long, f"{long}\n" * 2000]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    got = {r["i"]: [(p["paragraph"], p["line"]) for p in r["p"]] for r in frame.select("i", licenses.paragraphs(F.col("t")).alias("p")).collect()}
+    assert got == {i: plain_paragraphs(t) for i, t in enumerate(texts)}
+
+
 def test_queries_and_pipeline(spark, sf):
     import __spark_entry__ as entry
     import corpus_pipeline
