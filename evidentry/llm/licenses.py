@@ -215,7 +215,7 @@ def scan(documents: DataFrame, scanner: Scanner, id: str = "doc_id", text: str =
     rows = documents.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).where(F.col("text").rlike(gate))
     lines = rows.select("id", F.explode(F.filter(paragraphs(F.col("text")), lambda x: x["line"].rlike(gate))).alias("x")).select(
         "id", "x.paragraph", "x.line")
-    lines = lines.withColumn("tokens", words(F.col("line"))).withColumn("grams", _features(F.col("tokens"))).where(F.size("grams") > 0)
+    lines = lines.withColumn("tokens", words(F.regexp_replace("line", f"-\n{MARGIN}", "-"))).withColumn("grams", _features(F.col("tokens"))).where(F.size("grams") > 0)
     scored = scanner.model.transform(scanner.vectorizer.transform(lines)).withColumn("p", vector_to_array("probability"))
     known = len(scanner.families) - 2
     best = F.array_max(F.slice("p", 1, known))
