@@ -125,7 +125,13 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.hard_negatives(rows, F.col("vec_id") % 50 == 0, id="vec_id")
 
 
-_QUERIES = (op1_toxicity, op2_mixture, op3_url_filter, op4_decontamination, op5_embedding_dedup, op6_html_extraction, op7_substring_dedup, op8_simhash, op9_chat_formatting, op10_license_scan,
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the URL filter that SQL can repeat: host, path, rule and, where there is one, its verdict."""
+    judged = urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("rule_verdict"))
+
+
+_QUERIES = (op1_toxicity, op2_mixture, op3_url_filter, url_rules, op4_decontamination, op5_embedding_dedup, op6_html_extraction, op7_substring_dedup, op8_simhash, op9_chat_formatting, op10_license_scan,
             op11_periodic_runs, op12_quality, op13_hard_negatives)
 
 
@@ -161,5 +167,79 @@ FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> s.anchor_label
 QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) <= 3
 """
 
+_URL_RULES = """
+WITH u AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM u),
+r AS (
+  SELECT page_id, host, path, CASE
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM p)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS rule_verdict
+FROM r
+"""
+
+#: Every item is compared with every document by whole shingle sets, without signatures.
+_LEAKS = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+i AS (
+  SELECT item_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM benchmark WHERE item_id IS NOT NULL),
+ds AS (
+  SELECT DISTINCT row, doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda k: array_to_string(w[k:k + 4], ' '))) AS s
+  FROM d WHERE len(w) > 0),
+its AS (
+  SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda k: array_to_string(w[k:k + 4], ' '))) AS s
+  FROM i WHERE len(w) > 0),
+n AS (SELECT item_id, count(*) AS item_shingles FROM its GROUP BY ALL),
+m AS (SELECT row, doc_id, item_id, count(*) AS shared FROM ds JOIN its USING (s) GROUP BY ALL)
+SELECT doc_id, item_id, shared, item_shingles, shared / item_shingles AS containment
+FROM m JOIN n USING (item_id) WHERE 10 * shared >= 8 * item_shingles
+"""
+
+#: All pairs of vectors are compared.
+_EMBEDDING_GROUPS = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS least FROM reach GROUP BY ALL),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY ALL),
+g AS (
+  SELECT e.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(c.least, e.vec_id)) AS component_id
+  FROM embeddings e LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id))
+SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM g
+"""
+
+#: The template's lengths are counted, escapes included; the formatted text itself is not built.
+_CHAT = r"""
+WITH t AS (
+  SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length('<s>[ROLE][/ROLE]</s>') + length(role || text)
+    + len(regexp_extract_all(role, '[<\[]\\*/?(?:s>|INST\]|ROLE\])')) + len(regexp_extract_all(text, '[<\[]\\*/?(?:s>|INST\]|ROLE\])'))
+  )::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
 #: DuckDB SQL for the rows of a query, by its name.
-ORACLE_SQL: dict[str, str] = {"op13_hard_negatives": _HARD_NEGATIVES}
+ORACLE_SQL: dict[str, str] = {
+    "url_rules": _URL_RULES, "op4_decontamination": _LEAKS, "op5_embedding_dedup": _EMBEDDING_GROUPS, "op9_chat_formatting": _CHAT,
+    "op13_hard_negatives": _HARD_NEGATIVES}
