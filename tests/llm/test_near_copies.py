@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
-from evidentry.llm import components, containment, itq, simhash, substring
+from evidentry.llm import common, components, containment, itq, simhash, substring
 
 
 def brute_components(nodes, linked):
@@ -242,3 +242,19 @@ def test_substring(spark, odd):
     same = substring.deduplicated(odd)
     assert same.columns == [*odd.columns, "removed"] and same.count() == odd.count()
     assert substring.deduplicated(odd.limit(0)).count() == 0
+
+
+def test_frequent_units_take_another_way(spark, monkeypatch):
+    """One line in every document and others in two: whatever counts as frequent, marks are the same."""
+    shared = "this very common line is part of every document"
+    rows = [(i, f"{shared}\nline {i // 2} that two documents share by chance\nonly document {i} has this one here") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = lambda: sorted(tuple(r) for r in substring.repeated_units(docs).collect())
+    counts = spark.createDataFrame([(1, 1_000_000), *[(k, 3) for k in range(2, 100)]], "h long, n long")
+    assert [r["h"] for r in common.frequent(counts).collect()] == [1]
+    assert common.frequent(counts.limit(0)).count() == 0
+    found = marks()
+    assert len(found) >= 120
+    for share in ("false", "true"):
+        monkeypatch.setattr(substring, "frequent", lambda c, share=share: c.where(share))
+        assert marks() == found
