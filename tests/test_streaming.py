@@ -188,3 +188,14 @@ def test_route_late(spark, sf, tmp_path):
     assert ok.count() + late.count() == len(all_rows)
     assert late.count() == half
     assert late.agg(F.max(micros("observed_at"))).first()[0] < ok.agg(F.max(micros("observed_at"))).first()[0]
+
+
+def test_registered_streams_have_the_columns_of_their_sql(spark, sf):
+    """Streams whose query returns all outputs: columns and rows are those of the SQL."""
+    from compare import compare, duck
+    from evidentry.plans import catalog, oracle
+
+    con = duck(sf)
+    for name in ("j1_stream_session_features", "j8_stream_coverage"):
+        problem = compare(spark, con, name, catalog.QUERIES[name], oracle.sql(oracle.QUERIES[name]), sf)
+        assert problem is None, (name, problem)
