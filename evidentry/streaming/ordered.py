@@ -4,7 +4,10 @@ Rows of a micro-batch arrive unordered. Each key buffers them until the watermar
 passed and then releases them in (time, line_no) order, so a finite stream gives the
 rows of the batch operator. Buffers hold what arrived within the watermark delay.
 
-A row that arrives behind the watermark cannot be put in order any more. It comes out at
+A call of the state store costs more than many rows, so keys are dealt to `SLOTS` slots by hash: a slot
+has one buffer of Arrow batches, at most three timers and a map with the state of each of its keys.
+
+A row that arrives behind the watermark, or without a time, cannot be put in order any more. It comes out at
 once, tagged by `late_line_no` and `late_us` with all other outputs NULL, so on-time and late
 rows together are all rows (`jobs.write_with_late` parts them).
 """
@@ -12,15 +15,23 @@ rows together are all rows (`jobs.write_with_late` parts them).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 LATE = ("late_line_no", "late_us")
+SLOTS = 4096         # a slot's buffered rows are in one task's memory at once; part of a checkpoint, like the number of partitions
+BATCH_ROWS = 10_000  # rows of one buffered batch, and of one batch of output
+ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
 
 
 class OrderedProcessor(StatefulProcessor):
@@ -47,79 +58,122 @@ class OrderedProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        # pandas turns whole numbers into floats where a batch also has a NULL
-        self.whole = [kind.split()[1] in ("long", "int") for kind in self.fields_schema.split(", ")]
-        self.buffer = handle.getListState("buffer", self.fields_schema)
-        self.state = handle.getValueState("state", self.state_schema)
+        kinds = [field.split() for field in self.fields_schema.split(", ")]
+        self.arrow = pa.schema([(self.key, pa.string()), *((name, ARROW[kind]) for name, kind in kinds)])
+        self.buffer = handle.getListState("buffer", "rows binary")
+        self.states = handle.getMapState("states", "name string", self.state_schema)
+        self.due = handle.getValueState("due", "us long")  # no state of the slot has an earlier deadline
+        self.settled_slots = set()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first, late = None, []
         settled = timerValues.getCurrentWatermarkInMs() * 1000
         for pdf in rows:
-            batch = [tuple(None if _missing(v) else int(v) if whole else _plain(v) for v, whole in zip(r, self.whole))
-                     for r in pdf[list(self.fields)].itertuples(index=False, name=None)]
-            late += [r for r in batch if r[0] < settled]
-            batch = [r for r in batch if r[0] >= settled]
-            if batch:
-                self.buffer.appendList(batch)
-                low = min(r[0] for r in batch)
+            # pandas turns whole numbers into floats where a batch also has a NULL
+            batch = pa.Table.from_pandas(pdf[self.arrow.names], self.arrow, preserve_index=False, safe=False)
+            on_time = pc.fill_null(pc.greater_equal(batch["us"], settled), False)
+            tardy, batch = batch.filter(pc.invert(on_time)), batch.filter(on_time)
+            late += _rows(tardy.select([self.key, "line_no", "us"]))
+            if batch.num_rows:
+                for blob in _blobs(batch):
+                    self.buffer.appendValue(blob)
+                low = pc.min(batch["us"]).as_py()
                 first = low if first is None else min(first, low)
         if first is not None:
-            self.handle.registerTimer(first // 1000)
+            self.handle.registerTimer(first // 1000 + 1)
         if late:
-            none = [None] * (len(self.outputs) - 1)
-            yield pd.DataFrame([(key[0], *none, r[1], r[0]) for r in late], columns=[*self.outputs, *LATE], dtype=object)
+            none = (None,) * (len(self.outputs) - 1)
+            yield self._frame([(name, *none, line, us) for name, line, us in late])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        settled = timerValues.getCurrentWatermarkInMs() * 1000
-        pending = sorted(self.buffer.get(), key=lambda r: (r[0], r[1])) if self.buffer.exists() else []
-        ready = [r for r in pending if r[0] < settled]
-        state = tuple(self.state.get()) if self.state.exists() else None
+        if key[0] in self.settled_slots:  # the first timer of a micro-batch has done all that the watermark allows
+            return
+        self.settled_slots.add(key[0])
+        now_ms = timerValues.getCurrentWatermarkInMs()
+        settled = now_ms * 1000
+        ready = self._release(settled)
+        known = self.states.exists()
+        due = self.due.get()[0] if self.due.exists() else None
         out: list[tuple] = []
-        for row in ready:
-            state, more = self._advance(state, row[0], out)
-            state, more = self.step(state, row)
-            out += more
-        state, _ = self._advance(state, settled, out)
-        rest = pending[len(ready):]
-        if ready:
-            if rest:
-                self.buffer.put(rest)
-            else:
-                self.buffer.clear()
-        if rest:
-            self.handle.registerTimer(rest[0][0] // 1000)
-        if state is None:
-            if self.state.exists():
-                self.state.clear()
-        else:
-            self.state.update(state)
-            deadline = self.deadline_us(state)
-            if deadline is not None:
-                self.handle.registerTimer(deadline // 1000)
+        for name, group in groupby(_rows(ready), key=itemgetter(0)):
+            came = self.states.getValue((name,)) if known else None
+            state = None if came is None else tuple(came)
+            found: list[tuple] = []
+            for row in group:
+                state = self._advance(state, row[1], found)
+                state, more = self.step(state, row[1:])
+                found += more
+            state = self._advance(state, settled, found)
+            due = _least(due, self._keep(name, state, came is not None))
+            out += [(name, *r, None, None) for r in found]
+            if len(out) >= BATCH_ROWS:
+                yield self._frame(out)
+                out = []
+        if due is not None and due <= settled:
+            due, kept = None, [(name[0], tuple(state)) for name, state in self.states.iterator()]
+            for name, state in kept:
+                found = []
+                after = self._advance(state, settled, found)
+                due = _least(due, self.deadline_us(after) if after == state else self._keep(name, after, True))
+                out += [(name, *r, None, None) for r in found]
+        if due is not None:
+            self.due.update((due,))
+            self.handle.registerTimer(max(-(-due // 1000), now_ms + 1))
+        elif self.due.exists():
+            self.due.clear()
         if out:
-            name = key[0]
-            yield pd.DataFrame([(name, *r, None, None) for r in out], columns=[*self.outputs, *LATE]).astype(dict.fromkeys(LATE, object))
-
-    def _advance(self, state, now_us, out):
-        """Apply a deadline that lies at or before `now_us`."""
+            yield self._frame(out)
+
+    def _release(self, settled: int) -> pa.Table:
+        """Take the rows before `settled` out of the buffer, in order of key, time and line."""
+        blobs = [pa.ipc.read_record_batch(pa.py_buffer(b[0]), self.arrow) for b in self.buffer.get()] if self.buffer.exists() else []
+        pending = pa.Table.from_batches(blobs, self.arrow)
+        is_ready = pc.less(pending["us"], settled)
+        ready, rest = pending.filter(is_ready), pending.filter(pc.invert(is_ready))
+        if ready.num_rows and rest.num_rows:
+            self.buffer.put(list(_blobs(rest)))
+        elif ready.num_rows:
+            self.buffer.clear()
+        if rest.num_rows:
+            self.handle.registerTimer(pc.min(rest["us"]).as_py() // 1000 + 1)
+        return ready.sort_by([(self.key, "ascending"), ("us", "ascending"), ("line_no", "ascending")])
+
+    def _advance(self, state: tuple | None, now_us: int, out: list[tuple]) -> tuple | None:
+        """The state after a deadline that lies at or before `now_us`."""
         if state is not None:
             deadline = self.deadline_us(state)
             if deadline is not None and deadline <= now_us:
                 state, more = self.expire(state)
                 out += more
-        return state, out
+        return state
+
+    def _keep(self, name: str | None, state: tuple | None, had: bool) -> int | None:
+        """Store or drop the state of a key; its deadline."""
+        if state is not None:
+            self.states.updateValue((name,), state)
+            return self.deadline_us(state)
+        if had:
+            self.states.removeKey((name,))
+        return None
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[*self.outputs, *LATE], dtype=object)
 
     def close(self) -> None:
         pass
 
 
-def _missing(v) -> bool:
-    return v is None or v is pd.NaT or (isinstance(v, float) and v != v)
+def _rows(table: pa.Table) -> Iterator[tuple]:
+    return zip(*(column.to_pylist() for column in table.columns))
+
+
+def _blobs(table: pa.Table) -> Iterator[tuple[bytes]]:
+    for batch in table.combine_chunks().to_batches(max_chunksize=BATCH_ROWS):
+        yield (batch.serialize().to_pybytes(),)
 
 
-def _plain(v):
-    return v.item() if hasattr(v, "item") else v
+def _least(a: int | None, b: int | None) -> int | None:
+    return b if a is None else a if b is None else min(a, b)
 
 
 def run_ordered(stream: DataFrame, processor: OrderedProcessor, time: str = "event_time",
@@ -137,7 +191,8 @@ def run_ordered(stream: DataFrame, processor: OrderedProcessor, time: str = "eve
         if module.__name__ not in cloudpickle.list_registry_pickle_by_value():
             cloudpickle.register_pickle_by_value(module)
     columns = list(dict.fromkeys([processor.key, *processor.fields]))
+    slot = F.pmod(F.xxhash64(processor.key), F.lit(SLOTS)).cast("int").alias("slot")
     # Spark drops late rows by the event-time column, so it ends here; the watermark itself goes on
-    watched = stream.select(*dict.fromkeys([*columns, time])).withWatermark(time, delay).select(*columns)
+    watched = stream.select(*dict.fromkeys([*columns, time])).withWatermark(time, delay).select(slot, *columns)
     output = f"{processor.output}, {', '.join(f'{c} long' for c in LATE)}"
-    return watched.groupBy(processor.key).transformWithStateInPandas(processor, output, "Append", "EventTime")
+    return watched.groupBy("slot").transformWithStateInPandas(processor, output, "Append", "EventTime")
