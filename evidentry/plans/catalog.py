@@ -977,7 +977,7 @@ def h10_run_spread(spark, sf):
 @query
 def a1_read_evidence_jsonl(spark, sf):
     """Write the rough evidence as JSON Lines, break some lines, read them strictly."""
-    rough = T.rough_local_events(spark, sf)
+    rough = stored(T.rough_local_events(spark, sf), "rough")
     e = F.col("line_no")
     text = F.to_json(F.struct(*[c for c in rough.columns if c != "line_no"]))
     broken = (F.when(e % 83 == 0, F.concat(text, F.lit(" x")))
@@ -1021,7 +1021,7 @@ def a5_verify_published(spark, sf):
 @query
 def a5_import_evidence(spark, sf):
     """The whole import of all valid records, written in order of time, and its verification."""
-    rough = T.rough_local_events(spark, sf).filter(A.evidence_reason().isNull())
+    rough = stored(T.rough_local_events(spark, sf), "rough").filter(A.evidence_reason().isNull())
     text = F.to_json(F.struct(*[c for c in rough.columns if c != "line_no"]))
     source, target = shared_folder(spark, "import-lines"), shared_folder(spark, "import-shards")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -1036,7 +1036,7 @@ def a5_import_evidence(spark, sf):
 @query
 def a5_import_faults(spark, sf):
     """The whole rough table in its own order, faults and all: what was published, and the lines refused by reason."""
-    rough = T.rough_local_events(spark, sf)
+    rough = stored(T.rough_local_events(spark, sf), "rough")
     text = F.to_json(F.struct(*[c for c in rough.columns if c != "line_no"]))
     e = F.col("line_no")
     broken = F.when(e % 83 == 0, F.concat(text, F.lit(" x"))).when(e % 97 == 0, F.regexp_replace(text, "^.", '{"extra":1,')).otherwise(text)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.timeline import stored
 from ..schemas import LOCAL_INPUT
 
 
@@ -27,30 +29,41 @@ def _no_constant(name):
     raise _Rejected("invalid_json")
 
 
-def _conforms(value, kind: T.DataType) -> str | None:
-    """First difference between a parsed value and the schema."""
-    if value is None:
-        return None
+def _conforms(kind: T.DataType) -> Callable[[object], str | None]:
+    """A check that gives the first difference between a parsed value and the schema."""
     if isinstance(kind, T.StructType):
-        if not isinstance(value, dict):
-            return "wrong_type"
-        fields = {f.name: f.dataType for f in kind.fields}
-        if not set(value) <= set(fields):
-            return "unknown_field"
-        return next((p for k, v in value.items() if (p := _conforms(v, fields[k]))), None)
+        fields = {f.name: _conforms(f.dataType) for f in kind.fields}
+
+        def struct(value):
+            if value is None:
+                return None
+            if not isinstance(value, dict):
+                return "wrong_type"
+            if not value.keys() <= fields.keys():
+                return "unknown_field"
+            for k, v in value.items():
+                problem = fields[k](v)
+                if problem is not None:
+                    return problem
+            return None
+        return struct
     if isinstance(kind, T.ArrayType):
-        if not isinstance(value, list):
-            return "wrong_type"
-        return next((p for v in value if (p := _conforms(v, kind.elementType))), None)
+        element = _conforms(kind.elementType)
+
+        def array(value):
+            if value is None:
+                return None
+            return next((p for v in value if (p := element(v))), None) if isinstance(value, list) else "wrong_type"
+        return array
     if isinstance(kind, T.BooleanType):
-        ok = isinstance(value, bool)
+        types, never = bool, ()
     elif isinstance(kind, T.IntegralType):
-        ok = isinstance(value, int) and not isinstance(value, bool)
+        types, never = int, bool
     elif isinstance(kind, (T.DoubleType, T.FloatType)):
-        ok = isinstance(value, (int, float)) and not isinstance(value, bool)
+        types, never = (int, float), bool
     else:
-        ok = isinstance(value, str)
-    return None if ok else "wrong_type"
+        types, never = str, ()
+    return lambda value: None if value is None or (isinstance(value, types) and not isinstance(value, never)) else "wrong_type"
 
 
 def strict_reason(line: Column, schema: T.StructType) -> Column:
@@ -61,16 +74,19 @@ def strict_reason(line: Column, schema: T.StructType) -> Column:
     """
     @F.pandas_udf("string")
     def check(lines: pd.Series) -> pd.Series:
+        decode = json.JSONDecoder(object_pairs_hook=_no_duplicates, parse_constant=_no_constant).decode
+        conforms = _conforms(schema)
+
         def one(text: str) -> str | None:
             if text is None or not text.strip():
                 return "blank_line"
             try:
-                value = json.loads(text, object_pairs_hook=_no_duplicates, parse_constant=_no_constant)
+                value = decode(text)
             except _Rejected as e:
                 return str(e)
             except (ValueError, RecursionError):
                 return "invalid_json"
-            return _conforms(value, schema) if isinstance(value, dict) else "wrong_type"
+            return conforms(value) if isinstance(value, dict) else "wrong_type"
         return lines.map(one)
 
     return check(line)
@@ -84,15 +100,16 @@ def parse_strict(lines: DataFrame, schema: str, column: str = "value",
     """(parsed rows, quarantine with `reason` and the raw text).
 
     Lines above `max_line_bytes` are not parsed; they go to quarantine whole, as `line_too_long`.
+    The lines are checked and parsed once, and both results read what was written of it.
     """
     kind = T._parse_datatype_string(schema)
     long = F.octet_length(column) > max_line_bytes
     checked = strict_reason(F.when(~F.coalesce(long, F.lit(False)), F.col(column)), kind)
     marked = lines.withColumn("reason", F.when(long, F.lit("line_too_long")).otherwise(checked))
+    good = F.col("reason").isNull()
+    read = stored(marked.withColumns({"_r": F.when(good, F.from_json(column, kind)), column: F.when(~good, F.col(column))}), "strict-lines")
     rest = [c for c in lines.columns if c != column]
-    good = (marked.filter("reason IS NULL")
-            .select(*rest, F.from_json(column, kind).alias("_r")).select(*rest, "_r.*"))
-    return good, marked.filter("reason IS NOT NULL")
+    return read.filter(good).select(*rest, "_r.*"), read.filter(~good).select(*lines.columns, "reason")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

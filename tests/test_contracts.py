@@ -253,3 +253,16 @@ def test_import_and_verification(spark, tmp_path):
     assert "undeclared" in found and found & {"size", "hash"}
     with pytest.raises(Exception):
         importer.import_evidence(spark, str(good), str(target), *args)      # never overwrites
+
+
+def test_lines_are_parsed_once(spark, tmp_path):
+    """Valid records and quarantine read what one check has written; neither runs it again."""
+    from evidentry.sources import jsonl
+
+    (tmp_path / "c.jsonl").write_text("\n".join([line(), line() + " x", "", line(source="spreadsheet")]) + "\n")
+    valid, bad = jsonl.read_evidence_jsonl(spark, str(tmp_path))
+    for found in (valid, bad):
+        assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    assert valid.count() == 1 and {(r.reason, r.value) for r in bad.where("reason <> 'closed_enum'").collect()} == {
+        ("invalid_json", line() + " x"), ("blank_line", "")}
+    assert bad.count() == 3
