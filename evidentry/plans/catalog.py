@@ -847,8 +847,7 @@ def d7_recommend_endpoint(spark, sf):
     return G.recommend_endpoint(G.endpoint_summary(d, o), slices, min_labels=2)
 
 
-def _gates(spark, sf, stage):
-    d, o, links, timed, slices = _review_parts(spark, sf)
+def _gates(stage, d, o, links, timed, slices):
     source = A.source_summary(d.select("recorded_at").unionByName(o.select("recorded_at")), kind=None)
     endpoint = G.recommend_endpoint(G.endpoint_summary(d, o), slices, min_labels=2)
     args = (G.readiness(_metrics(d, o, links)), source, G.dominant_version(d, "policy_version"),
@@ -861,18 +860,18 @@ def _gates(spark, sf, stage):
 
 @query
 def d8_review_gates_canary(spark, sf):
-    return _gates(spark, sf, "canary").withColumn("position", F.col("position").cast("long"))
+    return _gates("canary", *_review_parts(spark, sf)).withColumn("position", F.col("position").cast("long"))
 
 
 @query
 def d8_review_gates_enforce(spark, sf):
-    return _gates(spark, sf, "enforce").withColumn("position", F.col("position").cast("long"))
+    return _gates("enforce", *_review_parts(spark, sf)).withColumn("position", F.col("position").cast("long"))
 
 
 def _proposal(spark, sf, stage):
-    d, o, _, _, slices = _review_parts(spark, sf)
+    d, o, links, timed, slices = _review_parts(spark, sf)
     endpoint = G.recommend_endpoint(G.endpoint_summary(d, o), slices, min_labels=2)
-    out = G.review_proposal(_gates(spark, sf, stage), endpoint, stage)
+    out = G.review_proposal(_gates(stage, d, o, links, timed, slices), endpoint, stage)
     return out.withColumns({c: F.col(c).cast("long") for c in ("basis_points", "duration_seconds")})
 
 

@@ -266,3 +266,14 @@ def test_lines_are_parsed_once(spark, tmp_path):
     assert valid.count() == 1 and {(r.reason, r.value) for r in bad.where("reason <> 'closed_enum'").collect()} == {
         ("invalid_json", line() + " x"), ("blank_line", "")}
     assert bad.count() == 3
+
+
+def test_review_of_a_proposal_scores_the_log_once(spark, sf, monkeypatch):
+    """Gates and proposal share the log and the links."""
+    from evidentry.plans import catalog
+
+    names, write = [], catalog.stored
+    monkeypatch.setattr(catalog, "stored", lambda df, name: names.append(name) or write(df, name))
+    for stage in (catalog.d8_proposal_canary, catalog.d8_proposal_enforce):
+        stage(spark, sf)
+    assert sorted(names) == ["links", "links", "log", "log"]
