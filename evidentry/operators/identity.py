@@ -14,7 +14,7 @@ from ..functions.expr import (base64url, concat_bytes, hmac_sha256, in_or_absent
                               optional_class, present, utf8)
 from ..functions.greedy import FEW, greedy_chain
 from ..functions.net import address_bits, peer_address, prefix_bits, within
-from ..functions.timeline import ROWS_PER_CHUNK, Timeline, before, durable, over_timeline, running
+from ..functions.timeline import ROWS_PER_CHUNK, Timeline, before, durable, over_timeline, running, stored
 from .detect import obs, verified_public_crawler
 
 # --- fixed values: assurance ---------------------------------------------------------
@@ -313,9 +313,10 @@ def single_use(df: DataFrame, fault: Column, nonce: str, expires_us: str, used_u
     nonce is found by a map-side combined minimum and marked by an equi-join on (nonce,
     position), so a nonce replayed a billion times neither sorts nor joins in one task. Only
     nonces with valid uses after an expiry need more, a greedy chain: they are folded, and those with more than
-    `few` uses go by a jump table that is cut by rank.
+    `few` uses go by a jump table that is cut by rank. The uses and their faults are written once: they are read up to
+    four times, and a fault checks a signature.
     """
-    df = df.withColumn("_state", fault)
+    df = stored(df.withColumn("_state", fault), "uses")
     valid = df.filter("_state IS NULL").select(
         F.col(nonce).alias("nonce"), F.col(used_us).alias("used"), F.col(expires_us).alias("expires"), F.col(line).alias("line"))
     about = valid.groupBy("nonce").agg(F.min(F.struct("used", "line")).alias("f"), F.max("used").alias("latest"),

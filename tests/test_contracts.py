@@ -277,3 +277,14 @@ def test_review_of_a_proposal_scores_the_log_once(spark, sf, monkeypatch):
     for stage in (catalog.d8_proposal_canary, catalog.d8_proposal_enforce):
         stage(spark, sf)
     assert sorted(names) == ["links", "links", "log", "log"]
+
+
+def test_uses_are_checked_once(spark, sf):
+    """The audit of envelopes reads what one check of the signatures has written."""
+    from evidentry.operators import identity
+    from evidentry.plans import derived as T
+
+    out = identity.audit_edge_envelopes(T.edge_envelopes(spark, sf), T.LOG_KEY).select("line_no", "use")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "event_id" not in plan and "_state" in plan
+    assert out.count() == T.edge_envelopes(spark, sf).count()
