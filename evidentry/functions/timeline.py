@@ -16,7 +16,8 @@ both ways give identical rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -63,6 +64,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def open_files(spark: SparkSession, most: int) -> Iterator[None]:
+    """Partitioned writes inside keep a file open for each of up to `most` partitions of a task; only rows of further ones are sorted.
+
+    The sort that Spark puts before such a write otherwise holds a task's whole share as rows; an open Parquet file
+    holds one encoded row group.
+    """
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    found = spark.conf.get(name)
+    spark.conf.set(name, str(max(most, int(found))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, found)
+
+
 @dataclass(frozen=True)
 class Running:
     """A running value over the rows before (and, if `inclusive`, at) the current row."""

@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.timeline import open_files
 from ..operators.contracts import oldest_kept
 
 DAY = "day"
+OPEN_DAYS = 16  # files that a writing task keeps open
 
 
 def write_dated(df: DataFrame, path: str, time: str = "recorded_at") -> None:
     """Write `df` by day of `time` (UTC). The days that `df` holds are replaced, all others stay, so a retry changes nothing.
 
     Days are balanced over tasks by their size: a day with a third of all rows is written by many. Rows without a
-    time go to the partition of no day, which never expires.
+    time go to the partition of no day, which never expires. A task sorts only rows of days beyond its first `OPEN_DAYS`.
     """
-    (df.withColumn(DAY, F.to_date(time)).hint("rebalance", DAY).write.partitionBy(DAY)
-     .mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path))
+    with open_files(df.sparkSession, OPEN_DAYS):
+        (df.withColumn(DAY, F.to_date(time)).hint("rebalance", DAY).write.partitionBy(DAY)
+         .mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path))
 
 
 def read_retained(spark: SparkSession, path: str, now, keep_days: int = 7, time: str = "recorded_at", schema=None) -> DataFrame:

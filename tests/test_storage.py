@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from evidentry.operators import contracts
@@ -62,3 +63,29 @@ def test_table_by_day(spark, tmp_path):
     assert sorted(r.id for r in retention.read_retained(spark, path, now, keep_days=3).collect()) == expected and 1000 in read()
     with pytest.raises(ValueError):
         retention.drop_expired(spark, path, now, keep_days=91)
+
+
+OPEN = "spark.sql.maxConcurrentOutputFileWriters"
+
+
+@pytest.fixture
+def writes(monkeypatch):
+    """How many files each write to Parquet may keep open; with none, Spark sorts all rows of a task by partition."""
+    seen, parquet = [], DataFrameWriter.parquet
+
+    def watched(writer, *args, **more):
+        seen.append(int(writer._spark.conf.get(OPEN)))
+        return parquet(writer, *args, **more)
+    monkeypatch.setattr(DataFrameWriter, "parquet", watched)
+    return seen
+
+
+def test_days_are_written_without_a_sort(spark, tmp_path, writes):
+    """One task, more days than open files: the rows are whole, days stay apart, and the session is as it was."""
+    path, found = str(tmp_path / "table"), spark.conf.get(OPEN)
+    rows = spark.range(0, 3000, 1, 1).select("id", F.timestamp_seconds(1_700_000_000 + F.col("id") % 40 * 86_400).alias("recorded_at"))
+    retention.write_dated(rows, path)
+    assert writes and min(writes) >= 1 and spark.conf.get(OPEN) == found
+    table = spark.read.parquet(path)
+    assert sorted(r.id for r in table.collect()) == list(range(3000))
+    assert table.where(F.to_date("recorded_at") != F.col("day")).isEmpty() and table.select("day").distinct().count() == 40
