@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import vocab as V
 from ..functions.expr import (count_if, first_reason, in_or_absent, is_finite, micros,
                               optional_class)
+from ..functions.timeline import open_files
 
 LOCAL_INPUT_VERSION = "evidentry.local-input.v1"
 LOG_VERSIONS = ("evidentry.log.v1", "evidentry.log.v2", "evidentry.log.v3", "evidentry.log.v4")
@@ -256,11 +257,12 @@ def decode_log_records(df: DataFrame, versions: tuple[str, str, str, str] = LOG_
 def split_log_records(df: DataFrame, path: str, versions: tuple[str, str, str, str] = LOG_VERSIONS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """`decode_log_records` by one scan: a table with a partition for each kind and one for the quarantine.
 
-    Readers of a result read its partition only. `path` must not exist.
+    Readers of a result read its partition only. `path` must not exist. The write needs no sort: a task has three partitions.
     """
     marked = df.withColumn("reason", log_reason(versions=versions))
     part = F.when(F.col("reason").isNotNull(), F.lit("quarantine")).otherwise(F.col("kind"))
-    marked.withColumn("part", part).write.partitionBy("part").mode("errorifexists").parquet(path)
+    with open_files(df.sparkSession, 3):
+        marked.withColumn("part", part).write.partitionBy("part").mode("errorifexists").parquet(path)
     table = df.sparkSession.read.schema(marked.withColumn("part", part).schema).parquet(path)
     return _kinds(table.filter("part IN ('decision', 'outcome')").drop("part", "reason"),
                   table.filter("part = 'quarantine'").drop("part"))

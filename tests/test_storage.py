@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
-from evidentry.operators import contracts
+from evidentry.operators import contracts, decide
 from evidentry.plans import derived as T
 from evidentry.sources import importer, retention
 
@@ -89,3 +89,13 @@ def test_days_are_written_without_a_sort(spark, tmp_path, writes):
     table = spark.read.parquet(path)
     assert sorted(r.id for r in table.collect()) == list(range(3000))
     assert table.where(F.to_date("recorded_at") != F.col("day")).isEmpty() and table.select("day").distinct().count() == 40
+
+
+def test_log_kinds_are_written_without_a_sort(spark, sf, tmp_path, writes):
+    found = spark.conf.get(OPEN)
+    records = T.log_records(decide.decide(T.requests(spark, sf)))
+    split = contracts.split_log_records(records, str(tmp_path / "kinds"))
+    assert writes == [3] and spark.conf.get(OPEN) == found
+    for mine, plain in zip(split, contracts.decode_log_records(records), strict=True):
+        got = sorted(map(repr, mine.select(*plain.columns).collect()))
+        assert got and got == sorted(map(repr, plain.collect()))
