@@ -220,12 +220,13 @@ def find_sizes(df: DataFrame, keys: Sequence[str], few: int | None, rows_per_chu
     return True, None if hot.isEmpty() else Heat(hot, rows_per_chunk)
 
 
-def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], few_keys: bool = False) -> DataFrame:
     """Add `_rank`: the number of rows of the same key before a row, from 0 on.
 
     Rows are dealt by range of (keys, order), so a key spans tasks and neither a burst nor
     equal times meet in one; a row number decides between rows that are equal in both. The
-    counts per key and task (one small row each) turn places within a task into ranks.
+    counts per key and task (one small row each) turn places within a task into ranks. With `few_keys` (thousands, not
+    millions) they are broadcast, and the rows are not shuffled again.
     """
     spark = df.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -237,13 +238,13 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFram
     counts = placed.groupBy(*keys, "_task").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
     upto = Window.partitionBy(*keys).orderBy("_task")
     ahead = counts.select(*keys, "_task", "_first", (F.sum("_n").over(upto) - F.col("_n")).alias("_ahead"))
-    return placed.join(ahead, [*keys, "_task"]).withColumn(
+    return placed.join(F.broadcast(ahead) if few_keys else ahead, [*keys, "_task"]).withColumn(
         "_rank", F.col("_ahead") + F.col("_place") - F.col("_first")).drop("_task", "_place", "_first", "_ahead")
 
 
 def chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_chunk: int) -> DataFrame:
-    """Add `_chunk`: the rank of a row within its key, divided by `rows_per_chunk`."""
-    return ranked(df, keys, order).withColumn(
+    """Add `_chunk`: the rank of a row within its key, divided by `rows_per_chunk`. `keys` are hot, so they are few."""
+    return ranked(df, keys, order, few_keys=True).withColumn(
         "_chunk", F.floor(F.col("_rank") / F.lit(float(rows_per_chunk))).cast("long")).drop("_rank")
 
 

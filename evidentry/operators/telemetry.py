@@ -172,8 +172,10 @@ def _fold_reports(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_pylist(leave(), schema=_FOLDED)
 
 
-#: start, sequence, completion and the counters of all endpoint classes
-_NUMBERS = 3 + len(V.ENDPOINT_CLASSES) * len(COUNTERS)
+#: `protected` is the sum of the others in a valid report, so it is equal, or does not fall, when they are or do not
+_KEPT = COUNTERS[1:]
+#: start, sequence, completion and the kept counters of all endpoint classes
+_NUMBERS = 3 + len(V.ENDPOINT_CLASSES) * len(_KEPT)
 _FOLDED = pa.schema([("source_id", pa.string()), ("chunk", pa.int64()), ("line_no", pa.int64()), ("verdict", pa.string()),
                      ("kind", pa.int32()), ("state", pa.list_(pa.int64()))])
 
@@ -183,6 +185,9 @@ def _follows(last: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return (rows[..., 0] == last[..., 0]) & (rows[..., 1] > last[..., 1]) & (rows[..., 2:] >= last[..., 2:]).all(axis=-1)
 
 
+REPORTS_PER_TASK = 1_000_000
+
+
 def accept_coverage(reports: DataFrame, rows_per_chunk: int = 1_000_000) -> DataFrame:
     """Add `verdict`: invalid, accepted, unchanged (identical resend) or conflict.
 
@@ -194,42 +199,56 @@ def accept_coverage(reports: DataFrame, rows_per_chunk: int = 1_000_000) -> Data
     state before it: the last report that an earlier chunk accepts of its own. Chunks whose guess was wrong are
     folded again, all at the same time, until no guess changes. Every round settles one more chunk at least, and one
     that accepts nothing hands on what came before it, so counters that fall once settle in the third round however many
-    reports follow. `line_no` names a report within its source.
+    reports follow. Chunks are numbered and dealt evenly, so that a task has one chunk, or chunks of at most
+    `REPORTS_PER_TASK` reports together once there are more than shuffle partitions hold. `line_no` names a report within its source.
     """
     keys = ["source_id"]
     numbers = F.concat(
         F.array(F.unix_micros("source_started_at"), F.col("sequence").cast("long"), F.unix_micros("completed_at")),
-        F.flatten(F.transform("endpoints", lambda x: F.array(*[x[c].cast("long") for c in COUNTERS]))))
+        F.flatten(F.transform("endpoints", lambda x: F.array(*[x[c].cast("long") for c in _KEPT]))))
     valid = valid_coverage_report()
     rows = reports.select("source_id", micros("received_at").alias("_us"), F.col("line_no").cast("long").alias("line_no"),
                           valid.alias("valid"), F.when(valid, numbers).alias("numbers"))
     heat = find_heat(rows, keys, rows_per_chunk)
     ddl = "source_id string, chunk long, line_no long, verdict string, kind int, state array<long>"
 
-    def folded(part: DataFrame, guesses: DataFrame | None) -> DataFrame:
+    def folded(part: DataFrame, guesses: DataFrame | None, slots: DataFrame | None = None, tasks: int = 0) -> DataFrame:
         part = part.select("source_id", "chunk", "_us", "line_no", "valid", "numbers", F.lit(2).alias("kind"))
         if guesses is not None:
             part = part.unionByName(guesses.select(
                 "source_id", "chunk", F.lit(None).cast("long").alias("_us"), F.lit(None).cast("long").alias("line_no"),
                 F.lit(False).alias("valid"), F.col("guess").alias("numbers"), F.lit(0).alias("kind")))
-        dealt = part.repartition("source_id", "chunk").sortWithinPartitions("source_id", "chunk", "kind", "_us", "line_no")
-        return dealt.drop("_us").mapInArrow(_fold_reports, ddl)
+        if slots is None:
+            dealt = part.repartition("source_id", "chunk")
+        else:
+            dealt = part.join(F.broadcast(slots), ["source_id", "chunk"]).repartitionById(tasks, "slot").drop("slot")
+        return dealt.sortWithinPartitions("source_id", "chunk", "kind", "_us", "line_no").drop("_us").mapInArrow(_fold_reports, ddl)
 
     cold = rows if heat is None else rows.join(F.broadcast(heat.keys), keys, "left_anti")
     found = folded(cold.withColumn("chunk", F.lit(0).cast("long")), None).filter("kind = 2")
     if heat is not None:
         hot = chunked(rows.join(F.broadcast(heat.keys), keys, "left_semi"), keys, ["_us", "line_no"], heat.rows_per_chunk)
         hot = durable(hot.withColumnRenamed("_chunk", "chunk"))
-        found = found.unionByName(_settled(hot, folded))
+        found = found.unionByName(_settled(hot, folded, heat.rows_per_chunk))
     return reports.join(found.select("source_id", "line_no", "verdict"), [*keys, "line_no"])
 
 
-def _settled(rows: DataFrame, folded: Callable[[DataFrame, DataFrame | None], DataFrame]) -> DataFrame:
+def _slots(rows: DataFrame, rows_per_chunk: int) -> tuple[DataFrame, int]:
+    """Every chunk with its number (`slot`), and how many tasks the numbers are dealt to in turn."""
+    at = ["source_id", "chunk"]
+    # one row a chunk
+    slots = durable(rows.select(*at).distinct().withColumn("slot", F.row_number().over(Window.orderBy(*at)) - 1))
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return slots, max(partitions, -(-slots.count() * rows_per_chunk // REPORTS_PER_TASK))
+
+
+def _settled(rows: DataFrame, folded: Callable[..., DataFrame], rows_per_chunk: int) -> DataFrame:
     """Folded chunks whose guesses are right; one row per chunk decides about the next round."""
     at = ["source_id", "chunk"]
     earlier = Window.partitionBy("source_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    now = durable(folded(rows, None))
-    used = durable(rows.select(*at).distinct().withColumn("guess", F.lit(None).cast("array<long>")))
+    dealt = _slots(rows, rows_per_chunk)
+    now = durable(folded(rows, None, *dealt))
+    used = durable(dealt[0].select(*at, F.lit(None).cast("array<long>").alias("guess")))
     while True:
         ends = now.filter("kind = 1").select(*at, "state")
         # at most one row for every `rows_per_chunk` reports
@@ -237,8 +256,9 @@ def _settled(rows: DataFrame, folded: Callable[[DataFrame, DataFrame | None], Da
         wrong = durable(guess.alias("g").join(used.alias("u"), at).filter(~F.col("g.guess").eqNullSafe(F.col("u.guess"))).select(*at, "g.guess"))
         if wrong.isEmpty():
             return now.filter("kind = 2")
-        again = folded(rows.join(wrong.select(*at), at, "left_semi"), wrong)
-        now = durable(now.join(wrong.select(*at), at, "left_anti").unionByName(again))
+        these = F.broadcast(wrong.select(*at))
+        again = folded(rows.join(these, at, "left_semi"), wrong, *dealt)
+        now = durable(now.join(these, at, "left_anti").unionByName(again))
         used = durable(used.join(wrong.select(*at), at, "left_anti").unionByName(wrong))
 
 

@@ -568,7 +568,7 @@ def coverage_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cumulative coverage reports of seven sources, with resends, restarts and decreases."""
     e = F.col("event_id")
     # seven sources hold all reports, so they are numbered by rank, and a resend finds the report before it by its number
-    df = ranked(events(spark, sf_dir).withColumn("src", F.col("user_id") % 7), ["src"], ["us", "event_id"])
+    df = ranked(events(spark, sf_dir).withColumn("src", F.col("user_id") % 7), ["src"], ["us", "event_id"], few_keys=True)
     df = df.withColumn("rn", F.col("_rank") + 1).drop("_rank")
     ahead = df.filter("rn % 3 = 2").select("src", (F.col("rn") + 1).alias("rn"), F.col("us").alias("before"))
     df = df.join(ahead, ["src", "rn"], "left").withColumn("done", F.when(F.col("rn") % 3 == 0, F.col("before")).otherwise(F.col("us")))

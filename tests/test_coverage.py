@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import functions as F
 
 from evidentry import vocab as V
@@ -76,5 +77,31 @@ def test_counters_that_fall(spark, chunk):
     assert {r.verdict: r["count"] for r in counted} == {"accepted": 3, "conflict": 100_000}
 
 
+def test_chunks_are_dealt_evenly(spark):
+    """Chunks do not meet in a task by chance: as many tasks as chunks have one each, and whole chunks of the rows stay together."""
+    rows = spark.range(50).select(F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("source_id"), (F.col("id") % 16).alias("chunk"))
+    slots, tasks = telemetry._slots(rows, telemetry.REPORTS_PER_TASK)
+    assert sorted(r.slot for r in slots.collect()) == list(range(48)) and tasks == 48
+    assert telemetry._slots(rows, telemetry.REPORTS_PER_TASK // 100)[1] == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_a_task_folds_one_chunk(spark, monkeypatch):
+    """Eight sources of four chunks: no task of the fold gets reports of two chunks."""
+    monkeypatch.setattr(telemetry, "REPORTS_PER_TASK", 25)
+    i, tasks = F.col("id"), []
+    rows = spark.range(800).select(
+        F.lpad((i % 8).cast("string"), 32, "e").alias("source_id"), i.alias("line_no"), (i * MICROS).alias("us"), (i + 1).alias("sequence"),
+        F.lit(0).cast("long").alias("started"), (i * MICROS).alias("done"), i.alias("base"), F.lit(False).alias("wrong"))
+    dealt = DataFrame.mapInArrow
+
+    def watched(df, *args, **more):
+        tasks.append(df.groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("source_id", "chunk").alias("n")).agg(F.max("n")).first()[0])
+        return dealt(df, *args, **more)
+    monkeypatch.setattr(DataFrame, "mapInArrow", watched)
+    got = telemetry.accept_coverage(reports(spark, rows), rows_per_chunk=25)
+    assert {r.verdict: r["count"] for r in got.groupBy("verdict").count().collect()} == {"accepted": 800}
+    assert max(n for n in tasks if n is not None) == 1
+
+
 def test_empty(spark):
     assert telemetry.accept_coverage(reports(spark, [])).count() == 0
