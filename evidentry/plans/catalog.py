@@ -1120,9 +1120,12 @@ def _ended(stream: DataFrame, time: str, **values) -> DataFrame:
 
 
 def _staged(session, df: DataFrame, name: str) -> DataFrame:
-    """A derived table as a stream over its files in the shared folder."""
+    """A derived table as a stream over its files in the shared folder.
+
+    A reader takes a row group whole and holds it twice, so they are small.
+    """
     folder = shared_folder(session, name)
-    df.write.parquet(folder)
+    df.write.option("parquet.block.size", 16 << 20).parquet(folder)
     return session.readStream.schema(df.schema).parquet(folder)
 
 

@@ -264,11 +264,12 @@ def stream_coverage(reports: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Verdict of every cumulative coverage report, in arrival order per source."""
     from ..operators.telemetry import COUNTERS, valid_coverage_report
 
-    counters = F.flatten(F.transform("endpoints", lambda x: F.array(*[x[c] for c in COUNTERS])))
-    df = reports.withColumns({
-        "us": micros("received_at"), "event_time": F.col("received_at"), "valid": valid_coverage_report(),
+    # `protected` is the sum of the others in a valid report, and nothing is asked of the counters of others
+    counters = F.flatten(F.transform("endpoints", lambda x: F.array(*[x[c] for c in COUNTERS[1:]])))
+    df = reports.withColumn("valid", valid_coverage_report()).withColumns({
+        "us": micros("received_at"), "event_time": F.col("received_at"),
         "done_us": micros("completed_at"), "started_us": micros("source_started_at"),
-        "counters": F.concat_ws(",", F.transform(counters, lambda c: c.cast("string")))})
+        "counters": F.when(F.col("valid"), F.concat_ws(",", F.transform(counters, lambda c: c.cast("string"))))})
     return run_ordered(df, Coverage(), delay=delay)
 
 

@@ -7,6 +7,9 @@ rows of the batch operator. Buffers hold what arrived within the watermark delay
 A call of the state store costs more than many rows, so keys are dealt to `SLOTS` slots by hash: a slot
 has one buffer of Arrow batches, at most three timers and a map with the state of each of its keys.
 
+A key may hold more rows than a task's memory, so a buffer is a set of sorted runs (`Runs`), cut into pieces. A release
+merges the runs and holds a piece of each, and the states of the keys that it meets.
+
 A row that arrives behind the watermark, or without a time, cannot be put in order any more. It comes out at
 once, tagged by `late_line_no` and `late_us` with all other outputs NULL, so on-time and late
 rows together are all rows (`jobs.write_with_late` parts them).
@@ -14,9 +17,10 @@ rows together are all rows (`jobs.write_with_late` parts them).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import groupby
-from operator import itemgetter
+import heapq
+import json
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -29,11 +33,92 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 LATE = ("late_line_no", "late_us")
-SLOTS = 4096         # a slot's buffered rows are in one task's memory at once; part of a checkpoint, like the number of partitions
-BATCH_ROWS = 10_000  # rows of one buffered batch, and of one batch of output
+SLOTS = 4096             # part of a checkpoint, like the number of partitions
+BATCH_ROWS = 10_000      # most rows of one buffered piece, and of one batch of output
+RUN_BYTES = 16 << 20     # of a slot's new rows that are sorted in memory at once
+PIECE_BYTES = 256 << 10  # of a run that are read at once
+MERGED_ROWS = 1000       # rows of one piece of a run that is made of others
+FAN_IN = 32              # runs that are merged at once
 ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
 
 
+class Runs:
+    """Buffered rows of a slot: runs in order of time and line, each cut into pieces that are one value of the state store.
+
+    A run is a list of its number, its next piece, its number of pieces and a time that none of its rows is before. Rows that
+    are equal in time and line come out as they came in.
+    """
+
+    def __init__(self, handle: StatefulProcessorHandle, schema: pa.Schema) -> None:
+        self.schema = schema
+        self.pieces = handle.getMapState("pieces", "run long, piece long", "rows binary")
+        self.index = handle.getValueState("runs", "text string")
+
+    def runs(self) -> list[list[int]]:
+        found = self.index.get()
+        return [] if found is None else json.loads(found[0])
+
+    def keep(self, runs: list[list[int]]) -> int | None:
+        """Store what is left of the runs; a time that none of their rows is before."""
+        left = [run for run in runs if run[1] < run[2]]
+        if left:
+            self.index.update((json.dumps(left),))
+        elif runs:
+            self.index.clear()
+        return min((run[3] for run in left), default=None)
+
+    def add(self, rows: pa.Table) -> None:
+        """Store rows as a new run."""
+        runs = self.runs()
+        run = self._write(_unused(runs), [rows.sort_by([("us", "ascending"), ("line_no", "ascending")])])
+        self.keep([*runs, run])
+
+    def take(self, runs: list[list[int]], settled: int) -> Iterator[tuple]:
+        """Rows before `settled`, in order. They leave the store as they are read; `keep` is due after the last one."""
+        ready, number = [run for run in runs if run[3] < settled], _unused(runs)
+        while len(ready) > FAN_IN:
+            fewer = []
+            for lo in range(0, len(ready), FAN_IN):
+                fewer.append(self._write(number, self._tables(self._merged(ready[lo:lo + FAN_IN], settled))))
+                number += 1
+            ready = [run for run in fewer if run[2]]
+        return self._merged(ready, settled)
+
+    def _merged(self, runs: list[list[int]], settled: int) -> Iterator[tuple]:
+        if len(runs) == 1:
+            return self._read(runs[0], settled)
+        return heapq.merge(*[self._read(run, settled) for run in runs], key=lambda row: (row[1], row[2] is None, row[2]))
+
+    def _read(self, run: list[int], settled: int) -> Iterator[tuple]:
+        while run[1] < run[2]:
+            at = (run[0], run[1])
+            rows = _unpacked(self.pieces.getValue(at)[0], self.schema)
+            n = pc.sum(pc.less(rows["us"], settled)).as_py()
+            if n < rows.num_rows:
+                run[3] = rows["us"][n].as_py()
+                if n:
+                    self.pieces.updateValue(at, (_packed(rows.slice(n)),))
+                yield from _rows(rows.slice(0, n))
+                return
+            self.pieces.removeKey(at)
+            run[1] += 1
+            yield from _rows(rows)
+
+    def _tables(self, rows: Iterator[tuple]) -> Iterator[pa.Table]:
+        while some := list(islice(rows, MERGED_ROWS)):
+            yield pa.table([pa.array(c, f.type) for c, f in zip(zip(*some), self.schema)], self.schema)
+
+    def _write(self, number: int, tables: Iterable[pa.Table]) -> list[int]:
+        first, n = 0, 0
+        for table in tables:
+            first = first if n else table["us"][0].as_py()
+            size = min(BATCH_ROWS, max(1, table.num_rows * PIECE_BYTES // table.nbytes))
+            for piece in table.combine_chunks().to_batches(max_chunksize=size):
+                self.pieces.updateValue((number, n), (_packed(piece),))
+                n += 1
+        return [number, 0, n, first]
+
+
 class OrderedProcessor(StatefulProcessor):
     """Base class. Subclasses fold ordered rows into a state tuple and output tuples."""
 
@@ -60,30 +145,37 @@ class OrderedProcessor(StatefulProcessor):
         self.handle = handle
         kinds = [field.split() for field in self.fields_schema.split(", ")]
         self.arrow = pa.schema([(self.key, pa.string()), *((name, ARROW[kind]) for name, kind in kinds)])
-        self.buffer = handle.getListState("buffer", "rows binary")
+        self.buffer = Runs(handle, self.arrow)
         self.states = handle.getMapState("states", "name string", self.state_schema)
         self.due = handle.getValueState("due", "us long")  # no state of the slot has an earlier deadline
         self.settled_slots = set()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first, late = None, []
+        first, fresh, late = None, [], []
+        none = (None,) * (len(self.outputs) - 1)
         settled = timerValues.getCurrentWatermarkInMs() * 1000
         for pdf in rows:
             # pandas turns whole numbers into floats where a batch also has a NULL
             batch = pa.Table.from_pandas(pdf[self.arrow.names], self.arrow, preserve_index=False, safe=False)
             on_time = pc.fill_null(pc.greater_equal(batch["us"], settled), False)
             tardy, batch = batch.filter(pc.invert(on_time)), batch.filter(on_time)
-            late += _rows(tardy.select([self.key, "line_no", "us"]))
+            late += [(name, *none, line, us) for name, line, us in _rows(tardy.select([self.key, "line_no", "us"]))]
+            if len(late) >= BATCH_ROWS:
+                yield self._frame(late)
+                late = []
             if batch.num_rows:
-                for blob in _blobs(batch):
-                    self.buffer.appendValue(blob)
+                fresh.append(batch)
                 low = pc.min(batch["us"]).as_py()
                 first = low if first is None else min(first, low)
+            if sum(b.nbytes for b in fresh) >= RUN_BYTES:
+                self.buffer.add(pa.concat_tables(fresh))
+                fresh = []
+        if fresh:
+            self.buffer.add(pa.concat_tables(fresh))
         if first is not None:
             self.handle.registerTimer(first // 1000 + 1)
         if late:
-            none = (None,) * (len(self.outputs) - 1)
-            yield self._frame([(name, *none, line, us) for name, line, us in late])
+            yield self._frame(late)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if key[0] in self.settled_slots:  # the first timer of a micro-batch has done all that the watermark allows
@@ -91,20 +183,33 @@ class OrderedProcessor(StatefulProcessor):
         self.settled_slots.add(key[0])
         now_ms = timerValues.getCurrentWatermarkInMs()
         settled = now_ms * 1000
-        ready = self._release(settled)
+        runs = self.buffer.runs()
         known = self.states.exists()
         due = self.due.get()[0] if self.due.exists() else None
+        states: dict[str | None, tuple | None] = {}
+        stored = set()
         out: list[tuple] = []
-        for name, group in groupby(_rows(ready), key=itemgetter(0)):
-            came = self.states.getValue((name,)) if known else None
-            state = None if came is None else tuple(came)
+        for row in self.buffer.take(runs, settled):
+            name = row[0]
+            if name not in states:
+                came = self.states.getValue((name,)) if known else None
+                states[name] = None if came is None else tuple(came)
+                if came is not None:
+                    stored.add(name)
             found: list[tuple] = []
-            for row in group:
-                state = self._advance(state, row[1], found)
-                state, more = self.step(state, row[1:])
-                found += more
+            state = self._advance(states[name], row[1], found)
+            states[name], more = self.step(state, row[1:])
+            out += [(name, *r, None, None) for r in found + more]
+            if len(out) >= BATCH_ROWS:
+                yield self._frame(out)
+                out = []
+        first = self.buffer.keep(runs)
+        if first is not None:
+            self.handle.registerTimer(first // 1000 + 1)
+        for name, state in states.items():
+            found = []
             state = self._advance(state, settled, found)
-            due = _least(due, self._keep(name, state, came is not None))
+            due = _least(due, self._keep(name, state, name in stored))
             out += [(name, *r, None, None) for r in found]
             if len(out) >= BATCH_ROWS:
                 yield self._frame(out)
@@ -124,20 +229,6 @@ class OrderedProcessor(StatefulProcessor):
         if out:
             yield self._frame(out)
 
-    def _release(self, settled: int) -> pa.Table:
-        """Take the rows before `settled` out of the buffer, in order of key, time and line."""
-        blobs = [pa.ipc.read_record_batch(pa.py_buffer(b[0]), self.arrow) for b in self.buffer.get()] if self.buffer.exists() else []
-        pending = pa.Table.from_batches(blobs, self.arrow)
-        is_ready = pc.less(pending["us"], settled)
-        ready, rest = pending.filter(is_ready), pending.filter(pc.invert(is_ready))
-        if ready.num_rows and rest.num_rows:
-            self.buffer.put(list(_blobs(rest)))
-        elif ready.num_rows:
-            self.buffer.clear()
-        if rest.num_rows:
-            self.handle.registerTimer(pc.min(rest["us"]).as_py() // 1000 + 1)
-        return ready.sort_by([(self.key, "ascending"), ("us", "ascending"), ("line_no", "ascending")])
-
     def _advance(self, state: tuple | None, now_us: int, out: list[tuple]) -> tuple | None:
         """The state after a deadline that lies at or before `now_us`."""
         if state is not None:
@@ -167,9 +258,20 @@ def _rows(table: pa.Table) -> Iterator[tuple]:
     return zip(*(column.to_pylist() for column in table.columns))
 
 
-def _blobs(table: pa.Table) -> Iterator[tuple[bytes]]:
-    for batch in table.combine_chunks().to_batches(max_chunksize=BATCH_ROWS):
-        yield (batch.serialize().to_pybytes(),)
+def _packed(rows: pa.Table | pa.RecordBatch) -> bytes:
+    """Rows as bytes: the length of their record batch, and that batch compressed."""
+    batch = rows if isinstance(rows, pa.RecordBatch) else rows.combine_chunks().to_batches()[0]
+    blob = batch.serialize()
+    return blob.size.to_bytes(8, "little") + pa.compress(blob, "zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes, schema: pa.Schema) -> pa.Table:
+    size = int.from_bytes(blob[:8], "little")
+    return pa.Table.from_batches([pa.ipc.read_record_batch(pa.decompress(bytes(blob[8:]), size, "zstd"), schema)])
+
+
+def _unused(runs: list[list[int]]) -> int:
+    return max((run[0] for run in runs), default=-1) + 1
 
 
 def _least(a: int | None, b: int | None) -> int | None:
