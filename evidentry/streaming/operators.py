@@ -242,6 +242,7 @@ class Coverage(OrderedProcessor):
     fields = ("us", "line_no", "valid", "sequence", "done_us", "started_us", "counters")
     fields_schema = ("us long, line_no long, valid boolean, sequence long, done_us long, started_us long, "
                      "counters string")
+    order = ("us", "line_no", "sequence")  # files come in no order, so reports of equal time and line go by their number
     state_schema = "sequence long, done_us long, started_us long, counters string"
     outputs = ("source_id", "line_no", "verdict")
     output = "source_id string, line_no long, verdict string"

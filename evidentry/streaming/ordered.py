@@ -43,14 +43,15 @@ ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean"
 
 
 class Runs:
-    """Buffered rows of a slot: runs in order of time and line, each cut into pieces that are one value of the state store.
+    """Buffered rows of a slot: runs in order, each cut into pieces that are one value of the state store.
 
-    A run is a list of its number, its next piece, its number of pieces and a time that none of its rows is before. Rows that
-    are equal in time and line come out as they came in.
+    A run is a list of its number, its next piece, its number of pieces and a time that none of its rows is before. `order`
+    begins with the time; rows that are equal in it come out as they came in.
     """
 
-    def __init__(self, handle: StatefulProcessorHandle, schema: pa.Schema) -> None:
-        self.schema = schema
+    def __init__(self, handle: StatefulProcessorHandle, schema: pa.Schema, order: tuple[str, ...]) -> None:
+        self.schema, self.order = schema, order
+        self.places = [schema.names.index(c) for c in order]
         self.pieces = handle.getMapState("pieces", "run long, piece long", "rows binary")
         self.index = handle.getValueState("runs", "text string")
 
@@ -70,7 +71,7 @@ class Runs:
     def add(self, rows: pa.Table) -> None:
         """Store rows as a new run."""
         runs = self.runs()
-        run = self._write(_unused(runs), [rows.sort_by([("us", "ascending"), ("line_no", "ascending")])])
+        run = self._write(_unused(runs), [rows.sort_by([(c, "ascending") for c in self.order])])
         self.keep([*runs, run])
 
     def take(self, runs: list[list[int]], settled: int) -> Iterator[tuple]:
@@ -87,7 +88,7 @@ class Runs:
     def _merged(self, runs: list[list[int]], settled: int) -> Iterator[tuple]:
         if len(runs) == 1:
             return self._read(runs[0], settled)
-        return heapq.merge(*[self._read(run, settled) for run in runs], key=lambda row: (row[1], row[2] is None, row[2]))
+        return heapq.merge(*[self._read(run, settled) for run in runs], key=lambda row: [(row[p] is None, row[p]) for p in self.places])
 
     def _read(self, run: list[int], settled: int) -> Iterator[tuple]:
         while run[1] < run[2]:
@@ -125,6 +126,7 @@ class OrderedProcessor(StatefulProcessor):
     key: str
     fields: tuple[str, ...]          # input columns after the key; first is us, second line_no
     fields_schema: str
+    order: tuple[str, ...] = ("us", "line_no")
     state_schema: str
     output: str                      # output schema, key first
     outputs: tuple[str, ...]
@@ -145,7 +147,7 @@ class OrderedProcessor(StatefulProcessor):
         self.handle = handle
         kinds = [field.split() for field in self.fields_schema.split(", ")]
         self.arrow = pa.schema([(self.key, pa.string()), *((name, ARROW[kind]) for name, kind in kinds)])
-        self.buffer = Runs(handle, self.arrow)
+        self.buffer = Runs(handle, self.arrow, self.order)
         self.states = handle.getMapState("states", "name string", self.state_schema)
         self.due = handle.getValueState("due", "us long")  # no state of the slot has an earlier deadline
         self.settled_slots = set()

@@ -155,6 +155,12 @@ def test_one_source_is_released_in_pieces(small):
     assert not coverage.buffer.pieces.values and not coverage.buffer.runs()
 
 
+def test_reports_of_equal_time_and_line_go_by_their_number(small):
+    rows = [("a", 5000, 1, True, seq, 0, 0, str(seq)) for seq in range(400, 0, -1)]
+    frames, _ = released(Coverage(), rows, [4000], ["source_id", *Coverage.fields])
+    assert given(frames, 3) == [("a", 1, "accepted")] * 400
+
+
 def test_rows_that_wait_stay_in_the_buffer(small):
     """Several micro-batches, each releasing a part of the rows; later batches bring rows behind the ones that wait."""
     rnd = random.Random(2)
